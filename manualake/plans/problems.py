@@ -36,7 +36,7 @@ def p3_by_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stated quantities and their range in the common unit."""
     rows = read_measures(table(spark, sf_dir, "specs")).filter("quantity is not null").dropDuplicates(["spec_id", "item_no"])
     return (
-        rows.join(F.broadcast(table(spark, sf_dir, "common_unit").select("quantity", F.col("unit").alias("common_unit")).limit(len("quantity") * 8)), "quantity")
+        rows.join(table(spark, sf_dir, "common_unit").select("quantity", F.col("unit").alias("common_unit")), "quantity")
         .groupBy("quantity", "common_unit")
         .agg(F.count("*").alias("n"), F.min("low").alias("least"), F.max("high").alias("most"))
     )
@@ -55,11 +55,11 @@ _KEY = r"lower(regexp_replace({}, '^\s+|\s+$', '', 'g'))"
 
 def _orphans(src: str, rec: str, ref: str, targets: str) -> str:
     return f"""
-    select '{src}' src, cast(r.id as varchar) rec_id, strftime(r.at, '%Y-%m') ingest_month,
+    select '{src}' src, cast(r.id as varchar) rec_id, strftime(r.arrived, '%Y-%m') ingest_month,
            case when t.k is null then 'missing' when t.live is null then 'deleted' else 'late' end reason
-    from (select {rec} id, min(ingested_at) at, {_KEY.format(f'arg_min({ref}, ingested_at)')} k from {src} group by 1) r
+    from (select {rec} id, min(ingested_at) arrived, {_KEY.format(f'arg_min({ref}, ingested_at)')} k from {src} group by 1) r
     left join (select {_KEY.format('k')} k, min(case when deleted_at is null then ingested_at end) live from ({targets}) group by 1) t on t.k = r.k
-    where r.k is not null and (t.k is null or t.live is null or t.live > r.at)"""
+    where r.k is not null and (t.k is null or t.live is null or t.live > r.arrived)"""
 
 
 _PRODUCTS = "select product_id k, ingested_at, deleted_at from product"
@@ -76,12 +76,12 @@ _FOUND = " union all ".join(
 
 def oracle_sql() -> dict[str, str]:
     composite = """
-    with r as (select doc_id id, min(ingested_at) at, lower(trim(any_value(brand))) b, lower(trim(any_value(model_code))) m from document group by 1),
+    with r as (select doc_id id, min(ingested_at) arrived, lower(trim(any_value(brand))) b, lower(trim(any_value(model_code))) m from document group by 1),
     t as (select lower(trim(brand)) b, lower(trim(model_code)) m, ingested_at, deleted_at from product)
-    select * from (select 'document' src, id rec_id, strftime(at, '%Y-%m') ingest_month,
+    select * from (select 'document' src, id rec_id, strftime(arrived, '%Y-%m') ingest_month,
       case when not exists (select 1 from t where (r.b is null or r.b = t.b) and (r.m is null or r.m = t.m)) then 'missing'
            when not exists (select 1 from t where (r.b is null or r.b = t.b) and (r.m is null or r.m = t.m) and deleted_at is null) then 'deleted'
-           when not exists (select 1 from t where (r.b is null or r.b = t.b) and (r.m is null or r.m = t.m) and deleted_at is null and t.ingested_at <= r.at) then 'late' end reason
+           when not exists (select 1 from t where (r.b is null or r.b = t.b) and (r.m is null or r.m = t.m) and deleted_at is null and t.ingested_at <= r.arrived) then 'late' end reason
       from r where b is not null or m is not null) where reason is not null"""
     return {
         "p2_found": _FOUND,
