@@ -4,7 +4,7 @@ Every document is cut into non-overlapping blocks of half the span's length: a s
 lies, holds one whole block of any document that has it. Each block is indexed under its least gram (a minimiser);
 every rolling window of a block's length probes that index under its own least gram, so that a run of windows with one
 minimiser is one row. Windows that meet a block of another document are hits; around the hits all spans of the full
-length are compared by 128-bit rolling hashes over all documents at once, which extends each hit to its maximal exact
+length are compared by 96-bit rolling hashes over all documents at once, which extends each hit to its maximal exact
 repeat without pairing the documents of a group.
 """
 
@@ -88,13 +88,14 @@ def merge(starts: np.ndarray, ends: np.ndarray, touch: int = 1) -> tuple[np.ndar
     return starts[at], np.concatenate([ends[at[1:] - 1], ends[-1:]])
 
 
-def shared_spans(docs: DataFrame, *, span: int = 400, gram: int = 48) -> DataFrame:
+def shared_spans(docs: DataFrame, *, span: int = 400, gram: int = 128) -> DataFrame:
     """Rows (doc_id, span_start, span_chars): the maximal stretches of each docs.text (doc_id bigint, text string) of
     which every piece of `span` characters stands, character for character, in at least one other document.
 
     Positions count code points from 0. Null, empty and short texts give no row, nor do repeats within one document.
-    A doc_id that comes twice with equal texts is one document. Groups of any size cost rows in proportion to their
-    texts: documents never meet in pairs. gram bounds the minimiser only, not what is found.
+    A doc_id that comes twice with equal texts is one document. gram, the length of the minimisers, sets
+    how much passes the index by chance, not what is found. Groups of any size cost rows in proportion to their
+    texts: documents never meet in pairs.
     """
     block = span // 2
     if not 0 < gram <= block:
@@ -129,7 +130,7 @@ def shared_spans(docs: DataFrame, *, span: int = 400, gram: int = 48) -> DataFra
                     continue
                 one, two = (Rolling(codes, base, salt).windows(at, span) for base, salt in zip(_BASES, (2, 3)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(len(at), doc, dtype=np.int64)), pa.array(at.astype(np.int32))],
+                    [pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(np.full(len(at), doc, dtype=np.int64)), pa.array(at.astype(np.int32))],
                     names=["h1", "h2", "doc", "at"],
                 )
 
@@ -154,7 +155,7 @@ def shared_spans(docs: DataFrame, *, span: int = 400, gram: int = 48) -> DataFra
     hits = hits.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("hits"))
     spans = cut(
         long.join(hits.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "text", "hits")
-        .mapInArrow(compare, "h1 bigint, h2 bigint, doc bigint, at int")
+        .mapInArrow(compare, "h1 bigint, h2 int, doc bigint, at int")
     )
     twice = spans.groupBy("h1", "h2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high").select("h1", "h2")
     shared = spans.join(twice, ["h1", "h2"], "left_semi").groupBy("doc").agg(F.collect_set("at").alias("at"))
