@@ -48,9 +48,9 @@ class Shingler:
             out.append(h)
         return out
 
-    def shingles(self, text: str) -> np.ndarray:
-        """Sorted distinct hashes; a text of fewer words has one shingle of them all, one without words none."""
-        h = np.array(self.word_hashes(text), dtype=np.uint64)
+    def shingles(self, words: list[int]) -> np.ndarray:
+        """Sorted distinct hashes of runs of words; fewer words make one shingle of them all, none make none."""
+        h = np.array(words, dtype=np.uint64)
         if not len(h):
             return h
         k = min(self.size, len(h))
@@ -66,7 +66,7 @@ class SetSketch:
     def __init__(self, m: int, *, b: float = 1.001, a: float = 20.0, q: int = 65_534, seed: int = 1):
         rng = np.random.default_rng(seed)
         self.m, self.b, self.a, self.q = m, b, a, q
-        self.factors = rng.integers(1, 1 << 63, size=m, dtype=np.uint64) | np.uint64(1)
+        self.factors = rng.integers(1 << 16, 1 << 32, size=m, dtype=np.uint32) | np.uint32(1)
 
     def registers(self, sets: list[np.ndarray]) -> np.ndarray:
         """One row of registers for each set; of an empty set all are 0."""
@@ -78,11 +78,11 @@ class SetSketch:
         flat = np.concatenate([sets[i] for i in full])
         starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
         scale = 1.0 / np.log(self.b)
-        for j, factor in enumerate(self.factors):
-            low = np.minimum.reduceat((flat * factor) >> np.uint64(24), starts)  # the high bits of a multiplicative hash
-            u = (low.astype(np.float64) + 0.5) / (1 << 40)
-            h = -np.log1p(-u) / self.a
-            out[full, j] = np.clip(np.floor(1.0 - np.log(h) * scale), 0, self.q + 1).astype(np.uint16)
+        flat = (flat >> np.uint64(32)).astype(np.uint32)
+        low = np.stack([np.minimum.reduceat(flat * factor, starts) for factor in self.factors], 1)
+        # The least of exponential hashes is that of the least uniform one.
+        h = -np.log1p(-(low.astype(np.float64) + 0.5) / (1 << 32)) / self.a
+        out[full] = np.clip(np.floor(1.0 - np.log(h) * scale), 0, self.q + 1).astype(np.uint16)
         return out
 
     @staticmethod
@@ -145,11 +145,11 @@ def near_duplicates(
         for i, head, text in zip(*[batch.column(k).to_pylist() for k in range(3)]):
             if i is None or text is None:
                 continue
-            text = table_form(text)
-            if len(WORD.findall(text)) < max(1, least_words):
+            words = shingler.word_hashes(table_form(text))
+            if len(words) < max(1, least_words):
                 continue
             ids.append(i)
-            sets.append(shingler.shingles(f"{table_form(head)} {text}" if head is not None else text))
+            sets.append(shingler.shingles(shingler.word_hashes(table_form(head)) + words if head is not None else words))
         return ids, sets
 
     def classes(sets: list[np.ndarray]) -> np.ndarray:
