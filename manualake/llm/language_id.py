@@ -18,26 +18,30 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .canonical import table_form
 from .scan_noise import Layout, brand_words, header_residues, statistics
 
 #: The languages of the corpus by family.
 FAMILIES: dict[str, tuple[str, ...]] = {"west germanic": ("de", "en", "nl"), "north germanic": ("da",), "romance": ("fr",)}
 LANGUAGES = tuple(sorted(x for langs in FAMILIES.values() for x in langs))
-SENTENCE = re.compile(r"(?:[^.!?]|[.!?](?!\s|$))*(?:[.!?](?=\s|$)|$)")
+END = re.compile(r"[.!?](?=\s|$)")
 LETTERS = re.compile(r"[^\W\d_]+")
 BROKEN = re.compile(r"(?<=\w)[-¬‐‑][^\S\n]*\r?\n[^\S\n]*(?=\w)")
 
 
+Segment = tuple[int, int, int, str, float]
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
     """Places of the sentences: each ends at . ! or ? before white space or the end of the text."""
-    out = []
-    for m in SENTENCE.finditer(text):
-        b, e = m.span()
-        while b < e and text[b].isspace():
-            b += 1
-        if b < e:
-            out.append((b, e))
+    out, b = [], 0
+    for e in [*(m.end() for m in END.finditer(text)), len(text)]:
+        piece = text[b:e]
+        bare = piece.lstrip()
+        if bare:
+            out.append((e - len(bare), e))
+        b = e
     return out
 
 
@@ -194,48 +198,49 @@ class LanguageModel:
                 use, up = held & ((y == a) | (y == b)), y == a
             if use.any():
                 m, s = margins[use, j], np.where(up[use], 1.0, -1.0)
-                grid = np.geomspace(1, 16, 9)
+                grid = np.geomspace(1, 64, 13)
                 self.scale[j] = grid[int(np.argmax([np.log(_sigmoid(g * m * s) + 1e-9).mean() for g in grid]))]
 
-    def segments(self, text: str, *, switch: float = 3.0) -> list[tuple[int, int, int, str, float]]:
-        """(start, end, sentences, language, confidence) of the maximal runs of sentences of one language.
+    def segments(self, text: str, *, switch: float = 3.0) -> list[Segment]:
+        return self.batch_segments([text], switch=switch)[0]
+
+    def batch_segments(self, texts: list[str], *, switch: float = 3.0) -> list[list[Segment]]:
+        """Of each text (start, end, sentences, language, confidence) of the maximal runs of sentences of one language.
 
-        Only sentences with letters count; a number of a list goes with its entry. Changing the language costs `switch` in log probability, so that a sentence without words of its own goes with
-        its neighbours. Texts without letters have no segment.
+        Only sentences with letters count; a number of a list goes with its entry. Changing the language costs `switch`
+        in log probability, so that a sentence without words of its own goes with its neighbours. Texts without letters
+        have no segment.
         """
-        at, scores = [], []
-        for b, e in sentences(text):
-            ws = words(text[b:e])
-            at.append((b, e))
-            # The evidence of a sentence grows with its words, up to six, and is bounded: names of other languages occur.
-            scores.append(np.maximum(self.log_probabilities(self.margins(ws)), -8.0) * min(len(ws), 6) / 6 if ws else None)
-        if not any(s is not None for s in scores):
-            return []
-        k = len(LANGUAGES)
-        grid = np.array([np.zeros(k) if s is None else s for s in scores])
-        total, back = grid[0], np.zeros((len(grid), k), dtype=np.int64)
-        for i in range(1, len(grid)):
-            best = int(total.argmax())
-            moved = total[best] - switch
-            back[i] = np.where(total >= moved, np.arange(k), best)
-            total = np.maximum(total, moved) + grid[i]
-        path = [int(total.argmax())]
-        for i in range(len(grid) - 1, 0, -1):
-            path.append(int(back[i, path[-1]]))
-        path.reverse()
-        out: list[tuple[int, int, int, str, float]] = []
-        for i, p in enumerate(path):
-            if i and path[i - 1] == p:
-                b, _, n, lang, _ = out[-1]
-                out[-1] = (b, at[i][1], n + (scores[i] is not None), lang, 0.0)
-            else:
-                out.append((at[i][0], at[i][1], int(scores[i] is not None), LANGUAGES[p], 0.0))
-        done = []
-        for b, e, n, lang, _ in out:
-            inner = grid[[k for k, (x, _) in enumerate(at) if b <= x < e]].sum(0)
-            inner = np.exp(inner - inner.max())
-            done.append((b, e, n, lang, float(inner[LANGUAGES.index(lang)] / inner.sum())))
-        return done
+        places = [sentences(t) for t in texts]
+        counts, found = [], []
+        for t, at in zip(texts, places):
+            for b, e in at:
+                ws = words(t[b:e])
+                counts.append(len(ws))
+                found += ws
+        if not found:
+            return [[] for _ in texts]
+        names = {w: i for i, w in enumerate(dict.fromkeys(found))}
+        scores = np.stack([self.word(w) for w in names])
+        n = np.array(counts)
+        full = np.flatnonzero(n)
+        starts = np.cumsum(n[full]) - n[full]
+        sums = np.add.reduceat(scores[np.fromiter((names[w] for w in found), np.int64, len(found))], starts, axis=0)
+        # The evidence of a sentence grows with its words, up to six, and is bounded: names of other languages occur.
+        grid = np.zeros((len(n), len(LANGUAGES)))
+        grid[full] = np.maximum(self.log_probabilities(sums / n[full, None] + self.bias), -8.0) * (np.minimum(n[full], 6) / 6)[:, None]
+        best, out, k = grid.argmax(1), [], 0
+        for at in places:
+            own = slice(k, k + len(at))
+            k += len(at)
+            letters = n[own] > 0
+            if not letters.any():
+                out.append([])
+                continue
+            first = best[own][letters]
+            path = np.full(len(at), first[0]) if (first == first[0]).all() else _viterbi(grid[own], switch)
+            out.append(_runs(at, path, letters, grid[own]))
+        return out
 
     def language(self, text: str) -> str | None:
         ws = words(text)
@@ -245,7 +250,8 @@ class LanguageModel:
 def text_layout(texts: DataFrame, product: DataFrame) -> Layout:
     """The running headers of texts (text), which say nothing about the language of what they interrupt."""
     brands = brand_words(product)
-    return Layout(brands, header_residues(statistics(texts.filter("text is not null"), brands)))
+    # Only texts of several lines have edge lines.
+    return Layout(brands, header_residues(cut(statistics(texts.filter(F.col("text").rlike("[\\r\\n]")), brands))))
 
 
 def clean(text: str, layout: Layout) -> str:
@@ -254,17 +260,36 @@ def clean(text: str, layout: Layout) -> str:
     return "\n".join(layout.read(text)[0]) if "\n" in text or "\r" in text else text
 
 
+def _viterbi(grid: np.ndarray, switch: float) -> np.ndarray:
+    k = grid.shape[1]
+    total, back = grid[0], np.zeros(grid.shape, dtype=np.int64)
+    for i in range(1, len(grid)):
+        best = int(total.argmax())
+        moved = total[best] - switch
+        back[i] = np.where(total >= moved, np.arange(k), best)
+        total = np.maximum(total, moved) + grid[i]
+    path = np.empty(len(grid), dtype=np.int64)
+    path[-1] = total.argmax()
+    for i in range(len(grid) - 1, 0, -1):
+        path[i - 1] = back[i, path[i]]
+    return path
+
+
+def _runs(at: list[tuple[int, int]], path: np.ndarray, letters: np.ndarray, grid: np.ndarray) -> list[Segment]:
+    out = []
+    first = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
+    for b, e in zip(first, [*first[1:], len(path)]):
+        inner = grid[b:e].sum(0)
+        inner = np.exp(inner - inner.max())
+        out.append((at[b][0], at[e - 1][1], int(letters[b:e].sum()), LANGUAGES[path[b]], float(inner[path[b]] / inner.sum())))
+    return out
+
+
 def fit_language_model(texts: DataFrame, layout: Layout, *, sample_bound: int = 3_000) -> LanguageModel:
-    """Fit on at most sample_bound labelled texts of texts (text_id, lang, text): those with the smallest hash of their id."""
-    rows = (
-        texts.select("text_id", normal_label(F.col("lang")).alias("lang"), "text")
-        .filter(F.col("lang").isin(*LANGUAGES) & (F.length("text") > 0))
-        .withColumn("_h", F.xxhash64("text_id"))
-        .orderBy("_h")
-        .limit(sample_bound)
-        .select("lang", "text")
-        .collect()
-    )
+    """Fit on about sample_bound labelled texts of texts (text_id, lang, text), at most that many, chosen by a hash of their id."""
+    known = texts.select("text_id", normal_label(F.col("lang")).alias("lang"), "text").filter(F.col("lang").isin(*LANGUAGES) & (F.length("text") > 0))
+    every = max(1, known.count() // max(1, sample_bound))
+    rows = known.filter(F.pmod(F.xxhash64("text_id"), F.lit(every)) == 0).limit(sample_bound).select("lang", "text").collect()
     return LanguageModel.fit([(r.lang, clean(r.text, layout)) for r in rows])
 
 
@@ -283,8 +308,8 @@ def language_segments(texts: DataFrame, model: LanguageModel, layout: Layout) ->
         types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.int32()]
         for batch in batches:
             out = []
-            for text_id, label, text in zip(*[batch.column(k).to_pylist() for k in range(3)]):
-                segs = model.segments(clean(text, layout))
+            texts_ = [clean(t, layout) for t in batch.column(2).to_pylist()]
+            for text_id, label, segs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), model.batch_segments(texts_)):
                 out += [(text_id, i, b, e - b, n, lang, round(conf, 6), label, len(segs)) for i, (b, e, n, lang, conf) in enumerate(segs)]
             cols = list(zip(*out)) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
