@@ -54,20 +54,27 @@ def endings(clause: list[str]) -> list[str]:
 
 
 class Sentence:
-    """The distinct words of a sentence, and those that stand only in formulas: clauses, or ends of clauses, that many
-    sentences have."""
-
-    def __init__(self, line: str, formulas: frozenset[str]):
-        own: set[str] = set()
-        every: set[str] = set()
-        for c in clauses(line.split()):
-            every.update(c)
-            n = next((len(e.split(" ")) for e in endings(c) if e in formulas), 0)
-            own.update(c[: len(c) - n])
-        self.words, self.formula = every, every - own
+    """The distinct words of a sentence: its own, and those that stand only in formulas, which are clauses, or ends of
+    clauses, that many sentences have."""
+
+    __slots__ = ("free", "own")
+
+    def __init__(self, own: list[str], free: list[str]):
+        self.own, self.free = own, free
 
     def __bool__(self) -> bool:
-        return bool(self.words)
+        return bool(self.own or self.free)
+
+
+def compact(line: str, known: frozenset[str]) -> str:
+    """A sentence's distinct words on one line: its own, a bar, those of formulas."""
+    own: set[str] = set()
+    every: set[str] = set()
+    for c in clauses(line.split()):
+        every.update(c)
+        n = next((len(e.split(" ")) for e in endings(c) if e in known), 0)
+        own.update(c[: len(c) - n])
+    return f"{' '.join(sorted(own))}|{' '.join(sorted(every - own))}"
 
 
 def formulas(rows: DataFrame, *, share: float = 0.004) -> dict[str, frozenset[str]]:
@@ -84,7 +91,7 @@ def formulas(rows: DataFrame, *, share: float = 0.004) -> dict[str, frozenset[st
             langs, keys = zip(*seen) if seen else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(keys, pa.string()), pa.array(seen.values(), pa.int64())], names=["lang", "clause", "n"])
 
-    counts = rows.select("lang", "body").mapInArrow(count, "lang string, clause string, n bigint").groupBy("lang", "clause").agg(F.sum("n").alias("n"))
+    counts = cut(rows.select("lang", "body").mapInArrow(count, "lang string, clause string, n bigint").groupBy("lang", "clause").agg(F.sum("n").alias("n")))
     total = counts.filter("clause is null").select("lang", F.col("n").alias("total"))
     often = counts.filter("clause is not null and n >= 3").join(total, "lang").filter(F.col("n") >= share * F.col("total"))
     out: dict[str, set[str]] = defaultdict(set)
@@ -109,6 +116,18 @@ def tokenised(texts: DataFrame, model: LanguageModel) -> DataFrame:
     return rows.mapInArrow(run, "topic_id string, text_id bigint, lang string, body string").filter("lang is not null").dropDuplicates(["text_id"])
 
 
+def compacted(rows: DataFrame, known: dict[str, frozenset[str]]) -> DataFrame:
+    """rows with a body of distinct words only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, bodies = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            out = ["\n".join(compact(line, known.get(lang, frozenset())) for line in body.split("\n")) for lang, body in zip(langs, bodies)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.string())], names=batch.schema.names)
+
+    return rows.select("topic_id", "text_id", "lang", "body").mapInArrow(run, "topic_id string, text_id bigint, lang string, body string")
+
+
 def bilingual_pairs(rows: DataFrame) -> DataFrame:
     """Pairs of texts of one topic in different languages: lang_a < lang_b."""
     a = rows.select("topic_id", *[F.col(c).alias(f"{c}_a") for c in ("text_id", "lang", "body")])
@@ -117,12 +136,11 @@ def bilingual_pairs(rows: DataFrame) -> DataFrame:
 
 
 def _numbers(sentence: Sentence) -> tuple[str, ...]:
-    return tuple(sorted(t for t in sentence.words if t[0].isdigit()))
+    return tuple(sorted(t for t in [*sentence.own, *sentence.free] if t[0].isdigit()))
 
 
-def _read(body: str, lang: str, known: dict[str, frozenset[str]]) -> list[Sentence]:
-    own = known.get(lang, frozenset())
-    return [Sentence(line, own) for line in body.split("\n")]
+def _read(body: str) -> list[Sentence]:
+    return [Sentence(*(part.split() for part in line.split("|"))) for line in body.split("\n")]
 
 
 def anchored(a: list[Sentence], b: list[Sentence]) -> list[tuple[int, int]]:
@@ -135,30 +153,34 @@ def anchored(a: list[Sentence], b: list[Sentence]) -> list[tuple[int, int]]:
     return [(x[0], of_b[n][0]) for n, x in of_a.items() if len(x) == 1 and len(of_b.get(n, ())) == 1]
 
 
-def translation_counts(pairs: DataFrame, known: dict, table: dict | None = None) -> DataFrame:
+def translation_counts(pairs: DataFrame, table: dict | None = None) -> DataFrame:
     """Rows (lang_a, lang_b, word_a, word_b, n) of words in sentence pairs; a null word stands for any.
 
     The pairs are those anchored by numbers, or with a table those aligned by it."""
     shared = pairs.sparkSession.sparkContext.broadcast(table)
+    base = 1 << 31
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter[tuple] = Counter()
+            numbers: dict[str | None, int] = {None: 0}
+            codes: dict[tuple[str, str], list[np.ndarray]] = defaultdict(list)
             cols = {n: batch.column(n).to_pylist() for n in ("lang_a", "lang_b", "body_a", "body_b")}
             for la, lb, ba, bb in zip(*cols.values()):
-                a, b = _read(ba, la, known), _read(bb, lb, known)
+                a, b = _read(ba), _read(bb)
                 found = anchored(a, b) if shared.value is None else [(i, j) for i, j, _ in align(a, b, shared.value, (la, lb), sure=0.4, part=0.1, least=0.7)]
                 for i, j in found:
-                    wa, wb = ({w for w in s.words if not w[0].isdigit()} for s in (a[i], b[j]))
-                    seen.update((la, lb, x, y) for x in wa for y in wb)
-                    seen.update((la, lb, x, None) for x in wa)
-                    seen.update((la, lb, None, y) for y in wb)
-                    seen[(la, lb, None, None)] += 1
-            keys = list(zip(*seen)) if seen else [()] * 4
-            yield pa.RecordBatch.from_arrays([*[pa.array(k, pa.string()) for k in keys], pa.array(seen.values(), pa.int64())], names=["lang_a", "lang_b", "word_a", "word_b", "n"])
+                    wa, wb = (
+                        np.array([0, *(numbers.setdefault(w, len(numbers)) for w in [*s.own, *s.free] if not w[0].isdigit())], dtype=np.int64) for s in (a[i], b[j])
+                    )
+                    codes[(la, lb)].append((wa[:, None] * base + wb).ravel())
+            names = np.array(list(numbers), dtype=object)
+            for (la, lb), parts in codes.items():
+                code, n = np.unique(np.concatenate(parts), return_counts=True)
+                columns = [[la] * len(code), [lb] * len(code), names[code // base].tolist(), names[code % base].tolist()]
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in columns], pa.array(n, pa.int64())], names=["lang_a", "lang_b", "word_a", "word_b", "n"])
 
     rows = pairs.select("lang_a", "lang_b", "body_a", "body_b").mapInArrow(count, "lang_a string, lang_b string, word_a string, word_b string, n bigint")
-    return rows.groupBy("lang_a", "lang_b", "word_a", "word_b").agg(F.sum("n").alias("n"))
+    return cut(rows.groupBy("lang_a", "lang_b", "word_a", "word_b").agg(F.sum("n").alias("n")))
 
 
 def translation_table(counts: DataFrame, *, best: int = 5, least: float = 0.1, bound: int = 300_000) -> dict:
@@ -197,35 +219,36 @@ def coverage(a: list[Sentence], b: list[Sentence], table: dict, *, numbers: floa
     """[i, j]: how much of the weight of sentence i of a its translation finds in sentence j of b.
 
     Words of formulas weigh little; their numbers weigh only where they are found, as a formula may be missing."""
-    index: dict[str, list[int]] = defaultdict(list)
-    for j, s in enumerate(b):
-        for w in s.words:
-            index[w].append(j)
-    out = np.zeros((len(a), len(b)))
-    for i, s in enumerate(a):
-        total, bonus = 0.0, np.zeros(len(b))
-        for w in s.words:
-            free = w in s.formula
-            if w[0].isdigit():
-                if free:
-                    for j in index.get(w, ()):
-                        bonus[j] += numbers
-                    continue
-                weight, means = numbers, {w: 1.0}
-            else:
-                weight, means = table.get(w) or (unknown, {w: 1.0})
-                if free:
-                    weight *= formula
-            total += weight
-            found: dict[int, float] = {}
-            for m, strength in means.items():
-                for j in index.get(m, ()):
-                    if found.get(j, 0.0) < strength:
-                        found[j] = strength
-            for j, strength in found.items():
-                out[i, j] += weight * strength
-        out[i] = (out[i] + bonus) / np.maximum(total + bonus, 1e-9)
-    return out
+    of_a: dict[str, int] = {}
+    of_b: dict[str, int] = {}
+    rows_b = [[of_b.setdefault(w, len(of_b)) for w in [*s.own, *s.free]] for s in b]
+    own = [[of_a.setdefault(w, len(of_a)) for w in s.own] for s in a]
+    free = [[of_a.setdefault(w, len(of_a)) for w in s.free] for s in a]
+    # The index: which words of b each word of a may be translated by, and how strongly.
+    means, weight, number = np.zeros((len(of_a), len(of_b))), np.empty(len(of_a)), np.zeros(len(of_a), dtype=bool)
+    for w, i in of_a.items():
+        entry = None if w[0].isdigit() else table.get(w)
+        if entry is None:
+            number[i] = w[0].isdigit()
+            weight[i] = numbers if number[i] else unknown
+            if w in of_b:
+                means[i, of_b[w]] = 1.0
+        else:
+            weight[i] = entry[0]
+            for m, strength in entry[1].items():
+                j = of_b.get(m)
+                if j is not None:
+                    means[i, j] = strength
+    found = np.stack([means[:, r].max(1) if r else np.zeros(len(of_a)) for r in rows_b], 1)
+    bag, bonus = np.zeros((len(a), len(of_a))), np.zeros((len(a), len(of_a)))
+    for i, (o, f) in enumerate(zip(own, free)):
+        bag[i, o] = weight[o]
+        if f:
+            f = np.array(f)
+            bag[i, f[~number[f]]] = formula * weight[f[~number[f]]]
+            bonus[i, f[number[f]]] = numbers
+    extra = bonus @ found
+    return (bag @ found + extra) / np.maximum(bag.sum(1)[:, None] + extra, 1e-9)
 
 
 def align(a: list[Sentence], b: list[Sentence], table: dict, langs: tuple[str, str], *, sure: float = 0.6, part: float = 0.3, least: float = 1.05) -> list[tuple[int, int, float]]:
@@ -258,7 +281,7 @@ def align(a: list[Sentence], b: list[Sentence], table: dict, langs: tuple[str, s
     return [(i, j, s) for (i, j), s in sorted(out.items())]
 
 
-def aligned_sentences(pairs: DataFrame, known: dict, table: dict) -> DataFrame:
+def aligned_sentences(pairs: DataFrame, table: dict) -> DataFrame:
     """Rows (text_id_a, sent_a, text_id_b, sent_b, score) of all pairs of texts, smaller text_id first; sentences from 0."""
     schema = "text_id_a bigint, sent_a int, text_id_b bigint, sent_b int, score double"
     names = [x.split()[0] for x in schema.split(", ")]
@@ -269,7 +292,7 @@ def aligned_sentences(pairs: DataFrame, known: dict, table: dict) -> DataFrame:
             out = []
             cols = {n: batch.column(n).to_pylist() for n in ("text_id_a", "lang_a", "body_a", "text_id_b", "lang_b", "body_b")}
             for ia, la, ba, ib, lb, bb in zip(*cols.values()):
-                a, b = _read(ba, la, known), _read(bb, lb, known)
+                a, b = _read(ba), _read(bb)
                 for i, j, s in align(a, b, shared.value, (la, lb)):
                     out.append((ia, i, ib, j, s) if ia < ib else (ib, j, ia, i, s))
             cols_ = list(zip(*out)) if out else [()] * 5
@@ -286,8 +309,7 @@ def align_texts(texts: DataFrame, model: LanguageModel) -> DataFrame:
     one topic are no pair. A topic without a second language gives no row.
     """
     rows = cut(tokenised(texts, model))
-    known = formulas(rows)
-    pairs = cut(bilingual_pairs(rows))
+    pairs = cut(bilingual_pairs(compacted(rows, formulas(rows))))
     # The second table also knows the words of sentences without numbers.
-    table = translation_table(translation_counts(pairs, known, translation_table(translation_counts(pairs, known))))
-    return aligned_sentences(pairs, known, table)
+    table = translation_table(translation_counts(pairs, translation_table(translation_counts(pairs))))
+    return aligned_sentences(pairs, table)
