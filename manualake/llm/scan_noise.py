@@ -49,7 +49,9 @@ TAIL = re.compile(rf"([^\W\d_†€@$£¢]*(?:[^\W_]|[†€@$£¢])+)([{HYPHENS
 HEAD = re.compile(r"^\s*((?:[^\W_]|[†€@$£¢])+)")
 INNER = re.compile(r"([^\W\d_]+)-([^\W\d_]+)")
 HUNG = re.compile(r"([^\W\d_]+)- ([^\W\d_]+)")
+_MARKS = tuple(HYPHENS)
 ENDS = (".", "!", "?", ";", ",", ":")
+_DIGIT = re.compile(r"\d")
 _PRIME = 0x9E3779B97F4A7C15
 BLOOM_BITS = 1 << 22
 
@@ -57,7 +59,7 @@ BLOOM_BITS = 1 << 22
 def residue(line: str, brands: frozenset[str]) -> tuple[str, bool, bool]:
     """What is left of a line without page numbers, editions and product names, in lower case; whether it had a page
     number, or a product name."""
-    rest = PAGE_PART.sub(" | ", line)
+    rest = PAGE_PART.sub(" | ", line) if _DIGIT.search(line) else line
     paged = rest != line
     rest = EDITION.sub(" ", rest)
     words = WORD.findall(rest)
@@ -100,28 +102,24 @@ def statistics(rows: DataFrame, brands: frozenset[str]) -> DataFrame:
             other: Counter[tuple[str, str]] = Counter()
             for text in batch.column(0).to_pylist():
                 text = table_form(text)
-                lines = LINE.split(text) if "\n" in text or "\r" in text else [text]
-                if len(lines) == 1:
-                    ws.update(WORD.findall(text.lower()))
-                else:
-                    broken = False
-                    for line in lines:
-                        found = WORD.findall(line.lower())
-                        if broken:
-                            found = found[1:]
-                        broken = bool(found) and line.rstrip().endswith(tuple(HYPHENS))
-                        ws.update(found[:-1] if broken else found)
+                ws.update(WORD.findall(text.lower()))
+                if "\n" in text or "\r" in text:
+                    lines = LINE.split(text)
+                    for above, line in zip(lines, lines[1:]):
+                        if above.rstrip().endswith(_MARKS):  # parts of a word are no words
+                            ws.subtract([*WORD.findall(above.lower())[-1:], *WORD.findall(line.lower())[:1]])
                     if sum(1 for line in lines if line.strip()) > 1:
                         # A line after a hyphen may begin with the rest of a word.
                         seen = {
                             residue(line, brands)[0]
                             for above, line in zip(["", *lines], lines)
-                            if _alone(line) and not PAGE_LINE.match(line) and not above.rstrip().endswith(tuple(HYPHENS))
+                            if _alone(line) and len(line.split()) < 14 and not above.rstrip().endswith(_MARKS) and not PAGE_LINE.match(line)
                         }
                         other.update(("r", r) for r in seen if r and r.count(" ") < 8)
                 if "-" in text:
                     other.update(("h", f"{a}-{b}".lower()) for a, b in INNER.findall(text))
                     other.update(("s", f"{a}- {b}".lower()) for a, b in HUNG.findall(text))
+            ws = +ws
             kinds = ["w"] * len(ws) + [k for k, _ in other]
             keys = [*ws, *(key for _, key in other)]
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array([*ws.values(), *other.values()], pa.int64())], names=["kind", "key", "n"])
@@ -228,6 +226,7 @@ class Layout:
 
     def __init__(self, brands: frozenset[str], headers: frozenset[str]):
         self.brands, self.headers = brands, headers
+        self.telling = brands | {w for h in headers for w in h.split(" ")}
 
     def edge(self, line: str) -> tuple[bool, bool]:
         """Whether a line is a running header, and whether it holds a page number."""
@@ -235,6 +234,8 @@ class Layout:
             return False, True
         if not _alone(line):
             return False, False
+        if self.telling.isdisjoint(WORD.findall(line.lower())):
+            return False, False
         rest, paged, named = residue(line, self.brands)
         header = rest in self.headers if rest else named
         return header, paged and (header or not rest)
@@ -250,7 +251,7 @@ class Layout:
             header, page = header or h, page or p
             if h or p:
                 removed = True
-            elif removed and not line.strip() and kept and kept[-1].rstrip().endswith(tuple(HYPHENS)):
+            elif removed and not line.strip() and kept and kept[-1].rstrip().endswith(_MARKS):
                 continue  # the blank line belonged to the page's edge
             else:
                 kept.append(line)
