@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Letters of other scripts and the Latin letters that they look like.
 LOOK_ALIKES = dict(
     zip(
@@ -207,7 +209,7 @@ def look_alike_pairs(rows: DataFrame, words: list[tuple[str, int]], *, group_row
     never meet each other. A group of more than group_rows rows is salted, its odd rows being repeated for each salt.
     Null texts are no records; empty ones look like themselves only. Repeated deliveries count once.
     """
-    prints = fingerprints(rows, words)
+    prints = cut(fingerprints(rows, words))
     odd = prints.filter("odd")
     # Only groups with an odd row matter; their sizes set the salts.
     sizes = prints.join(odd.select("src", "form").distinct(), ["src", "form"], "left_semi").groupBy("src", "form").agg(F.count("*").alias("n"))
