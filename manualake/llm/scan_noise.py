@@ -34,7 +34,7 @@ CONFUSIONS = (
 #: Words of page numbers, and what stands between the two numbers.
 PAGE_WORDS = "page|pagina|seite|side|pag|blz"
 OF_WORDS = "of|van|von|sur|af|de"
-WORD = re.compile(r"(?:[^\W_]|[†€@$£¢])+")
+WORD = re.compile(r"[\w†€@$£¢]+")
 _SPACE = r"[\s\-–—·|\[\]()/:.]*"
 PAGE_LINE = re.compile(rf"^{_SPACE}(?:(?:{PAGE_WORDS})\.?\s*)?\d{{1,4}}(?:\s*(?:{OF_WORDS}|/)\s*\d{{1,4}})?[\s\-–—·|\[\]()]*$", re.IGNORECASE)
 PAGE_PART = re.compile(
@@ -45,10 +45,10 @@ PAGE_PART = re.compile(
 EDITION = re.compile(r"(?<!\w)(?:rev|vers|version|ver|edition|ed)\.?\s*\w{1,3}(?!\w)", re.IGNORECASE)
 LINE = re.compile(r"\r\n|\r|\n")
 HYPHENS = "-¬‐‑"
-TAIL = re.compile(rf"([^\W\d_†€@$£¢]*(?:[^\W_]|[†€@$£¢])+)([{HYPHENS}])\s*$")
-HEAD = re.compile(r"^\s*((?:[^\W_]|[†€@$£¢])+)")
-INNER = re.compile(r"([^\W\d_]+)-([^\W\d_]+)")
-HUNG = re.compile(r"([^\W\d_]+)- ([^\W\d_]+)")
+TAIL = re.compile(rf"([\w†€@$£¢]+)([{HYPHENS}])$")
+HEAD = re.compile(r"^\s*([\w†€@$£¢]+)")
+HYPHEN = re.compile(r"(?<=[^\W\d_])- ?(?=[^\W\d_])")
+BEFORE, AFTER = re.compile(r"[^\W\d_]+$"), re.compile(r"[^\W\d_]+")
 _MARKS = tuple(HYPHENS)
 ENDS = (".", "!", "?", ";", ",", ":")
 _DIGIT = re.compile(r"\d")
@@ -117,8 +117,9 @@ def statistics(rows: DataFrame, brands: frozenset[str]) -> DataFrame:
                         }
                         other.update(("r", r) for r in seen if r and r.count(" ") < 8)
                 if "-" in text:
-                    other.update(("h", f"{a}-{b}".lower()) for a, b in INNER.findall(text))
-                    other.update(("s", f"{a}- {b}".lower()) for a, b in HUNG.findall(text))
+                    for m in HYPHEN.finditer(text):
+                        a, b = BEFORE.search(text, max(0, m.start() - 60), m.start()), AFTER.match(text, m.end())
+                        other[("s" if m[0] == "- " else "h", f"{a[0]}{m[0]}{b[0]}".lower())] += 1
             ws = +ws
             kinds = ["w"] * len(ws) + [k for k, _ in other]
             keys = [*ws, *(key for _, key in other)]
@@ -265,7 +266,7 @@ class Layout:
         for i in range(len(lines) - 1):
             s = lines[i].rstrip()
             if s and s[-1] in HYPHENS:
-                a, b = TAIL.search(s), HEAD.match(lines[i + 1])
+                a, b = TAIL.search(s, max(0, len(s) - 80)), HEAD.match(lines[i + 1])
                 if a and b and not (a[1][-1].isdigit() and b[1][0].isdigit()) and re.search(r"[^\W\d_]", a[1]) and re.search(r"[^\W\d_]", b[1]):
                     out.append((i, a[1], a[2], b[1]))
         return out
