@@ -47,7 +47,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 def words(text: str) -> list[str]:
     """Lower-case words of letters, those broken over a line end joined."""
-    return LETTERS.findall(BROKEN.sub("", text).lower())
+    return LETTERS.findall((BROKEN.sub("", text) if "\n" in text else text).lower())
 
 
 def normal_label(c: Column) -> Column:
@@ -276,6 +276,9 @@ def _viterbi(grid: np.ndarray, switch: float) -> np.ndarray:
 
 
 def _runs(at: list[tuple[int, int]], path: np.ndarray, letters: np.ndarray, grid: np.ndarray) -> list[Segment]:
+    if (path == path[0]).all():
+        inner = grid.sum(0)
+        return [(at[0][0], at[-1][1], int(letters.sum()), LANGUAGES[path[0]], float(1.0 / np.exp(inner - inner[path[0]]).sum()))]
     out = []
     first = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
     for b, e in zip(first, [*first[1:], len(path)]):
