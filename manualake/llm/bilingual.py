@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 from ..session import cut
 from .canonical import table_form
 from .language_id import BROKEN, LanguageModel, sentences
+from .scan_noise import Bloom, bloom
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[,;:–—](?=\s)")
 BREAK = "|"
@@ -100,12 +101,17 @@ def formulas(rows: DataFrame, *, share: float = 0.004) -> dict[str, frozenset[st
     return {lang: frozenset(c) for lang, c in out.items()}
 
 
-def tokenised(texts: DataFrame, model: LanguageModel) -> DataFrame:
-    """Rows (topic_id, text_id, lang, body): the language found, and the tokens of each sentence on a line of its own."""
+def tokenised(texts: DataFrame, topics: DataFrame, model: LanguageModel) -> DataFrame:
+    """Rows (topic_id, text_id, lang, body) of the texts of topics (topic_id): the language found, and the tokens of each
+    sentence on a line of its own. A Bloom filter of the topics, of fixed size, spares the other texts a shuffle; the
+    join after it is exact."""
+    wanted = bloom(topics.select(F.col("topic_id").alias("word")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Bloom(wanted)
         for batch in batches:
             langs, bodies = [], []
+            batch = batch.filter(pa.array([t in known for t in batch.column(0).to_pylist()], pa.bool_()))
             for text in batch.column(2).to_pylist():
                 text = table_form(text)
                 langs.append(model.language(text))
@@ -113,7 +119,7 @@ def tokenised(texts: DataFrame, model: LanguageModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(bodies, pa.string())], names=["topic_id", "text_id", "lang", "body"])
 
     rows = texts.select("topic_id", "text_id", "text").filter("text is not null and topic_id is not null and text_id is not null")
-    return rows.mapInArrow(run, "topic_id string, text_id bigint, lang string, body string").filter("lang is not null").dropDuplicates(["text_id"])
+    return rows.mapInArrow(run, "topic_id string, text_id bigint, lang string, body string").filter("lang is not null").join(topics.select("topic_id").distinct(), "topic_id", "left_semi")
 
 
 def compacted(rows: DataFrame, known: dict[str, frozenset[str]]) -> DataFrame:
@@ -302,14 +308,18 @@ def aligned_sentences(pairs: DataFrame, table: dict) -> DataFrame:
     return pairs.select("text_id_a", "lang_a", "body_a", "text_id_b", "lang_b", "body_b").mapInArrow(run, schema)
 
 
-def align_texts(texts: DataFrame, model: LanguageModel) -> DataFrame:
-    """aligned_sentences of texts (topic_id, text_id, text), the table of translations learned from all of them.
+def align_texts(texts: DataFrame, topics: DataFrame, model: LanguageModel) -> DataFrame:
+    """aligned_sentences of texts (topic_id, text_id, text) of topics (topic_id), the table of translations learned from all
+    of them.
 
-    Null, empty and letterless texts have no sentence to pair; repeated deliveries count once; texts of one language in
+    Null, empty and letterless texts have no sentence to pair; repeated deliveries give equal rows, which are dropped; texts of one language in
     one topic are no pair. A topic without a second language gives no row.
     """
-    rows = cut(tokenised(texts, model))
+    rows = cut(tokenised(texts, topics, model))
     pairs = cut(bilingual_pairs(compacted(rows, formulas(rows))))
+    # Pairs of languages together, so that equal word pairs meet before the shuffle; split as they grow.
+    parts = F.pmod(F.xxhash64("text_id_a"), F.lit(max(1, pairs.count() // 20_000)))
+    pairs = cut(pairs.repartition("lang_a", "lang_b", parts))
     # The second table also knows the words of sentences without numbers.
     table = translation_table(translation_counts(pairs, translation_table(translation_counts(pairs))))
-    return aligned_sentences(pairs, table)
+    return aligned_sentences(pairs, table).distinct()

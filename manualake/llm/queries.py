@@ -78,7 +78,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "topic_text").select("topic_id", "text_id", "lang", "text")
     manuals = table(spark, sf_dir, "topic").filter("doctype = 'um'").select("topic_id").distinct()
     model = fit_language_model(texts, Layout(frozenset(), frozenset()))
-    return align_texts(texts.join(manuals, "topic_id", "left_semi"), model).drop("score").distinct()
+    return align_texts(texts, manuals, model).drop("score")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
