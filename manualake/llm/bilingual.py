@@ -29,7 +29,7 @@ BREAK = "|"
 
 def tokens(sentence: str) -> list[str]:
     """Lower-case words and numbers, letters and digits apart, a decimal comma being a point; a bar between clauses."""
-    found = TOKEN.findall(BROKEN.sub("", sentence).lower())
+    found = TOKEN.findall((BROKEN.sub("", sentence) if "\n" in sentence else sentence).lower())
     return [BREAK if t in ",;:–—" else t.replace(",", ".") if t[0].isdigit() else t for t in found]
 
 
@@ -110,12 +110,10 @@ def tokenised(texts: DataFrame, topics: DataFrame, model: LanguageModel) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Bloom(wanted)
         for batch in batches:
-            langs, bodies = [], []
             batch = batch.filter(pa.array([t in known for t in batch.column(0).to_pylist()], pa.bool_()))
-            for text in batch.column(2).to_pylist():
-                text = table_form(text)
-                langs.append(model.language(text))
-                bodies.append("\n".join(" ".join(tokens(text[b:e])) for b, e in sentences(text)))
+            texts_ = [table_form(t) for t in batch.column(2).to_pylist()]
+            langs = model.batch_languages(texts_)
+            bodies = ["\n".join(" ".join(tokens(t[b:e])) for b, e in sentences(t)) for t in texts_]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(bodies, pa.string())], names=["topic_id", "text_id", "lang", "body"])
 
     rows = texts.select("topic_id", "text_id", "text").filter("text is not null and topic_id is not null and text_id is not null")
@@ -231,7 +229,7 @@ def coverage(a: list[Sentence], b: list[Sentence], table: dict, *, numbers: floa
     own = [[of_a.setdefault(w, len(of_a)) for w in s.own] for s in a]
     free = [[of_a.setdefault(w, len(of_a)) for w in s.free] for s in a]
     # The index: which words of b each word of a may be translated by, and how strongly.
-    means, weight, number = np.zeros((len(of_a), len(of_b))), np.empty(len(of_a)), np.zeros(len(of_a), dtype=bool)
+    means, weight, number = np.zeros((len(of_a), len(of_b) + 1)), np.empty(len(of_a)), np.zeros(len(of_a), dtype=bool)
     for w, i in of_a.items():
         entry = None if w[0].isdigit() else table.get(w)
         if entry is None:
@@ -245,7 +243,10 @@ def coverage(a: list[Sentence], b: list[Sentence], table: dict, *, numbers: floa
                 j = of_b.get(m)
                 if j is not None:
                     means[i, j] = strength
-    found = np.stack([means[:, r].max(1) if r else np.zeros(len(of_a)) for r in rows_b], 1)
+    # The strongest of each sentence of b; a column of zeros ends each, so that none is empty.
+    columns = np.array([j for r in rows_b for j in (*r, len(of_b))])
+    ends = np.cumsum([len(r) + 1 for r in rows_b])
+    found = np.maximum.reduceat(means[:, columns], np.concatenate([[0], ends[:-1]]), axis=1)
     bag, bonus = np.zeros((len(a), len(of_a))), np.zeros((len(a), len(of_a)))
     for i, (o, f) in enumerate(zip(own, free)):
         bag[i, o] = weight[o]

@@ -242,9 +242,19 @@ class LanguageModel:
             out.append(_runs(at, path, letters, grid[own]))
         return out
 
-    def language(self, text: str) -> str | None:
-        ws = words(text)
-        return LANGUAGES[int(self.log_probabilities(self.margins(ws)).argmax())] if ws else None
+    def batch_languages(self, texts: list[str]) -> list[str | None]:
+        """The language of each whole text; none of one without letters."""
+        each = [words(t) for t in texts]
+        full = [i for i, ws in enumerate(each) if ws]
+        out: list[str | None] = [None] * len(texts)
+        if full:
+            names = {w: i for i, w in enumerate(dict.fromkeys(w for ws in each for w in ws))}
+            scores = np.stack([self.word(w) for w in names])
+            n = np.array([len(each[i]) for i in full])
+            sums = np.add.reduceat(scores[[names[w] for i in full for w in each[i]]], np.cumsum(n) - n, axis=0)
+            for i, k in zip(full, self.log_probabilities(sums / n[:, None] + self.bias).argmax(1)):
+                out[i] = LANGUAGES[k]
+        return out
 
 
 def text_layout(texts: DataFrame, product: DataFrame) -> Layout:
