@@ -75,7 +75,7 @@ def test_fuzzy(spark):
     assert [occurrence_distance(n, h) for n, h in (("abc", "xxabdxx"), ("abc", "zabcz"), ("", "x"), ("abc", ""))] == [1, 0, 0, 3]
     lines, parts = spark.createDataFrame([("f", "no. S0O1-B here")], "frame string, line string"), spark.createDataFrame([("5001-8",), ("x1",), (None,)], "part_nr string")
     assert [(r.part_nr, r.confidence) for r in scan_numbers(lines, parts).collect()] == [("5001-8", 80)]
-    frames = spark.createDataFrame([("f", "the Water tank is empty now"), ("g", "the watr tank is emty now"), ("h", "nothing"), ("i", None)], "frame string, text string")
+    frames = spark.createDataFrame([("f", "the Water tank is empty now"), ("g", "the watr tank is empty now"), ("h", "nothing"), ("i", None)], "frame string, text string")
     found = scan_phrases(frames, spark.createDataFrame([("Water tank is empty",), ("short",)], "phrase string"))
     assert {(r.frame, r.confidence) for r in found.collect()} == {("f", 98), ("g", 92)}
     assert [(r.frame, r["rank"]) for r in best_hits(found, key="phrase", least=95).collect()] == [("f", 1)]
