@@ -29,12 +29,13 @@ from .canonical import table_form
 CONFUSIONS = (
     ("e", "c"), ("c", "e"), ("i", "1"), ("l", "1"), ("t", "†"), ("a", "@"), ("e", "€"), ("n", "ri"), ("o", "0"), ("h", "li"), ("u", "ii"),
     ("ü", "ii"), ("d", "cl"), ("g", "9"), ("g", "6"), ("é", "6"), ("m", "rn"), ("rn", "m"), ("w", "vv"), ("s", "5"), ("b", "8"), ("z", "2"),
-    ("o", "q"), ("s", "$"),
+    ("o", "q"), ("s", "$"), ("ø", "o/"), ("ä", "a'"),
 )
 #: Words of page numbers, and what stands between the two numbers.
 PAGE_WORDS = "page|pagina|seite|side|pag|blz"
 OF_WORDS = "of|van|von|sur|af|de"
-WORD = re.compile(r"[\w†€@$£¢]+")
+#: Words, with the signs that stand for letters inside them: o/ for ø, a' for ä.
+WORD = re.compile(r"[\w†€@$£¢]+(?:(?:(?<=[oO])/|(?<=[aA])')(?=[^\W\d_])[\w†€@$£¢]+)*")
 _SPACE = r"[\s\-–—·|\[\]()/:.]*"
 PAGE_LINE = re.compile(rf"^{_SPACE}(?:(?:{PAGE_WORDS})\.?\s*)?\d{{1,4}}(?:\s*(?:{OF_WORDS}|/)\s*\d{{1,4}})?[\s\-–—·|\[\]()]*$", re.IGNORECASE)
 PAGE_PART = re.compile(
@@ -46,7 +47,7 @@ EDITION = re.compile(r"(?<!\w)(?:rev|vers|version|ver|edition|ed)\.?\s*\w{1,3}(?
 LINE = re.compile(r"\r\n|\r|\n")
 HYPHENS = "-¬‐‑"
 TAIL = re.compile(rf"([\w†€@$£¢]+)([{HYPHENS}])$")
-HEAD = re.compile(r"^\s*([\w†€@$£¢]+)")
+HEAD = re.compile(r"^\s*([\u0300-\u036f]*[\w†€@$£¢]+)")  # an accent may be parted from its letter
 HYPHEN = re.compile(r"(?<=[^\W\d_])- ?(?=[^\W\d_])")
 BEFORE, AFTER = re.compile(r"[^\W\d_]+$"), re.compile(r"[^\W\d_]+")
 _MARKS = tuple(HYPHENS)
@@ -77,6 +78,8 @@ def residue(line: str, brands: frozenset[str]) -> tuple[str, bool, bool]:
 def _alone(line: str) -> bool:
     """Whether a line may be an edge line: short, and not the end of a clause."""
     s = line.rstrip()
+    if len(s) > 1 and s[-1] in HYPHENS and s[-2].isalpha():
+        return False
     return 0 < len(s.strip()) <= 90 and (not s.endswith(ENDS) or bool(EDITION.search(s[-12:])))
 
 
@@ -128,11 +131,16 @@ def statistics(rows: DataFrame, brands: frozenset[str]) -> DataFrame:
     return rows.select("text").mapInArrow(count, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def header_residues(stats: DataFrame, *, least: int = 3, share: float = 0.4, bound: int = 5_000) -> frozenset[str]:
-    """Residues of running headers and table heads: those that recur alone and hold a word that stands mostly in such a
-    line. At most bound of them, the most frequent, reach the driver."""
-    words = stats.filter("kind = 'w'").select(F.col("key").alias("word"), F.col("n").alias("n_word"))
-    keys = stats.filter(F.expr(f"kind = 'r' and n >= {least}")).select("key", "n")
+def header_residues(stats: DataFrame, misread: DataFrame | None = None, *, least: int = 3, of_lines: float = 2e-4, share: float = 0.4, bound: int = 5_000) -> frozenset[str]:
+    """Residues of running headers and table heads: those that recur alone, at least `least` times and in `of_lines` of
+    such lines, and hold a word of letters, not among misread (word), that stands mostly in such a line. At most bound of
+    them, the most frequent, reach the driver."""
+    words = stats.filter((F.col("kind") == "w") & F.col("key").rlike("^\\p{L}+$")).select(F.col("key").alias("word"), F.col("n").alias("n_word"))
+    if misread is not None:
+        words = words.join(misread.select("word"), "word", "left_anti")
+    lines = stats.filter("kind = 'r'")
+    total = lines.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    keys = lines.filter(F.col("n") >= max(least, of_lines * total)).select("key", "n")
     telling = keys.withColumn("word", F.explode(F.array_distinct(F.split("key", " ")))).join(words, "word").filter(F.col("n") >= share * F.col("n_word"))
     top = telling.groupBy("key").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "key").limit(bound)
     return frozenset(r.key for r in top.collect())
@@ -314,9 +322,9 @@ class ScanNoise:
     def __init__(self, rows: DataFrame, product: DataFrame):
         self.rows, self.brands = rows, brand_words(product)
         self.stats = cut(statistics(rows, self.brands))
-        self.headers = header_residues(self.stats)
         self.lexicon = self.stats.filter("kind = 'w'").select(F.col("key").alias("word"), "n")
         self.corrections = cut(correct(self.lexicon, self.lexicon))
+        self.headers = header_residues(self.stats, self.corrections)
         self.found = cut(findings(rows, self.brands, self.headers, bloom(self.corrections)))
         self.breaks = cut(self._breaks())
 
