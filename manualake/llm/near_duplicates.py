@@ -51,13 +51,34 @@ class Shingler:
     def shingles(self, words: list[int]) -> np.ndarray:
         """Sorted distinct hashes of runs of words; fewer words make one shingle of them all, none make none."""
         h = np.array(words, dtype=np.uint64)
-        if not len(h):
-            return h
-        k = min(self.size, len(h))
+        return np.unique(self._rolled(h, min(self.size, len(h)))) if len(h) else h
+
+    def batch(self, docs: list[list[int]]) -> list[np.ndarray]:
+        """shingles of each document, made for all of them at once."""
+        long = [i for i, d in enumerate(docs) if len(d) >= self.size]
+        out = [self.shingles(d) if len(d) < self.size else np.zeros(0, dtype=np.uint64) for d in docs]
+        if long:
+            lengths = np.array([len(docs[i]) for i in long])
+            words = np.fromiter((w for i in long for w in docs[i]), np.uint64, int(lengths.sum()))
+            owner = np.repeat(np.arange(len(long)), lengths)
+            own = owner[: len(owner) - self.size + 1]
+            whole = own == owner[self.size - 1 :]  # runs within one document
+            rolled, own = self._rolled(words, self.size)[whole], own[whole]
+            order = np.lexsort((rolled, own))
+            rolled, own = rolled[order], own[order]
+            fresh = np.ones(len(own), dtype=bool)
+            fresh[1:] = (rolled[1:] != rolled[:-1]) | (own[1:] != own[:-1])
+            rolled, ends = rolled[fresh], np.cumsum(np.bincount(own[fresh], minlength=len(long)))
+            for i, b, e in zip(long, [0, *ends[:-1]], ends):
+                out[i] = rolled[b:e]
+        return out
+
+    @staticmethod
+    def _rolled(h: np.ndarray, k: int) -> np.ndarray:
         rolled = np.full(len(h) - k + 1, k, dtype=np.uint64)
         for i in range(k):
             rolled = mix(rolled + h[i : len(h) - k + 1 + i])
-        return np.unique(rolled)
+        return rolled
 
 
 class SetSketch:
@@ -141,7 +162,7 @@ def near_duplicates(
     sketch = SetSketch(bands * rows)
 
     def contents(batch: pa.RecordBatch, shingler: Shingler) -> tuple[list[int], list[np.ndarray]]:
-        ids, sets = [], []
+        ids, found = [], []
         for i, head, text in zip(*[batch.column(k).to_pylist() for k in range(3)]):
             if i is None or text is None:
                 continue
@@ -149,11 +170,8 @@ def near_duplicates(
             if len(words) < max(1, least_words):
                 continue
             ids.append(i)
-            sets.append(shingler.shingles(shingler.word_hashes(table_form(head)) + words if head is not None else words))
-        return ids, sets
-
-    def classes(sets: list[np.ndarray]) -> np.ndarray:
-        return np.array([_set_hash(s) for s in sets], dtype=np.int64)
+            found.append(shingler.word_hashes(table_form(head)) + words if head is not None else words)
+        return ids, shingler.batch(found)
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
@@ -162,7 +180,8 @@ def near_duplicates(
                 ids, sets = contents(batch.slice(at, 2_000), shingler)
                 if not ids:
                     continue
-                own, (cls, first) = classes(sets), np.unique(classes(sets), return_index=True)
+                own = set_hashes(sets)
+                cls, first = np.unique(own, return_index=True)
                 keys = _keys(sketch.registers([sets[i] for i in first]), rows)
                 key = np.concatenate([keys.ravel(), own])
                 of = np.concatenate([np.repeat(cls, bands), np.array(ids, dtype=np.int64)])
@@ -204,7 +223,7 @@ def near_duplicates(
         for batch in batches:
             ids, sets = contents(batch, shingler)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(classes(sets), pa.int64()), pa.array([s.view(np.int64).tobytes() for s in sets], pa.binary())], names=["id", "cls", "shingles"]
+                [pa.array(ids, pa.int64()), pa.array(set_hashes(sets), pa.int64()), pa.array([s.view(np.int64).tobytes() for s in sets], pa.binary())], names=["id", "cls", "shingles"]
             )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,10 +259,14 @@ def near_duplicates(
     return found, members
 
 
-def _set_hash(s: np.ndarray) -> int:
-    with np.errstate(over="ignore"):
-        both = np.bitwise_xor.reduce(mix(s)) + mix(np.array([s.sum(dtype=np.uint64) + np.uint64(len(s))], dtype=np.uint64))[0] if len(s) else np.uint64(0)
-    return int(np.uint64(both).view(np.int64))
+def set_hashes(sets: list[np.ndarray]) -> np.ndarray:
+    """A signed 64-bit hash of each set, none of which is empty."""
+    if not sets:
+        return np.zeros(0, dtype=np.int64)
+    sizes = np.array([len(s) for s in sets])
+    flat, starts = np.concatenate(sets), np.cumsum(sizes) - sizes
+    both = np.bitwise_xor.reduceat(mix(flat), starts) + mix(np.add.reduceat(flat, starts) + sizes.astype(np.uint64))
+    return both.view(np.int64)
 
 
 def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
