@@ -29,11 +29,45 @@ def occurrence_distance(needle: str, haystack: str) -> int:
     return int(row.min())
 
 
+def occurrence_distances(needles: list[str], haystacks: list[str]) -> list[int]:
+    """occurrence_distance of pairs: those of needles of one length share the table's rows, haystacks being padded."""
+    out = [0] * len(needles)
+    by_length: dict[int, list[int]] = {}
+    for i, n in enumerate(needles):
+        by_length.setdefault(len(n), []).append(i)
+    for size, every in by_length.items():
+        every.sort(key=lambda i: len(haystacks[i]))
+        for at in range(0, len(every), 128) if size else ():
+            ids = every[at : at + 128]
+            width = max(1, len(haystacks[ids[-1]]))
+            # No character is 0: what is padded matches nothing, and so never helps.
+            hay = np.zeros((len(ids), width), dtype=np.uint32)
+            for r, i in enumerate(ids):
+                codes = np.frombuffer(haystacks[i].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                hay[r, : len(codes)] = codes
+            need = np.array([[ord(c) for c in needles[i]] for i in ids], dtype=np.uint32)
+            place = np.arange(width + 1, dtype=np.int32)
+            row = np.zeros((len(ids), width + 1), dtype=np.int32)
+            for k in range(size):
+                step = row + 1
+                np.minimum(step[:, 1:], row[:, :-1] + (hay != need[:, k : k + 1]), out=step[:, 1:])
+                step -= place
+                row = np.minimum.accumulate(step, axis=1) + place
+            for i, least in zip(ids, row.min(1).tolist()):
+                out[i] = least
+    return out
+
+
 @pandas_udf(T.IntegerType())
 def occurrence_distance_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """occurrence_distance of two columns; null where either is."""
     for needles, haystacks in batches:
-        yield pd.Series([None if n is None or h is None else occurrence_distance(n, h) for n, h in zip(needles, haystacks)], dtype="Int32")
+        n, h = needles.tolist(), haystacks.tolist()
+        whole = [i for i in range(len(n)) if isinstance(n[i], str) and isinstance(h[i], str)]
+        out: list[int | None] = [None] * len(n)
+        for i, d in zip(whole, occurrence_distances([n[i] for i in whole], [h[i] for i in whole])):
+            out[i] = d
+        yield pd.Series(out, dtype="Int32")
 
 
 def scan_numbers(lines: DataFrame, parts: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from manualake.functions import text as X
 from manualake.operators.dedup import content_duplicates, disambiguate, first_by, superseded
-from manualake.operators.fuzzy import best_hits, occurrence_distance, scan_numbers, scan_phrases
+from manualake.operators.fuzzy import best_hits, occurrence_distance, occurrence_distances, scan_numbers, scan_phrases
 from manualake.operators.joins import as_of_join, guarded_narrowing, range_join, salted_join, upsert
 from manualake.operators.search import bm25, ranked
 from manualake.operators.windows import anchored_clusters, gaps, sessions
@@ -73,6 +73,8 @@ def test_search(spark):
 
 def test_fuzzy(spark):
     assert [occurrence_distance(n, h) for n, h in (("abc", "xxabdxx"), ("abc", "zabcz"), ("", "x"), ("abc", ""))] == [1, 0, 0, 3]
+    pairs = [(n, h) for n in ("abc", "filter", "", "ä") for h in ("", "abc", "the filtre", "x" * 300, "zäb")]
+    assert occurrence_distances(*map(list, zip(*pairs))) == [occurrence_distance(n, h) for n, h in pairs]
     lines, parts = spark.createDataFrame([("f", "no. S0O1-B here")], "frame string, line string"), spark.createDataFrame([("5001-8",), ("x1",), (None,)], "part_nr string")
     assert [(r.part_nr, r.confidence) for r in scan_numbers(lines, parts).collect()] == [("5001-8", 80)]
     frames = spark.createDataFrame([("f", "the Water tank is empty now"), ("g", "the watr tank is empty now"), ("h", "nothing"), ("i", None)], "frame string, text string")
