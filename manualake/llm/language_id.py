@@ -333,9 +333,10 @@ def language_segments(texts: DataFrame, model: LanguageModel, layout: Layout) ->
 
 def wrong_labels(segments: DataFrame) -> DataFrame:
     """Distinct (text_id, lang) of the texts whose label is missing or not the text's language, or that mix languages:
-    each language of at least two sentences or of the whole text. Repeated deliveries count once."""
+    each language of at least two sentences or of the whole text. Repeated deliveries, whose segments are equal, count once."""
     by_lang = (
-        segments.groupBy("text_id", F.coalesce("label", F.lit("")).alias("label"), "n_segments", "language")
+        segments.dropDuplicates(["text_id", "segment"])
+        .groupBy("text_id", F.coalesce("label", F.lit("")).alias("label"), "n_segments", "language")
         .agg(F.sum("n_sentences").alias("n"))
         .filter((F.col("n") >= 2) | (F.col("n_segments") == 1))
         .filter((F.col("n_segments") > 1) | (F.col("label") != F.col("language")))
