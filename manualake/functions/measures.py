@@ -172,8 +172,8 @@ def measure(key: str | None, value: str | None) -> Measure | None:
 
 
 @lru_cache(maxsize=100_000)
-def bare_number(value: str | None) -> tuple[float, float] | None:
-    """Ends of a value that is a number or range without a unit or words of its own."""
+def bare_ends(value: str | None) -> tuple[Fraction, Fraction] | None:
+    """Ends, as written, of a value that is a number or range without a unit or words of its own."""
     if not value:
         return None
     m = _VALUE.search(value.translate(_BLANKS))
@@ -182,5 +182,20 @@ def bare_number(value: str | None) -> tuple[float, float] | None:
     a = number(m["a"])
     if m["tol"]:
         t = number(m["tol"])
-        return float(a - t), float(a + t)
-    return float(a), float(number(m["b"]) if m["b"] else a)
+        return a - t, a + t
+    return a, number(m["b"]) if m["b"] else a
+
+
+def bare_number(value: str | None) -> tuple[float, float] | None:
+    """bare_ends as floating-point numbers."""
+    ends = bare_ends(value)
+    return (float(ends[0]), float(ends[1])) if ends else None
+
+
+def bare_measure(value: str | None, unit: str | None) -> Measure | None:
+    """What value, which states no unit, measures in unit; None if it is no such value or unit is none."""
+    ends = bare_ends(value) if unit in UNITS else None
+    if ends is None:
+        return None
+    a, b = (common(x, unit) for x in ends)
+    return Measure(UNITS[unit][0], unit, min(a, b), max(a, b))

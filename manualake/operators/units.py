@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import FeatureHasher, IndexToString, StringIndexer, StringIndexerModel, VectorAssembler
@@ -11,8 +12,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
-from ..functions.measures import UNITS, bare_number, measure
+from ..functions.measures import UNITS, bare_measure, bare_number, measure
 
 QUANTITIES = sorted({quantity for quantity, _, _ in UNITS.values()})
 
@@ -135,14 +138,28 @@ class UnitModel:
         return back.withColumn("confidence", steps).drop("features", "rawPrediction", "probability", "prediction", "_p")
 
 
+@pandas_udf(T.StructType().add("quantity", T.StringType()).add("low", T.LongType()).add("high", T.LongType()))
+def bare_measure_udf(values: pd.Series, units: pd.Series) -> pd.DataFrame:
+    """bare_measure of two columns, rounded as stated quantities are; null beyond 62 bits."""
+    out = []
+    for value, unit in zip(values, units):
+        m = bare_measure(value, unit)
+        out.append((m.quantity, round(m.low), round(m.high)) if m and max(-m.low, m.high) < 1 << 62 else (None, None, None))
+    return pd.DataFrame({c: pd.Series([r[i] for r in out], dtype=t) for i, (c, t) in enumerate((("quantity", object), ("low", "Int64"), ("high", "Int64")))})
+
+
 def infer_missing_units(specs: DataFrame, *, least: float = 0.9, sample_bound: int = 20_000) -> DataFrame:
     """Numbers that state no unit, with the unit that the classifier gives them.
 
-    Rows (spec_id, item_no, value, predicted, confidence, route): route is `convert` from the calibrated confidence
-    `least` on, `none` where the confident answer is that there is no unit, else `review`.
+    Rows (spec_id, item_no, value, predicted, confidence, route, quantity, low, high): route is `convert` from the
+    calibrated confidence `least` on, `none` where the confident answer is that there is no unit, else `review`.
+    quantity, low and high are those of the value in the predicted unit, as read_measures gives stated ones; null
+    unless route is `convert`, and beyond 62 bits.
     """
     features = unit_features(specs)
     model = UnitModel.fit(features, sample_bound=sample_bound)
     rows = model.predict(features.filter("bare_low is not null"))
     route = F.when(F.col("confidence") < least, "review").when(F.col("predicted") == "none", "none").otherwise("convert")
-    return rows.select("spec_id", "item_no", "value", "predicted", F.round("confidence", 4).alias("confidence"), route.alias("route")).distinct()
+    routed = rows.select("spec_id", "item_no", "value", "predicted", F.round("confidence", 4).alias("confidence"), route.alias("route")).distinct()
+    converted = bare_measure_udf(F.col("value"), F.when(F.col("route") == "convert", F.col("predicted")))
+    return routed.withColumn("_m", converted).select(*routed.columns, "_m.quantity", "_m.low", "_m.high")

@@ -1,6 +1,10 @@
 """Results over all rows: repeats, accents, nulls and misreadings that a shortened job leaves out."""
 
+from pyspark.sql import functions as F
+
+from manualake.functions.measures import bare_measure
 from manualake.llm.language_id import SEGMENTS, wrong_labels
+from manualake.operators.units import bare_measure_udf, infer_missing_units
 
 
 def test_repeated_mixed_text_counts_its_sentences_once(spark):
@@ -8,3 +12,16 @@ def test_repeated_mixed_text_counts_its_sentences_once(spark):
     want = [(1, "en"), (2, "en"), (2, "fr")]
     for rows in (once, once * 2):
         assert sorted(tuple(r) for r in wrong_labels(spark.createDataFrame(rows, SEGMENTS)).collect()) == want
+
+
+def test_confident_units_are_converted(spark):
+    assert [bare_measure(v, u) and tuple(bare_measure(v, u)[2:]) for v, u in (("1,5", "cm"), ("20 - 10", "m"), ("5", "none"), ("5", None), ("5 mm", "mm"))] == [(15, 15), (10_000, 20_000), None, None, None]
+    df = spark.createDataFrame([("32", "°F"), ("68 ± 9", "°F"), ("0.1-0.3", "bar"), ("9" * 30, "m"), ("7", None)], "v string, u string")
+    got = [tuple(r.m) for r in df.select(bare_measure_udf(F.col("v"), F.col("u")).alias("m")).collect()]
+    assert got == [("temperature", 0, 0), ("temperature", 15, 25), ("pressure", 10, 30), (None, None, None), (None, None, None)]
+    specs = "spec_id long, grp string, model_code string, lang string, items array<struct<k:string,v:string>>, value string"
+    rows = [(i, "Size", "M", "en", [("Length", f"{100 + i} cm"), ("Count", str(i % 5))], "") for i in range(300)]
+    rows += [(1000 + i, "Size", "M", "en", [("Length", str(150 + i)), ("Count", "3")], "") for i in range(5)]
+    got = infer_missing_units(spark.createDataFrame(rows, specs), least=0.5, sample_bound=2_000).filter("spec_id >= 1000").collect()
+    assert {(r.item_no, r.route) for r in got} == {(0, "convert"), (1, "none")}
+    assert all((r.quantity, r.low, r.high) == (("length", int(r.value) * 10, int(r.value) * 10) if r.route == "convert" else (None,) * 3) for r in got)
