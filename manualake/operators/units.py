@@ -63,7 +63,7 @@ def unit_features(specs: DataFrame) -> DataFrame:
     shape = F.regexp_replace(F.col("value"), r"\d+", "9")
     entries = (
         read_measures(specs)
-        .withColumn("stem", F.lower(F.regexp_replace("key", r"\s*(\[.*\]|\(.*\)|,.*|\s(in|en|i)\s+\S+)\s*$", "")))
+        .withColumn("stem", F.coalesce(F.lower(F.regexp_replace("key", r"\s*(\[.*\]|\(.*\)|,.*|\s(in|en|i)\s+\S+)\s*$", "")), F.lit("")))
         .withColumn("number", F.expr("try_cast(replace(regexp_extract(replace(value, ',', '.'), '([0-9]+([.][0-9]+)?)', 1), ' ', '') as double)"))
         .withColumn("shape", F.regexp_extract(shape, r"(9(?:[., ]9)?)", 1))
     )
@@ -86,7 +86,7 @@ def unit_features(specs: DataFrame) -> DataFrame:
         .join(never, "stem")
         .select(
             "spec_id", "item_no", "value", "bare_low", "bare_high",
-            F.coalesce("stem", F.lit("")).alias("stem"), F.coalesce("grp", F.lit("")).alias("grp"),
+            "stem", F.coalesce("grp", F.lit("")).alias("grp"),
             F.coalesce(F.substring(F.lower("lang"), 1, 2), F.lit("")).alias("lang"), F.coalesce("model_code", F.lit("")).alias("model"),
             F.log1p(F.abs("number")).alias("magnitude"), "shape",
             F.coalesce("imperial", F.lit(0.0)).alias("imperial"), F.coalesce("small", F.lit(0.0)).alias("small"),

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from manualake.functions.measures import bare_measure
 from manualake.llm.language_id import SEGMENTS, wrong_labels
-from manualake.operators.units import bare_measure_udf, infer_missing_units
+from manualake.operators.units import bare_measure_udf, infer_missing_units, unit_features
 
 
 def test_repeated_mixed_text_counts_its_sentences_once(spark):
@@ -25,3 +25,10 @@ def test_confident_units_are_converted(spark):
     got = infer_missing_units(spark.createDataFrame(rows, specs), least=0.5, sample_bound=2_000).filter("spec_id >= 1000").collect()
     assert {(r.item_no, r.route) for r in got} == {(0, "convert"), (1, "none")}
     assert all((r.quantity, r.low, r.high) == (("length", int(r.value) * 10, int(r.value) * 10) if r.route == "convert" else (None,) * 3) for r in got)
+
+
+def test_numbers_under_a_null_label_stay(spark):
+    specs = "spec_id long, grp string, model_code string, lang string, items array<struct<k:string,v:string>>, value string"
+    rows = [(1, "g", "m", "en", [(None, "12"), ("", "13"), ("Length", "14 mm")], "")]
+    got = unit_features(spark.createDataFrame(rows, specs)).select("item_no", "stem").collect()
+    assert sorted(tuple(r) for r in got) == [(0, ""), (1, ""), (2, "length")]
