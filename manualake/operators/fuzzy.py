@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,21 +82,131 @@ def scan_numbers(lines: DataFrame, parts: DataFrame) -> DataFrame:
     return found.select("frame", "token", "part_nr", "confidence").distinct()
 
 
+def budget(key: str) -> int:
+    """The edits that a phrase of ten letters may carry."""
+    return max(2, len(key) // 8)
+
+
+class PhraseScanner:
+    """Finds keys (lower-case ASCII letters, digits and blanks) in texts of the same kind, exactly or within their budget.
+
+    Lossless: a key is cut into one piece more than its budget has edits, so that one piece stands in the text as it is.
+    The distance is then taken in the stretch around each such piece that the key can fill."""
+
+    ALPHABET = " abcdefghijklmnopqrstuvwxyz0123456789"
+
+    def __init__(self, keys: list[str]):
+        self.keys = keys
+        pieces: dict[str, list[tuple[int, int]]] = {}
+        for i, key in enumerate(keys):
+            n = budget(key) + 1 if len(key) >= 10 else 1
+            cuts = [len(key) * x // n for x in range(n + 1)]
+            for b, e in zip(cuts, cuts[1:]):
+                pieces.setdefault(key[b:e], []).append((i, b))
+        self.number = {x: n for n, x in enumerate(pieces)}
+        self.lengths = sorted({len(x) for x in pieces})
+        self.count = np.array([len(x) for x in pieces.values()], dtype=np.int64)
+        self.first = np.cumsum(self.count) - self.count
+        self.owner = np.array([i for x in pieces.values() for i, _ in x], dtype=np.int64)
+        self.offset = np.array([b for x in pieces.values() for _, b in x], dtype=np.int64)
+        self.size = np.array([len(k) for k in keys], dtype=np.int64)
+        self.edits = np.array([budget(k) for k in keys], dtype=np.int64)
+        # The places of each letter in each key as bits; letter 0 is no letter.
+        self.bits = np.zeros((len(keys), len(self.ALPHABET) + 1), dtype=np.uint64)
+        for i, key in enumerate(keys):
+            for at, c in enumerate(key[:64]):
+                self.bits[i, self.ALPHABET.index(c) + 1] |= np.uint64(1 << at)
+        self.code = np.zeros(128, dtype=np.uint8)
+        for n, c in enumerate(self.ALPHABET):
+            self.code[ord(c)] = n + 1
+
+    def scan(self, texts: list[str], longest: int) -> list[tuple[int, int, int]]:
+        """Triples (text, key, confidence): 98 where the text contains the key, 92 within its budget of edits (ten
+        letters, texts up to longest)."""
+        number, of, at, piece = self.number, [], [], []
+        for f, text in enumerate(texts):
+            for n in self.lengths:
+                for q in range(len(text) - n + 1):
+                    x = number.get(text[q : q + n])
+                    if x is not None:
+                        of.append(f), at.append(q), piece.append(x)
+        if not of:
+            return []
+        x = np.array(piece)
+        times = self.count[x]
+        every = np.repeat(self.first[x] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        key, text, start = self.owner[every], np.repeat(np.array(of), times), np.repeat(np.array(at), times) - self.offset[every]
+        pairs = np.unique(text * len(self.keys) + key)
+        whole = {p for p in pairs.tolist() if self.keys[p % len(self.keys)] in texts[p // len(self.keys)]}
+        lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        asked = (self.size[key] >= 10) & (lengths[text] <= longest) & ~np.isin(text * len(self.keys) + key, np.fromiter(whole, np.int64, len(whole)))
+        key, text, start = key[asked], text[asked], start[asked] - self.edits[key[asked]]
+        close = self._within(key, text, start, texts, lengths)
+        near_ = np.unique(text[close] * len(self.keys) + key[close]).tolist()
+        return [(*divmod(p, len(self.keys)), c) for c, ps in ((98, whole), (92, near_)) for p in ps]
+
+    def _within(self, key: np.ndarray, text: np.ndarray, start: np.ndarray, texts: list[str], lengths: np.ndarray) -> np.ndarray:
+        """Whether key occurs within its budget in the stretch of text from start on: Myers' bit vectors, many pairs at once."""
+        flat = self.code[np.frombuffer("".join(texts).encode("ascii"), dtype=np.uint8)]
+        base = np.cumsum(lengths) - lengths
+        out, one = np.zeros(len(key), dtype=bool), np.uint64(1)
+        sizes = self.size[key]
+        for m in np.unique(sizes).tolist():
+            rows = np.flatnonzero(sizes == m)
+            edits = int(self.edits[key[rows[0]]])
+            if m > 64:
+                around = [texts[f][max(0, b) : max(0, b + m + 2 * edits)] for f, b in zip(text[rows].tolist(), start[rows].tolist())]
+                out[rows] = np.array(occurrence_distances([self.keys[k] for k in key[rows].tolist()], around)) <= edits
+                continue
+            k, b, n, at = key[rows], start[rows], lengths[text[rows]], base[text[rows]]
+            up, down = np.full(len(rows), ~np.uint64(0)), np.zeros(len(rows), dtype=np.uint64)
+            score = np.full(len(rows), m, dtype=np.int32)
+            least, top = score.copy(), np.uint64(m - 1)
+            for j in range(m + 2 * edits):
+                q = b + j
+                c = np.where((q >= 0) & (q < n), flat[np.minimum(at + np.maximum(q, 0), len(flat) - 1)], 0)
+                eq = self.bits[k, c]
+                v = eq | down
+                h = (((eq & up) + up) ^ up) | eq
+                rise, fall = down | ~(h | up), up & h
+                score += ((rise >> top) & one).astype(np.int32) - ((fall >> top) & one).astype(np.int32)
+                np.minimum(least, score, out=least)
+                rise, fall = rise << one, fall << one
+                up, down = fall | ~(v | rise), rise & v
+            out[rows] = least <= edits
+        return out
+
+
 def scan_phrases(frames: DataFrame, phrases: DataFrame, *, longest: int = 4_000) -> DataFrame:
     """Phrases (phrase) in frames (frame, text): rows (frame, phrase, confidence).
 
-    Staged, so that no pair meets without a reason: a candidate holds, or nearly holds, half of the phrase's
-    words of four letters. 98 where
-    the frame contains the phrase (six letters), 92 where it does within an eighth of its length in edits (ten
-    letters), 80 where four fifths of its four or more long words are nearly there."""
-    f = frames.select("frame", plain_key(F.col("text")).alias("text"))
+    98 where the frame contains the phrase (six letters), 92 where it does within an eighth of its length in edits (ten
+    letters; frames up to longest), 80 where four fifths of its four or more long words are nearly there. No such pair
+    is lost: the first two come from PhraseScanner, to which the phrases are sent; the last from words that meet
+    through a shared run of two letters."""
+    f = frames.select("frame", plain_key(F.col("text")).alias("text")).filter("text is not null")
     p = phrases.select("phrase", plain_key(F.col("phrase")).alias("key")).distinct().filter(F.length("key") >= 6)
 
     def long_words(c: str) -> Column:
         return F.array_distinct(F.filter(F.split(c, " "), lambda x: F.length(x) >= 4))
 
+    keys = sorted(r.key for r in p.select("key").distinct().collect())
+    schema = T.StructType([f.schema["frame"], T.StructField("key", T.StringType()), T.StructField("confidence", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = PhraseScanner(keys)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                found = scanner.scan(part.column(1).to_pylist(), longest)
+                ids = part.column(0).take(pa.array([x for x, _, _ in found], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([keys[k] for _, k, _ in found], pa.string()), pa.array([c for _, _, c in found], pa.int32())], names=["frame", "key", "confidence"])
+
+    read = f.mapInArrow(run, schema).join(p, "key").select("frame", "phrase", "confidence")
+
     fw = f.select("frame", F.explode(long_words("text")).alias("seen"))
-    pw = p.select("phrase", F.explode(long_words("key")).alias("word"), F.size(long_words("key")).alias("n"))
+    pw = p.select("phrase", F.explode(long_words("key")).alias("word"), F.size(long_words("key")).alias("n")).filter("n >= 4")
+
     def pieces(c: Column) -> Column:
         """Runs of two letters: words within two edits of each other share one."""
         return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substr(c, i, F.lit(2))))
@@ -106,16 +217,8 @@ def scan_phrases(frames: DataFrame, phrases: DataFrame, *, longest: int = 4_000)
         .filter(near(F.col("word"), F.col("seen"))).select("seen", "word").distinct()
     )
     hits = fw.join(close, "seen").join(pw, "word").groupBy("frame", "phrase", "n").agg(F.countDistinct("word").alias("hits"))
-    staged = hits.filter("hits * 2 >= n").join(f, "frame").join(p, "phrase")
-    # The distance is asked only where it decides: a null needle costs nothing.
-    asked = ~F.contains(F.col("text"), F.col("key")) & (F.length("key") >= 10) & (F.length("text") <= longest)
-    edits = occurrence_distance_udf(F.when(asked, F.col("key")), F.col("text"))
-    confidence = (
-        F.when(F.contains(F.col("text"), F.col("key")), 98)
-        .when(edits <= F.greatest(F.lit(2), F.floor(F.length("key") / 8)), 92)
-        .when((F.col("n") >= 4) & (F.col("hits") * 100 / F.col("n") >= 80), 80)
-    )
-    return staged.select("frame", "phrase", confidence.alias("confidence")).filter("confidence is not null")
+    bags = hits.filter("hits * 100 / n >= 80").select("frame", "phrase", F.lit(80).alias("confidence"))
+    return read.unionByName(bags).groupBy("frame", "phrase").agg(F.max("confidence").alias("confidence"))
 
 
 def best_hits(hits: DataFrame, *, key: str, least: int, limit: int = 8) -> DataFrame:

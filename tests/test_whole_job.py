@@ -1,9 +1,12 @@
 """Results over all rows: repeats, accents, nulls and misreadings that a shortened job leaves out."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from manualake.functions.measures import bare_measure
 from manualake.llm.language_id import SEGMENTS, wrong_labels
+from manualake.operators.fuzzy import PhraseScanner, budget, occurrence_distance, scan_phrases
 from manualake.operators.units import bare_measure_udf, infer_missing_units, unit_features
 
 
@@ -32,3 +35,26 @@ def test_numbers_under_a_null_label_stay(spark):
     rows = [(1, "g", "m", "en", [(None, "12"), ("", "13"), ("Length", "14 mm")], "")]
     got = unit_features(spark.createDataFrame(rows, specs)).select("item_no", "stem").collect()
     assert sorted(tuple(r) for r in got) == [(0, ""), (1, ""), (2, "length")]
+
+
+def test_misread_phrases_are_all_found(spark):
+    seen = ["a leek left sede here", "leakleft side", "le ak left side", "no fan in it", "leak left side"]
+    frames = spark.createDataFrame(list(enumerate(seen)), "frame long, text string")
+    found = scan_phrases(frames, spark.createDataFrame([("Leak left side",), ("fan in it",)], "phrase string"))
+    assert sorted(tuple(r) for r in found.collect()) == [(0, "Leak left side", 92), (1, "Leak left side", 92), (2, "Leak left side", 92), (3, "fan in it", 98), (4, "Leak left side", 98)]
+
+
+def test_phrases_equal_brute_force():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcde1", k=rng.randint(1, 7)))
+    keys = sorted({k for k in (" ".join(word() for _ in range(rng.randint(2, 30))) for _ in range(300)) if len(k) >= 6})
+    texts = []
+    for _ in range(120):
+        k = list(" ".join([word(), rng.choice(keys), word()]))
+        for _ in range(rng.randint(0, 6)):
+            k[rng.randrange(len(k))] = rng.choice(["", "a", "x", "ab", " "])
+        texts.append("".join(k))
+    texts += ["", "a", max(keys, key=len)]
+    want = {(f, k, 98) for f, t in enumerate(texts) for k, key in enumerate(keys) if key in t}
+    want |= {(f, k, 92) for f, t in enumerate(texts) for k, key in enumerate(keys) if len(key) >= 10 and key not in t and occurrence_distance(key, t) <= budget(key)}
+    assert len({c for _, _, c in want}) == 2 and sorted(PhraseScanner(keys).scan(texts, 4_000)) == sorted(want)
