@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 
 
 def _accents() -> tuple[str, str]:
-    """Precomposed Latin letters and their base letters, by rule."""
-    pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, range(0xC0, 0x250))]
+    """Precomposed letters and their ASCII base letters, by rule."""
+    pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, range(0xC0, 0x10000)) if not 0xD800 <= ord(c) < 0xE000]
     pairs = [(c, b) for c, b in pairs if b != c and b.isascii()]
     return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
 
 
 def fold_accents(c: Column) -> Column:
     """Latin letters without accents; combining marks go. Letters that do not decompose stay."""
-    return F.regexp_replace(F.translate(c, *_accents()), "\\p{M}+", "")
+    return F.regexp_replace(F.translate(c, *_accents()), "\\p{Mn}+", "")
 
 
 def strip(c: Column) -> Column:
@@ -46,14 +46,19 @@ def search_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(fold_accents(c)), "[^a-z0-9]+", " "))
 
 
+def tokens(c: Column) -> Column:
+    """For full-text search: runs of letters and digits of any script, in lower case, no accents."""
+    return F.filter(F.split(F.lower(fold_accents(c)), r"[^\p{L}\p{N}\p{Co}]+"), lambda x: x != "")
+
+
 def plain_key(c: Column) -> Column:
     """As search_key, but letters with accents become blanks."""
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
 def match_key(c: Column) -> Column:
-    """Lower case without anything but letters, digits and underscores."""
-    return F.regexp_replace(F.lower(c), r"(?U)\W+", "")
+    """Lower case without anything but letters, digits and underscores; combining marks are neither."""
+    return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", "")
 
 
 def ocr_key(c: Column) -> Column:

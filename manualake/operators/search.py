@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import search_key, substring_score, terms
+from ..functions.text import search_key, substring_score, terms, tokens
 
 #: Weights of the columns: those that the reference's index has in effect, and those that were meant.
 EFFECTIVE, INTENDED = {"title": 0.0, "body": 8.0}, {"title": 8.0, "body": 1.0}
@@ -18,7 +18,7 @@ def postings(rows: DataFrame, *, key: Sequence[str], columns: Sequence[str]) ->
     """Rows (key, column, term, tf) of the tokens without case and accents."""
     out = None
     for c in columns:
-        words = F.filter(F.split(search_key(F.col(c)), " "), lambda x: x != "")
+        words = tokens(F.col(c))
         one = rows.select(*key, F.lit(c).alias("column"), F.explode(words).alias("term")).groupBy(*key, "column", "term").agg(F.count("*").alias("tf"))
         out = one if out is None else out.unionAll(one)
     return out
@@ -30,15 +30,15 @@ def bm25(rows: DataFrame, query: str, *, key: str, columns: Sequence[str] = ("ti
     Counts each row once in a scan without a join: lengths and matches of a prefix are sums over its tokens. A query
     that is empty or has a quotation mark finds nothing."""
     weights = EFFECTIVE if weights is None else weights
-    prefixes = terms(search_key_of(query)) if '"' not in query else []
+    prefixes = tokens_of(query) if '"' not in query else []
     spark = rows.sparkSession
     if not prefixes:
         return spark.createDataFrame([], "ref string, score double")
-    tokens = {c: F.filter(F.split(search_key(F.coalesce(F.col(c), F.lit(""))), " "), lambda x: x != "") for c in columns}
-    length = reduce(lambda a, b: a + b, [F.size(t) for t in tokens.values()])
+    of = {c: tokens(F.coalesce(F.col(c), F.lit(""))) for c in columns}
+    length = reduce(lambda a, b: a + b, [F.size(t) for t in of.values()])
 
     def hits(c: str, p: str) -> Column:
-        return F.size(F.filter(tokens[c], lambda x: x.startswith(p)))
+        return F.size(F.filter(of[c], lambda x: x.startswith(p)))
 
     counted = rows.select(
         F.col(key).cast("string").alias("ref"), length.alias("_d"),
@@ -66,6 +66,18 @@ def search_key_of(text: str) -> str:
     return re.sub("[^a-z0-9]+", " ", folded).strip()
 
 
+def tokens_of(text: str) -> list[str]:
+    """tokens of a Python string."""
+    import re
+    import unicodedata
+
+    kept = []
+    for c in text:
+        d = unicodedata.normalize("NFD", c)
+        kept.append(d[0] if d[0].isascii() else "" if unicodedata.category(c) == "Mn" else c)
+    return re.findall(r"[^\W_]+", "".join(kept).lower())
+
+
 def ranked(rows: DataFrame, query: str, *, key: str, title: str, body: str | None = None, least: int = 2, limit: int = 60) -> DataFrame:
     """The best rows by substring score: three times the title's, or the body's; ties by key. Shorter queries find nothing."""
     words = terms(search_key_of(query))

@@ -1,8 +1,11 @@
-"""Aggregations, windows, scalar functions, search and matching over the knowledge base, each with its SQL."""
+"""Aggregations, windows, scalar functions, search and matching over the knowledge base, each with its SQL.
+
+A query whose SQL keeps only rows of ASCII or Latin-1 has one beside it, ending in _whole, that runs over all rows and has no SQL.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -87,6 +90,15 @@ def agg8_editions(t: Tables) -> DataFrame:
 @query("""select kind, coalesce(doctype, '') doctype, substr(sha1(trim(regexp_replace(lower(title), '\\s+', ' ', 'g'))), 1, 16) sig, count(*) n, min(topic_id) first from topic where title is not null and not regexp_matches(title, '[^\\x00-\\x7F]') group by all""")
 def agg9_fingerprint_groups(t: Tables) -> DataFrame:
     rows = t("topic").filter(F.col("title").isNotNull() & ~F.col("title").rlike("[^\\x00-\\x7F]"))
+    return _fingerprint_groups(rows)
+
+
+@query()
+def agg9_fingerprint_groups_whole(t: Tables) -> DataFrame:
+    return _fingerprint_groups(t("topic").filter("title is not null"))
+
+
+def _fingerprint_groups(rows: DataFrame) -> DataFrame:
     sig = F.substring(X.fingerprint(F.col("title")), 1, 16)
     return rows.groupBy("kind", F.coalesce("doctype", F.lit("")).alias("doctype"), sig.alias("sig")).agg(F.count("*").alias("n"), F.min("topic_id").alias("first"))
 
@@ -145,6 +157,15 @@ def agg17_learned_labels(t: Tables) -> DataFrame:
     select k, count(*) n from l where k <> '' group by 1 having count(*) > 2""")
 def agg18_running_lines(t: Tables) -> DataFrame:
     rows = t("topic_text").filter(F.col("text").isNotNull() & ~F.col("text").rlike("[^\\x00-\\x7F]"))
+    return _running_lines(rows)
+
+
+@query()
+def agg18_running_lines_whole(t: Tables) -> DataFrame:
+    return _running_lines(t("topic_text").filter("text is not null"))
+
+
+def _running_lines(rows: DataFrame) -> DataFrame:
     lines = rows.select("text_id", F.explode(F.split("text", "\n")).alias("line")).select("text_id", X.margin_key(F.col("line")).alias("k")).distinct()
     return lines.filter("k <> ''").groupBy("k").agg(F.count("*").alias("n")).filter("n > 2")
 
@@ -292,6 +313,11 @@ def str34_match_key(t: Tables) -> DataFrame:
     return t("topic").filter(F.col("title").isNotNull() & ~F.col("title").rlike("[^\\x00-\\x7F]")).select("topic_id", X.match_key(F.col("title")).alias("k"))
 
 
+@query()
+def str34_match_key_whole(t: Tables) -> DataFrame:
+    return t("topic").filter("title is not null").select("topic_id", X.match_key(F.col("title")).alias("k"))
+
+
 @query("""select doc_id, trim(regexp_replace(lower(strip_accents(concat_ws('-', doctype, brand, model_code))), '[^a-z0-9]+', '-', 'g'), '-') id from document group by all""")
 def str19_composite_slug(t: Tables) -> DataFrame:
     return t("document").select("doc_id", X.composite_slug(F.col("doctype"), F.col("brand"), F.col("model_code")).alias("id")).distinct()
@@ -319,9 +345,11 @@ def str32_split_id(t: Tables) -> DataFrame:
 
 @query("""select topic_id, case when regexp_matches(lower(title), 'fault|storing|störung|défaut|fejl') then 'fault' when regexp_matches(lower(title), 'clean|reinig|nettoy|rengør') then 'cleaning' else 'other' end category from topic where title is not null and not regexp_matches(title, '[^\\x00-\\xFF]')""")
 def str26_ordered_rules(t: Tables) -> DataFrame:
-    low = F.lower("title")
-    category = F.when(low.rlike("fault|storing|störung|défaut|fejl"), "fault").when(low.rlike("clean|reinig|nettoy|rengør"), "cleaning").otherwise("other")
-    return t("topic").filter(F.col("title").isNotNull() & ~F.col("title").rlike("[^\\x00-\\xFF]")).select("topic_id", category.alias("category"))
+    return t("topic").filter(F.col("title").isNotNull() & ~F.col("title").rlike("[^\\x00-\\xFF]")).select("topic_id", _category(F.lower("title")).alias("category"))
+
+
+def _category(low: Column) -> Column:
+    return F.when(low.rlike("fault|storing|störung|défaut|fejl"), "fault").when(low.rlike("clean|reinig|nettoy|rengør"), "cleaning").otherwise("other")
 
 
 @query("select doc_id, length(text) chars, sha256(text) digest, sha1(text) sha from documents where text is not null")
@@ -428,18 +456,34 @@ def idx3_bm25_effective(t: Tables) -> DataFrame:
     return bm25(rows, "filter pump", key="ref")
 
 
+@query()
+def idx3_bm25_effective_whole(t: Tables) -> DataFrame:
+    return bm25(_search_rows(t), "filter pump", key="ref")
+
+
 @query(_bm25_sql(["clean", "valve"], 8.0, 1.0).replace(_ROWS, _ROWS + " where not regexp_matches(coalesce(t.title, '') || coalesce(b.body, ''), '[^\\x00-\\x7F]')"))
 def idx3_bm25_intended(t: Tables) -> DataFrame:
     rows = _search_rows(t).filter(~F.concat(F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))).rlike("[^\\x00-\\x7F]"))
     return bm25(rows, "clean valve", key="ref", weights=INTENDED)
 
 
+@query()
+def idx3_bm25_intended_whole(t: Tables) -> DataFrame:
+    return bm25(_search_rows(t), "clean valve", key="ref", weights=INTENDED)
+
+
 @query("""select ref, term, count(*) tf from (select topic_id ref, unnest(list_filter(string_split(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) term from topic where title is not null and not regexp_matches(title, '[^\\x00-\\x7F]')) group by 1, 2""")
 def idx1_postings(t: Tables) -> DataFrame:
     rows = t("topic").filter(F.col("title").isNotNull() & ~F.col("title").rlike("[^\\x00-\\x7F]")).select(F.col("topic_id").alias("ref"), "title")
     return postings(rows, key=["ref"], columns=["title"]).select("ref", "term", "tf")
 
 
+@query()
+def idx1_postings_whole(t: Tables) -> DataFrame:
+    rows = t("topic").filter("title is not null").select(F.col("topic_id").alias("ref"), "title")
+    return postings(rows, key=["ref"], columns=["title"]).select("ref", "term", "tf")
+
+
 def _score_sql(h: str, words: list[str]) -> str:
     each = " + ".join(f"(case when instr({h}, '{w}') = 0 then null when {h} = '{w}' then 60 when instr({h}, '{w}') = 1 then 40 when substr({h}, instr({h}, '{w}') - 1, 1) = ' ' then 25 else 10 end)" for w in words)
     return f"(({each}) * 1000 // (40 + least(length({h}), 1200)))"

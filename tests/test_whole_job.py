@@ -1,9 +1,11 @@
 """Results over all rows: repeats, accents, nulls and misreadings that a shortened job leaves out."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from manualake.functions.measures import bare_measure
 from manualake.llm.language_id import SEGMENTS, wrong_labels
 from manualake.operators.fuzzy import PhraseScanner, budget, occurrence_distance, scan_phrases
@@ -58,3 +60,26 @@ def test_phrases_equal_brute_force():
     want = {(f, k, 98) for f, t in enumerate(texts) for k, key in enumerate(keys) if key in t}
     want |= {(f, k, 92) for f, t in enumerate(texts) for k, key in enumerate(keys) if len(key) >= 10 and key not in t and occurrence_distance(key, t) <= budget(key)}
     assert len({c for _, _, c in want}) == 2 and sorted(PhraseScanner(keys).scan(texts, 4_000)) == sorted(want)
+
+
+def by_topic(spark, tmp_path, titles, name):
+    rows = [(str(i), "fault", "um", t) for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "topic_id string, kind string, doctype string, title string").write.mode("overwrite").parquet(f"{tmp_path}/topic.parquet")
+    return entry.queries()[name](spark, str(tmp_path)).collect()
+
+
+def test_rows_beyond_ascii_are_counted(spark, tmp_path):
+    titles = ["Störung  X", "störung\u00a0x", "Zia\u00ae", "zia", "e\u0301t\u00e9", None]
+    sigs = by_topic(spark, tmp_path, titles, "agg9_fingerprint_groups_whole")
+    assert sorted((r["first"], r.n) for r in sigs) == [("0", 2), ("2", 2), ("4", 1)]
+    keys = {r.topic_id: r.k for r in by_topic(spark, tmp_path, titles, "str34_match_key_whole")}
+    assert keys == {str(i): re.sub(r"\W+", "", t.lower()) for i, t in enumerate(titles) if t is not None}
+    terms = {(r.ref, r.term) for r in by_topic(spark, tmp_path, ["R\u00f8r f\u00fcr", "e\u0301t\u00e9 \u0444\u0438\u043b"], "idx1_postings_whole")}
+    assert terms == {("0", "r\u00f8r"), ("0", "fur"), ("1", "ete"), ("1", "\u0444\u0438\u043b")}
+    lines = [(i, str(i), "Bedienungsanleitung f\u00fcr Ger\u00e4te 1\nfilter pumpe") for i in range(3)]
+    spark.createDataFrame(lines, "text_id long, topic_id string, text string").write.parquet(f"{tmp_path}/topic_text.parquet")
+    got = entry.queries()["agg18_running_lines_whole"](spark, str(tmp_path)).collect()
+    assert {(r.k, r.n) for r in got} == {("Bedienungsanleitung f\u00fcr Ger\u00e4te #", 3), ("filter pumpe", 3)}
+    by_topic(spark, tmp_path, ["a", "b", "c"], "agg9_fingerprint_groups_whole")
+    for name, n in (("idx3_bm25_effective_whole", 3), ("idx3_bm25_intended_whole", 0)):
+        assert entry.queries()[name](spark, str(tmp_path)).count() == n
