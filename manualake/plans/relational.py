@@ -382,6 +382,16 @@ def jn25_position_join(t: Tables) -> DataFrame:
     return a.join(b, ["section", "k"]).filter("a < b").select("a", "b")
 
 
+@query()
+def jn25_position_join_whole(t: Tables) -> DataFrame:
+    """One row per part with its group, the parts of all sections that share section and position: its first part and its size.
+
+    The pairs of a group are not listed, as they grow with its square. A part without a section shares it with none."""
+    p = t("part_row").filter("pos is not null").select("part_id", "section", X.position_key(F.col("pos")).alias("k")).distinct()
+    groups = p.filter("section is not null").groupBy("section", "k").agg(F.min("part_id").alias("first"), F.count("*").alias("n"))
+    return p.join(groups, ["section", "k"], "left").select("part_id", "section", "k", F.coalesce("first", "part_id").alias("first"), F.coalesce("n", F.lit(1)).alias("n"))
+
+
 @query("""select distinct p.part_nr, translate(upper(p.part_nr), 'OQDIL|SBZG-. ', '0001115826') k from part_row p where part_nr is not null""")
 def jn26_folded_numbers(t: Tables) -> DataFrame:
     return t("part_row").filter("part_nr is not null").select("part_nr", X.ocr_key(F.col("part_nr")).alias("k")).distinct()

@@ -62,6 +62,13 @@ def test_phrases_equal_brute_force():
     assert len({c for _, _, c in want}) == 2 and sorted(PhraseScanner(keys).scan(texts, 4_000)) == sorted(want)
 
 
+def test_positions_of_all_sections(spark, tmp_path):
+    rows = [("p1", "12", "05"), ("p2", "12", "5"), ("p2", "12", "5"), ("p3", "7", "5"), ("p4", "7", "005"), ("p5", None, "5"), ("p6", "7", None)]
+    spark.createDataFrame(rows, "part_id string, section string, pos string").write.parquet(f"{tmp_path}/part_row.parquet")
+    got = entry.queries()["jn25_position_join_whole"](spark, str(tmp_path)).collect()
+    assert sorted((r.part_id, r["first"], r.n) for r in got) == [("p1", "p1", 2), ("p2", "p1", 2), ("p3", "p3", 2), ("p4", "p3", 2), ("p5", "p5", 1)]
+
+
 def by_topic(spark, tmp_path, titles, name):
     rows = [(str(i), "fault", "um", t) for i, t in enumerate(titles)]
     spark.createDataFrame(rows, "topic_id string, kind string, doctype string, title string").write.mode("overwrite").parquet(f"{tmp_path}/topic.parquet")
