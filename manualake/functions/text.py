@@ -6,8 +6,11 @@ import unicodedata
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 
 def _accents() -> tuple[str, str]:
@@ -22,6 +25,12 @@ def fold_accents(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, *_accents()), "\\p{Mn}+", "")
 
 
+@pandas_udf(T.StringType())
+def compatible(c: pd.Series) -> pd.Series:
+    """Compatibility decomposition (NFKD) without combining marks; null stays null."""
+    return c.map(lambda x: "".join(d for d in unicodedata.normalize("NFKD", x) if not unicodedata.combining(d)), na_action="ignore")
+
+
 def strip(c: Column) -> Column:
     """Without outer white space of any kind."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -33,7 +42,7 @@ def collapse(c: Column) -> Column:
 
 def slug(c: Column, sep: str = "-") -> Column:
     """Lower-case runs of ASCII letters and digits, joined by sep."""
-    return F.regexp_replace(F.regexp_replace(F.lower(fold_accents(c)), "[^a-z0-9]+", sep), f"^{sep}+|{sep}+$", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(compatible(c)), "[^a-z0-9]+", sep), f"^{sep}+|{sep}+$", "")
 
 
 def composite_slug(*cols: Column, sep: str = "-") -> Column:

@@ -298,11 +298,21 @@ def str1_slug(t: Tables) -> DataFrame:
     return t("topic").filter(F.col("title").isNotNull() & ~F.col("title").rlike("[^\\x00-\\x7Fà-ÿÀ-ÖØ-ß]")).select("topic_id", X.slug(F.col("title")).alias("slug"))
 
 
+@query()
+def str1_slug_whole(t: Tables) -> DataFrame:
+    return t("topic").filter("title is not null").select("topic_id", X.slug(F.col("title")).alias("slug"))
+
+
 @query(f"select topic_id, {_SEARCH.format('title')} k from topic where {_LATIN}")
 def str35_search_key(t: Tables) -> DataFrame:
     return t("topic").filter(F.col("title").isNotNull() & ~F.col("title").rlike("[^\\x00-\\x7Fà-ÿÀ-ÖØ-ß]")).select("topic_id", X.search_key(F.col("title")).alias("k"))
 
 
+@query()
+def str35_search_key_whole(t: Tables) -> DataFrame:
+    return t("topic").filter("title is not null").select("topic_id", X.search_key(F.col("title")).alias("k"))
+
+
 @query("select topic_id, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) k from topic")
 def str37_plain_key(t: Tables) -> DataFrame:
     return t("topic").select("topic_id", X.plain_key(F.col("title")).alias("k"))
@@ -348,6 +358,11 @@ def str26_ordered_rules(t: Tables) -> DataFrame:
     return t("topic").filter(F.col("title").isNotNull() & ~F.col("title").rlike("[^\\x00-\\xFF]")).select("topic_id", _category(F.lower("title")).alias("category"))
 
 
+@query()
+def str26_ordered_rules_whole(t: Tables) -> DataFrame:
+    return t("topic").filter("title is not null").select("topic_id", _category(F.lower("title")).alias("category"))
+
+
 def _category(low: Column) -> Column:
     return F.when(low.rlike("fault|storing|störung|défaut|fejl"), "fault").when(low.rlike("clean|reinig|nettoy|rengør"), "cleaning").otherwise("other")
 
@@ -495,6 +510,11 @@ def idx6_ranked_search(t: Tables) -> DataFrame:
     return ranked(rows, "Water filter", key="topic_id", title="title")
 
 
+@query()
+def idx6_ranked_search_whole(t: Tables) -> DataFrame:
+    return ranked(t("topic").filter("title is not null"), "Water filter", key="topic_id", title="title")
+
+
 @query("""select part_nr, part_id from (select part_nr, part_id, row_number() over (partition by part_nr order by cast(substr(part_id, 2) as bigint)) k from part_row where part_nr is not null) where k = 1""")
 def idx9_first_in_order(t: Tables) -> DataFrame:
     rows = t("part_row").filter("part_nr is not null").select("part_nr", "part_id", F.substring("part_id", 2, 20).cast("bigint").alias("n"))

@@ -90,3 +90,12 @@ def test_rows_beyond_ascii_are_counted(spark, tmp_path):
     by_topic(spark, tmp_path, ["a", "b", "c"], "agg9_fingerprint_groups_whole")
     for name, n in (("idx3_bm25_effective_whole", 3), ("idx3_bm25_intended_whole", 0)):
         assert entry.queries()[name](spark, str(tmp_path)).count() == n
+
+
+def test_titles_beyond_latin_are_folded(spark, tmp_path):
+    titles = ["\uff37ater \ufb01lter\u2013x\u00b2", "wa\u0300ter \u1ea1 filter", "St\u00f8j\u200b storing \u2013", None]
+    by = lambda name: {r[0]: r[1] for r in by_topic(spark, tmp_path, titles, name)}
+    assert by("str1_slug_whole") == {"0": "water-filter-x2", "1": "water-a-filter", "2": "st-j-storing"}
+    assert by("str35_search_key_whole") == {"0": "ater lter x", "1": "water a filter", "2": "st j storing"}
+    assert by("str26_ordered_rules_whole") == {"0": "other", "1": "other", "2": "fault"}
+    assert list(by("idx6_ranked_search_whole")) == ["1"]
