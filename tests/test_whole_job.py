@@ -7,18 +7,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from manualake.functions.measures import bare_measure
-from manualake.llm.language_id import SEGMENTS, wrong_labels
 from manualake.operators.fuzzy import PhraseScanner, budget, occurrence_distance, scan_phrases
 from manualake.operators.units import bare_measure_udf, infer_missing_units, unit_features
 
 
-def test_repeated_mixed_text_counts_its_sentences_once(spark):
-    once = [(1, 0, 0, 90, 3, "en", 0.9, "en", 2), (1, 1, 90, 30, 1, "de", 0.9, "en", 2), (2, 0, 0, 9, 2, "en", 0.9, "en", 2), (2, 1, 9, 9, 2, "fr", 0.9, "en", 2)]
-    want = [(1, "en"), (2, "en"), (2, "fr")]
-    for rows in (once, once * 2):
-        assert sorted(tuple(r) for r in wrong_labels(spark.createDataFrame(rows, SEGMENTS)).collect()) == want
-
-
 def test_confident_units_are_converted(spark):
     assert [bare_measure(v, u) and tuple(bare_measure(v, u)[2:]) for v, u in (("1,5", "cm"), ("20 - 10", "m"), ("5", "none"), ("5", None), ("5 mm", "mm"))] == [(15, 15), (10_000, 20_000), None, None, None]
     df = spark.createDataFrame([("32", "°F"), ("68 ± 9", "°F"), ("0.1-0.3", "bar"), ("9" * 30, "m"), ("7", None)], "v string, u string")
