@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from manualake.llm.bilingual import align, align_texts, anchored, compact, _read, tokens
 from manualake.llm.canonical import Vocabulary, hash64, look_alike_pairs, table_form, vocabulary
 from manualake.llm.encoding import TOKENIZER, TreeDecoder, TreeEncoder, _model, decode, encode
-from manualake.llm.language_id import LanguageModel, fit_language_model, language_segments, sentences, wrong_labels
+from manualake.llm.language_id import SEGMENTS, LanguageModel, fit_language_model, language_segments, sentences, wrong_labels
 from manualake.llm.leakage import FMIndex, leaked_passages
 from manualake.llm.near_duplicates import SetSketch, Shingler, classes_with_links, expand, near_duplicates
 from manualake.llm.scan_noise import Bloom, Layout, ScanNoise, anagram_hash, bloom, turns_into
@@ -275,6 +275,13 @@ def test_languages(spark):
     assert LanguageModel.fit([]).segments("water") is not None
 
 
+def test_repeated_mixed_text_counts_its_sentences_once(spark):
+    once = [(1, 0, 0, 90, 3, "en", 0.9, "en", 2), (1, 1, 90, 30, 1, "de", 0.9, "en", 2), (2, 0, 0, 9, 2, "en", 0.9, "en", 2), (2, 1, 9, 9, 2, "fr", 0.9, "en", 2)]
+    want = [(1, "en"), (2, "en"), (2, "fr")]
+    for rows in (once, once * 2):
+        assert sorted(tuple(r) for r in wrong_labels(spark.createDataFrame(rows, SEGMENTS)).collect()) == want
+
+
 def test_sentences():
     assert [("1. A b! c.d? e")[b:e] for b, e in sentences("1. A b! c.d? e")] == ["1.", "A b!", "c.d?", "e"]
     assert sentences("  ") == []
