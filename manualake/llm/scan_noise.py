@@ -54,7 +54,6 @@ _MARKS = tuple(HYPHENS)
 ENDS = (".", "!", "?", ";", ",", ":")
 _DIGIT = re.compile(r"\d")
 _PRIME = 0x9E3779B97F4A7C15
-BLOOM_BITS = 1 << 22
 
 
 def residue(line: str, brands: frozenset[str]) -> tuple[str, bool, bool]:
@@ -203,29 +202,35 @@ def correct(words: DataFrame, lexicon: DataFrame, *, most: int = 2, ratio: int =
     return found.groupBy("word").agg(F.min_by("correction", F.struct("confusions", -F.col("times"), "correction")).alias("correction"))
 
 
-def bloom(words: DataFrame) -> bytes:
-    """A Bloom filter of BLOOM_BITS bits of the column word, made by the executors: its size does not depend on the data."""
+def bloom(words: DataFrame, *, bits_a_word: int = 12, most_bits: int = 1 << 27) -> bytes | None:
+    """A Bloom filter of the column word, made by the executors and sized by their count. None, which holds everything,
+    where it would need more than most_bits (16 MB): what is sent to the executors is bounded, and an exact join follows."""
+    n = words.count()
+    size = 1 << max(16, (max(1, n) * bits_a_word - 1).bit_length())
+    if size > most_bits:
+        return None
     h = F.xxhash64("word")
-    at = F.explode(F.array(h.bitwiseAND(F.lit(BLOOM_BITS - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(BLOOM_BITS - 1))))
-    parts = words.select(at.alias("at")).groupBy(F.shiftright("at", 3).alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(at & 7 as int)))").alias("bits"))
-    out = bytearray(BLOOM_BITS // 8)
-    for r in parts.collect():
-        out[r.byte] = r.bits
-    return bytes(out)
+    at = F.explode(F.array(h.bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(size - 1))))
+    parts = words.select(at.alias("at")).groupBy(F.shiftright("at", 3).alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(at & 7 as int)))").alias("bits")).toArrow()
+    out = np.zeros(size // 8, dtype=np.uint8)
+    out[parts.column("byte").to_numpy()] = parts.column("bits").to_numpy()
+    return out.tobytes()
 
 
 class Bloom:
-    def __init__(self, bits: bytes):
-        self.bits = bits
+    def __init__(self, bits: bytes | None):
+        self.bits, self.mask = bits, len(bits or b"") * 8 - 1
         self._known: dict[str, bool] = {}
 
     def __contains__(self, word: str) -> bool:
+        if self.bits is None:
+            return True
         seen = self._known.get(word)
         if seen is None:
             if len(self._known) > 300_000:
                 self._known.clear()
             h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed=42)
-            a, b = h & (BLOOM_BITS - 1), (h >> 32) & (BLOOM_BITS - 1)
+            a, b = h & self.mask, (h >> 32) & self.mask
             seen = self._known[word] = bool(self.bits[a >> 3] >> (a & 7) & 1 and self.bits[b >> 3] >> (b & 7) & 1)
         return seen
 

@@ -6,12 +6,13 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from manualake.llm.bilingual import align, align_texts, anchored, compact, _read, tokens
+from manualake.llm.bilingual import Bitext, Translations, align, align_texts, compact, retrieved, tokens
 from manualake.llm.canonical import Vocabulary, hash64, look_alike_pairs, table_form, vocabulary
 from manualake.llm.encoding import TOKENIZER, TreeDecoder, TreeEncoder, _model, decode, encode
 from manualake.llm.language_id import SEGMENTS, LanguageModel, fit_language_model, language_segments, sentences, wrong_labels
@@ -314,7 +315,45 @@ def test_alignment(spark):
 
 def test_alignment_pieces():
     assert tokens("Fill to 5,5 bar – then wait.") == ["fill", "to", "5.5", "bar", "|", "then", "wait"]
-    a = _read(compact("fill 5.5 bar", frozenset()))
-    b = _read(compact("füllen 5.5 bar | und warten", frozenset({"und warten"})))
-    assert anchored(a, b) == [(0, 0)] and b[0].free == ["und", "warten"]
-    assert align([], b, {}, ("de", "en")) == []
+    a, b = compact("fill 5.5 bar", frozenset()), compact("füllen 5.5 bar | und warten", frozenset({"und warten"}))
+    pair = Bitext(pa.array([a, a]), pa.array([b, "|"]))
+    assert [x.tolist() for x in pair.anchored()] == [[0], [0]]
+    assert {w.as_py() for w in pair.names.take(pa.array(pair.b.word[pair.b.free]))} == {"und", "warten"}
+    means = pa.table({"of": ["en"] * 2, "word": ["fill", "bar"], "means": ["füllen", "bar"], "weight": [2.0, 1.0], "strength": [1.0, 1.0]})
+    back = pa.table({"of": ["de"] * 2, "word": ["füllen", "bar"], "means": ["fill", "bar"], "weight": [2.0, 1.0], "strength": [1.0, 1.0]})
+    assert [x.tolist() for x in align(pair, means, back)[:2]] == [[0], [0]]
+    assert [len(x) for x in align(Bitext(pa.array(["|"]), pa.array([b])), None, None)] == [0, 0, 0]
+
+
+def dense(bitext, a, b, table):
+    """coverage of every pair of sentences, without an index."""
+    t, out = Translations(bitext, table), np.zeros((len(a.pair), len(b.pair)))
+    for i in range(len(a.pair)):
+        for j in np.flatnonzero(b.pair == a.pair[i]):
+            theirs, found, bag, extra = set(b.word[b.sent == j].tolist()), 0.0, 0.0, 0.0
+            for w, free in zip(a.word[a.sent == i].tolist(), a.free[a.sent == i].tolist()):
+                at = range(t.first[w], t.first[w] + t.count[w])
+                strength = max([t.strength[k] for k in at if t.means[k] in theirs], default=0.0)
+                if free and bitext.number[w]:
+                    extra += 3.0 * strength
+                else:
+                    bag += t.weight[w] * (0.15 if free else 1)
+                    found += t.weight[w] * (0.15 if free else 1) * strength
+            out[i, j] = (found + extra) / max(bag + extra, 1e-9)
+    return out
+
+
+def test_retrieval_equals_a_dense_matrix():
+    rng = random.Random(6)
+    word = lambda s: f"{s}{rng.randrange(12)}" if rng.random() < 0.8 else str(rng.randrange(5))
+    line = lambda s: f"{' '.join(sorted({word(s) for _ in range(rng.randrange(6))}))}|{' '.join(sorted({s + 'f', '77'} if rng.random() < 0.3 else ()))}"
+    text = lambda s: "\n".join(line(s) for _ in range(rng.randrange(1, 7)))
+    pair = Bitext(pa.array([text("a") for _ in range(20)]), pa.array([text("b") for _ in range(20)]))
+    rows = [("a%d" % k, f"b{m}", 1.0 + k, s) for k in range(9) for m, s in ((k, 1.0), ((k + 3) % 12, 0.5))]
+    table = pa.table([pa.array(c) for c in zip(*rows)], names=["word", "means", "weight", "strength"])
+    want = dense(pair, pair.a, pair.b, table)
+    for block in (1, 50, 4_000_000):
+        key, share = retrieved(pair, pair.a, pair.b, Translations(pair, table), block=block)
+        got = np.zeros(want.shape)
+        got[key // len(pair.b.pair), key % len(pair.b.pair)] = share
+        assert np.allclose(got, want) and (want > 0).any() and (np.diff(key) > 0).all()
