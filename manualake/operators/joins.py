@@ -10,8 +10,8 @@ from pyspark.sql.window import Window
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", salts: int = 16) -> DataFrame:
-    """A join whose hot keys of left spread over `salts` partitions; right, unique by key, is repeated for each salt."""
-    spread = left.withColumn("_salt", (F.rand(7) * salts).cast("int"))
+    """A join whose hot keys of left spread over `salts` partitions by the other columns; right, unique by key, is repeated for each salt."""
+    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in left.columns if c not in on]), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [*on, "_salt"], how).drop("_salt")
 
