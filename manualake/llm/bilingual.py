@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -294,7 +295,7 @@ def align(bitext: Bitext, there: pa.Table | None, back: pa.Table | None, *, sure
     return i[at], j[at], score[at] / 2
 
 
-def _crossed(bitext: Bitext, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _crossed(bitext: Bitext, i: np.ndarray, j: np.ndarray, block: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word of a, word of b, times) of the words, without numbers, of paired sentences; -1 stands for any word."""
 
     def runs(side: Side, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -308,17 +309,25 @@ def _crossed(bitext: Bitext, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray,
 
     wa, first_a, n_a = runs(bitext.a, i)
     wb, first_b, n_b = runs(bitext.b, j)
-    pair, cell = _ragged(np.zeros(len(i), dtype=np.int64), n_a * n_b)
     size = len(bitext.names) + 1
-    code = (wa[first_a[pair] + cell // n_b[pair]] + 1) * size + wb[first_b[pair] + cell % n_b[pair]] + 1
-    code, times = np.unique(code, return_counts=True)
-    return code // size - 1, code % size - 1, times
+    ends = np.cumsum(n_a * n_b)
+    codes, counts, begin = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], 0
+    while begin < len(i):  # in blocks, however long the sentences are
+        stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + block, "right")))
+        own = slice(begin, stop)
+        pair, cell = _ragged(np.zeros(stop - begin, dtype=np.int64), (n_a * n_b)[own])
+        code, times = np.unique((wa[first_a[own][pair] + cell // n_b[own][pair]] + 1) * size + wb[first_b[own][pair] + cell % n_b[own][pair]] + 1, return_counts=True)
+        codes.append(code)
+        counts.append(times)
+        begin = stop
+    code, inverse = np.unique(np.concatenate(codes), return_inverse=True)
+    return code // size - 1, code % size - 1, np.bincount(inverse, np.concatenate(counts), len(code)).astype(np.int64)
 
 
 COUNTS = "lang_a string, lang_b string, word_a string, word_b string, n bigint"
 PAIRS = "part bigint, text_id_a bigint, lang_a string, body_a string, text_id_b bigint, lang_b string, body_b string"
 #: Pairs of texts whose sentences are scored together, and whose word pairs are counted together.
-TOGETHER = 1_000
+TOGETHER = 4_000
 
 
 def _counted(of: Iterator[tuple[str, str, Bitext, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -443,7 +452,7 @@ def aligned_sentences(pairs: DataFrame, table: DataFrame) -> DataFrame:
     return pairs.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(run, schema)
 
 
-def align_texts(texts: DataFrame, topics: DataFrame, model: LanguageModel, *, part_pairs: int = 2_000) -> DataFrame:
+def align_texts(texts: DataFrame, topics: DataFrame, model: LanguageModel, *, part_pairs: int = 1_000) -> DataFrame:
     """aligned_sentences of texts (topic_id, text_id, text) of topics (topic_id), the table of translations learned from all
     of them.
 
@@ -454,8 +463,12 @@ def align_texts(texts: DataFrame, topics: DataFrame, model: LanguageModel, *, pa
     rows = cut(tokenised(texts, topics, model))
     pairs = bilingual_pairs(compacted(rows, formulas(rows)))
     # Pairs of languages together, so that equal word pairs meet before the shuffle; split as they grow.
-    parts = F.pmod(F.xxhash64("text_id_a"), F.lit(max(1, rows.count() // (2 * part_pairs))))
-    pairs = cut(pairs.withColumn("part", F.xxhash64("lang_a", "lang_b", parts)).repartition("part"))
+    of = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each of LANGUAGES
+    parts = F.lit(1)
+    for la, lb in combinations(sorted(of), 2):
+        parts = F.when((F.col("lang_a") == la) & (F.col("lang_b") == lb), 1 + of[la] * of[lb] // sum(of.values()) // part_pairs).otherwise(parts)
+    part = F.xxhash64("lang_a", "lang_b", F.pmod(F.xxhash64("text_id_a"), parts))
+    pairs = cut(pairs.withColumn("part", part).repartition("part"))
     asked = cut(vocabularies(pairs))
 
     def of_parts(counts: DataFrame) -> DataFrame:
