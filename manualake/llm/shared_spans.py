@@ -3,9 +3,13 @@
 Every document is cut into non-overlapping blocks of half the span's length: a span of the full length, wherever it
 lies, holds one whole block of any document that has it. Each block is indexed under its least gram (a minimiser);
 every rolling window of a block's length probes that index under its own least gram, so that a run of windows with one
-minimiser is one row. Windows that meet a block of another document are hits; around the hits all spans of the full
-length are compared by 96-bit rolling hashes over all documents at once, which extends each hit to its maximal exact
-repeat without pairing the documents of a group.
+minimiser is one row. Windows that meet a block of another document are hits.
+
+Hits are extended without pairing the documents of a group. The spans around hits that share a minimiser are taken
+together in cells of neighbouring starts: if the text around a whole cell stands elsewhere, all its spans do, and if the
+text that its spans have in common does not, none does; only the cells between, at the ends of a repeat, are taken
+apart into single spans. Each cell or span names one other document that has it; neighbouring ones of one other
+document grow into one exact repeat, whose text is compared with that document's, letter by letter.
 """
 
 from __future__ import annotations
@@ -14,9 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import salted_join
 from ..session import cut
 from .near_duplicates import mix
 
@@ -88,14 +93,46 @@ def merge(starts: np.ndarray, ends: np.ndarray, touch: int = 1) -> tuple[np.ndar
     return starts[at], np.concatenate([ends[at[1:] - 1], ends[-1:]])
 
 
-def shared_spans(docs: DataFrame, *, span: int = 400, gram: int = 128) -> DataFrame:
+def minimisers(codes: np.ndarray, span: int, gram: int) -> np.ndarray:
+    """Of each span the place of its least gram, the first of equals: it depends on the span's own characters only."""
+    grams = Rolling(codes, _BASES[0], 1).windows(np.arange(len(codes) - gram + 1), gram)
+    placed = (grams >> np.uint64(32) << np.uint64(32)) | np.arange(len(grams), dtype=np.uint64)
+    return (sliding_min(placed, span - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+class Cells:
+    """Cells of a document's spans that start at places `at` (ascending): those with one minimiser, at `m`, and `width`
+    neighbouring distances from it. Cells of equal text lie alike around it in every document."""
+
+    def __init__(self, codes: np.ndarray, at: np.ndarray, span: int, gram: int, width: int):
+        m = minimisers(codes, span, gram)[at]
+        k = (m - at) // width
+        cuts = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (k[1:] != k[:-1]) | (at[1:] != at[:-1] + 1)]))
+        self.m, k = m[cuts], k[cuts]
+        self.first, self.last = at[cuts], at[np.concatenate([cuts[1:], [len(at)]]) - 1]
+        near, far = k * width, np.minimum(k * width + width, span - gram + 1) - 1
+        #: What all spans of the cell have in common, and the text around all of them, where the document has it.
+        self.core = self.m - near, span - far + near
+        self.around = self.m - far, span + far - near
+        self.whole = (self.around[0] >= 0) & (self.around[0] + self.around[1] <= len(codes))
+
+
+def _hashes(codes: np.ndarray) -> tuple[Rolling, Rolling]:
+    return tuple(Rolling(codes, base, salt) for base, salt in zip(_BASES, (2, 3)))
+
+
+def _int64(x: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
+    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64), mask=None if valid is None else ~valid)
+
+
+def shared_spans(docs: DataFrame, *, span: int = 400, gram: int = 128, width: int = 39) -> DataFrame:
     """Rows (doc_id, span_start, span_chars): the maximal stretches of each docs.text (doc_id bigint, text string) of
     which every piece of `span` characters stands, character for character, in at least one other document.
 
     Positions count code points from 0. Null, empty and short texts give no row, nor do repeats within one document.
-    A doc_id that comes twice with equal texts is one document. gram, the length of the minimisers, sets
-    how much passes the index by chance, not what is found. Groups of any size cost rows in proportion to their
-    texts: documents never meet in pairs.
+    A doc_id that comes twice with equal texts is one document. gram, the length of the minimisers, and width, the
+    number of spans of a cell, set how much passes the index and how many rows extend a hit, not what is found. Groups
+    of any size cost rows in proportion to their texts: documents never meet in pairs.
     """
     block = span // 2
     if not 0 < gram <= block:
@@ -116,8 +153,8 @@ def shared_spans(docs: DataFrame, *, span: int = 400, gram: int = 128) -> DataFr
             cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "doc", "first", "last"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Hashes of all spans around a document's hits."""
+    def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The cells of the spans around a document's hits, with 128-bit hashes of their common and surrounding texts."""
         for batch in batches:
             for doc, text, hits in zip(*[batch.column(k).to_pylist() for k in range(3)]):
                 codes = code_points(text)
@@ -128,38 +165,93 @@ def shared_spans(docs: DataFrame, *, span: int = 400, gram: int = 128) -> DataFr
                 at = _between(lo[keep], hi[keep])
                 if not len(at):
                     continue
-                one, two = (Rolling(codes, base, salt).windows(at, span) for base, salt in zip(_BASES, (2, 3)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(np.full(len(at), doc, dtype=np.int64)), pa.array(at.astype(np.int32))],
-                    names=["h1", "h2", "doc", "at"],
-                )
+                c = Cells(codes, at, span, gram, width)
+                one, two = _hashes(codes)
+                around = np.where(c.whole, c.around[0], 0), np.where(c.whole, c.around[1], 1)
+                cols = [_int64(h.windows(*c.core)) for h in (one, two)] + [_int64(h.windows(*around), c.whole) for h in (one, two)]
+                yield pa.RecordBatch.from_arrays([*cols, _int64(np.full(len(c.m), doc)), *map(_int64, (c.m, c.first, c.last))], names=[x.split()[0] for x in CELLS.split(", ")])
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Hashes of the spans of the cells that are taken apart."""
+        for batch in batches:
+            for doc, text, parts in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+                codes = code_points(text)
+                at = np.unique(np.concatenate([np.arange(p["first"], p["last"] + 1) for p in parts]))
+                at = at[at <= len(codes) - span]  # an id of two texts
+                yield pa.RecordBatch.from_arrays([*(_int64(h.windows(at, span)) for h in _hashes(codes)), _int64(np.full(len(at), doc)), _int64(at)], names=["h1", "h2", "doc", "at"])
+
+    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Repeats (doc, other, first, there, text): neighbouring evidence of one other document as one, with its text."""
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, text, seen in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+                e = np.array(sorted({(x["other"], x["shift"], x["first"], x["last"]) for x in seen}), dtype=np.int64)
+                cuts = np.flatnonzero(np.concatenate([[True], (e[1:, :2] != e[:-1, :2]).any(1)]))
+                for b, stop in zip(cuts, [*cuts[1:], len(e)]):
+                    lo, hi = merge(e[b:stop, 2], e[b:stop, 3] + span - 1, 0)
+                    other, shift = int(e[b, 0]), int(e[b, 1])
+                    out += [(doc, other, x, x + shift, text[x : y + 1]) for x, y in zip(lo.tolist(), hi.tolist())]
+            cols = list(zip(*out)) if out else [()] * 5
+            types = [pa.int64()] * 4 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc", "other", "first", "there", "own"])
+
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The repeats whose text the other document really has."""
+        for batch in batches:
+            own, text, there = (batch.column(k).to_pylist() for k in (2, 3, 4))
+            keep = pa.array([t.startswith(o, at) for o, t, at in zip(own, text, there)], pa.bool_())
+            last = pa.array([f + len(o) - 1 for f, o in zip(batch.column(1).to_pylist(), own)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), last], names=["doc", "first", "last"]).filter(keep)
 
     def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs_, starts, chars = [], [], []
-            for doc, at in zip(batch.column(0).to_pylist(), batch.column(1)):
-                first = np.asarray(at.values.to_numpy(), dtype=np.int64)
-                lo, hi = merge(first, first + span - 1)
+            for doc, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ends = np.array([(p["first"], p["last"]) for p in parts], dtype=np.int64)
+                lo, hi = merge(ends[:, 0], ends[:, 1])
                 docs_ += [doc] * len(lo)
                 starts += lo.tolist()
                 chars += (hi - lo + 1).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(starts, pa.int32()), pa.array(chars, pa.int32())], names=["doc_id", "span_start", "span_chars"])
 
-    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text")
     long = docs.filter(F.length("text") >= span)
     rows = cut(long.mapInArrow(index, "key bigint, doc bigint, first int, last int"))
     blocks = rows.filter("first = -1").groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-    probes = rows.filter("first >= 0")
-    hits = probes.join(blocks, "key").filter("low <> doc or high <> doc")
+    hits = rows.filter("first >= 0").join(blocks, "key").filter("low <> doc or high <> doc")
     # A document holds at most as many hits as it has characters.
     hits = hits.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("hits"))
-    spans = cut(
-        long.join(hits.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "text", "hits")
-        .mapInArrow(compare, "h1 bigint, h2 int, doc bigint, at int")
-    )
-    twice = spans.groupBy("h1", "h2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high").select("h1", "h2")
-    shared = spans.join(twice, ["h1", "h2"], "left_semi").groupBy("doc").agg(F.collect_set("at").alias("at"))
-    return shared.mapInArrow(stretch, "doc_id bigint, span_start int, span_chars int")
+    hit = cut(long.join(hits, "doc").select("doc", "text", "hits"))
+    texts = hit.select("doc", "text").dropDuplicates(["doc"])
+    cells = cut(hit.mapInArrow(celled, CELLS))
+    judged = cells.join(_twice(cells.filter("s1 is not null"), ["s1", "s2"], "m"), ["s1", "s2"], "left")
+    judged = cut(judged.select("c1", "c2", "doc", "m", "first", "last", _other("m").alias("seen")))
+    # Every document of a group of cells of which one is to be taken apart takes its own apart.
+    apart = judged.groupBy("c1", "c2").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.bool_or(F.col("seen").isNull()).alias("some")).filter("low <> high and some")
+    parts = judged.join(apart.select("c1", "c2"), ["c1", "c2"], "left_semi").groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("parts"))
+    spans = cut(texts.join(parts, "doc").select("doc", "text", "parts").mapInArrow(single, "h1 bigint, h2 bigint, doc bigint, at bigint"))
+    spans = spans.join(_twice(spans, ["h1", "h2"], "at"), ["h1", "h2"]).select("doc", F.col("at").alias("first"), F.col("at").alias("last"), _other("at").alias("seen"), F.col("at").alias("m"))
+    evidence = judged.filter("seen is not null").select("doc", "first", "last", "seen", "m").unionAll(spans)
+    evidence = evidence.select("doc", F.struct("first", "last", F.col("seen.doc").alias("other"), (F.col("seen.at") - F.col("m")).alias("shift")).alias("e")).groupBy("doc").agg(F.collect_list("e").alias("e"))
+    repeats = texts.join(evidence, "doc").select("doc", "text", "e").mapInArrow(grown, "doc bigint, other bigint, first bigint, there bigint, own string")
+    # Many documents may name one other: its text is repeated for each salt.
+    repeats = salted_join(repeats, texts.select(F.col("doc").alias("other"), "text"), ["other"], "inner", salts=8)
+    checked = repeats.select("doc", "first", "own", "text", "there").mapInArrow(same, "doc bigint, first bigint, last bigint")
+    return checked.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("parts")).mapInArrow(stretch, "doc_id bigint, span_start int, span_chars int")
+
+
+CELLS = "c1 bigint, c2 bigint, s1 bigint, s2 bigint, doc bigint, m bigint, first bigint, last bigint"
+
+
+def _twice(rows: DataFrame, by: list[str], at: str) -> DataFrame:
+    """Groups that stand in two documents, with the first and the last of their places (doc, at)."""
+    place = F.struct("doc", F.col(at).alias("at"))
+    return rows.groupBy(*by).agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low.doc <> high.doc")
+
+
+def _other(at: str) -> Column:
+    """A place of the group in another document than the row's own; null without a group."""
+    return F.when(F.col("low.doc") != F.col("doc"), F.col("low")).otherwise(F.col("high"))
 
 
 def shared_share(spans: DataFrame, docs: DataFrame) -> DataFrame:
