@@ -9,6 +9,7 @@ it does. Decoding concatenates the bytes of the parts.
 
 from __future__ import annotations
 
+import os
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -17,7 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Encoding, Tokenizer
+from tokenizers.processors import ByteLevel
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Characters that the scan may look at beyond the start of a pre-token: an apostrophe and two letters.
@@ -35,21 +37,26 @@ class Part(NamedTuple):
 
 
 class TreeEncoder:
-    def __init__(self, model: str, *, leaf: int = 2_048, window: int = 32):
+    """Encodes texts as products of leaves of at most `leaf` characters; windows begin with `window` characters."""
+
+    def __init__(self, model: str, *, leaf: int = 256, window: int = 32):
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self.tokenizer.post_processor = ByteLevel(trim_offsets=False)  # pre-tokens begin where their blank does
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.leaf, self.window = max(1, leaf), max(1, window)
 
+    @staticmethod
+    def part(begin: int, end: int, encoded: Encoding) -> Part:
+        """The encoding of text[begin:end] on its own."""
+        words = np.array(encoded.word_ids, dtype=np.int64)
+        before = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(words) else words
+        offsets = encoded.offsets
+        return Part(begin, end, [begin + offsets[k][0] for k in before.tolist()], before.tolist(), encoded.ids)
+
     def scan(self, text: str, begin: int, end: int) -> Part:
-        """text[begin:end] encoded on its own."""
-        piece = text[begin:end]
-        encoded = self.tokenizer.encode(piece, add_special_tokens=False)
-        starts = [begin + at for _, (at, _) in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]
-        words = encoded.word_ids
-        before = np.searchsorted(np.array(words, dtype=np.int64), np.arange(len(starts))).tolist()
-        return Part(begin, end, starts, before, encoded.ids)
+        return self.part(begin, end, self.tokenizer.encode(text[begin:end], add_special_tokens=False))
 
     def join(self, text: str, a: Part, b: Part) -> Part:
         """The encoding of a followed by b, which touch."""
@@ -79,22 +86,28 @@ class TreeEncoder:
                 return Part(a.begin, b.end, a.starts[:k] + middle.starts, a.before[:k] + [head + n for n in middle.before], a.ids[:head] + middle.ids)
             size *= 2
 
-    def tree(self, text: str, begin: int, end: int) -> Part:
+    def tree(self, text: str, begin: int, end: int, leaves: Iterator[Part] | None = None) -> Part:
+        """The encoding of text[begin:end]: that of its halves, joined. leaves are those of leaf_ends, in order."""
+        if end - begin <= self.leaf:
+            return next(leaves) if leaves is not None else self.scan(text, begin, end)
+        middle = (begin + end) // 2
+        left = self.tree(text, begin, middle, leaves)
+        return self.join(text, left, self.tree(text, middle, end, leaves))
+
+    def leaf_ends(self, begin: int, end: int) -> list[tuple[int, int]]:
         if end - begin <= self.leaf:
-            return self.scan(text, begin, end)
+            return [(begin, end)]
         middle = (begin + end) // 2
-        return self.join(text, self.tree(text, begin, middle), self.tree(text, middle, end))
+        return self.leaf_ends(begin, middle) + self.leaf_ends(middle, end)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text; short texts are leaves and are encoded together."""
-        short = [i for i, t in enumerate(texts) if len(t) <= self.leaf]
-        out: list[list[int]] = [[]] * len(texts)
-        for i, e in zip(short, self.tokenizer.encode_batch([texts[i] for i in short], add_special_tokens=False)):
-            out[i] = e.ids
-        for i, t in enumerate(texts):
-            if len(t) > self.leaf:
-                out[i] = self.tree(t, 0, len(t)).ids
-        return out
+        """The ids of each text. The leaves of all texts are encoded together."""
+        ends = [self.leaf_ends(0, len(t)) for t in texts]
+        pieces = [t[b:e] for t, own in zip(texts, ends) for b, e in own]
+        encoded = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
+        places = [x for own in ends for x in own]
+        leaves = (self.part(b, e, x) for (b, e), x in zip(places, encoded))
+        return [self.tree(t, 0, len(t), leaves).ids for t in texts]
 
 
 class TreeDecoder:
@@ -123,7 +136,7 @@ def _model(path: str) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, *, path: str = TOKENIZER, leaf: int = 2_048) -> DataFrame:
+def encode(docs: DataFrame, *, path: str = TOKENIZER, leaf: int = 256) -> DataFrame:
     """Rows (doc_id, ids array<int>) of docs (doc_id, text), without special tokens.
 
     The ids of an empty and of a null text are the empty list. Every row of docs gives a row, repeated ones too.
@@ -131,6 +144,7 @@ def encode(docs: DataFrame, *, path: str = TOKENIZER, leaf: int = 2_048) -> Data
     model = docs.sparkSession.sparkContext.broadcast(_model(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         encoder = TreeEncoder(model.value, leaf=leaf)
         for batch in batches:
             for at in range(0, batch.num_rows, 1_000):

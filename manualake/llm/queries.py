@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .bilingual import align_texts
-from .canonical import canonical, look_alike_pairs, vocabulary
+from .canonical import canonical, look_alike_pairs
 from .canonical import records as look_records
 from .encoding import decode, encode
 from .language_id import fit_language_model, language_segments, text_layout, wrong_labels
@@ -66,12 +66,12 @@ def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = look_records(table(spark, sf_dir, "topic"), table(spark, sf_dir, "topic_text"))
-    return look_alike_pairs(rows, vocabulary(rows))
+    return look_alike_pairs(rows)
 
 
 def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = look_records(table(spark, sf_dir, "topic"), table(spark, sf_dir, "topic_text"))
-    return canonical(rows, vocabulary(rows)).distinct()
+    return canonical(rows).distinct()
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from manualake.llm.bilingual import Bitext, Translations, align, align_texts, compact, retrieved, tokens
-from manualake.llm.canonical import Vocabulary, hash64, look_alike_pairs, table_form, vocabulary
+from manualake.llm.canonical import Vocabulary, canonical, hash64, look_alike_pairs, skeleton, table_form
 from manualake.llm.encoding import TOKENIZER, TreeDecoder, TreeEncoder, _model, decode, encode
 from manualake.llm.language_id import SEGMENTS, LanguageModel, fit_language_model, language_segments, sentences, wrong_labels
 from manualake.llm.leakage import FMIndex, leaked_passages
@@ -58,9 +58,18 @@ def test_look_alike_pairs(spark):
     rows = [("t", "1", "water"), ("t", "2", "wаter"), ("t", "2", "wаter"), ("t", "3", "water"), ("u", "4", "wаter"), ("t", "5", ""), ("t", "6", "​"), ("t", "7", "Water")]
     df = spark.createDataFrame(rows, "src string, rec_id string, text string")
     for bound in (1, 2_000):
-        got = sorted(tuple(r) for r in look_alike_pairs(df, vocabulary(df, least=1), group_rows=bound).collect())
+        got = sorted(tuple(r) for r in look_alike_pairs(df, group_rows=bound).collect())
         assert got == [("t", "1", "2"), ("t", "2", "3"), ("t", "5", "6")]
-    assert look_alike_pairs(df.limit(0), []).count() == 0
+    assert look_alike_pairs(df.limit(0)).count() == 0
+
+
+def test_letters_of_two_readings_follow_the_words_of_the_corpus(spark):
+    rows = [("t", "1", "(fiӏter) it"), ("t", "2", "once: filter, filter filter."), ("t", "3", "ӏӀ"), ("t", "4", "Ӏlse"), ("t", "5", "Ilse\u3000Ilse"), ("t", "6", "fiӀter, fiІter, oӀive"), ("t", "7", "fiIter, olive"), ("t", "8", "")]
+    rows += [("u", str(i), f"other{i} words{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "src string, rec_id string, text string")
+    got = {r.rec_id: r.form for r in canonical(df.filter("src = 't'").unionAll(df.filter("src = 'u'"))).filter("src = 't'").collect()}
+    assert got == {"1": "(filter) it", "2": "once: filter, filter filter.", "3": "lI", "4": "Ilse", "5": "Ilse Ilse", "6": "filter, fiIter, olive", "7": "fiIter, olive", "8": ""}
+    assert skeleton("fiӀter") == skeleton("filter") == skeleton("fiIter")
 
 
 def test_hash_equals_sparks(spark):
