@@ -15,9 +15,11 @@ document grow into one exact repeat, whose text is compared with that document's
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,23 +31,26 @@ from .near_duplicates import mix
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
+@lru_cache(maxsize=4)
+def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of base and of its inverse below 2^bits."""
+    out = []
+    for factor in (base, pow(base, -1, 1 << 64)):
+        power = np.full(1 << bits, factor, dtype=np.uint64)
+        power[0] = 1
+        out.append(np.cumprod(power, dtype=np.uint64))
+    return tuple(out)
+
+
 class Rolling:
     """Polynomial hashes modulo 2^64 of all windows of an array of code points, each code point first mixed."""
 
     def __init__(self, codes: np.ndarray, base: int, salt: int):
-        n = len(codes)
-        power = np.empty(n + 1, dtype=np.uint64)
-        power[0] = 1
-        power[1:] = np.uint64(base)
-        power = np.cumprod(power, dtype=np.uint64)
-        inverse = np.empty(n + 1, dtype=np.uint64)
-        inverse[0] = 1
-        inverse[1:] = np.uint64(pow(base, -1, 1 << 64))
-        self.inverse = np.cumprod(inverse, dtype=np.uint64)
-        letters = mix(codes.astype(np.uint64) + np.uint64(salt))
-        self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(letters * power[:-1], dtype=np.uint64)])
-
-    def windows(self, starts: np.ndarray, size: int) -> np.ndarray:
+        power, self.inverse = _powers(base, max(16, len(codes).bit_length()))
+        self.sums = np.zeros(len(codes) + 1, dtype=np.uint64)
+        np.cumsum(mix(codes.astype(np.uint64) + np.uint64(salt)) * power[: len(codes)], out=self.sums[1:])
+
+    def windows(self, starts: np.ndarray, size: int | np.ndarray) -> np.ndarray:
         return mix((self.sums[starts + size] - self.sums[starts]) * self.inverse[starts])
 
 
@@ -64,15 +69,46 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def anchors(codes: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of a document's blocks, and of its rolling windows by run: key, first window, last window of the run."""
+class Shelf:
+    """Texts one after the other: their code points, and of each text its beginning and its length."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        self.codes = code_points("".join(texts))
+        self.size = np.array([len(t) for t in texts], dtype=np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+
+    def starts(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(text, place on the shelf) of all windows of this length within a text."""
+        count = np.maximum(self.size - length + 1, 0)
+        of = np.repeat(np.arange(len(count)), count)
+        return of, np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + self.begin[of]
+
+
+def shelves(batch: pa.RecordBatch, column: int, *, chars: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, Shelf]]:
+    """A batch in slices of some `chars` characters of text, a text of any length in one slice."""
+    ends = np.cumsum(pc.utf8_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + chars, "right")))
+        part = batch.slice(begin, stop - begin)
+        yield part, Shelf(part.column(column).to_pylist())
+        begin = stop
+
+
+def anchors(shelf: Shelf, span: int, gram: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """(text, key) of the blocks, and (text, key, first, last) of the runs of rolling windows with one key."""
     block = span // 2
-    rolling = Rolling(codes, _BASES[0], 1)
-    grams = rolling.windows(np.arange(len(codes) - gram + 1), gram)
-    least = sliding_min(grams, block - gram + 1)  # of each window of a block's length
-    cuts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    ends = np.concatenate([cuts[1:], [len(least)]]) - 1
-    return np.unique(least[np.arange(0, len(least), block)]), least[cuts], cuts, ends
+    if len(shelf.codes) < block:
+        return (np.zeros(0, np.int64), np.zeros(0, np.uint64)), (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    grams = Rolling(shelf.codes, _BASES[0], 1).windows(np.arange(len(shelf.codes) - gram + 1), gram)
+    of, at = shelf.starts(block)
+    least = sliding_min(grams, block - gram + 1)[at]  # of each window of a block's length
+    at -= shelf.begin[of]
+    fixed = np.flatnonzero(at % block == 0)
+    cuts = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (of[1:] != of[:-1])])) if len(at) else at
+    ends = np.concatenate([cuts[1:], [len(at)]])[: len(cuts)] - 1
+    return (of[fixed], least[fixed]), (of[cuts], least[cuts], at[cuts], at[ends])
 
 
 def _between(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -101,20 +137,46 @@ def minimisers(codes: np.ndarray, span: int, gram: int) -> np.ndarray:
 
 
 class Cells:
-    """Cells of a document's spans that start at places `at` (ascending): those with one minimiser, at `m`, and `width`
-    neighbouring distances from it. Cells of equal text lie alike around it in every document."""
+    """Cells of the spans that start at places `at` (ascending) of the texts `of`: those with one minimiser, at `m`, and
+    `width` neighbouring distances from it. Cells of equal text lie alike around it in every document."""
 
-    def __init__(self, codes: np.ndarray, at: np.ndarray, span: int, gram: int, width: int):
-        m = minimisers(codes, span, gram)[at]
+    def __init__(self, shelf: Shelf, of: np.ndarray, at: np.ndarray, span: int, gram: int, width: int):
+        m = minimisers(shelf.codes, span, gram)[at]
         k = (m - at) // width
         cuts = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (k[1:] != k[:-1]) | (at[1:] != at[:-1] + 1)]))
-        self.m, k = m[cuts], k[cuts]
+        self.of, self.m, k = of[cuts], m[cuts], k[cuts]
         self.first, self.last = at[cuts], at[np.concatenate([cuts[1:], [len(at)]]) - 1]
         near, far = k * width, np.minimum(k * width + width, span - gram + 1) - 1
         #: What all spans of the cell have in common, and the text around all of them, where the document has it.
         self.core = self.m - near, span - far + near
-        self.around = self.m - far, span + far - near
-        self.whole = (self.around[0] >= 0) & (self.around[0] + self.around[1] <= len(codes))
+        begin, size = self.m - far, span + far - near
+        self.whole = (begin >= shelf.begin[self.of]) & (begin + size <= shelf.begin[self.of] + shelf.size[self.of])
+        self.around = np.where(self.whole, begin, 0), np.where(self.whole, size, 1)
+
+
+def _lists(column: pa.Array, *fields: str) -> list[np.ndarray]:
+    """Of a column of lists of structs the row of each struct, and its fields."""
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.list_flatten(column)
+    return [np.repeat(np.arange(len(sizes)), sizes), *(pc.struct_field(flat, f).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields)]
+
+
+def _starts(shelf: Shelf, row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place on the shelf) of all starts in the closed intervals of the texts, ascending, each once."""
+    keep = lo <= hi
+    row, lo, hi = row[keep], lo[keep], hi[keep]
+    lo, hi = merge(lo + shelf.begin[row], hi + shelf.begin[row])
+    at = _between(lo, hi)
+    return np.searchsorted(shelf.begin, at, "right") - 1, at
+
+
+def _grouped_max(group: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Running maxima of x within ascending groups; x is not negative."""
+    if not len(x):
+        return x
+    step = int(x.max()) + 1
+    rank = np.cumsum(np.concatenate([[0], group[1:] != group[:-1]]))
+    return np.maximum.accumulate(rank * step + x) - rank * step
 
 
 def _hashes(codes: np.ndarray) -> tuple[Rolling, Rolling]:
@@ -140,60 +202,54 @@ def shared_spans(docs: DataFrame, *, span: int = 400, gram: int = 128, width: in
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[np.ndarray, ...]] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if doc is None or text is None or len(text) < span:
-                    continue
-                blocks, keys, starts, ends = anchors(code_points(text), span, gram)
-                n, k = len(blocks), len(keys)
-                out.append((
-                    np.concatenate([blocks, keys]).view(np.int64), np.full(n + k, doc, dtype=np.int64),
-                    np.concatenate([np.full(n, -1), starts]).astype(np.int32), np.concatenate([np.full(n, -1), ends]).astype(np.int32),
-                ))
-            cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "doc", "first", "last"])
+            for part, shelf in shelves(batch, 1):
+                doc = part.column(0).to_numpy()
+                (of, key), (run, keys, first, last) = anchors(shelf, span, gram)
+                none = np.full(len(of), -1)
+                cols = [np.concatenate([key, keys]).view(np.int64), doc[np.concatenate([of, run])], *(np.concatenate([none, x]).astype(np.int32) for x in (first, last))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "doc", "first", "last"])
 
     def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The cells of the spans around a document's hits, with 128-bit hashes of their common and surrounding texts."""
         for batch in batches:
-            for doc, text, hits in zip(*[batch.column(k).to_pylist() for k in range(3)]):
-                codes = code_points(text)
-                found = np.array([(h["first"], h["last"]) for h in hits], dtype=np.int64)
+            for part, shelf in shelves(batch, 1):
+                row, first, last = _lists(part.column(2), "first", "last")
                 # A span that holds the window at w starts from w - block to w.
-                lo, hi = merge(np.maximum(found[:, 0] - (span - block), 0), np.minimum(found[:, 1], len(codes) - span))
-                keep = lo <= hi
-                at = _between(lo[keep], hi[keep])
+                lo, hi = np.maximum(first - (span - block), 0), np.minimum(last, shelf.size[row] - span)
+                of, at = _starts(shelf, row, lo, hi)
                 if not len(at):
                     continue
-                c = Cells(codes, at, span, gram, width)
-                one, two = _hashes(codes)
-                around = np.where(c.whole, c.around[0], 0), np.where(c.whole, c.around[1], 1)
-                cols = [_int64(h.windows(*c.core)) for h in (one, two)] + [_int64(h.windows(*around), c.whole) for h in (one, two)]
-                yield pa.RecordBatch.from_arrays([*cols, _int64(np.full(len(c.m), doc)), *map(_int64, (c.m, c.first, c.last))], names=[x.split()[0] for x in CELLS.split(", ")])
+                c = Cells(shelf, of, at, span, gram, width)
+                one, two = _hashes(shelf.codes)
+                cols = [_int64(h.windows(*c.core)) for h in (one, two)] + [_int64(h.windows(*c.around), c.whole) for h in (one, two)]
+                places = [_int64(x - shelf.begin[c.of]) for x in (c.m, c.first, c.last)]
+                yield pa.RecordBatch.from_arrays([*cols, part.column(0).take(pa.array(c.of)), *places], names=[x.split()[0] for x in CELLS.split(", ")])
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Hashes of the spans of the cells that are taken apart."""
         for batch in batches:
-            for doc, text, parts in zip(*[batch.column(k).to_pylist() for k in range(3)]):
-                codes = code_points(text)
-                at = np.unique(np.concatenate([np.arange(p["first"], p["last"] + 1) for p in parts]))
-                at = at[at <= len(codes) - span]  # an id of two texts
-                yield pa.RecordBatch.from_arrays([*(_int64(h.windows(at, span)) for h in _hashes(codes)), _int64(np.full(len(at), doc)), _int64(at)], names=["h1", "h2", "doc", "at"])
+            for part, shelf in shelves(batch, 1):
+                row, first, last = _lists(part.column(2), "first", "last")
+                of, at = _starts(shelf, row, first, np.minimum(last, shelf.size[row] - span))
+                hashes = [_int64(h.windows(at, span)) for h in _hashes(shelf.codes)]
+                yield pa.RecordBatch.from_arrays([*hashes, part.column(0).take(pa.array(of)), _int64(at - shelf.begin[of])], names=["h1", "h2", "doc", "at"])
 
     def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Repeats (doc, other, first, there, text): neighbouring evidence of one other document as one, with its text."""
+        """Repeats (doc, other, first, there, own): neighbouring evidence of one other document as one, with its text."""
         for batch in batches:
-            out: list[tuple] = []
-            for doc, text, seen in zip(*[batch.column(k).to_pylist() for k in range(3)]):
-                e = np.array(sorted({(x["other"], x["shift"], x["first"], x["last"]) for x in seen}), dtype=np.int64)
-                cuts = np.flatnonzero(np.concatenate([[True], (e[1:, :2] != e[:-1, :2]).any(1)]))
-                for b, stop in zip(cuts, [*cuts[1:], len(e)]):
-                    lo, hi = merge(e[b:stop, 2], e[b:stop, 3] + span - 1, 0)
-                    other, shift = int(e[b, 0]), int(e[b, 1])
-                    out += [(doc, other, x, x + shift, text[x : y + 1]) for x, y in zip(lo.tolist(), hi.tolist())]
-            cols = list(zip(*out)) if out else [()] * 5
-            types = [pa.int64()] * 4 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc", "other", "first", "there", "own"])
+            row, other, shift, first, last = _lists(batch.column(2), "other", "shift", "first", "last")
+            order = np.lexsort((first, shift, other, row))
+            row, other, shift, first, last = (x[order] for x in (row, other, shift, first, last))
+            ends = last + span
+            # Evidence of one document and shift, in order, whose texts overlap or touch.
+            group = np.cumsum(np.concatenate([[0], (row[1:] != row[:-1]) | (other[1:] != other[:-1]) | (shift[1:] != shift[:-1])])) if len(row) else row
+            far = _grouped_max(group, ends)
+            cuts = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (first[1:] > far[:-1])])) if len(row) else row
+            stop = far[np.concatenate([cuts[1:], [len(row)]])[: len(cuts)] - 1]
+            row, other, shift, first = (x[cuts] for x in (row, other, shift, first))
+            texts = batch.column(1).to_pylist()
+            own = [texts[r][b:e] for r, b, e in zip(row.tolist(), first.tolist(), stop.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *map(_int64, (other, first, first + shift)), pa.array(own, pa.string())], names=["doc", "other", "first", "there", "own"])
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The repeats whose text the other document really has."""
@@ -205,17 +261,17 @@ def shared_spans(docs: DataFrame, *, span: int = 400, gram: int = 128, width: in
 
     def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs_, starts, chars = [], [], []
-            for doc, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ends = np.array([(p["first"], p["last"]) for p in parts], dtype=np.int64)
-                lo, hi = merge(ends[:, 0], ends[:, 1])
-                docs_ += [doc] * len(lo)
-                starts += lo.tolist()
-                chars += (hi - lo + 1).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(starts, pa.int32()), pa.array(chars, pa.int32())], names=["doc_id", "span_start", "span_chars"])
+            row, first, last = _lists(batch.column(1), "first", "last")
+            order = np.lexsort((first, row))
+            row, first, last = row[order], first[order], last[order]
+            far = _grouped_max(row, last)
+            cuts = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (first[1:] > far[:-1] + 1)])) if len(row) else row
+            stop = far[np.concatenate([cuts[1:], [len(row)]])[: len(cuts)] - 1]
+            cols = [batch.column(0).take(pa.array(row[cuts])), pa.array(first[cuts].astype(np.int32)), pa.array((stop - first[cuts] + 1).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "span_start", "span_chars"])
 
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text")
-    long = docs.filter(F.length("text") >= span)
+    long = docs.filter((F.length("text") >= span) & F.col("doc").isNotNull())
     rows = cut(long.mapInArrow(index, "key bigint, doc bigint, first int, last int"))
     blocks = rows.filter("first = -1").groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
     hits = rows.filter("first >= 0").join(blocks, "key").filter("low <> doc or high <> doc")
