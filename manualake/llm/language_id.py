@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .canonical import table_form
-from .scan_noise import Layout, brand_words, header_residues, statistics
+from .scan_noise import Layout, brand_words, header_residues, statistics, with_headers
 
 #: The languages of the corpus by family.
 FAMILIES: dict[str, tuple[str, ...]] = {"west germanic": ("de", "en", "nl"), "north germanic": ("da",), "romance": ("fr",)}
@@ -257,17 +257,19 @@ class LanguageModel:
         return out
 
 
-def text_layout(texts: DataFrame, product: DataFrame) -> Layout:
-    """The running headers of texts (text), which say nothing about the language of what they interrupt."""
+def laid_out(texts: DataFrame, product: DataFrame, *, header_bound: int = 100_000) -> tuple[DataFrame, Layout]:
+    """texts (text_id, ...) with their running headers, which say nothing about the language of what they interrupt."""
     brands = brand_words(product)
     # Only texts of several lines have edge lines.
-    return Layout(brands, header_residues(cut(statistics(texts.filter(F.col("text").rlike("[\\r\\n]")), brands))))
+    headers = header_residues(cut(statistics(texts.filter(F.col("text").rlike("[\\r\\n]")), brands)))
+    rows, shared = with_headers(texts, ["text_id"], brands, headers, bound=header_bound)
+    return rows, Layout(brands, shared)
 
 
-def clean(text: str, layout: Layout) -> str:
+def clean(text: str, layout: Layout, headers: list[str] | None = None) -> str:
     """The consistent form of a text without its edge lines."""
     text = table_form(text)
-    return "\n".join(layout.read(text)[0]) if "\n" in text or "\r" in text else text
+    return "\n".join(layout.of(headers).read(text)[0]) if "\n" in text or "\r" in text else text
 
 
 def _viterbi(grid: np.ndarray, switch: float) -> np.ndarray:
@@ -298,12 +300,15 @@ def _runs(at: list[tuple[int, int]], path: np.ndarray, letters: np.ndarray, grid
     return out
 
 
+def _headers(texts: DataFrame) -> Column:
+    return F.col("headers") if "headers" in texts.columns else F.lit(None).cast("array<string>")
+
+
 def fit_language_model(texts: DataFrame, layout: Layout, *, sample_bound: int = 3_000) -> LanguageModel:
-    """Fit on about sample_bound labelled texts of texts (text_id, lang, text), at most that many, chosen by a hash of their id."""
-    known = texts.select("text_id", normal_label(F.col("lang")).alias("lang"), "text").filter(F.col("lang").isin(*LANGUAGES) & (F.length("text") > 0))
-    every = max(1, known.count() // max(1, sample_bound))
-    rows = known.filter(F.pmod(F.xxhash64("text_id"), F.lit(every)) == 0).limit(sample_bound).select("lang", "text").collect()
-    return LanguageModel.fit([(r.lang, clean(r.text, layout)) for r in rows])
+    """Fit on the sample_bound labelled texts of texts (text_id, lang, text) whose ids have the least hashes."""
+    known = texts.select("text_id", normal_label(F.col("lang")).alias("lang"), "text", _headers(texts).alias("headers")).filter(F.col("lang").isin(*LANGUAGES) & (F.length("text") > 0))
+    rows = known.orderBy(F.xxhash64("text_id"), "text").limit(sample_bound).select("lang", "text", "headers").collect()
+    return LanguageModel.fit([(r.lang, clean(r.text, layout, r.headers)) for r in rows])
 
 
 SEGMENTS = "text_id bigint, segment int, start int, chars int, n_sentences int, language string, confidence double, label string, n_segments int"
@@ -321,13 +326,13 @@ def language_segments(texts: DataFrame, model: LanguageModel, layout: Layout) ->
         types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.int32()]
         for batch in batches:
             out = []
-            texts_ = [clean(t, layout) for t in batch.column(2).to_pylist()]
+            texts_ = [clean(t, layout, own) for t, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             for text_id, label, segs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), model.batch_segments(texts_)):
                 out += [(text_id, i, b, e - b, n, lang, round(conf, 6), label, len(segs)) for i, (b, e, n, lang, conf) in enumerate(segs)]
             cols = list(zip(*out)) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
-    rows = texts.select("text_id", normal_label(F.col("lang")).alias("label"), "text").filter("text is not null")
+    rows = texts.select("text_id", normal_label(F.col("lang")).alias("label"), "text", _headers(texts).alias("headers")).filter("text is not null")
     return rows.mapInArrow(run, SEGMENTS)
 
 

@@ -12,7 +12,7 @@ from .bilingual import align_texts
 from .canonical import canonical, look_alike_pairs
 from .canonical import records as look_records
 from .encoding import decode, encode
-from .language_id import fit_language_model, language_segments, text_layout, wrong_labels
+from .language_id import fit_language_model, laid_out, language_segments, wrong_labels
 from .leakage import leaked_passages
 from .near_duplicates import classes_with_links, expand, near_duplicates, section_records
 from .scan_noise import Layout, ScanNoise
@@ -36,8 +36,7 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "topic_text")
-    layout = text_layout(texts, table(spark, sf_dir, "product"))
+    texts, layout = laid_out(table(spark, sf_dir, "topic_text"), table(spark, sf_dir, "product"))
     return language_segments(texts, fit_language_model(texts, layout), layout)
 
 

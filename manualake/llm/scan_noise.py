@@ -46,10 +46,10 @@ PAGE_PART = re.compile(
 EDITION = re.compile(r"(?<!\w)(?:rev|vers|version|ver|edition|ed)\.?\s*\w{1,3}(?!\w)", re.IGNORECASE)
 LINE = re.compile(r"\r\n|\r|\n")
 HYPHENS = "-¬‐‑"
-TAIL = re.compile(rf"([\w†€@$£¢]+)([{HYPHENS}])$")
 HEAD = re.compile(r"^\s*([\u0300-\u036f]*[\w†€@$£¢]+)")  # an accent may be parted from its letter
 HYPHEN = re.compile(r"(?<=[^\W\d_])- ?(?=[^\W\d_])")
-BEFORE, AFTER = re.compile(r"[^\W\d_]+$"), re.compile(r"[^\W\d_]+")
+AFTER = re.compile(r"[^\W\d_]+")
+_INNER = frozenset("_†€@$£¢")
 _MARKS = tuple(HYPHENS)
 ENDS = (".", "!", "?", ";", ",", ":")
 _DIGIT = re.compile(r"\d")
@@ -74,12 +74,20 @@ def residue(line: str, brands: frozenset[str]) -> tuple[str, bool, bool]:
     return " ".join(out), paged, named
 
 
+def _begin(text: str, end: int, inner: frozenset[str] | None = None) -> int:
+    """Where the word that ends at `end` begins: letters, or with inner also digits and those signs."""
+    at = end
+    while at and text[at - 1].isalnum() and (inner is not None or not text[at - 1].isdecimal()) or at and inner is not None and text[at - 1] in inner:
+        at -= 1
+    return at
+
+
 def _alone(line: str) -> bool:
-    """Whether a line may be an edge line: short, and not the end of a clause."""
+    """Whether a line may be an edge line: not blank, and not the end of a clause."""
     s = line.rstrip()
     if len(s) > 1 and s[-1] in HYPHENS and s[-2].isalpha():
         return False
-    return 0 < len(s.strip()) <= 90 and (not s.endswith(ENDS) or bool(EDITION.search(s[-12:])))
+    return bool(s.strip()) and (not s.endswith(ENDS) or bool(EDITION.search(s[-12:])))
 
 
 def records(topic_text: DataFrame, part_row: DataFrame) -> DataFrame:
@@ -89,9 +97,12 @@ def records(topic_text: DataFrame, part_row: DataFrame) -> DataFrame:
     return texts.unionAll(parts).filter("text is not null")
 
 
-def brand_words(product: DataFrame, bound: int = 10_000) -> frozenset[str]:
-    """Names of brands in lower case, at most bound of them."""
-    return frozenset(r[0] for r in product.select(F.lower("brand_name")).filter("brand_name is not null").distinct().limit(bound).collect())
+def brand_words(product: DataFrame, *, bound: int = 100_000) -> frozenset[str]:
+    """Names of brands in lower case. Brands are a dimension; more than bound of them are an error, not a cut."""
+    found = product.select(F.lower("brand_name")).filter("brand_name is not null").distinct().limit(bound + 1).collect()
+    if len(found) > bound:
+        raise ValueError(f"more than {bound} brands")
+    return frozenset(r[0] for r in found)
 
 
 def statistics(rows: DataFrame, brands: frozenset[str]) -> DataFrame:
@@ -115,13 +126,13 @@ def statistics(rows: DataFrame, brands: frozenset[str]) -> DataFrame:
                         seen = {
                             residue(line, brands)[0]
                             for above, line in zip(["", *lines], lines)
-                            if _alone(line) and len(line.split()) < 14 and not above.rstrip().endswith(_MARKS) and not PAGE_LINE.match(line)
+                            if _alone(line) and not above.rstrip().endswith(_MARKS) and not PAGE_LINE.match(line)
                         }
-                        other.update(("r", r) for r in seen if r and r.count(" ") < 8)
+                        other.update(("r", r) for r in seen if r)
                 if "-" in text:
                     for m in HYPHEN.finditer(text):
-                        a, b = BEFORE.search(text, max(0, m.start() - 60), m.start()), AFTER.match(text, m.end())
-                        other[("s" if m[0] == "- " else "h", f"{a[0]}{m[0]}{b[0]}".lower())] += 1
+                        a, b = text[_begin(text, m.start()) : m.start()], AFTER.match(text, m.end())
+                        other[("s" if m[0] == "- " else "h", f"{a}{m[0]}{b[0]}".lower())] += 1
             ws = +ws
             kinds = ["w"] * len(ws) + [k for k, _ in other]
             keys = [*ws, *(key for _, key in other)]
@@ -130,19 +141,38 @@ def statistics(rows: DataFrame, brands: frozenset[str]) -> DataFrame:
     return rows.select("text").mapInArrow(count, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def header_residues(stats: DataFrame, misread: DataFrame | None = None, *, least: int = 3, of_lines: float = 2e-4, share: float = 0.4, bound: int = 5_000) -> frozenset[str]:
-    """Residues of running headers and table heads: those that recur alone, at least `least` times and in `of_lines` of
-    such lines, and hold a word of letters, not among misread (word), that stands mostly in such a line. At most bound of
-    them, the most frequent, reach the driver."""
+def header_residues(stats: DataFrame, misread: DataFrame | None = None, *, least: int = 3, share: float = 0.4) -> DataFrame:
+    """Distinct residues (key) of running headers and table heads: those that recur alone at least `least` times, however
+    many lines there are, and hold a word of letters, not among misread (word), that stands mostly in such a line."""
     words = stats.filter((F.col("kind") == "w") & F.col("key").rlike("^\\p{L}+$")).select(F.col("key").alias("word"), F.col("n").alias("n_word"))
     if misread is not None:
         words = words.join(misread.select("word"), "word", "left_anti")
-    lines = stats.filter("kind = 'r'")
-    total = lines.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    keys = lines.filter(F.col("n") >= max(least, of_lines * total)).select("key", "n")
+    keys = stats.filter((F.col("kind") == "r") & (F.col("n") >= least)).select("key", "n")
     telling = keys.withColumn("word", F.explode(F.array_distinct(F.split("key", " ")))).join(words, "word").filter(F.col("n") >= share * F.col("n_word"))
-    top = telling.groupBy("key").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "key").limit(bound)
-    return frozenset(r.key for r in top.collect())
+    return telling.select("key").distinct()
+
+
+def with_headers(rows: DataFrame, ids: list[str], brands: frozenset[str], headers: DataFrame, *, bound: int = 100_000) -> tuple[DataFrame, frozenset[str]]:
+    """rows (..., text) with a column headers, and the headers that all rows share.
+
+    Up to bound headers are sent to all rows, and the column is null; beyond, each row of several lines gets those of
+    its own lines by a join, and nothing is sent.
+    """
+    shared = headers.limit(bound + 1).collect()
+    if len(shared) <= bound:
+        return rows.withColumn("headers", F.lit(None).cast("array<string>")), frozenset(r.key for r in shared)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(len(ids)).to_pylist()
+            found = [(i, r) for i, t in enumerate(texts) for r in {residue(x, brands)[0] for x in LINE.split(table_form(t))} if r]
+            at = pa.array([i for i, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(ids))), pa.array([r for _, r in found], pa.string())], names=[*ids, "key"])
+
+    several = rows.filter(F.col("text").rlike("[\\r\\n]")).select(*ids, "text")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in several.schema if f.name in ids)
+    lines = several.mapInArrow(own, f"{schema}, key string").join(headers, "key", "left_semi")
+    return rows.join(lines.groupBy(*ids).agg(F.collect_set("key").alias("headers")), ids, "left"), frozenset()
 
 
 def anagram_hash(word: str) -> int:
@@ -188,12 +218,12 @@ def correct(words: DataFrame, lexicon: DataFrame, *, most: int = 2, ratio: int =
     table = spark.createDataFrame(steps, "difference bigint, signs array<string>, confusions int")
     signs = sorted({r for _, r in CONFUSIONS})
     holds = reduce(lambda a, b: a | b, [F.contains(F.col("word"), F.lit(s)) for s in signs])
-    rare = words.filter(F.col("word").rlike("\\p{L}.*\\p{L}") & holds & F.length("word").between(least, 120)).withColumn("h", hashed("word"))
+    rare = words.filter(F.col("word").rlike("\\p{L}.*\\p{L}") & holds & (F.length("word") >= least)).withColumn("h", hashed("word"))
     # The table of differences is fixed: a few hundred rows.
     asked = rare.join(F.broadcast(table), F.forall("signs", lambda s: F.contains(F.col("word"), s))).select(
         "word", "n", "confusions", (F.col("h") + F.col("difference")).alias("h")
     )
-    common = lexicon.filter((F.col("n") >= support) & F.length("word").between(least, 120) & F.col("word").rlike("^\\p{L}+$")).select(
+    common = lexicon.filter((F.col("n") >= support) & (F.length("word") >= least) & F.col("word").rlike("^\\p{L}+$")).select(
         F.col("word").alias("correction"), F.col("n").alias("times"), hashed("word").alias("h")
     )
     found = asked.join(common, "h").filter((F.col("times") >= ratio * F.col("n")) & (F.col("word") != F.col("correction")))
@@ -242,6 +272,10 @@ class Layout:
         self.brands, self.headers = brands, headers
         self.telling = brands | {w for h in headers for w in h.split(" ")}
 
+    def of(self, headers: list[str] | None) -> Layout:
+        """This layout, or that of a record that brings its own headers."""
+        return Layout(self.brands, frozenset(headers)) if headers else self
+
     def edge(self, line: str) -> tuple[bool, bool]:
         """Whether a line is a running header, and whether it holds a page number."""
         if PAGE_LINE.match(line):
@@ -279,27 +313,27 @@ class Layout:
         for i in range(len(lines) - 1):
             s = lines[i].rstrip()
             if s and s[-1] in HYPHENS:
-                a, b = TAIL.search(s, max(0, len(s) - 80)), HEAD.match(lines[i + 1])
-                if a and b and not (a[1][-1].isdigit() and b[1][0].isdigit()) and re.search(r"[^\W\d_]", a[1]) and re.search(r"[^\W\d_]", b[1]):
-                    out.append((i, a[1], a[2], b[1]))
+                a, b = s[_begin(s, len(s) - 1, _INNER) : -1], HEAD.match(lines[i + 1])
+                if a and b and not (a[-1].isdigit() and b[1][0].isdigit()) and AFTER.search(a) and AFTER.search(b[1]):
+                    out.append((i, a, s[-1], b[1]))
         return out
 
 
 FINDINGS = "src string, rec_id string, kind string, a string, b string, mark string"
 
 
-def findings(rows: DataFrame, brands: frozenset[str], headers: frozenset[str], misread: bytes) -> DataFrame:
-    """Rows (src, rec_id, kind, a, b, mark): `header`, `page`, `break` with the two parts of a word and the hyphen, `word`
+def findings(rows: DataFrame, brands: frozenset[str], headers: frozenset[str], misread: bytes | None) -> DataFrame:
+    """Of rows (src, rec_id, text, headers) rows (src, rec_id, kind, a, b, mark): `header`, `page`, `break` with the two parts of a word and the hyphen, `word`
     with a word that may be misread."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layout, suspects = Layout(brands, headers), Bloom(misread)
         for batch in batches:
             out: list[tuple] = []
-            for src, rec, text in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+            for src, rec, text, own in zip(*[batch.column(k).to_pylist() for k in range(4)]):
                 text = table_form(text)
                 if "\n" in text or "\r" in text:
-                    lines, header, page = layout.read(text)
+                    lines, header, page = layout.of(own).read(text)
                     if header:
                         out.append((src, rec, "header", None, None, None))
                     if page:
@@ -318,19 +352,19 @@ def findings(rows: DataFrame, brands: frozenset[str], headers: frozenset[str], m
             cols = list(zip(*out)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=[x.split()[0] for x in FINDINGS.split(", ")])
 
-    return rows.select("src", "rec_id", "text").mapInArrow(run, FINDINGS)
+    return rows.select("src", "rec_id", "text", "headers").mapInArrow(run, FINDINGS)
 
 
 class ScanNoise:
     """What the corpus shows about its noise, and the damage of each record."""
 
-    def __init__(self, rows: DataFrame, product: DataFrame):
-        self.rows, self.brands = rows, brand_words(product)
+    def __init__(self, rows: DataFrame, product: DataFrame, *, header_bound: int = 100_000):
+        self.brands = brand_words(product)
         self.stats = cut(statistics(rows, self.brands))
         self.lexicon = self.stats.filter("kind = 'w'").select(F.col("key").alias("word"), "n")
         self.corrections = cut(correct(self.lexicon, self.lexicon))
-        self.headers = header_residues(self.stats, self.corrections)
-        self.found = cut(findings(rows, self.brands, self.headers, bloom(self.corrections)))
+        self.rows, self.headers = with_headers(rows, ["src", "rec_id"], self.brands, header_residues(self.stats, self.corrections), bound=header_bound)
+        self.found = cut(findings(self.rows, self.brands, self.headers, bloom(self.corrections)))
         self.breaks = cut(self._breaks())
 
     def _breaks(self) -> DataFrame:
@@ -378,10 +412,11 @@ class ScanNoise:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             layout = Layout(brands, headers)
             for batch in batches:
-                out = [repair(text, layout, {f["k"]: f["v"] for f in fixed or ()}) for text, fixed in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+                columns = (batch.column(k).to_pylist() for k in (2, 3, 4))
+                out = [repair(text, layout.of(own), {f["k"]: f["v"] for f in fixed or ()}) for text, own, fixed in zip(*columns)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["src", "rec_id", "text"])
 
-        return self.rows.join(fixes, ["src", "rec_id"], "left").select("src", "rec_id", "text", "fixes").mapInArrow(run, "src string, rec_id string, text string").distinct()
+        return self.rows.join(fixes, ["src", "rec_id"], "left").select("src", "rec_id", "text", "headers", "fixes").mapInArrow(run, "src string, rec_id string, text string").distinct()
 
 
 def _in_case(word: str, like: str) -> str:

@@ -18,7 +18,7 @@ from manualake.llm.encoding import TOKENIZER, TreeDecoder, TreeEncoder, _model,
 from manualake.llm.language_id import SEGMENTS, LanguageModel, fit_language_model, language_segments, sentences, wrong_labels
 from manualake.llm.leakage import FMIndex, leaked_passages
 from manualake.llm.near_duplicates import SetSketch, Shingler, classes_with_links, expand, near_duplicates
-from manualake.llm.scan_noise import Bloom, Layout, ScanNoise, anagram_hash, bloom, turns_into
+from manualake.llm.scan_noise import Bloom, Layout, ScanNoise, anagram_hash, bloom, brand_words, turns_into
 from manualake.llm.shared_spans import shared_share, shared_spans, sliding_min
 
 WORDS = "water filter pump valve drain hose grinder motor brew chamber seal ring front cover rear panel clean replace tighten check open close".split()
@@ -241,23 +241,40 @@ def test_scan_noise(spark):
     rows = [("topic_text", str(i), t) for i, t in [*clean, *heads, *noisy.items(), (900, noisy[900])]]
     df = spark.createDataFrame(rows, "src string, rec_id string, text string").filter("text is not null")
     product = spark.createDataFrame([("Orvo",), (None,)], "brand_name string")
-    noise = ScanNoise(df, product)
-    got = defaultdict(set)
-    for r in noise.damage().collect():
-        got[int(r.rec_id)].add(r.defect)
     want = {900: {"hyphen"}, 901: {"misread"}, 902: {"header"}, 903: {"page"}, 906: {"hyphen", "header", "page", "misread"}} | {i: {"header"} for i, _ in heads}
-    assert dict(got) == want
-    fixed = {int(r.rec_id): r.text for r in noise.repaired().collect()}
+    for bound in (100_000, 0):  # headers sent to all rows, or joined to those that hold them
+        noise = ScanNoise(df, product, header_bound=bound)
+        got = defaultdict(set)
+        for r in noise.damage().collect():
+            got[int(r.rec_id)].add(r.defect)
+        assert dict(got) == want
+        fixed = {int(r.rec_id): r.text for r in noise.repaired().collect()}
     assert fixed[900] == fixed[901] == fixed[902] == fixed[903] == fixed[906] == "Clean the water filter with care."
     assert fixed[904] == "The door- or panel screws stay dry." and fixed[905] == noisy[905] and fixed[907] == ""
     empty = ScanNoise(df.limit(0), product.limit(0))
     assert empty.damage().count() == 0
 
 
+def test_long_and_rare_headers_and_long_words(spark):
+    head = "Bedienungsanleitung der vollautomatischen Kaffeemaschine mit Mahlwerk und Milchsystem sowie Zubehör und Teilekunde in einem Band"
+    assert len(head) > 95 and len(head.split()) >= 14
+    word = "entkalkungs" * 12 + "programm"
+    rows = [(f"a{i}", f"Clean the pump {i}\nbefore the valve {i} opens") for i in range(400)] + [(f"h{i}", f"Clean the\n{head}\nfilter {i} today") for i in range(3)]
+    rows += [(f"w{i}", f"Start the {word} now") for i in range(60)] + [("m", f"Start the {word.replace('mm', 'rnrn')} now"), ("b", f"Start the {word[:130]}-\n{word[130:]} now")]
+    df = spark.createDataFrame([("topic_text", i, t) for i, t in rows], "src string, rec_id string, text string")
+    noise = ScanNoise(df, spark.createDataFrame([("Orvo",)], "brand_name string"))
+    got = {(r.rec_id, r.defect) for r in noise.damage().collect()}
+    assert got == {("h0", "header"), ("h1", "header"), ("h2", "header"), ("m", "misread"), ("b", "hyphen")}
+    assert {r.text for r in noise.repaired().collect() if r.rec_id in "mb"} == {f"Start the {word} now"}
+    with pytest.raises(ValueError):
+        brand_words(spark.createDataFrame([("a",), ("b",)], "brand_name string"), bound=1)
+
+
 def test_bloom(spark):
     words = [f"w{i}" for i in range(500)]
     b = Bloom(bloom(spark.createDataFrame([(w,) for w in words], "word string")))
     assert all(w in b for w in words) and sum(f"x{i}" in b for i in range(2_000)) < 20
+    assert bloom(spark.createDataFrame([(w,) for w in words], "word string"), most_bits=1 << 10) is None and "any" in Bloom(None)
 
 
 # 4: languages
