@@ -7,20 +7,12 @@ from pyspark.sql import functions as F
 
 from ..operators.layout import columns_of, list_entries, notes_and_rest, reading_order, reflow
 from ..operators.plates import read_plates
-from ..sources.files import file_plan
 from .registry import Registry, Tables
 
 R = Registry()
 query, queries, oracle_sql = R.query, R.queries, R.oracle_sql
 
 
-@query("select distinct doc_id, path, case when path = 'library/' || doctype || '/' || doc_id || '.pdf' then 'keep' else 'move' end action from document")
-def snk8_file_plan(t: Tables) -> DataFrame:
-    docs = t("document").select("doc_id", "path", F.lit(None).cast("string").alias("duplicate_of"), "doctype").distinct()
-    target = F.concat(F.lit("library/"), "doctype", F.lit("/"), "doc_id", F.lit(".pdf"))
-    return docs.select("doc_id", "path", "duplicate_of", target.alias("target")).join(file_plan(docs.withColumn("target", target), F.col("target")).select("path", "action"), "path").select("doc_id", "path", "action").distinct()
-
-
 @query()
 def win10_reflowed_paragraphs(t: Tables) -> DataFrame:
     rows = t("topic_text").filter("text is not null").select("text_id", "text").dropDuplicates(["text_id"])

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def inventory(spark: SparkSession, root: str, pattern: str = "*.[pP][dD][fF]") -> DataFrame:
@@ -83,3 +84,27 @@ def inferred_schema(df: DataFrame, json_column: str) -> str:
 def described_schema(df: DataFrame, comments: dict[str, str]) -> str:
     """The schema as JSON, with a comment on each described column."""
     return df.select(*[F.col(c).alias(c, metadata={"comment": comments[c]}) if c in comments else F.col(c) for c in df.columns]).schema.json()
+
+
+def pretty_json(df: DataFrame) -> DataFrame:
+    """Rows (text) of indented JSON records; nulls are kept."""
+    return df.select(F.to_json(F.struct(*df.columns), {"pretty": "true", "ignoreNullFields": "false"}).alias("text"))
+
+
+def index_lines(docs: DataFrame, *, group: str, title: str) -> DataFrame:
+    """The lines of a list of titles by group, as rows (group, rank, line) to be sorted by group and rank: nothing is collected."""
+    rows = docs.select(F.col(group).alias("group"), F.col(title).alias("title"))
+    heads = rows.select("group").distinct().select("group", F.lit(0).alias("kind"), F.concat(F.lit("## "), "group").alias("line"))
+    items = rows.select("group", F.lit(1).alias("kind"), F.concat(F.lit("- "), "title").alias("line"))
+    rank = F.row_number().over(Window.partitionBy("group").orderBy("kind", "line"))
+    return heads.unionAll(items).filter("line is not null").select("group", rank.alias("rank"), "line")
+
+
+def moves(plan: DataFrame) -> DataFrame:
+    """Old and new names of the files that a plan (path, action, to) keeps or moves."""
+    return plan.filter("action <> 'delete'").select(F.col("path").alias("old"), F.coalesce("to", "path").alias("new"))
+
+
+def frame_stream(spark: SparkSession, root: str, schema: str, *, files: int = 1) -> DataFrame:
+    """A stream of frames stored as JSON lines, `files` files a micro-batch, by age."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(root)
