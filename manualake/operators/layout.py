@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
 MARKER = re.compile(r"^\s*(?:(\d{1,3})[.)]|[-–•*])\s+(.*)$", re.DOTALL)
@@ -93,60 +94,25 @@ def list_entries(text: Column) -> Column:
     return F.when(text.isNotNull(), F.aggregate(lines, F.array().cast("array<string>"), add))
 
 
-def notes_and_rest(text: Column, levels: dict[str, Sequence[str]]) -> Column:
-    """A struct of the lines that begin with a warning word, as `level: line`, and of the other lines."""
-    lines = F.split(text, "\n")
+PAIRS = T.ArrayType(T.StructType().add("k", T.StringType()).add("v", T.StringType()))
 
-    def level(line: Column) -> Column:
-        out = F.lit(None).cast("string")
-        for name, words in levels.items():
-            out = F.when(line.rlike(rf"(?iu)^\s*(?:{'|'.join(words)})\b"), name).otherwise(out)
-        return out
 
-    notes = F.transform(F.filter(lines, lambda x: level(x).isNotNull()), lambda x: F.concat(level(x), F.lit(": "), F.trim(x)))
-    return F.struct(notes.alias("notes"), F.array_join(F.filter(lines, lambda x: level(x).isNull()), "\n").alias("rest"))
-
-
-def split_callouts(text: str) -> list[str]:
-    """`3. a 4. b` in entries, as long as the numbers follow each other."""
-    found = list(re.finditer(r"(?<!\S)(\d{1,3})\.\s+", text))
-    cuts: list[re.Match[str]] = []
-    for m in found:
-        if not cuts or int(m[1]) == int(cuts[-1][1]) + 1:
-            cuts.append(m)
-    if len(cuts) < 2:
-        return [text.strip()] if text.strip() else []
-    head = text[: cuts[0].start()].strip()
-    ends = [m.start() for m in cuts[1:]] + [len(text)]
-    return ([head] if head else []) + [text[m.start() : e].strip() for m, e in zip(cuts, ends)]
-
-
-def pair_legend(lines: Sequence[str], least: int = 3) -> list[str]:
-    """Runs of at least `least` pairs of a short code line and its description line, joined by a dash."""
-    code = re.compile(r"^[A-Z]?\d{1,3}[A-Z]?$")
-    out, i = [], 0
-    while i < len(lines):
-        j = i
-        while j + 1 < len(lines) and code.match(lines[j].strip()) and lines[j + 1].strip() and not code.match(lines[j + 1].strip()):
-            j += 2
-        if (j - i) // 2 >= least:
-            out += [f"{lines[k].strip()} — {lines[k + 1].strip()}" for k in range(i, j, 2)]
-            i = j
-        else:
-            out.append(lines[i])
-            i += 1
-    return out
+@pandas_udf(PAIRS)
+def key_values_udf(tables: pd.Series) -> pd.Series:
+    return pd.Series([None if rows is None else [{"k": k, "v": v} for k, v in key_values(rows)] for rows in tables])
 
 
 def key_values(cells: Sequence[Sequence[str]]) -> list[tuple[str, str]]:
-    """Rows of a table as pairs; a lone cell fills the previous empty value, else it is a key without one."""
+    """Rows of a table as pairs; a mark of one or two letters before two cells is left out; a lone cell fills the previous
+    empty value, else it is a key without one."""
     out: list[tuple[str, str]] = []
     for row in cells:
-        row = [c.strip() for c in row if c and c.strip()]
-        if len(row) >= 2:
-            out.append((row[0], " ".join(row[1:])))
-        elif row and out and not out[-1][1]:
-            out[-1] = (out[-1][0], row[0])
-        elif row:
-            out.append((row[0], ""))
+        full = [c.strip() for c in row if c and c.strip()]
+        if len(full) >= 3 and len(full[0]) <= 2:
+            full = full[1:]
+        key, *values = full or [""]
+        if key and not values and out and not out[-1][1]:
+            out[-1] = (out[-1][0], key)
+        elif key:
+            out.append((key, " ".join(values)))
     return out

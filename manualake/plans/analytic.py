@@ -13,7 +13,7 @@ from ..functions import text as X
 from ..operators.dedup import content_duplicates, disambiguate, first_by, superseded
 from ..operators.fuzzy import best_hits, occurrence_distance_udf, scan_numbers, scan_phrases
 from ..operators.search import INTENDED, bm25, postings, ranked
-from ..operators.windows import anchored_clusters, changed, forward_fill, gaps, islands, sessions
+from ..operators.windows import changed, forward_fill, gaps, islands, sessions
 from ..streaming.sightings import fold_plates, fold_sightings
 from .registry import Registry, Tables
 
@@ -143,33 +143,6 @@ def agg16_pivot(t: Tables) -> DataFrame:
     return ends.join(counts, "brand").select("brand", F.coalesce("Small", F.lit(0).cast("bigint")).alias("small"), F.coalesce("Medium", F.lit(0).cast("bigint")).alias("medium"), "least", "most")
 
 
-@query("""with s as (select distinct spec_id, items from specs where len(items) > 0), k as (select distinct spec_id, unnest(items).k k from s), n as (select count(distinct spec_id) n from s)
-    select k, count(*) books from k where k is not null group by 1 having count(*) >= greatest(2, (select n from n) * 0.02)""")
-def agg17_learned_labels(t: Tables) -> DataFrame:
-    """Labels that stand in a share of the tables, once a table."""
-    s = t("specs").dropDuplicates(["spec_id"]).filter(F.size("items") > 0)
-    n = s.agg(F.count("*").alias("total"))
-    k = s.select(F.explode(F.array_distinct(F.transform("items", lambda x: x["k"]))).alias("k")).filter("k is not null").groupBy("k").agg(F.count("*").alias("books"))
-    return k.crossJoin(F.broadcast(n)).filter("books >= greatest(2, total * 0.02)").select("k", "books")  # one row
-
-
-@query("""with l as (select distinct text_id, trim(regexp_replace(regexp_replace(unnest(string_split(text, chr(10))), '[0-9]', '#', 'g'), '\\s+', ' ', 'g')) k from topic_text where text is not null and not regexp_matches(text, '[^\\x00-\\x7F]'))
-    select k, count(*) n from l where k <> '' group by 1 having count(*) > 2""")
-def agg18_running_lines(t: Tables) -> DataFrame:
-    rows = t("topic_text").filter(F.col("text").isNotNull() & ~F.col("text").rlike("[^\\x00-\\x7F]"))
-    return _running_lines(rows)
-
-
-@query()
-def agg18_running_lines_whole(t: Tables) -> DataFrame:
-    return _running_lines(t("topic_text").filter("text is not null"))
-
-
-def _running_lines(rows: DataFrame) -> DataFrame:
-    lines = rows.select("text_id", F.explode(F.split("text", "\n")).alias("line")).select("text_id", X.margin_key(F.col("line")).alias("k")).distinct()
-    return lines.filter("k <> ''").groupBy("k").agg(F.count("*").alias("n")).filter("n > 2")
-
-
 @query("""select doctype, arg_min(lang, [-n, 0]) lang from (select doctype, lang, sum(pages) n from (select distinct doc_id, doctype, lang, pages from document where lang is not null) group by 1, 2) group by 1""")
 def agg19_dominant_value(t: Tables) -> DataFrame:
     sums = t("document").filter("lang is not null").select("doc_id", "doctype", "lang", "pages").distinct().groupBy("doctype", "lang").agg(F.sum("pages").alias("n"))
@@ -241,13 +214,6 @@ def win8_gaps(t: Tables) -> DataFrame:
     return gaps(e, by=["user_id"], start="s", end="e", least=40).select("user_id", F.round("gap_start", 6).alias("gap_start"), F.round("gap_end", 6).alias("gap_end"))
 
 
-@query()
-def win5_anchored_rows(t: Tables) -> DataFrame:
-    """Values of a user within 4.5 of a cluster's first one; not a session, which would chain."""
-    rows = t("events").groupBy("user_id").agg(F.collect_list(F.round("value", 3)).alias("v"))
-    return rows.select("user_id", F.explode(anchored_clusters(F.col("v"), 4.5)).alias("c")).select("user_id", F.col("c")[0].alias("first"), F.size("c").alias("n"))
-
-
 @query("""with e as (select user_id, event_id, ts, case when ts - lag(ts) over (partition by user_id order by ts, event_id) <= interval 3600 second then 0 else 1 end st from events)
     select user_id, event_id, cast(sum(st) over (partition by user_id order by ts, event_id rows unbounded preceding) as bigint) session from e""")
 def win10_sessions(t: Tables) -> DataFrame:

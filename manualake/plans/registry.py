@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import table
 
 Tables = Callable[[str], DataFrame]
+#: White space of any kind, in DuckDB's regular expressions.
+WS = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 class Registry:

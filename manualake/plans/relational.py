@@ -154,11 +154,6 @@ def flt12_boilerplate_reject(t: Tables) -> DataFrame:
     return t("part_row").filter(F.col("description").isNotNull() & ~d.startswith("service manual") & ~d.isin("pos nr omschrijving aantal")).select("part_id").distinct()
 
 
-@query("""select topic_id from topic_text group by 1 having bool_or(length(coalesce(text, '')) >= 200)""")
-def flt15_any_language_has_body(t: Tables) -> DataFrame:
-    return t("topic_text").groupBy("topic_id").agg(F.bool_or(F.length(F.coalesce("text", F.lit(""))) >= 200).alias("ok")).filter("ok").select("topic_id")
-
-
 @query("select topic_id, kind, title from topic where kind in ('menu', 'safety') and doctype = 'um'")
 def flt17_optional_predicates(t: Tables) -> DataFrame:
     """Only the conditions that are given apply; their values are bound, not interpolated."""

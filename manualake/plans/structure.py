@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.layout import columns_of, list_entries, notes_and_rest, reading_order, reflow
+from ..operators.layout import columns_of, reading_order, reflow
 from ..operators.plates import read_plates
 from .registry import Registry, Tables
 
@@ -19,18 +19,6 @@ def win10_reflowed_paragraphs(t: Tables) -> DataFrame:
     return reflow(rows.select("text_id", F.posexplode(F.split("text", "\r?\n")).alias("i", "line")), by=["text_id"], order=["i"])
 
 
-@query()
-def str23_entries_of_lists(t: Tables) -> DataFrame:
-    return t("topic_text").select("text_id", list_entries(F.col("text")).alias("entries")).distinct()
-
-
-@query("""with x as (select distinct text_id, text from topic_text where text is not null), l as (select text_id, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '^\\s*(?i)(caution|warning|note|let op|achtung|attention)\\b')) n from x)
-    select text_id, len(n) n_notes from l""")
-def str22_notes(t: Tables) -> DataFrame:
-    split = notes_and_rest(F.col("text"), {"warning": ["caution", "warning", "achtung", "attention", "let op"], "note": ["note"]})
-    return t("topic_text").filter("text is not null").select("text_id", F.size(split["notes"]).cast("bigint").alias("n_notes")).distinct()
-
-
 @query()
 def srt14_reading_order(t: Tables) -> DataFrame:
     """Events of a user and day as boxes of a page."""
