@@ -10,7 +10,7 @@ from pyspark.ml.classification import RandomForestClassificationModel, RandomFor
 from pyspark.ml.feature import FeatureHasher, IndexToString, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -96,6 +96,14 @@ def unit_features(specs: DataFrame) -> DataFrame:
     )
 
 
+def smallest_hashes(rows: DataFrame, key: Column, bound: int) -> DataFrame:
+    """The bound rows with the smallest hash _h. Only some twice as many meet in one place, however many rows there are."""
+    rows = rows.withColumn("_h", F.xxhash64(key))
+    share = min(1.0, 2.0 * bound / max(1, rows.count()))
+    few = rows.filter(F.pmod("_h", F.lit(1 << 30)) < int(share * (1 << 30)))
+    return few.orderBy("_h").limit(bound)
+
+
 class UnitModel:
     """A random forest over unit_features whose confidence is calibrated by isotonic regression on held-out rows."""
 
@@ -112,8 +120,7 @@ class UnitModel:
     @classmethod
     def fit(cls, features: DataFrame, *, sample_bound: int = 20_000, trees: int = 30, depth: int = 12) -> UnitModel:
         """Fit on at most sample_bound labelled entries, those with the smallest hash; a fifth of them only calibrates."""
-        hashed = F.xxhash64("spec_id", "item_no")
-        known = features.filter("label is not null").withColumn("_h", hashed).orderBy("_h").limit(sample_bound)
+        known = smallest_hashes(features.filter("label is not null"), F.xxhash64("spec_id", "item_no"), sample_bound)
         known = cls._hashed(known).select("label", "features", "_h").persist()
         try:
             labels = StringIndexer(inputCol="label", outputCol="y", handleInvalid="skip").fit(known)

@@ -265,7 +265,7 @@ def arr7_rows_by_kind(t: Tables) -> DataFrame:
     return part_rows(t).groupBy(O.row_kind(F.col("cells")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query(f"""select drawing as page, n * 20 y, last_value(upper(trim(grp)) ignore nulls) over (partition by drawing order by n rows unbounded preceding) "group", nullif(trim(pos), '') pos, nullif(replace(trim(part_nr), ' ', ''), '') part_nr, nullif(trim(qty), '') qty from {_PARTS} where trim(part_nr) <> ''""")
+@query(f"""select * from (select drawing as page, n * 20 y, last_value(upper(trim(grp)) ignore nulls) over (partition by drawing order by n rows unbounded preceding) "group", nullif(trim(pos), '') pos, nullif(replace(trim(part_nr), ' ', ''), '') part_nr, nullif(trim(qty), '') qty from {_PARTS}) where part_nr is not null""")
 def win4_continuations_folded(t: Tables) -> DataFrame:
     """Parts with their second lines folded in, and the heading above them."""
     return O.folded_rows(part_rows(t), by=["page"]).filter("part_nr is not null").select("page", "y", "group", "pos", "part_nr", "qty")
