@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.units import smallest_hashes
 from ..session import cut
 from .canonical import table_form
 from .scan_noise import Layout, brand_words, header_residues, statistics, with_headers
@@ -307,7 +308,7 @@ def _headers(texts: DataFrame) -> Column:
 def fit_language_model(texts: DataFrame, layout: Layout, *, sample_bound: int = 3_000) -> LanguageModel:
     """Fit on the sample_bound labelled texts of texts (text_id, lang, text) whose ids have the least hashes."""
     known = texts.select("text_id", normal_label(F.col("lang")).alias("lang"), "text", _headers(texts).alias("headers")).filter(F.col("lang").isin(*LANGUAGES) & (F.length("text") > 0))
-    rows = known.orderBy(F.xxhash64("text_id"), "text").limit(sample_bound).select("lang", "text", "headers").collect()
+    rows = smallest_hashes(known, F.struct("text_id", "text"), sample_bound).select("lang", "text", "headers").collect()
     return LanguageModel.fit([(r.lang, clean(r.text, layout, r.headers)) for r in rows])
 
 
