@@ -329,7 +329,8 @@ def folded_rows(rows: DataFrame, *, by: Sequence[str]) -> DataFrame:
     first = {c: F.min_by(c, "y").alias(c) for c in ("drawing", "pos", "stock", "group", "_kind")}
     out = rows.groupBy(*by, "_part").agg(F.min("y").alias("y"), ordered.alias("_l"), *first.values())
     joined = {c: F.array_join(F.filter(F.transform("_l", lambda x: x[c]), lambda x: x.isNotNull()), sep) for c, sep in (("part_nr", ""), ("description", " "))}  # noqa: B023
-    qty = F.try_element_at(F.filter(F.transform("_l", lambda x: x["qty"]), lambda x: x.isNotNull()), F.lit(1))
+    told = F.filter("_l", lambda x: x["qty"].isNotNull() & F.coalesce(x["part_nr"], x["description"]).isNotNull())
+    qty = F.try_element_at(told, F.lit(1))["qty"]
     return out.filter("_kind = 'part'").select(*by, "y", "group", "drawing", "pos", "stock", F.nullif(joined["part_nr"], F.lit("")).alias("part_nr"), qty.alias("qty"), F.nullif(joined["description"], F.lit("")).alias("description"))
 
 

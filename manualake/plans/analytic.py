@@ -14,7 +14,6 @@ from ..operators.dedup import content_duplicates, disambiguate, first_by, supers
 from ..operators.fuzzy import best_hits, occurrence_distance_udf, scan_numbers, scan_phrases
 from ..operators.search import INTENDED, bm25, postings, ranked
 from ..operators.windows import changed, forward_fill, gaps, islands, sessions
-from ..streaming.sightings import fold_plates, fold_sightings
 from .registry import Registry, Tables
 
 R = Registry()
@@ -520,19 +519,6 @@ def fzy3_occurrence_distance(t: Tables) -> DataFrame:
 # Streams, folded over stored frames
 
 
-@query()
-def stm2_sightings(t: Tables) -> DataFrame:
-    """Hits seen twice, or surely, within eight seconds of frames of a session."""
-    e = t("events").select(F.col("user_id").cast("string").alias("session"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("key"), (60 + F.col("event_id") % 40).cast("int").alias("confidence"))
-    return fold_sightings(e)
-
-
-@query()
-def stm8_plates(t: Tables) -> DataFrame:
-    e = t("events").select(F.col("user_id").cast("string").alias("session"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("code"), F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string")).alias("serial"))
-    return fold_plates(e)
-
-
 @query("""with e as (select user_id, event_id, ts, lead(ts) over (partition by user_id order by ts, event_id) nx from events) select user_id, event_id from e where nx is null or nx - ts > interval 600 second""")
 def stm10_debounced(t: Tables) -> DataFrame:
     """The last of events that follow each other within ten minutes."""

@@ -265,7 +265,9 @@ def arr7_rows_by_kind(t: Tables) -> DataFrame:
     return part_rows(t).groupBy(O.row_kind(F.col("cells")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query(f"""select * from (select drawing as page, n * 20 y, last_value(upper(trim(grp)) ignore nulls) over (partition by drawing order by n rows unbounded preceding) "group", nullif(trim(pos), '') pos, nullif(replace(trim(part_nr), ' ', ''), '') part_nr, nullif(trim(qty), '') qty from {_PARTS}) where part_nr is not null""")
+@query(f"""with p as (select drawing as page, n, last_value(upper(trim(grp)) ignore nulls) over w "group", nullif(trim(pos), '') pos, nullif(replace(trim(part_nr), ' ', ''), '') part_nr, case when trim(description) <> '' or trim(part_nr) <> '' then nullif(trim(qty), '') end qty,
+    count(nullif(trim(part_nr), '')) over w island from {_PARTS} window w as (partition by drawing order by n rows unbounded preceding))
+    select page, min(n) * 20 y, arg_min_null("group", n) "group", arg_min_null(pos, n) pos, arg_min(part_nr, n) part_nr, arg_min(qty, n) qty from p where island > 0 group by page, island""")
 def win4_continuations_folded(t: Tables) -> DataFrame:
     """Parts with their second lines folded in, and the heading above them."""
     return O.folded_rows(part_rows(t), by=["page"]).filter("part_nr is not null").select("page", "y", "group", "pos", "part_nr", "qty")

@@ -19,7 +19,7 @@ def test_time_to_live_and_pauses():
 
 
 def _shown(rows):
-    return {(r.session, round((r.ts - T0).total_seconds()), r.key, r.times, r.confidence) for r in rows}
+    return {(r.session, round((r.ts.replace(tzinfo=None) - T0).total_seconds()), r.key, r.times, r.confidence) for r in rows}
 
 
 def test_batch_fold(spark):
@@ -41,8 +41,26 @@ def test_stream_fold_keeps_state(spark, tmp_path):
     assert _shown(spark.read.parquet(str(sink)).collect()) == SHOWN
 
 
+def test_photos_taps_and_late_tables():
+    s = Sightings(live=75, photo=60)
+    assert s.event("photo", 0, []) == ([], False)
+    assert s.event("again", 1, [("a", 59)]) == ([], False)  # still nothing
+    assert s.event("again", 2, [("a", 61)]) == ([("a", 1, 61)], False)
+    assert s.event("live", 10, [("b", 99)]) == ([("a", 1, 61)], False)  # the photo stays for its time
+    assert s.event("live", 23, []) == ([("a", 1, 61)], False)  # and until a frame has a hit
+    assert s.event("live", 24, [("b", 99)]) == ([("b", 1, 99)], True)
+    assert s.event("live", 25, [("b", 99)]) == ([("b", 2, 99)], False)  # opens once
+    assert s.event("tap", 26, []) == ([], False) and not s.seen
+    t = Sightings()
+    t.load(s.dump())
+    assert t.opened and t.shown == []
+
+
 def test_plates(spark):
-    rows = [("s", 0, "A", None), ("s", 5, None, "1"), ("s", 6, "A", "2"), ("s", 8, "B", None), ("s", 90, None, "3")]
-    df = spark.createDataFrame([(s, T0 + timedelta(seconds=t), c, n) for s, t, c, n in rows], "session string, ts timestamp, code string, serial string")
+    # (seconds, plate, code, serial)
+    rows = [(0, True, "A", None), (5, True, None, "1"), (6, True, "A", "2"), (8, True, "B", None), (90, True, None, "3"), (100, False, None, None), (130, False, None, None), (131, True, "B", "4"), (200, True, None, None)]
+    df = spark.createDataFrame([("s", T0 + timedelta(seconds=t), p, c, n) for t, p, c, n in rows], "session string, ts timestamp, is_plate boolean, code string, serial string")
     got = sorted((r.plate, r.code, r.serial) for r in fold_plates(df).collect())
-    assert got == [(1, "A", "1"), (2, "B", None), (3, None, "3")]
+    # A pause of 82 s without frames ends nothing; a frame without a plate 40 s after the last one does.
+    assert got == [(1, "A", "1"), (2, "B", "3"), (3, "B", "4")]
+    assert fold_plates(df.limit(0)).count() == 0
