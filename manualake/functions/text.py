@@ -92,12 +92,20 @@ def clean(c: Column, conjunctions: Sequence[str] = ("and", "or", "en", "of", "un
     return strip(reduce(lambda x, s: F.regexp_replace(x, s[0], s[1]), steps, c))
 
 
-def fingerprint(c: Column, vocabulary: Sequence[str] = ()) -> Column:
-    """SHA-1 of a text without case, white space runs, trademark signs, and with the names of vocabulary made one."""
-    t = F.regexp_replace(F.lower(c), "[®™]", "")
+def normalised(c: Column, vocabulary: Sequence[str] = (), codes: str = "") -> Column:
+    """A text for comparison: lower case, document codes and trademark signs gone, the names of vocabulary made one, white
+    space collapsed."""
+    t = F.lower(c)
+    if codes:
+        t = F.regexp_replace(t, codes, "")
     if vocabulary:
-        t = F.regexp_replace(t, rf"(?U)\b(?:{'|'.join(map(str.lower, vocabulary))})\b", "@")
-    return F.sha1(collapse(t))
+        t = F.regexp_replace(t, rf"\b(?:{'|'.join(map(str.lower, vocabulary))})\b", "~")
+    return collapse(F.regexp_replace(t, "[®™]", ""))
+
+
+def fingerprint(c: Column, vocabulary: Sequence[str] = (), codes: str = "") -> Column:
+    """SHA-1 of the normalised text."""
+    return F.sha1(normalised(c, vocabulary, codes))
 
 
 def chapter(number: Column) -> Column:

@@ -24,22 +24,31 @@ def content_duplicates(docs: DataFrame, *, content: str, name: str, rank: Sequen
     return docs.join(best, content, "left").withColumn("duplicate_of", F.when(F.col("_best") != F.col(name), F.col("_best"))).drop("_best")
 
 
-def superseded(docs: DataFrame, *, keys: Sequence[str], name: str, order: Sequence[Column]) -> DataFrame:
-    """Adds newest and role: of rows with equal keys the last by order is `latest`, rows that tie with it in all but the
-    last ordering column are `duplicate`, the others `superseded`."""
-    struct = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], F.col(name).alias("_name"))
+def superseded(docs: DataFrame, *, keys: Sequence[str], name: str, order: Sequence[Column], then: Sequence[Column] = ()) -> DataFrame:
+    """Adds newest and role: of rows with equal keys the last by order, and by `then` among equals, is `latest`; rows that
+    tie with it in order are `duplicate`, the others `superseded`."""
+    then = [*then, F.col(name)]
+    struct = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], *[o.alias(f"_t{i}") for i, o in enumerate(then)], F.col(name).alias("_name"))
     last = docs.groupBy(*keys).agg(F.max(struct).alias("_last"))
     joined = docs.join(last, list(keys))
     same = F.lit(True)
-    for i, o in enumerate(order[:-1]):
+    for i, o in enumerate(order):
         same = same & o.eqNullSafe(F.col("_last")[f"_o{i}"])
     role = F.when(F.col("_last")["_name"] == F.col(name), "latest").when(same, "duplicate").otherwise("superseded")
     return joined.withColumn("newest", F.col("_last")["_name"]).withColumn("role", role).drop("_last")
 
 
 def disambiguate(df: DataFrame, *, key: str, candidates: Sequence[Column], order: Sequence[Column], fallback: Column) -> DataFrame:
-    """Adds unique_id: key, and where it is taken by an earlier row key with the first candidate that is not empty, else
-    with fallback."""
+    """Adds unique_id, which no two rows share.
+
+    The first row of a key keeps it. The others add the slug of the first candidate that is not empty and not in the
+    key already, else fallback; fallback too where the result is another row's; and a number where even that is taken.
+    order must decide ties."""
     nth = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    suffix = F.coalesce(*[F.nullif(c, F.lit("")) for c in candidates], fallback)
-    return df.withColumn("unique_id", F.when(nth == 1, F.col(key)).otherwise(F.concat_ws("-", F.col(key), suffix)))
+    slugs = [F.nullif(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), F.lit("")) for c in candidates]
+    suffix = F.coalesce(*[F.when(~F.contains(F.col(key), s), s) for s in slugs], fallback)
+    rows = df.withColumn("_later", nth > 1).withColumn("_c", F.when(nth == 1, F.col(key)).otherwise(F.concat_ws("-", F.col(key), suffix)))
+    again = F.row_number().over(Window.partitionBy("_c").orderBy("_later", *order))
+    rows = rows.withColumn("_r", F.when(F.col("_later") & (again > 1), F.concat_ws("-", F.col(key), fallback)).otherwise(F.col("_c")))
+    third = F.row_number().over(Window.partitionBy("_r").orderBy("_later", F.col("_c") != F.col("_r"), *order))
+    return rows.withColumn("unique_id", F.when(third == 1, F.col("_r")).otherwise(F.concat_ws("-", "_r", third.cast("string")))).drop("_later", "_c", "_r")

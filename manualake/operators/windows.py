@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+
 
 def forward_fill(df: DataFrame, value: Column, *, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """The last value that is not null, up to each row of its group."""
@@ -51,3 +53,17 @@ def sessions(df: DataFrame, *, by: Sequence[str], at: str, seconds: int, order:
     w = Window.partitionBy(*by).orderBy(at, *order)
     pause = F.col(at).cast("timestamp").cast("double") - F.lag(F.col(at).cast("timestamp").cast("double")).over(w)
     return islands(df.withColumn("_pause", pause), F.col("_pause").isNull() | (F.col("_pause") > seconds), by=by, order=[at, *order], name=name).drop("_pause")
+
+
+def distributed_rank(df: DataFrame, order: Sequence[str], *, name: str = "rank") -> DataFrame:
+    """Adds the place of each row in the total order by columns, from 1: rows are split by ranges and sorted within them,
+    and each range starts where those before it end. Only one count a range reaches the driver."""
+    sorted_ = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = sorted_.groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").collect()
+    before, total = {}, 0
+    for r in sizes:
+        before[r["_range"]] = total
+        total += r["n"]
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    start = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_range")) if before else F.lit(0)
+    return sorted_.withColumn(name, start.cast("bigint") + within).drop("_range")

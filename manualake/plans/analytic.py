@@ -1,7 +1,4 @@
-"""Aggregations, windows, scalar functions, search and matching over the knowledge base, each with its SQL.
-
-A query whose SQL keeps only rows of ASCII or Latin-1 has one beside it, ending in _whole, that runs over all rows and has no SQL.
-"""
+"""Aggregations, windows and scalar functions over the knowledge base, each with its SQL."""
 
 from __future__ import annotations
 
@@ -11,10 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..operators.dedup import content_duplicates, disambiguate, first_by, superseded
-from ..operators.fuzzy import best_hits, occurrence_distance_udf, scan_numbers, scan_phrases
-from ..operators.search import INTENDED, bm25, postings, ranked
-from ..operators.windows import changed, forward_fill, gaps, islands, sessions
-from .registry import Registry, Tables
+from ..operators.windows import changed, distributed_rank, forward_fill, gaps, islands, sessions
+from .registry import WS, Registry, Tables
 
 R = Registry()
 query, queries, oracle_sql = R.query, R.queries, R.oracle_sql
@@ -75,47 +70,87 @@ _VERSION = "coalesce(try_cast(regexp_extract({0}, '^(\\d+)(?:\\.(\\d+))?', 1) as
 
 
 @query(f"""
-    with d as (select distinct doc_id, brand, model_code, doctype, lang, {_VERSION.format('edition')} v, coalesce(doc_date, '') dt from document where brand is not null and model_code is not null and doctype is not null and lang is not null),
-    l as (select *, row_number() over (partition by brand, model_code, doctype, lang order by v desc, dt desc, doc_id desc) k, first_value(doc_id) over w newest, first_value(v) over w nv, first_value(dt) over w nd from d
-      window w as (partition by brand, model_code, doctype, lang order by v desc, dt desc, doc_id desc))
+    with d as (select distinct doc_id, doc_code, doctype, brand, model_code, brewer, cabinet_size, lang, edition, coalesce(doc_date, '') dt, pages, path, sha256, superseded_by is null live, {_VERSION.format('edition')} v from document),
+    u as (select * from d qualify sha256 is null or first_value(path) over (partition by sha256 order by live desc, pages desc, path) = path),
+    k as (select *, case when doc_code is not null then 'code|' || doc_code when doctype = 'pb' and brand is not null and model_code is not null then concat_ws('|', 'parts', brand, model_code, coalesce(brewer, '-'), coalesce(cabinet_size, '-'), coalesce(lang, '-')) end key from u),
+    l as (select *, first_value(doc_id) over w newest, first_value(v) over w nv, first_value(dt) over w nd from k where key is not null window w as (partition by key order by v desc, dt desc, coalesce(pages, -1) desc, doc_id desc))
     select doc_id, newest, case when doc_id = newest then 'latest' when v = nv and dt = nd then 'duplicate' else 'superseded' end role from l""")
 def agg8_editions(t: Tables) -> DataFrame:
-    keys = ["brand", "model_code", "doctype", "lang"]
-    d = t("document").dropna(subset=keys).select("doc_id", *keys, "edition", F.coalesce("doc_date", F.lit("")).alias("dt")).distinct()
-    out = superseded(d, keys=keys, name="doc_id", order=[X.version_key(F.col("edition")), F.col("dt"), F.col("doc_id")])
-    return out.select("doc_id", "newest", "role")
+    """Editions of one book, copies left out: by its document code, or for a parts book by what it is for and its language."""
+    cols = ["doc_id", "doc_code", "doctype", "brand", "model_code", "brewer", "cabinet_size", "lang", "edition", "pages", "path", "sha256"]
+    d = t("document").select(*cols, F.coalesce("doc_date", F.lit("")).alias("dt"), F.col("superseded_by").isNull().alias("live")).distinct()
+    rank = [(~F.col("live")).cast("int"), F.coalesce(-F.col("pages"), F.lit(1)), F.col("path")]
+    d = content_duplicates(d, content="sha256", name="path", rank=rank).filter("duplicate_of is null")
+    parts = (F.col("doctype") == "pb") & F.col("brand").isNotNull() & F.col("model_code").isNotNull()
+    given = F.concat_ws("|", F.lit("parts"), "brand", "model_code", *[F.coalesce(c, F.lit("-")) for c in ("brewer", "cabinet_size", "lang")])
+    d = d.withColumn("key", F.when(F.col("doc_code").isNotNull(), F.concat(F.lit("code|"), "doc_code")).when(parts, given)).filter("key is not null")
+    return superseded(d, keys=["key"], name="doc_id", order=[X.version_key(F.col("edition")), F.col("dt")], then=[F.coalesce("pages", F.lit(-1)), F.col("doc_id")]).select("doc_id", "newest", "role")
 
 
-@query("""select kind, coalesce(doctype, '') doctype, substr(sha1(trim(regexp_replace(lower(title), '\\s+', ' ', 'g'))), 1, 16) sig, count(*) n, min(topic_id) first from topic where title is not null and not regexp_matches(title, '[^\\x00-\\x7F]') group by all""")
-def agg9_fingerprint_groups(t: Tables) -> DataFrame:
-    rows = t("topic").filter(F.col("title").isNotNull() & ~F.col("title").rlike("[^\\x00-\\x7F]"))
-    return _fingerprint_groups(rows)
+BRANDS = "mondil fenno luxem orvo zendo belu haruk tamiq pyrel sarpo quenta kivra".split()
 
 
-@query()
-def agg9_fingerprint_groups_whole(t: Tables) -> DataFrame:
-    return _fingerprint_groups(t("topic").filter("title is not null"))
+def _norm(c: str) -> str:
+    low = f"regexp_replace(lower({c}), '[0-9][a-z][0-9]{{5}}', '', 'g')"
+    return f"trim(regexp_replace(regexp_replace(regexp_replace({low}, '\\b(?:{'|'.join(BRANDS)})\\b', '~', 'g'), '[®™]', '', 'g'), '{WS}+', ' ', 'g'))"
 
 
-def _fingerprint_groups(rows: DataFrame) -> DataFrame:
-    sig = F.substring(X.fingerprint(F.col("title")), 1, 16)
-    return rows.groupBy("kind", F.coalesce("doctype", F.lit("")).alias("doctype"), sig.alias("sig")).agg(F.count("*").alias("n"), F.min("topic_id").alias("first"))
 
+@query(f"select topic_id, {_norm('title')} norm from topic where title is not null")
+def str2_normalised_text(t: Tables) -> DataFrame:
+    """Titles without document codes, with all brands made one."""
+    return t("topic").filter("title is not null").select("topic_id", X.normalised(F.col("title"), BRANDS, r"[0-9][a-z][0-9]{5}").alias("norm"))
 
-@query("select topic_id, lower(lang) lang, min(text_id) text_id from topic_text where lang is not null group by 1, 2")
-def agg10_slots(t: Tables) -> DataFrame:
-    rows = t("topic_text").filter("lang is not null").select("topic_id", F.lower("lang").alias("lang"), "text_id")
-    return first_by(rows, ["topic_id", "lang"], [F.col("text_id")])
+
+@query(f"select topic_id, sha1({_norm('title')}) fingerprint from topic where title is not null")
+def str3_fingerprints(t: Tables) -> DataFrame:
+    return t("topic").filter("title is not null").select("topic_id", X.fingerprint(F.col("title"), BRANDS, r"[0-9][a-z][0-9]{5}").alias("fingerprint"))
+
+
+@query(f"""with r as (select topic_id, arg_min(text, struct_pack(o := case lower(lang) when 'en' then 0 when 'nl' then 1 else 2 end, i := text_id)) body from topic_text where text is not null and trim(text) <> '' group by 1)
+    select kind, coalesce(doctype, '') doctype, coalesce(section_no, '') number, substr(sha1({_norm('body')}), 1, 16) sig, count(*) n, min(topic_id) first from topic join r using (topic_id) group by all""")
+def agg9_fingerprint_groups(t: Tables) -> DataFrame:
+    """Topics of one kind, book and number whose reference texts, English first, are the same but for brands and codes."""
+    order = F.struct(F.when(F.lower("lang") == "en", 0).when(F.lower("lang") == "nl", 1).otherwise(2), "text_id")
+    body = t("topic_text").filter("text is not null and trim(text) <> ''").groupBy("topic_id").agg(F.min_by("text", order).alias("body"))
+    sig = F.substring(X.fingerprint(F.col("body"), BRANDS, r"[0-9][a-z][0-9]{5}"), 1, 16).alias("sig")
+    rows = t("topic").join(body, "topic_id").select("topic_id", "kind", F.coalesce("doctype", F.lit("")).alias("doctype"), F.coalesce("section_no", F.lit("")).alias("number"), sig)
+    return rows.groupBy("kind", "doctype", "number", "sig").agg(F.count("*").alias("n"), F.min("topic_id").alias("first"))
 
 
-@query("""select t_ || substr(md5(k), 1, 12) id, k, platforms, docs from (select 't_' t_, lower(t.title) k, list_sort(list_distinct(flatten(list(string_split(t.platforms, ','))))) platforms, list_sort(list(distinct x.doc_id))[1:12] docs
-    from topic t join topic_text x using (topic_id) where t.title is not null and x.doc_id is not null group by lower(t.title))""")
+@query("""with s as (select coalesce(doctype, '') doctype, unnest(string_split(coalesce(platforms, ''), ',')) platform, kind, coalesce(section_no, '') number, case when section_no is null then coalesce(t.title, '') else '' end title, lower(x.lang) lang, text_id from topic t join topic_text x using (topic_id) where x.lang is not null)
+    select doctype, platform, kind, number, title, lang, min(text_id) text_id from s group by all""")
+def agg10_slots(t: Tables) -> DataFrame:
+    """The first text of each slot (book, platform, kind, number, or the title where there is no number) and language."""
+    slot = ["doctype", "platform", "kind", "number", "title"]
+    topics = t("topic").select(
+        "topic_id", F.coalesce("doctype", F.lit("")).alias("doctype"), F.explode(F.split(F.coalesce("platforms", F.lit("")), ",")).alias("platform"), "kind",
+        F.coalesce("section_no", F.lit("")).alias("number"), F.when(F.col("section_no").isNull(), F.coalesce("title", F.lit(""))).otherwise("").alias("title"),
+    )
+    rows = topics.join(t("topic_text").filter("lang is not null").select("topic_id", F.lower("lang").alias("lang"), "text_id"), "topic_id")
+    return first_by(rows.select(*slot, "lang", "text_id"), [*slot, "lang"], [F.col("text_id")])
+
+
+@query(f"""with k as (select topic_id, {_norm('title')} k, platforms from topic where title is not null),
+    x as (select k.k, lower(x.lang) lang, arg_min(x.text_id, x.text_id) text_id from k join topic_text x using (topic_id) where x.lang is not null group by 1, 2)
+    select 't_' || substr(sha1(k), 1, 12) id, k, (select list_sort(list_distinct(flatten(list(string_split(p.platforms, ','))))) from k p where p.k = m.k and p.platforms is not null) platforms,
+    coalesce((select list_sort(list(distinct lower(trim(l.product_id)))) from k p join topic_product l using (topic_id) where p.k = m.k and l.product_id is not null), []) products,
+    coalesce((select list_sort(list(distinct lower(trim(s.doc_id)))) from k p join topic_source s using (topic_id) where p.k = m.k and s.doc_id is not null), []) docs,
+    coalesce((select list_sort(list(lang || '=' || text_id)) from x where x.k = m.k), []) payloads from (select distinct k from k) m""")
 def agg11_merge_topics(t: Tables) -> DataFrame:
-    rows = t("topic").join(t("topic_text").select("topic_id", "doc_id"), "topic_id").filter("title is not null and doc_id is not null")
-    merged = rows.groupBy(F.lower("title").alias("k")).agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("platforms", ","))))).alias("platforms"), F.slice(F.array_sort(F.collect_set("doc_id")), 1, 12).alias("docs")
-    )
-    return merged.select(F.concat(F.lit("t_"), F.substring(F.md5("k"), 1, 12)).alias("id"), "k", "platforms", "docs")
+    """Topics of one normalised title as one: all platforms, products and books, and the first text of each language."""
+    k = t("topic").filter("title is not null").select("topic_id", X.normalised(F.col("title"), BRANDS, r"[0-9][a-z][0-9]{5}").alias("k"), "platforms")
+    none = F.array().cast("array<string>")
+
+    def sets(name: str, column: str, out: str) -> DataFrame:
+        links = t(name).filter(F.col(column).isNotNull()).select("topic_id", F.lower(F.trim(column)).alias("v")).distinct()
+        return links.join(k.select("topic_id", "k"), "topic_id").groupBy("k").agg(F.array_sort(F.collect_set("v")).alias(out))
+
+    platforms = k.filter("platforms is not null").select("k", F.explode(F.split("platforms", ",")).alias("v")).groupBy("k").agg(F.array_sort(F.collect_set("v")).alias("platforms"))
+    texts = t("topic_text").filter("lang is not null").select("topic_id", F.lower("lang").alias("lang"), "text_id").join(k.select("topic_id", "k"), "topic_id")
+    texts = texts.groupBy("k", "lang").agg(F.min("text_id").alias("text_id")).groupBy("k").agg(F.array_sort(F.collect_list(F.concat("lang", F.lit("="), F.col("text_id").cast("string")))).alias("payloads"))
+    out = k.select("k").distinct().join(platforms, "k", "left").join(sets("topic_product", "product_id", "products"), "k", "left").join(sets("topic_source", "doc_id", "docs"), "k", "left").join(texts, "k", "left")
+    return out.select(F.concat(F.lit("t_"), F.substring(F.sha1("k"), 1, 12)).alias("id"), "k", "platforms", *[F.coalesce(c, none).alias(c) for c in ("products", "docs", "payloads")])
 
 
 @query("""with d as (select distinct doc_id, brand, model_code, brewer from document) select brand, model_code, list_sort(list(doc_id)) docs, max(brewer) brewer, arg_min(doc_id, doc_id) first_doc from d group by 1, 2""")
@@ -175,10 +210,14 @@ def agg24_parts_of_drawing(t: Tables) -> DataFrame:
     return rows.groupBy("drawing").agg(F.count_if(F.col("available") == 1).alias("n_parts"), F.when(F.size(numbers) > 0, numbers).alias("numbers"))
 
 
-@query("""select doctype, kind, list(topic_id order by section_no nulls first, topic_id) steps from topic group by 1, 2""")
+@query("""select doctype, kind, topic_id, row_number() over (partition by doctype, kind order by coalesce(section_no, ''), topic_id) step from topic""")
 def agg25_ordered_groups(t: Tables) -> DataFrame:
-    steps = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("section_no", F.lit("")).alias("o"), "topic_id"))), lambda x: x["topic_id"])
-    return t("topic").groupBy("doctype", "kind").agg(steps.alias("steps"))
+    """The place of each topic in its group, from one distributed order: no group is gathered in one place."""
+    rows = t("topic").select("doctype", "kind", "topic_id", F.coalesce("section_no", F.lit("")).alias("o"))
+    rows = distributed_rank(rows, ["doctype", "kind", "o", "topic_id"])
+    first = rows.groupBy("doctype", "kind").agg(F.min("rank").alias("first")).withColumnsRenamed({"doctype": "d", "kind": "k"})
+    same = F.col("doctype").eqNullSafe(F.col("d")) & F.col("kind").eqNullSafe(F.col("k"))
+    return rows.join(first, same).select("doctype", "kind", "topic_id", (F.col("rank") - F.col("first") + 1).alias("step"))
 
 
 @query("select kind, round(count(*) filter (where list_contains(string_split(languages, ','), 'nl')) / count(*), 6) share from topic group by 1")
@@ -220,10 +259,15 @@ def win10_sessions(t: Tables) -> DataFrame:
     return sessions(e, by=["user_id"], at="ts", seconds=3600, order=["event_id"]).select("user_id", "event_id", "session")
 
 
-@query("""select doc_id, case when row_number() over (partition by k order by doc_id) = 1 then k else k || '-' || coalesce(nullif(edition, ''), left(sha256, 6)) end unique_id from (select distinct doc_id, doctype || '-' || brand k, edition, sha256 from document where doctype is not null and brand is not null)""")
+@query("""with d as (select distinct doc_id, doctype || '-' || brand k, coalesce(edition, '') e, coalesce(doc_date, '') dt, coalesce(cast(pages as varchar), '') pg, left(sha256, 6) h from document where doctype is not null and brand is not null),
+    s as (select *, regexp_replace(e, '[^a-z0-9]+', '-', 'g') e2, regexp_replace(dt, '[^a-z0-9]+', '-', 'g') d2 from d), n as (select *, row_number() over (partition by k order by doc_id) nth from s),
+    c as (select *, case when nth = 1 then k when e2 <> '' and not contains(k, e2) then k || '-' || e2 when d2 <> '' and not contains(k, d2) then k || '-' || d2 when pg <> '' and not contains(k, pg) then k || '-' || pg else k || '-' || h end c from n),
+    r as (select *, case when nth = 1 then k when row_number() over (partition by c order by nth > 1, doc_id) > 1 then k || '-' || h else c end r from c)
+    select doc_id, case when row_number() over (partition by r order by nth > 1, c <> r, doc_id) = 1 then r else r || '-' || row_number() over (partition by r order by nth > 1, c <> r, doc_id) end unique_id from r""")
 def win13_unique_ids(t: Tables) -> DataFrame:
-    rows = t("document").filter("doctype is not null and brand is not null").select("doc_id", F.concat_ws("-", "doctype", "brand").alias("k"), "edition", "sha256").distinct()
-    return disambiguate(rows, key="k", candidates=[F.col("edition")], order=[F.col("doc_id")], fallback=F.left("sha256", F.lit(6))).select("doc_id", "unique_id")
+    rows = t("document").filter("doctype is not null and brand is not null").select("doc_id", F.concat_ws("-", "doctype", "brand").alias("k"), "edition", "doc_date", "pages", "sha256").distinct()
+    candidates = [F.col("edition"), F.col("doc_date"), F.col("pages").cast("string")]
+    return disambiguate(rows, key="k", candidates=candidates, order=[F.col("doc_id")], fallback=F.left("sha256", F.lit(6))).select("doc_id", "unique_id")
 
 
 @query("""with d as (select distinct doc_id, brand, pages, doctype from document where pages is not null and brand is not null), w as (select *, first_value(pages) over (partition by brand order by doctype <> 'pb', pages desc) ref from d)
@@ -255,26 +299,25 @@ def win15_spelled_out(t: Tables) -> DataFrame:
 
 # Scalar functions
 
-_LATIN = "title is not null and not regexp_matches(title, '[^\\x00-\\x7Fà-ÿÀ-ÖØ-ß]')"
+def _compatible() -> str:
+    """SQL of a map from the letters that a compatibility decomposition changes to what it leaves of them, made by rule."""
+    import unicodedata
 
+    pairs = []
+    for c in map(chr, [*range(0xA0, 0x3400), *range(0xF900, 0xFFF0)]):
+        d = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if d != c and d.isascii():
+            pairs.append((c, d.replace("'", "''")))
+    return "map {" + ", ".join(f"'{c}': '{d}'" for c, d in pairs) + "}"
 
-@query(f"select topic_id, trim(regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', '-', 'g'), '-') slug from topic where {_LATIN}")
-def str1_slug(t: Tables) -> DataFrame:
-    return t("topic").filter(F.col("title").isNotNull() & ~F.col("title").rlike("[^\\x00-\\x7Fà-ÿÀ-ÖØ-ß]")).select("topic_id", X.slug(F.col("title")).alias("slug"))
 
-
-@query()
-def str1_slug_whole(t: Tables) -> DataFrame:
+@query(f"""with m as (select {_compatible()} m) select topic_id, trim(regexp_replace(lower(array_to_string(list_transform(string_split(strip_accents(title), ''), lambda c: case when c <= '~' then c else coalesce(m.m[c], c) end), '')), '[^a-z0-9]+', '-', 'g'), '-') slug from topic, m where title is not null""")
+def str1_slug(t: Tables) -> DataFrame:
     return t("topic").filter("title is not null").select("topic_id", X.slug(F.col("title")).alias("slug"))
 
 
-@query(f"select topic_id, {_SEARCH.format('title')} k from topic where {_LATIN}")
+@query(f"select topic_id, {_SEARCH.format('title')} k from topic where title is not null")
 def str35_search_key(t: Tables) -> DataFrame:
-    return t("topic").filter(F.col("title").isNotNull() & ~F.col("title").rlike("[^\\x00-\\x7Fà-ÿÀ-ÖØ-ß]")).select("topic_id", X.search_key(F.col("title")).alias("k"))
-
-
-@query()
-def str35_search_key_whole(t: Tables) -> DataFrame:
     return t("topic").filter("title is not null").select("topic_id", X.search_key(F.col("title")).alias("k"))
 
 
@@ -283,13 +326,8 @@ def str37_plain_key(t: Tables) -> DataFrame:
     return t("topic").select("topic_id", X.plain_key(F.col("title")).alias("k"))
 
 
-@query("select topic_id, regexp_replace(lower(title), '[^a-z0-9_]+', '', 'g') k from topic where title is not null and not regexp_matches(title, '[^\\x00-\\x7F]')")
+@query("select topic_id, regexp_replace(lower(title), '[^\\p{L}\\p{N}_]+', '', 'g') k from topic where title is not null")
 def str34_match_key(t: Tables) -> DataFrame:
-    return t("topic").filter(F.col("title").isNotNull() & ~F.col("title").rlike("[^\\x00-\\x7F]")).select("topic_id", X.match_key(F.col("title")).alias("k"))
-
-
-@query()
-def str34_match_key_whole(t: Tables) -> DataFrame:
     return t("topic").filter("title is not null").select("topic_id", X.match_key(F.col("title")).alias("k"))
 
 
@@ -318,13 +356,8 @@ def str32_split_id(t: Tables) -> DataFrame:
     return t("product").select("product_id", F.substring_index("product_id", ".", 1).alias("brand"), F.substring_index("product_id", ".", -1).alias("code"))
 
 
-@query("""select topic_id, case when regexp_matches(lower(title), 'fault|storing|störung|défaut|fejl') then 'fault' when regexp_matches(lower(title), 'clean|reinig|nettoy|rengør') then 'cleaning' else 'other' end category from topic where title is not null and not regexp_matches(title, '[^\\x00-\\xFF]')""")
+@query("""select topic_id, case when regexp_matches(lower(title), 'fault|storing|störung|défaut|fejl') then 'fault' when regexp_matches(lower(title), 'clean|reinig|nettoy|rengør') then 'cleaning' else 'other' end category from topic where title is not null""")
 def str26_ordered_rules(t: Tables) -> DataFrame:
-    return t("topic").filter(F.col("title").isNotNull() & ~F.col("title").rlike("[^\\x00-\\xFF]")).select("topic_id", _category(F.lower("title")).alias("category"))
-
-
-@query()
-def str26_ordered_rules_whole(t: Tables) -> DataFrame:
     return t("topic").filter("title is not null").select("topic_id", _category(F.lower("title")).alias("category"))
 
 
@@ -371,10 +404,12 @@ def dat4_built(t: Tables) -> DataFrame:
     return t("events").select("event_id", X.built(serial).alias("b"))
 
 
-@query("""with m as (select topic_id, map_from_entries(list((lower(lang), coalesce(title, '')) order by text_id)) m from (select topic_id, lang, min_by(title, text_id) title, min(text_id) text_id from topic_text where lang in ('en', 'nl', 'de', 'fr', 'da') group by 1, 2) group by 1)
-    select topic_id, list_filter(list_concat([m['nl'], m['en'], m['de']], list_transform(list_sort(map_keys(m)), lambda k: m[k])), lambda x: x is not null and x <> '')[1] title from m""")
+@query("""with r as (select topic_id, regexp_extract(lower(trim(lang)), '^[a-z]{2,3}') lang, arg_min_null(title, text_id) title from topic_text where regexp_matches(lower(trim(lang)), '^[a-z]{2,3}([-_]|$)') group by 1, 2)
+    select topic_id, arg_min(title, struct_pack(o := coalesce(list_position(['nl', 'en', 'de'], lang), 99), l := lang)) filter (where title is not null and title <> '') title from r group by 1""")
 def map1_pick_language(t: Tables) -> DataFrame:
-    rows = t("topic_text").filter(F.col("lang").isin("en", "nl", "de", "fr", "da")).groupBy("topic_id", "lang").agg(F.coalesce(F.min_by("title", "text_id"), F.lit("")).alias("title"))
+    """The first title by order of languages, region and case of a label aside."""
+    lang = F.lower(F.trim("lang"))
+    rows = t("topic_text").filter(lang.rlike("^[a-z]{2,3}([-_]|$)")).groupBy("topic_id", F.regexp_extract(lang, "^[a-z]{2,3}", 0).alias("lang")).agg(F.min_by("title", "text_id").alias("title"))
     by_lang = rows.groupBy("topic_id").agg(F.map_from_entries(F.collect_list(F.struct("lang", "title"))).alias("m"))
     return by_lang.select("topic_id", X.pick(F.col("m"), ["nl", "en", "de"]).alias("title"))
 
@@ -403,119 +438,6 @@ def arr2_any_all_count(t: Tables) -> DataFrame:
     )
 
 
-# Search and matching
-
-
-def _search_rows(t: Tables) -> DataFrame:
-    body = t("topic_text").groupBy("topic_id").agg(F.min("text").alias("body"))
-    return t("topic").join(body, "topic_id").select(F.col("topic_id").alias("ref"), "kind", "title", "body")
-
-
-_ROWS = "select topic_id ref, kind, t.title, b.body from topic t join (select topic_id, min(text) body from topic_text group by 1) b using (topic_id)"
-
-
-def _bm25_sql(prefixes: list[str], title: float, body: float, limit: int = 25) -> str:
-    cols = ", ".join(f"len(list_filter(tt, lambda x: starts_with(x, '{p}'))) t{i}, len(list_filter(bt, lambda x: starts_with(x, '{p}'))) b{i}" for i, p in enumerate(prefixes))
-    idf = [f"case when ln((n - d{i} + 0.5) / (d{i} + 0.5)) <= 0 then 1e-6 else ln((n - d{i} + 0.5) / (d{i} + 0.5)) end" for i in range(len(prefixes))]
-    f = [f"({title} * t{i} + {body} * b{i})" for i in range(len(prefixes))]
-    score = " - ".join(["0.0", *[f"{idf[i]} * {f[i]} * 2.2 / ({f[i]} + 1.2 * (0.25 + 0.75 * dl / avg_dl))" for i in range(len(prefixes))]])
-    tok = "list_filter(string_split(trim(regexp_replace(lower(strip_accents(coalesce({}, ''))), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')"
-    return f"""
-    with r as ({_ROWS}), k as (select ref, {tok.format('title')} tt, {tok.format('body')} bt from r), c as (select ref, len(tt) + len(bt) dl, {cols} from k),
-    a as (select count(*) n, avg(dl) avg_dl, {', '.join(f'count(*) filter (where t{i} + b{i} > 0) d{i}' for i in range(len(prefixes)))} from c)
-    select ref, round({score}, 6) score from c, a where {' and '.join(f't{i} + b{i} > 0' for i in range(len(prefixes)))} order by 2, 1 limit {limit}"""
-
-
-def _ascii(t: Tables) -> DataFrame:
-    return _search_rows(t)
-
-
-@query(_bm25_sql(["filter", "pump"], 0.0, 8.0).replace(_ROWS, _ROWS + " where not regexp_matches(coalesce(t.title, '') || coalesce(b.body, ''), '[^\\x00-\\x7F]')"))
-def idx3_bm25_effective(t: Tables) -> DataFrame:
-    rows = _search_rows(t).filter(~F.concat(F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))).rlike("[^\\x00-\\x7F]"))
-    return bm25(rows, "filter pump", key="ref")
-
-
-@query()
-def idx3_bm25_effective_whole(t: Tables) -> DataFrame:
-    return bm25(_search_rows(t), "filter pump", key="ref")
-
-
-@query(_bm25_sql(["clean", "valve"], 8.0, 1.0).replace(_ROWS, _ROWS + " where not regexp_matches(coalesce(t.title, '') || coalesce(b.body, ''), '[^\\x00-\\x7F]')"))
-def idx3_bm25_intended(t: Tables) -> DataFrame:
-    rows = _search_rows(t).filter(~F.concat(F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))).rlike("[^\\x00-\\x7F]"))
-    return bm25(rows, "clean valve", key="ref", weights=INTENDED)
-
-
-@query()
-def idx3_bm25_intended_whole(t: Tables) -> DataFrame:
-    return bm25(_search_rows(t), "clean valve", key="ref", weights=INTENDED)
-
-
-@query("""select ref, term, count(*) tf from (select topic_id ref, unnest(list_filter(string_split(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) term from topic where title is not null and not regexp_matches(title, '[^\\x00-\\x7F]')) group by 1, 2""")
-def idx1_postings(t: Tables) -> DataFrame:
-    rows = t("topic").filter(F.col("title").isNotNull() & ~F.col("title").rlike("[^\\x00-\\x7F]")).select(F.col("topic_id").alias("ref"), "title")
-    return postings(rows, key=["ref"], columns=["title"]).select("ref", "term", "tf")
-
-
-@query()
-def idx1_postings_whole(t: Tables) -> DataFrame:
-    rows = t("topic").filter("title is not null").select(F.col("topic_id").alias("ref"), "title")
-    return postings(rows, key=["ref"], columns=["title"]).select("ref", "term", "tf")
-
-
-def _score_sql(h: str, words: list[str]) -> str:
-    each = " + ".join(f"(case when instr({h}, '{w}') = 0 then null when {h} = '{w}' then 60 when instr({h}, '{w}') = 1 then 40 when substr({h}, instr({h}, '{w}') - 1, 1) = ' ' then 25 else 10 end)" for w in words)
-    return f"(({each}) * 1000 // (40 + least(length({h}), 1200)))"
-
-
-@query(f"""with r as (select topic_id ref, {_SEARCH.format('title')} t from topic where {_LATIN}) select ref, {_score_sql('t', ['water', 'filter'])} * 3 score from r where {_score_sql('t', ['water', 'filter'])} is not null order by 2 desc, 1 limit 60""")
-def idx6_ranked_search(t: Tables) -> DataFrame:
-    rows = t("topic").filter(F.col("title").isNotNull() & ~F.col("title").rlike("[^\\x00-\\x7Fà-ÿÀ-ÖØ-ß]"))
-    return ranked(rows, "Water filter", key="topic_id", title="title")
-
-
-@query()
-def idx6_ranked_search_whole(t: Tables) -> DataFrame:
-    return ranked(t("topic").filter("title is not null"), "Water filter", key="topic_id", title="title")
-
-
-@query("""select part_nr, part_id from (select part_nr, part_id, row_number() over (partition by part_nr order by cast(substr(part_id, 2) as bigint)) k from part_row where part_nr is not null) where k = 1""")
-def idx9_first_in_order(t: Tables) -> DataFrame:
-    rows = t("part_row").filter("part_nr is not null").select("part_nr", "part_id", F.substring("part_id", 2, 20).cast("bigint").alias("n"))
-    return first_by(rows, ["part_nr"], [F.col("n")]).select("part_nr", "part_id")
-
-
-@query("""with l as (select distinct part_id frame, translate(upper(part_nr), '01', 'OI') line from part_row where part_nr is not null), p as (select distinct part_nr, translate(upper(part_nr), 'OQDIL|SBZG-. ', '0001115826') k from part_row where part_nr is not null)
-    select frame, line token, part_nr, case when upper(part_nr) = line then 100 else 80 end confidence from l join p on translate(line, 'OQDIL|SBZG-. ', '0001115826') = p.k where regexp_full_match(line, '[A-Z0-9.-]{4,19}')""")
-def fzy1_scanned_numbers(t: Tables) -> DataFrame:
-    """Numbers misread as letters still meet their part."""
-    lines = t("part_row").filter("part_nr is not null").select(F.col("part_id").alias("frame"), F.translate(F.upper("part_nr"), "01", "OI").alias("line")).distinct()
-    return scan_numbers(lines, t("part_row"))
-
-
-@query()
-def fzy3_scanned_phrases(t: Tables) -> DataFrame:
-    """Titles of faults in texts as frames, best eight a frame."""
-    frames = t("topic_text").filter("text is not null").select(F.col("text_id").alias("frame"), "text").dropDuplicates(["frame"])
-    hits = scan_phrases(frames, t("topic").filter("kind = 'fault' and title is not null").select(F.col("title").alias("phrase")))
-    return best_hits(hits, key="phrase", least=75)
-
-
-@query("""with w as (select distinct unnest(regexp_extract_all(lower(title), '[a-z]{5,}')) w from topic where title is not null)
-    select a.w a, b.w b from w a join w b on a.w < b.w and abs(length(a.w) - length(b.w)) <= 2 and levenshtein(a.w, b.w) <= case when length(a.w) >= 9 then 2 when length(a.w) >= 6 then 1 else 0 end""")
-def fzy5_near_words(t: Tables) -> DataFrame:
-    """Near words of the titles meet through a shared run of two letters."""
-    w = t("topic").select(F.explode(F.regexp_extract_all(F.lower("title"), F.lit("([a-z]{5,})"), 1)).alias("a")).distinct()
-    grams = w.withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("a") - 1), lambda i: F.substr("a", i, F.lit(2))))))
-    return grams.join(grams.withColumnRenamed("a", "b"), "g").filter((F.col("a") < F.col("b")) & X.near(F.col("a"), F.col("b"))).select("a", "b").distinct()
-
-
-@query()
-def fzy3_occurrence_distance(t: Tables) -> DataFrame:
-    return t("topic").filter("title is not null").select("topic_id", occurrence_distance_udf(F.lit("water filter"), F.lower("title")).alias("distance"))
-
-
 # Streams, folded over stored frames
 
 

@@ -7,7 +7,7 @@ from manualake.operators.dedup import content_duplicates, disambiguate, first_by
 from manualake.operators.fuzzy import best_hits, occurrence_distance, occurrence_distances, scan_numbers, scan_phrases
 from manualake.operators.joins import as_of_join, guarded_narrowing, range_join, salted_join, upsert
 from manualake.operators.search import bm25, ranked
-from manualake.operators.windows import anchored_clusters, gaps, sessions
+from manualake.operators.windows import anchored_clusters, distributed_rank, gaps, sessions
 
 
 def one(spark, column, **values):
@@ -34,10 +34,19 @@ def test_choice_and_dedup(spark):
     assert {r.n: r.duplicate_of for r in content_duplicates(df, content="h", name="n", rank=[F.col("r")]).collect()} == {"a": None, "b": "a", "c": None, "d": None}
     assert sorted(tuple(r) for r in first_by(df, ["h"], [F.col("r")]).select("n").collect()) == [("a",), ("c",), ("d",)]
     ed = spark.createDataFrame([("k", "1.2", "x"), ("k", "1.10", "y"), ("k", "1.10", "z"), ("q", None, "w")], "k string, v string, n string")
-    roles = {r.n: r.role for r in superseded(ed, keys=["k"], name="n", order=[X.version_key(F.col("v")), F.col("n")]).collect()}
+    roles = {r.n: r.role for r in superseded(ed, keys=["k"], name="n", order=[X.version_key(F.col("v"))]).collect()}
     assert roles == {"x": "superseded", "y": "duplicate", "z": "latest", "w": "latest"}
     ids = disambiguate(df.filter("h = 'h'"), key="h", candidates=[F.lit("")], order=[F.col("n")], fallback=F.col("n"))
     assert {r.n: r.unique_id for r in ids.collect()} == {"a": "h", "b": "h-b"}
+    same = spark.createDataFrame([("h", str(i), "s1") for i in range(5)] + [("h-s1", "6", "q")], "h string, n string, s string")
+    ids = disambiguate(same, key="h", candidates=[F.col("s")], order=[F.col("n")], fallback=F.lit("s1")).select("unique_id")
+    assert ids.distinct().count() == 6
+
+
+def test_distributed_rank(spark):
+    df = spark.range(500).select((F.col("id") * 7 % 500).alias("a"), F.lit("x").alias("b")).repartition(7)
+    assert all(r["rank"] == r.a + 1 for r in distributed_rank(df, ["b", "a"]).collect())
+    assert distributed_rank(df.limit(0), ["a"]).count() == 0
 
 
 def test_joins(spark):
