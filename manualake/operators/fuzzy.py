@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -71,15 +72,26 @@ def occurrence_distance_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> I
         yield pd.Series(out, dtype="Int32")
 
 
-def scan_numbers(lines: DataFrame, parts: DataFrame) -> DataFrame:
-    """Tokens of lines (frame, line) that read as part numbers (part_nr): an equi-join on the confusion-folded key.
+def number_tokens(text: Column) -> Column:
+    """The distinct tokens of a text, in upper case, that may be part numbers: five to nineteen letters, digits, points and
+    hyphens, a letter or digit first."""
+    return F.filter(F.array_distinct(F.regexp_extract_all(F.upper(text), F.lit(r"([0-9A-Z][0-9A-Z.\-]{3,18})"), 1)), lambda x: F.length(x) >= 5)
 
-    Rows (frame, token, part_nr, confidence): 100 where the token is the number without case, else 80."""
-    token = F.explode(F.array_distinct(F.regexp_extract_all(F.upper("line"), F.lit(r"([A-Z0-9][A-Z0-9.\-]{3,18})"), 1)))
-    tokens = lines.select("frame", token.alias("token")).filter((F.length("token") >= 5) | F.col("token").rlike("[0-9]")).withColumn("_k", ocr_key(F.col("token")))
-    known = parts.select("part_nr").filter("part_nr is not null").distinct().withColumn("_k", ocr_key(F.col("part_nr")))
-    found = tokens.join(known, "_k").withColumn("confidence", F.when(F.upper("part_nr") == F.col("token"), 100).otherwise(80))
-    return found.select("frame", "token", "part_nr", "confidence").distinct()
+
+def scan_numbers(lines: DataFrame, parts: DataFrame, *, machine: str | None = None) -> DataFrame:
+    """Tokens of lines (frame, line) that read as part numbers: an equi-join on the confusion-folded key.
+
+    Rows (frame, token, part_nr, confidence): 100 where any part of that key has the token as its number, case aside,
+    else 80. Of the parts (part_nr, and machine and ord where they have them) of a key the first of the given machine is
+    named, else the first."""
+    tokens = lines.select("frame", F.explode(number_tokens(F.col("line"))).alias("token")).distinct().withColumn("_k", ocr_key(F.col("token")))
+    given = [c for c in ("machine", "ord") if c in parts.columns]
+    known = parts.select("part_nr", *given).filter("part_nr is not null and part_nr <> ''").withColumn("_k", ocr_key(F.col("part_nr")))
+    other = F.coalesce(F.col("machine") != machine, F.lit(True)) if "machine" in given and machine else F.lit(False)
+    order = F.struct(other.alias("o"), *([F.col("ord")] if "ord" in given else []), F.col("part_nr"))
+    by_key = known.groupBy("_k").agg(F.min_by("part_nr", order).alias("part_nr"), F.collect_set(F.upper("part_nr")).alias("_all"))
+    found = tokens.join(by_key, "_k").withColumn("confidence", F.when(F.array_contains("_all", F.col("token")), 100).otherwise(80))
+    return found.select("frame", "token", "part_nr", "confidence")
 
 
 def budget(key: str) -> int:
@@ -103,8 +115,12 @@ class PhraseScanner:
             cuts = [len(key) * x // n for x in range(n + 1)]
             for b, e in zip(cuts, cuts[1:]):
                 pieces.setdefault(key[b:e], []).append((i, b))
-        self.number = {x: n for n, x in enumerate(pieces)}
-        self.lengths = sorted({len(x) for x in pieces})
+        # One pass over a text finds all pieces in it.
+        self.pieces = ahocorasick.Automaton()
+        for n, x in enumerate(pieces):
+            self.pieces.add_word(x, (n, len(x)))
+        if pieces:
+            self.pieces.make_automaton()
         self.count = np.array([len(x) for x in pieces.values()], dtype=np.int64)
         self.first = np.cumsum(self.count) - self.count
         self.owner = np.array([i for x in pieces.values() for i, _ in x], dtype=np.int64)
@@ -123,13 +139,12 @@ class PhraseScanner:
     def scan(self, texts: list[str], longest: int) -> list[tuple[int, int, int]]:
         """Triples (text, key, confidence): 98 where the text contains the key, 92 within its budget of edits (ten
         letters, texts up to longest)."""
-        number, of, at, piece = self.number, [], [], []
-        for f, text in enumerate(texts):
-            for n in self.lengths:
-                for q in range(len(text) - n + 1):
-                    x = number.get(text[q : q + n])
-                    if x is not None:
-                        of.append(f), at.append(q), piece.append(x)
+        of: list[int] = []
+        at: list[int] = []
+        piece: list[int] = []
+        for f, text in enumerate(texts if len(self.pieces) else ()):
+            for end, (n, size) in self.pieces.iter(text):
+                of.append(f), at.append(end - size + 1), piece.append(n)
         if not of:
             return []
         x = np.array(piece)
@@ -177,50 +192,83 @@ class PhraseScanner:
         return out
 
 
-def scan_phrases(frames: DataFrame, phrases: DataFrame, *, longest: int = 4_000) -> DataFrame:
+#: Words that say nothing about a message.
+STOP = "machine koffiemachine coffee niet the een van voor door worden wordt deze your please with".split()
+
+
+def long_words(plain: Column, stop: Sequence[str] = ()) -> Column:
+    """The distinct words of a plain text that have four letters or more and say something."""
+    words = F.array_distinct(F.filter(F.split(plain, " "), lambda x: F.length(x) >= 4))
+    return F.array_except(words, F.array(*[F.lit(x) for x in stop])) if stop else words
+
+
+def scan_phrases(frames: DataFrame, phrases: DataFrame, *, longest: int = 4_000, busiest: int = 400, block: int = 50_000) -> DataFrame:
     """Phrases (phrase) in frames (frame, text): rows (frame, phrase, confidence).
 
     98 where the frame contains the phrase (six letters), 92 where it does within an eighth of its length in edits (ten
-    letters; frames up to longest), 80 where four fifths of its four or more long words are nearly there. No such pair
-    is lost: the first two come from PhraseScanner, to which the phrases are sent; the last from words that meet
-    through a shared run of two letters."""
+    letters; frames up to longest), 80 where four fifths of its four or more telling words are nearly there (frames of up
+    to busiest long words). No such pair is lost: the first two come from PhraseScanner, to which
+    the phrases are sent in blocks of some `block`; the last from near_words."""
     f = frames.select("frame", plain_key(F.col("text")).alias("text")).filter("text is not null")
     p = phrases.select("phrase", plain_key(F.col("phrase")).alias("key")).distinct().filter(F.length("key") >= 6)
 
-    def long_words(c: str) -> Column:
-        return F.array_distinct(F.filter(F.split(c, " "), lambda x: F.length(x) >= 4))
-
-    keys = sorted(r.key for r in p.select("key").distinct().collect())
     schema = T.StructType([f.schema["frame"], T.StructField("key", T.StringType()), T.StructField("confidence", T.IntegerType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = PhraseScanner(keys)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                found = scanner.scan(part.column(1).to_pylist(), longest)
-                ids = part.column(0).take(pa.array([x for x, _, _ in found], pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([keys[k] for _, k, _ in found], pa.string()), pa.array([c for _, _, c in found], pa.int32())], names=["frame", "key", "confidence"])
-
-    read = f.mapInArrow(run, schema).join(p, "key").select("frame", "phrase", "confidence")
-
-    fw = f.select("frame", F.explode(long_words("text")).alias("seen"))
-    pw = p.select("phrase", F.explode(long_words("key")).alias("word"), F.size(long_words("key")).alias("n")).filter("n >= 4")
-
-    def pieces(c: Column) -> Column:
-        """Runs of two letters: words within two edits of each other share one."""
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substr(c, i, F.lit(2))))
-
-    vocabulary, wanted = fw.select("seen").distinct(), pw.select("word").distinct()
-    close = (
-        vocabulary.withColumn("_p", F.explode(pieces(F.col("seen")))).join(wanted.withColumn("_p", F.explode(pieces(F.col("word")))), "_p")
-        .filter(near(F.col("word"), F.col("seen"))).select("seen", "word").distinct()
-    )
+    def reader(keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scanner = PhraseScanner(keys)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 200):
+                    part = batch.slice(at, 200)
+                    found = scanner.scan(part.column(1).to_pylist(), longest)
+                    ids = part.column(0).take(pa.array([x for x, _, _ in found], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([keys[k] for _, k, _ in found], pa.string()), pa.array([c for _, _, c in found], pa.int32())], names=["frame", "key", "confidence"])
+
+        return run
+
+    known = p.select("key").distinct()
+    blocks = 1 + known.count() // block
+    read = f.sparkSession.createDataFrame([], schema)
+    for n in range(blocks):
+        keys = sorted(r.key for r in known.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == n).collect())
+        read = read.unionAll(f.mapInArrow(reader(keys), schema)) if keys else read
+    read = read.join(p, "key").select("frame", "phrase", "confidence")
+
+    seen = f.select("frame", long_words(F.col("text")).alias("seen")).filter(F.size("seen") <= busiest)
+    fw = seen.select("frame", F.explode("seen").alias("seen"))
+    pw = p.select("phrase", long_words(F.col("key"), STOP).alias("words")).filter(F.size("words") >= 4).select("phrase", F.size("words").alias("n"), F.explode("words").alias("word"))
+    close = near_words(pw.select("word").distinct(), fw.select("seen").distinct())
     hits = fw.join(close, "seen").join(pw, "word").groupBy("frame", "phrase", "n").agg(F.countDistinct("word").alias("hits"))
     bags = hits.filter("hits * 100 / n >= 80").select("frame", "phrase", F.lit(80).alias("confidence"))
     return read.unionByName(bags).groupBy("frame", "phrase").agg(F.max("confidence").alias("confidence"))
 
 
+def deletions(word: Column, most: int) -> Column:
+    """The word with up to `most` of its letters left out: words within that many edits share one of them."""
+    out = F.array(word)
+    for _ in range(most):
+        shorter = F.flatten(F.transform(out, lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1, F.length(w))))))
+        out = F.array_distinct(F.concat(out, shorter))
+    return out
+
+
+def near_words(words: DataFrame, seen: DataFrame) -> DataFrame:
+    """Pairs (word, seen) of near words of words (word) and seen (seen), both distinct.
+
+    Words meet through the forms that are left when as many letters go as edits are allowed, two from nine letters on,
+    one from six, none below: an equi-join that loses no pair and brings few others together."""
+
+    def keyed(df: DataFrame, c: str) -> DataFrame:
+        size = F.length(c)
+        two, one = deletions(F.col(c), 2), deletions(F.col(c), 1)
+        # A word's own length sets the edits; the other may be up to two letters longer or shorter.
+        forms = F.when(size >= (9 if c == "word" else 7), two).when(size >= (6 if c == "word" else 5), one).otherwise(F.array(F.col(c)))
+        return df.select(c, F.explode(forms).alias("_k"))
+
+    met = keyed(words, "word").join(keyed(seen, "seen"), "_k").filter(near(F.col("word"), F.col("seen")))
+    return met.select("word", "seen").distinct()
+
+
 def best_hits(hits: DataFrame, *, key: str, least: int, limit: int = 8) -> DataFrame:
     """Of each frame the `limit` best hits of distinct keys with a confidence of least, ties by key."""
     top = hits.filter(F.col("confidence") >= least).groupBy("frame", key).agg(F.max("confidence").alias("confidence"))

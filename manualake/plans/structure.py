@@ -1,4 +1,4 @@
-"""Structure of texts and pages, and plates, over the knowledge base."""
+"""Structure of texts and pages over the knowledge base."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.layout import columns_of, reading_order, reflow
-from ..operators.plates import read_plates
 from .registry import Registry, Tables
 
 R = Registry()
@@ -32,11 +31,3 @@ def srt14_reading_order(t: Tables) -> DataFrame:
 def win7_columns(t: Tables) -> DataFrame:
     cells = t("events").select("user_id", F.col("value").alias("x")).distinct()
     return columns_of(cells, 100, by=["user_id"]).select("user_id", F.round("x", 6).alias("x"), "column")
-
-
-@query()
-def fzy7_plates(t: Tables) -> DataFrame:
-    """Texts as frames; the builds are those of one brand."""
-    frames = t("documents").select(F.col("doc_id").alias("frame"), "text")
-    rows = read_plates(frames, ["HPT", "TBF", "SCR", "VFK"])
-    return rows.select("frame", F.col("plate").isNotNull().alias("is_plate"), F.col("plate.build").alias("build"), F.col("plate.serial").alias("serial"))
