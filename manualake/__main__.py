@@ -1,4 +1,4 @@
-"""python -m manualake PATH meta | machines [BRAND] | documents PRODUCT | faults | menu | maintenance | part NUMBER | parts PRODUCT | drawings PRODUCT | search TEXT"""
+"""python -m manualake PATH meta | machines [BRAND] | documents PRODUCT | fault NUMBER | faults | menu [NUMBER] | maintenance | part NUMBER | parts PRODUCT | drawings PRODUCT | search TEXT"""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from .plans.knowledge_base import KnowledgeBase
 
-COMMANDS = ("meta", "machines", "documents", "faults", "menu", "maintenance", "part", "parts", "drawings", "search")
+COMMANDS = ("meta", "machines", "documents", "fault", "faults", "menu", "maintenance", "part", "parts", "drawings", "search")
 
 
 def main(args: list[str]) -> int:
@@ -17,7 +17,7 @@ def main(args: list[str]) -> int:
         return 2
     spark = SparkSession.builder.appName("manualake").getOrCreate()
     given = [" ".join(args[2:])] if args[2:] else []
-    getattr(KnowledgeBase(spark, args[0]), args[1])(*given).show(50, truncate=80)
+    getattr(KnowledgeBase(spark, args[0]), {"fault": "faults"}.get(args[1], args[1]))(*given).show(50, truncate=80)
     return 0
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,19 +38,53 @@ def xy_cut(boxes: Sequence[tuple[float, float, float, float]], gap_y: float = 6.
     return order(list(range(len(boxes))), depth)
 
 
+def _per_page(rows: DataFrame, page: Sequence[str], fields: Sequence[str], new: str, of: Callable[[list[dict]], list[int]]) -> DataFrame:
+    """Adds the column new, of(rows of a page) each: a page is one row of arrays, and many pages share a batch."""
+    pages = rows.groupBy(*page).agg(F.collect_list(F.struct(*[c for c in rows.columns if c not in page])).alias("_rows"))
+    numbered = pages.withColumn("_places", F.pandas_udf(lambda s: s.map(lambda r: of([{f: x[f] for f in fields} for x in r])), T.ArrayType(T.LongType()))("_rows"))
+    each = numbered.select(*page, F.explode(F.arrays_zip("_rows", "_places")).alias("_r"))
+    return each.select(*page, "_r._rows.*", F.col("_r._places").alias(new))
+
+
 def reading_order(blocks: DataFrame, page: Sequence[str] = ("doc_id", "page")) -> DataFrame:
-    """Adds place, the reading order of blocks (x0, y0, x1, y1) within their page; a page fits a task."""
-    schema = T.StructType([*blocks.schema.fields, T.StructField("place", T.IntegerType())])
+    """Adds place, the reading order of blocks (x0, y0, x1, y1) within their page; a page fits a row."""
+    sides = ("x0", "y0", "x1", "y1")
+
+    def places(rows: list[dict]) -> list[int]:
+        out = [0] * len(rows)
+        for k, i in enumerate(xy_cut([tuple(float(r[s]) for s in sides) for r in rows])):
+            out[i] = k
+        return out
+
+    return _per_page(blocks, page, sides, "place", places).withColumn("place", F.col("place").cast("int"))
+
+
+def merged_tiles(boxes: DataFrame, *, by: Sequence[str], key: str, reach: float) -> DataFrame:
+    """Adds tile, the least key of the boxes (x0, y0, x1, y1) of a page that lie within reach of each other, directly or
+    through others. A page fits a row; boxes meet only while a sweep from the left holds both."""
+
+    def tiles(rows: list[dict]) -> list[int]:
+        parent = list(range(len(rows)))
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.reset_index(drop=True)
-        boxes = list(rows[["x0", "y0", "x1", "y1"]].astype(float).itertuples(index=False, name=None))
-        place = pd.Series(0, index=rows.index, dtype="int32")
-        for k, i in enumerate(xy_cut(boxes)):
-            place[i] = k
-        return rows.assign(place=place)
+        held: list[int] = []
+        for i in sorted(range(len(rows)), key=lambda k: rows[k]["x0"]):
+            held = [j for j in held if rows[j]["x1"] + reach >= rows[i]["x0"]]
+            for j in held:
+                if rows[j]["y0"] - reach <= rows[i]["y1"] and rows[i]["y0"] - reach <= rows[j]["y1"]:
+                    parent[root(j)] = root(i)
+            held.append(i)
+        least: dict[int, int] = {}
+        for i, r in enumerate(rows):
+            least[root(i)] = min(least.get(root(i), r[key]), r[key])
+        return [least[root(i)] for i in range(len(rows))]
 
-    return blocks.groupBy(*page).applyInPandas(run, schema)
+    return _per_page(boxes, by, ("x0", "y0", "x1", "y1", key), "tile", tiles)
 
 
 def columns_of(cells: DataFrame, width: float, *, by: Sequence[str], x: str = "x", share: float = 0.12) -> DataFrame:
@@ -62,11 +96,11 @@ def columns_of(cells: DataFrame, width: float, *, by: Sequence[str], x: str = "x
 
 
 def nearest_header(cells: DataFrame, headers: DataFrame, *, by: Sequence[str], slack: float = 6.0) -> DataFrame:
-    """Each cell (x) with the right-most header (name, header_x) at or before x + slack; none is a null name."""
-    own = cells.withColumn("_cell", F.monotonically_increasing_id())
-    found = own.join(headers, list(by), "left").filter(F.col("header_x").isNull() | (F.col("header_x") <= F.col("x") + slack))
-    best = found.groupBy("_cell").agg(F.max_by("name", "header_x").alias("name"))
-    return own.join(best, "_cell", "left").drop("_cell")
+    """Each cell (x) with the right-most header (name, header_x) at or before x + slack; none is a null name. The headers
+    of a page travel as one array."""
+    heads = headers.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("header_x", "name"))).alias("_heads"))
+    found = F.try_element_at(F.filter("_heads", lambda h: h["header_x"] <= F.col("x") + slack), F.lit(-1))["name"]
+    return cells.join(heads, list(by), "left").withColumn("name", found).drop("_heads")
 
 
 def reflow(lines: DataFrame, *, by: Sequence[str], order: Sequence[str], text: str = "line") -> DataFrame:

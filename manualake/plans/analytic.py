@@ -375,7 +375,8 @@ def str5_clean(t: Tables) -> DataFrame:
     return t("topic_text").select("text_id", X.clean(F.col("text")).alias("text")).distinct()
 
 
-@query()
+@query(f"""with s as (select distinct text_id, regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') x from topic_text), h as (select text_id, regexp_replace(regexp_replace(split_part(x, chr(10), 1), '^[0-9]+(?:[.][0-9]+)*[.]?[ \\t\\f\\r\\x0b]+', ''), '^{WS}+|{WS}+$', '', 'g') h from s)
+    select distinct text_id, case when length(h) between 1 and 80 and not ends_with(h, '.') then h end heading from h""")
 def str29_heading(t: Tables) -> DataFrame:
     return t("topic_text").select("text_id", X.heading(F.col("text")).alias("heading")).distinct()
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import leading_int, natural_key
-from ..operators.search import EFFECTIVE, bm25, ranked
+from ..operators.inventory import picture_path
+from ..operators.search import numbers_first, search
 from ..session import table
 
 
@@ -54,11 +55,16 @@ class KnowledgeBase:
         shown = [F.coalesce(f"w_{c}", f"f_{c}").alias(c) for c in ("lang", "title", "text")]
         return rows.select("topic_id", "kind", "section_no", *shown).orderBy(natural_key(F.col("section_no")), "topic_id")
 
-    def faults(self, **more: str) -> DataFrame:
-        return self.topics(kind="fault", **more)
+    def faults(self, number: str | None = None, **more: str) -> DataFrame:
+        """Faults, or those of a section number."""
+        return self._numbered(self.topics(kind="fault", **more), number)
 
-    def menu(self, **more: str) -> DataFrame:
-        return self.topics(kind="menu", **more)
+    def menu(self, number: str | None = None, **more: str) -> DataFrame:
+        return self._numbered(self.topics(kind="menu", **more), number)
+
+    @staticmethod
+    def _numbered(rows: DataFrame, number: str | None) -> DataFrame:
+        return rows.filter(F.col("section_no").startswith(number)) if number else rows
 
     def components(self, **more: str) -> DataFrame:
         return self.topics(kind="component", **more)
@@ -85,18 +91,15 @@ class KnowledgeBase:
         return texts.dropDuplicates(["ref"]).join(self.table("topic").select("topic_id", "kind"), "topic_id")
 
     def search(self, text: str, *, limit: int = 25, kinds: Sequence[str] = (), lang: str | None = None, weights: dict[str, float] | None = None) -> DataFrame:
-        """Texts by BM25 over all of them, then by kind and language; smaller scores are better."""
-        rows = self._search_rows()
-        found = bm25(rows, text, key="ref", weights=EFFECTIVE if weights is None else weights, limit=None)
-        out = rows.select(F.col("ref").cast("string").alias("ref"), "kind", "lang", "title").join(found, "ref")
-        out = out.filter(F.col("kind").isin(*kinds)) if kinds else out
-        out = out.filter(F.col("lang") == lang) if lang else out
-        return out.orderBy("score", "ref").limit(limit)
+        """Texts by BM25 over all of them, then by kind and language, with a snippet; smaller scores are better."""
+        return search(self._search_rows(), text, kinds=kinds, lang=lang, weights=weights, limit=limit)
 
     def search_parts(self, text: str, product: str | None = None, limit: int = 120) -> DataFrame:
-        """Parts by number, which beats the description, or by description."""
+        """Parts by number, which beats the description, or by description and section."""
         rows = self.parts(product) if product else self.table("part_row")
-        rows = rows.select("part_id", "part_nr", "description").distinct()
-        by_nr = ranked(rows, text, key="part_id", title="part_nr", limit=limit).select("ref", (F.col("score") + 1_000).alias("score"))
-        by_text = ranked(rows, text, key="part_id", title="description", limit=limit)
-        return by_nr.unionAll(by_text).groupBy("ref").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "ref").limit(limit)
+        rows = rows.select("part_id", "part_nr", "description", "section").distinct()
+        return numbers_first(rows, text, key="part_id", number="part_nr", text=F.concat_ws(" ", "description", "section"), limit=limit)
+
+    def image_path(self, name: str) -> str:
+        """A path as it is, a bare hash as the path of its picture."""
+        return self.spark.range(1).select(picture_path(F.lit(name))).first()[0]

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..operators.dedup import first_by
+from ..operators.inventory import lookup
 from ..operators.joins import as_of_join, fallback_array, guarded_narrowing, range_join, upsert
+from ..operators.layout import merged_tiles
+from ..operators.windows import distributed_rank
+from ..sources.files import described_schema, with_defaults
 from .registry import Registry, Tables
 
 R = Registry()
@@ -41,15 +47,32 @@ def prj3_short_names(t: Tables) -> DataFrame:
     return once(t, "part_row", "part_id", "part_nr", "description", "pos", "qty").withColumnsRenamed({"part_id": "id", "part_nr": "nr", "description": "d", "pos": "p", "qty": "q"})
 
 
+@query("""with x as (select topic_id, lower(lang) lang, title, text_id from topic_text where lang is not null and title is not null and title <> ''),
+    p as (select topic_id, arg_min(struct_pack(title := title, lang := lang), struct_pack(o := case lang when 'nl' then 0 when 'en' then 1 else 2 end, i := text_id)) p from x group by 1)
+    select t.topic_id, kind, section_no as number, coalesce(p.p.title, t.title) title, p.p.lang title_lang, coalesce((select list_sort(list(distinct lower(trim(doc_id)))) from topic_source s where s.topic_id = t.topic_id and doc_id is not null), []) sources from topic t left join p using (topic_id)""")
+def prj4_common_projection(t: Tables) -> DataFrame:
+    """What all kinds show: the title by order of languages, and the books it comes from."""
+    lang = F.lower("lang")
+    rank = F.struct(F.when(lang == "nl", 0).when(lang == "en", 1).otherwise(2), "text_id")
+    titles = t("topic_text").filter("lang is not null and title is not null and title <> ''").groupBy("topic_id").agg(F.min_by(F.struct("title", lang.alias("lang")), rank).alias("p"))
+    sources = t("topic_source").filter("doc_id is not null").groupBy("topic_id").agg(F.array_sort(F.collect_set(F.lower(F.trim("doc_id")))).alias("sources"))
+    rows = t("topic").join(titles, "topic_id", "left").join(sources, "topic_id", "left")
+    return rows.select("topic_id", "kind", F.col("section_no").alias("number"), F.coalesce("p.title", "title").alias("title"), F.col("p.lang").alias("title_lang"), F.coalesce("sources", F.array().cast("array<string>")).alias("sources"))
+
+
+_COLLECTIONS = {"fault": "faults", "menu": "menu", "component": "components", "procedure": "procedures", "spec": "specs", "safety": "safety", "view": "views"}
+
+
 @query("""
     with x as (select topic_id, list_sort(list(distinct lower(lang) || '=' || coalesce(title, ''))) titles from topic_text where lang is not null group by 1)
-    select kind, topic_id, t.title, coalesce(x.titles, []) titles from topic t left join x using (topic_id) where kind not in ('drawing', 'maintenance_step')""")
+    select case kind when 'fault' then 'faults' when 'menu' then 'menu' when 'component' then 'components' when 'procedure' then 'procedures' when 'spec' then 'specs' when 'safety' then 'safety' when 'view' then 'views' else 'other' end collection, topic_id, t.title, coalesce(x.titles, []) titles
+    from topic t left join x using (topic_id) where kind not in ('drawing', 'maintenance_step')""")
 def prj5_collections_by_kind(t: Tables) -> DataFrame:
-    """One scan of topics feeds every kind; each row has its texts by language."""
+    """One scan of topics feeds eight collections; each row has its titles by language."""
     by_lang = t("topic_text").filter("lang is not null").groupBy("topic_id").agg(F.array_sort(F.collect_set(F.concat(F.lower("lang"), F.lit("="), F.coalesce("title", F.lit(""))))).alias("titles"))
     empty = F.array().cast("array<string>")
     rows = t("topic").filter(~F.col("kind").isin("drawing", "maintenance_step")).join(by_lang, "topic_id", "left")
-    return rows.select("kind", "topic_id", "title", F.coalesce("titles", empty).alias("titles"))
+    return rows.select(F.coalesce(lookup(F.col("kind"), _COLLECTIONS), F.lit("other")).alias("collection"), "topic_id", "title", F.coalesce("titles", empty).alias("titles"))
 
 
 @query("select topic_id, split_part(section_no, '.', 1) chapter from topic")
@@ -236,16 +259,33 @@ def jn7_cascading_fallback(t: Tables) -> DataFrame:
     return out.select("doc_id", fallback_array(F.col("a"), F.col("b"), F.col("c")).alias("products"))
 
 
-@query("""select distinct d.doc_id, p.product_id from document d join product p on contains(lower(d.title), lower(p.model_code)) and (d.cabinet_size is null or d.cabinet_size = p.cabinet_size)""")
+@query("""select distinct d.doc_id, p.product_id from document d join product p on length(p.model_code) > 0 and contains(lower(d.title), lower(p.model_code)) and (d.cabinet_size is null or d.cabinet_size = p.cabinet_size)""")
 def jn8_name_inside_title(t: Tables) -> DataFrame:
-    """A code inside a title: an equi-join on the title's letter runs of the code's length, then the theta condition."""
-    p = t("product").select("product_id", F.lower("model_code").alias("code"), F.col("cabinet_size").alias("p_size")).filter("code is not null")
-    d = t("document").select("doc_id", "cabinet_size", F.lower("title").alias("low")).distinct()
-    runs = d.filter("length(low) >= 3").withColumn("code", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("low") - 2), lambda i: F.substr("low", i, F.lit(3))))))
-    same = runs.join(p.filter("length(code) = 3"), "code").filter(F.col("cabinet_size").isNull() | (F.col("cabinet_size") == F.col("p_size")))
+    """A code inside a title: an equi-join on the title's runs of letters as long as any code, then the theta condition."""
+    p = t("product").select("product_id", F.lower("model_code").alias("code"), F.col("cabinet_size").alias("p_size")).filter("length(code) > 0")
+    sizes = p.agg(F.collect_set(F.length("code")).alias("sizes"))  # a few lengths
+    d = t("document").select("doc_id", "cabinet_size", F.lower("title").alias("low")).distinct().crossJoin(F.broadcast(sizes))
+    runs = F.flatten(F.transform("sizes", lambda n: F.when(F.length("low") >= n, F.transform(F.sequence(F.lit(1), F.length("low") - n + 1), lambda i: F.substr("low", i, n))).otherwise(F.array().cast("array<string>"))))
+    same = d.filter("low is not null").withColumn("code", F.explode(F.array_distinct(runs))).join(p, "code").filter(F.col("cabinet_size").isNull() | (F.col("cabinet_size") == F.col("p_size")))
     return same.select("doc_id", "product_id").distinct()
 
 
+@query("""with d as (select distinct doc_id, lower(concat_ws(' ', title, case when doctype in ('tm', 'im') then brewer end)) low, cabinet_size from document), b as (select distinct brewer from product where brewer is not null), f as (select d.*, (select list_sort(list(b.brewer)) from b where contains(d.low, lower(b.brewer))) found from d)
+    select doc_id, coalesce(found, []) brewers, (select count(*) from product p where (f.found is null or list_contains(f.found, p.brewer)) and (f.cabinet_size is null or f.cabinet_size = p.cabinet_size)) products from f""")
+def jn8_brewers_in_titles(t: Tables) -> DataFrame:
+    """The brewers named in a title and the number of products that have one of them, and the size; no name matches all.
+
+    Counts of products by brewer and size are a dimension, asked for each distinct set of names only."""
+    brewers = t("product").select("brewer").filter("brewer is not null").distinct().agg(F.array_sort(F.collect_list("brewer")).alias("all"))  # one row
+    low = F.lower(F.concat_ws(" ", "title", F.when(F.col("doctype").isin("tm", "im"), F.col("brewer"))))
+    d = t("document").select("doc_id", low.alias("low"), "cabinet_size").distinct().crossJoin(F.broadcast(brewers))
+    d = d.select("doc_id", "cabinet_size", F.filter("all", lambda b: F.contains(F.col("low"), F.lower(b))).alias("brewers"))
+    counts = t("product").groupBy(F.col("brewer").alias("b"), F.col("cabinet_size").alias("s")).agg(F.count("*").alias("n")).agg(F.collect_list(F.struct("b", "s", "n")).alias("counts"))  # one row
+    fits = lambda x: ((F.size("brewers") == 0) | F.coalesce(F.array_contains("brewers", x["b"]), F.lit(False))) & (F.col("cabinet_size").isNull() | F.coalesce(F.col("cabinet_size") == x["s"], F.lit(False)))
+    n = F.aggregate(F.filter("counts", fits), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    return d.crossJoin(F.broadcast(counts)).select("doc_id", "brewers", n.alias("products")).distinct()
+
+
 @query("""select distinct d.doc_id, coalesce(b.doc_id, d.superseded_by) successor from document d left join (select distinct doc_id, path from document) b on b.path = d.superseded_by
     where d.superseded_by is not null""")
 def jn9_successor(t: Tables) -> DataFrame:
@@ -255,15 +295,57 @@ def jn9_successor(t: Tables) -> DataFrame:
 
 
 @query("""
-    with p as (select distinct part_id, drawing, section, pos from part_row where drawing is not null),
-    g as (select drawing, count(*) filter (where pos is not null) good, count(*) n from p group by 1)
+    with s as (select distinct part_id, drawing, section, ltrim(lower(coalesce(pos, '')), '0') k from part_row where drawing is not null), r as (select distinct section, ltrim(lower(coalesce(pos, '')), '0') k from part_row where stock = 'x' and section is not null),
+    g as (select drawing, count(*) filter (where exists (select 1 from r where r.section = s.section and r.k = s.k)) good, count(*) n from s group by 1)
     select drawing, good from g where good >= greatest(2, n // 2)""")
 def jn10_semi_join_with_share(t: Tables) -> DataFrame:
-    p = t("part_row").filter("drawing is not null").select("part_id", "drawing", "section", "pos").distinct()
-    g = p.groupBy("drawing").agg(F.count("pos").alias("good"), F.count("*").alias("n"))
+    """Drawings of whose balloons half, and two, point at a part in stock of their section and position."""
+    k = F.ltrim(F.lower(F.coalesce("pos", F.lit(""))), F.lit("0"))
+    spots = t("part_row").filter("drawing is not null").select("part_id", "drawing", "section", k.alias("k")).distinct()
+    rows = t("part_row").filter("stock = 'x' and section is not null").select("section", k.alias("k")).distinct()
+    good = spots.join(rows, ["section", "k"], "left_semi").groupBy("drawing").agg(F.count("*").alias("good"))
+    g = spots.groupBy("drawing").agg(F.count("*").alias("n")).join(good, "drawing")
     return g.filter("good >= greatest(2, n div 2)").select("drawing", "good")
 
 
+@query("""with n as (select lower(trim(product_id)) product, section, min(drawing) d from part_row where product_id is not null and section is not null and drawing is not null group by 1, 2), l as (select lower(trim(product_id)) product, section, max(drawing) d from part_row where stock = 'x' and product_id is not null and section is not null and drawing is not null group by 1, 2)
+    select n.product, n.section, coalesce(l.d, n.d) drawing, l.d is not null legacy from n left join l using (product, section)""")
+def jn11_older_preferred(t: Tables) -> DataFrame:
+    """The older drawing of a product's section where there is one, else the newer."""
+    rows = t("part_row").filter("product_id is not null and section is not null and drawing is not null").select(F.lower(F.trim("product_id")).alias("product"), "section", "drawing", "stock")
+    old = rows.filter("stock = 'x'").groupBy("product", "section").agg(F.max("drawing").alias("old"))
+    new = rows.groupBy("product", "section").agg(F.min("drawing").alias("new"))
+    return new.join(old, ["product", "section"], "left").select("product", "section", F.coalesce("old", "new").alias("drawing"), F.col("old").isNotNull().alias("legacy"))
+
+
+@query("""with e as (select topic_id, title from topic_text where lower(lang) = 'en' and title is not null), n as (select topic_id, min(title) nl from topic_text where lower(lang) = 'nl' and title is not null group by 1), d as (select e.title, min(n.nl) nl from e join n using (topic_id) group by 1)
+    select t.topic_id, coalesce(d.nl, t.title) shown from topic t left join d on d.title = t.title""")
+def jn16_translated_or_original(t: Tables) -> DataFrame:
+    """Titles in the dictionary's other language where it has them."""
+    x = t("topic_text").filter("title is not null").withColumn("lang", F.lower("lang"))
+    dutch = x.filter("lang = 'nl'").groupBy("topic_id").agg(F.min("title").alias("nl"))
+    known = x.filter("lang = 'en'").select("topic_id", "title").join(dutch, "topic_id").groupBy("title").agg(F.min("nl").alias("nl"))
+    return t("topic").select("topic_id", "title").join(known, "title", "left").select("topic_id", F.coalesce("nl", "title").alias("shown"))
+
+
+@query("""with i as (select distinct text_id, lower(trim(doc_id)) doc_id, page from topic_text where doc_id is not null and page is not null), m as (select distinct lower(trim(doc_id)) doc_id, page, drawing hash, cast(substr(part_id, 2) as bigint) n, round(page * 1.04, 1) x from part_row where drawing is not null and doc_id is not null),
+    j as (select text_id, hash, n, row_number() over (partition by text_id, hash order by n) k from i join m on i.doc_id = m.doc_id and i.page = m.page and round(i.page * 1.0401, 1) = m.x) select text_id, hash, n as first from j where k = 1""")
+def jn2_placed_pictures(t: Tables) -> DataFrame:
+    """Pictures of a text by book, page and place to a tenth, each content once, the first placement kept."""
+    place = lambda f: F.bround(F.col("page") * f + F.lit(1e-9), 1).cast("decimal(10,1)")
+    i = t("topic_text").filter("doc_id is not null and page is not null").select("text_id", F.lower(F.trim("doc_id")).alias("doc_id"), F.col("page").cast("int").alias("page")).distinct().withColumn("x", place(1.0401))
+    m = t("part_row").filter("drawing is not null and doc_id is not null").select(F.lower(F.trim("doc_id")).alias("doc_id"), F.col("page").cast("int").alias("page"), F.col("drawing").alias("hash"), F.substring("part_id", 2, 20).cast("bigint").alias("n")).distinct().withColumn("x", place(1.04))
+    return i.join(m, ["doc_id", "page", "x"]).groupBy("text_id", "hash").agg(F.min("n").alias("first"))
+
+
+@query("""with b as (select user_id, event_id, value x, case when value - lag(value) over w <= 1 then 0 else 1 end s from events window w as (partition by user_id order by value, event_id)), i as (select *, sum(s) over (partition by user_id order by x, event_id rows unbounded preceding) i from b)
+    select user_id, min(event_id) tile, count(*) n from i group by user_id, i""")
+def jn30_merged_tiles(t: Tables) -> DataFrame:
+    """Boxes of a page (a user) that lie within one unit of each other, directly or through others, as one tile."""
+    boxes = t("events").select("user_id", "event_id", F.col("value").alias("x0"), F.col("value").alias("x1"), F.lit(0.0).alias("y0"), F.lit(1.0).alias("y1"))
+    return merged_tiles(boxes, by=["user_id"], key="event_id", reach=1.0).groupBy("user_id", "tile").agg(F.count("*").alias("n"))
+
+
 @query("""
     with c as (select lower(title) k, list_sort(list(distinct kind)) s, max(title) x from topic where doctype = 'im' and title is not null group by 1),
     g as (select lower(title) k, list_sort(list(distinct kind)) s, max(title) x from topic where doctype = 'tm' and title is not null group by 1)
@@ -368,17 +450,9 @@ def jn24_products_with_parts(t: Tables) -> DataFrame:
     return t("product").join(t("part_row").select(F.lower(F.trim("product_id")).alias("product_id")).distinct(), "product_id", "left_semi").select("product_id")
 
 
-@query("""
-    with p as (select distinct part_id, section, coalesce(nullif(lower(ltrim(trim(pos), '0')), ''), '0') k from part_row where pos is not null and section = '12')
-    select a.part_id a, b.part_id b from p a join p b using (section, k) where a.part_id < b.part_id""")
+@query("""with p as (select distinct part_id, section, coalesce(nullif(lower(ltrim(trim(pos), '0')), ''), '0') k from part_row where pos is not null), g as (select section, k, min(part_id) first, count(*) n from p where section is not null group by 1, 2)
+    select part_id, section, k, coalesce(first, part_id) as first, coalesce(n, 1) n from p left join g using (section, k)""")
 def jn25_position_join(t: Tables) -> DataFrame:
-    p = t("part_row").filter("pos is not null and section = '12'").select("part_id", "section", X.position_key(F.col("pos")).alias("k")).distinct()
-    a, b = p.withColumnRenamed("part_id", "a"), p.withColumnRenamed("part_id", "b")
-    return a.join(b, ["section", "k"]).filter("a < b").select("a", "b")
-
-
-@query()
-def jn25_position_join_whole(t: Tables) -> DataFrame:
     """One row per part with its group, the parts of all sections that share section and position: its first part and its size.
 
     The pairs of a group are not listed, as they grow with its square. A part without a section shares it with none."""
@@ -454,20 +528,18 @@ def set8_toggle(t: Tables) -> DataFrame:
 
 @query("""select doc_id, row_number() over (order by coalesce(doctype, ''), coalesce(brand, ''), coalesce(model_code, ''), coalesce(lang, ''), doc_id) doc_ord from (select distinct doc_id, doctype, brand, model_code, lang from document)""")
 def srt1_corpus_order(t: Tables) -> DataFrame:
-    """A total order in two steps: ranks within ranges of the first key are offset by the sizes of the ranges before."""
+    """A total order: ranges, sorted, each starting where those before it end."""
     cols = ["doctype", "brand", "model_code", "lang"]
     rows = t("document").select("doc_id", *cols).distinct().select("doc_id", *[F.coalesce(c, F.lit("")).alias(c) for c in cols])
-    within = rows.withColumn("k", F.row_number().over(Window.partitionBy("doctype", "brand").orderBy("model_code", "lang", "doc_id")))
-    sizes = rows.groupBy("doctype", "brand").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("doctype", "brand").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return within.join(sizes.withColumn("before", before), ["doctype", "brand"]).select("doc_id", (F.col("before") + F.col("k")).alias("doc_ord"))
+    return distributed_rank(rows, [*cols, "doc_id"], name="doc_ord").select("doc_id", "doc_ord")
 
 
 @query("""with k as (select distinct section_no, case when len(regexp_extract_all(section_no, '\\d+')) > 0 then list_transform(regexp_extract_all(section_no, '\\d+'), lambda x: cast(x as bigint)) else [999] end key from topic)
     select section_no, dense_rank() over (order by key) rank from k""")
 def srt2_natural_order(t: Tables) -> DataFrame:
     k = t("topic").select("section_no").distinct().withColumn("key", X.natural_key(F.col("section_no")))
-    return k.select("section_no", F.dense_rank().over(Window.orderBy("key")).cast("bigint").alias("rank"))
+    ranks = distributed_rank(k.select("key").distinct(), ["key"])
+    return k.join(ranks, "key").select("section_no", "rank")
 
 
 @query("""select distinct section_no, list_reduce(list_prepend(0, list_transform(string_split(section_no, '.')[1:4], lambda x: coalesce(try_cast(x as bigint), 0))), lambda a, x: a * 100 + x) weight from topic where section_no is not null""")
@@ -502,3 +574,64 @@ def srt13_newest_of_kind(t: Tables) -> DataFrame:
 @query("select topic_id, min(text_id) text_id from topic_text group by 1")
 def agg21_first_wins(t: Tables) -> DataFrame:
     return first_by(t("topic_text").select("topic_id", "text_id"), ["topic_id"], [F.col("text_id")])
+
+
+@query("""select brand, list(doc_id order by coalesce(model_code, ''), coalesce(doc_code, ''), doc_id) cards from (select distinct doc_id, brand, model_code, doc_code from document where doctype = 'sm') group by 1""")
+def srt7_cards_by_first_code(t: Tables) -> DataFrame:
+    """Cards of a brand by their first machine and code, missing ones first."""
+    rows = t("document").filter("doctype = 'sm'").select("doc_id", "brand", "model_code", "doc_code").distinct()
+    o = F.struct(F.coalesce("model_code", F.lit("")).alias("a"), F.coalesce("doc_code", F.lit("")).alias("b"), "doc_id")
+    return rows.groupBy("brand").agg(F.transform(F.array_sort(F.collect_list(o)), lambda x: x["doc_id"]).alias("cards"))
+
+
+@query("""select drawing, list(part_id order by coalesce(case when regexp_full_match(pos, '[0-9]+') then cast(pos as int) end, 0), n) parts from (select distinct part_id, drawing, pos, cast(substr(part_id, 2) as bigint) n from part_row where drawing is not null) group by 1""")
+def srt8_numeric_steps(t: Tables) -> DataFrame:
+    """Rows of a drawing by their number, what is no number first, ties as they came."""
+    rows = t("part_row").filter("drawing is not null").select("part_id", "drawing", "pos", F.substring("part_id", 2, 20).cast("bigint").alias("n")).distinct()
+    o = F.struct(F.coalesce(F.when(F.col("pos").rlike("^[0-9]+$"), F.col("pos").cast("int")), F.lit(0)).alias("a"), "n", "part_id")
+    return rows.groupBy("drawing").agg(F.transform(F.array_sort(F.collect_list(o)), lambda x: x["part_id"]).alias("parts"))
+
+
+@query("""select brand, list(series order by coalesce(try_cast(regexp_extract(series, '[0-9]+') as int), 0), series) series from (select distinct brand, series from product where series is not null) group by 1""")
+def srt9_series_by_number(t: Tables) -> DataFrame:
+    """Series of a brand by the first number in their name."""
+    o = F.struct(F.coalesce(F.regexp_extract("series", "[0-9]+", 0).try_cast("int"), F.lit(0)).alias("a"), "series")
+    rows = t("product").filter("series is not null").select("brand", "series").distinct()
+    return rows.groupBy("brand").agg(F.transform(F.array_sort(F.collect_list(o)), lambda x: x["series"]).alias("series"))
+
+
+@query("select title, row_number() over (order by lower(title), title) as rank from (select distinct title from topic where kind = 'fault' and title is not null)")
+def srt16_messages_without_case(t: Tables) -> DataFrame:
+    rows = t("topic").filter("kind = 'fault' and title is not null").select("title", F.lower("title").alias("low")).distinct()
+    return distributed_rank(rows, ["low", "title"]).select("title", "rank")
+
+
+@query("""select topic_id ref, title, scope, cast(null as varchar) lang from topic union all select distinct cast(text_id as varchar), title, cast(null as varchar), lang from topic_text""")
+def set1_union_all(t: Tables) -> DataFrame:
+    """Curated and generated rows together; columns that one side lacks are null."""
+    a = t("topic").select(F.col("topic_id").alias("ref"), "title", "scope")
+    b = t("topic_text").select(F.col("text_id").cast("string").alias("ref"), "title", "lang").distinct()
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@query("select 'steps' name, 'BIGINT' kind from topic_text where payload is not null limit 1")
+def jsn2_inferred_types(t: Tables) -> DataFrame:
+    """The types of a payload's fields, from all rows."""
+    rows = t("topic_text").filter("payload is not null").select(F.expr("try_parse_json(payload)").alias("v"))
+    fields = rows.select(F.explode(F.expr("map_keys(cast(v as map<string, variant>))")).alias("name"), "v").select("name", F.expr("schema_of_variant(variant_get(v, '$.' || name))").alias("kind"))
+    return fields.distinct().groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("kind")), " or ").alias("kind"))
+
+
+@query("""select unnest(['topic_id', 'kind', 'title']) name, unnest(['key', 'what it is about', 'as printed']) description""")
+def jsn4_described_fields(t: Tables) -> DataFrame:
+    """Descriptions of fields that travel with the schema."""
+    spark = t("topic").sparkSession
+    text = described_schema(t("topic").select("topic_id", "kind", "title"), {"topic_id": "key", "kind": "what it is about", "title": "as printed"})
+    return spark.createDataFrame([(f["name"], f["metadata"].get("comment")) for f in json.loads(text)["fields"]], "name string, description string")
+
+
+@query("select text_id, coalesce(try_cast(json_extract_string(payload, '$.steps') as int), 0) steps, 'none' as note from topic_text group by all")
+def jsn5_tolerant_decode(t: Tables) -> DataFrame:
+    """Unknown keys are ignored; missing ones, and records that are no JSON, take defaults."""
+    rows = t("topic_text").select("text_id", F.from_json("payload", "steps int, note string", {"mode": "PERMISSIVE"}).alias("p")).select("text_id", "p.*")
+    return with_defaults(rows, steps=0, note="none").distinct()

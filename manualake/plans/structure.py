@@ -12,7 +12,12 @@ R = Registry()
 query, queries, oracle_sql = R.query, R.queries, R.oracle_sql
 
 
-@query()
+_MARK = "^\\s*(?:\\d{1,3}[.)]|[-–•*])\\s"
+
+
+@query(f"""with l as (select text_id, unnest(string_split_regex(text, '\r?\n')) line, generate_subscripts(string_split_regex(text, '\r?\n'), 1) i from (select distinct text_id, text from topic_text where text is not null)),
+    a as (select *, trim(lag(line) over (partition by text_id order by i)) above from l), p as (select *, sum((above is null or above = '' or regexp_matches(above, '[.!?:]$') or regexp_matches(line, '{_MARK}'))::int) over (partition by text_id order by i rows unbounded preceding) p from a)
+    select text_id, cast(p as bigint) paragraph, string_agg(trim(line), ' ' order by i) text from p where trim(line) <> '' group by 1, 2""")
 def win10_reflowed_paragraphs(t: Tables) -> DataFrame:
     rows = t("topic_text").filter("text is not null").select("text_id", "text").dropDuplicates(["text_id"])
     return reflow(rows.select("text_id", F.posexplode(F.split("text", "\r?\n")).alias("i", "line")), by=["text_id"], order=["i"])

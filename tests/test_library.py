@@ -6,7 +6,8 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from manualake.operators.layout import columns_of, key_values, list_entries, nearest_header, notes_and_rest, pair_legend, reading_order, reflow, split_callouts, xy_cut
+from manualake.operators.facts import TableRepair, notes, pair_legend, rest_of_notes, scrub, split_callouts
+from manualake.operators.layout import columns_of, key_values, list_entries, merged_tiles, nearest_header, reading_order, reflow, xy_cut
 from manualake.operators.plates import merge_plates, read_plates
 from manualake.plans.knowledge_base import KnowledgeBase
 from manualake.sources import files
@@ -60,28 +61,48 @@ def test_layout(spark):
     assert [r.text for r in reflow(lines, by=["d"], order=["i"]).orderBy("paragraph").collect()] == ["Open the cover.", "1. Clean it", "- dry"]
     text = spark.createDataFrame([("intro\n1. a\n b\n2. c",), (None,)], "t string")
     assert [r.e for r in text.select(list_entries(F.col("t")).alias("e")).collect()] == [["a b", "c"], None]
-    noted = spark.createDataFrame([("WARNING hot\nopen it",)], "t string").select(notes_and_rest(F.col("t"), {"warning": ["warning", "waarschuwing"]}).alias("n")).first().n
-    assert noted.notes == ["warning: WARNING hot"] and noted.rest == "open it"
+    t = spark.createDataFrame([("WARNING: hot (see on page 4)\nopen it\nnoted well\nLET OP\ntip: dry",), (None,)], "t string")
+    got = t.select(notes(F.col("t")).alias("n"), rest_of_notes(F.col("t")).alias("r")).collect()
+    assert [(x.level, x.text) for x in got[0].n] == [("warning", "hot (see on page 4)"), ("note", "dry")] and got[0].r == "open it\nnoted well\nLET OP"
+    assert got[1].n is None and got[1].r is None
+    tiles = spark.createDataFrame([("p", 3, 0.0, 0.0, 5.0, 5.0), ("p", 1, 6.0, 0.0, 9.0, 5.0), ("p", 2, 6.0, 50.0, 9.0, 55.0), ("q", 9, 0.0, 0.0, 1.0, 1.0)], "p string, k long, x0 double, y0 double, x1 double, y1 double")
+    assert {r.k: r.tile for r in merged_tiles(tiles, by=["p"], key="k", reach=1.0).collect()} == {3: 1, 1: 1, 2: 2, 9: 9}
+
+
+def test_scrub_reaches_nested_strings(spark):
+    df = spark.createDataFrame([(" a ", [(" k ", " v ")], {"x": " y "}, 1)], "t string, l array<struct<k:string,v:string>>, m map<string,string>, n int")
+    r = scrub(df, repair=F.trim, verbatim=["v"]).first()
+    assert r.t == "a" and (r.l[0].k, r.l[0].v) == ("k", " v ") and r.m == {"x": "y"} and r.n == 1
+
+
+def test_table_repair():
+    t = TableRepair()
+    for k, v in [("Size", "10"), ("1. pump", "5. hose"), ("2. ring", "1. twice"), ("mm wide", ""), ("Heading", ""), ("It is long.", ""), ("", "only a value"), ("w" * 20 + " a b c d e f " + "x" * 20, "cut in two")]:
+        t.add(k, v)
+    assert t.rows() == [["Size", "10"], ["1.", "pump"], ["2.", "ring"], ["5.", "hose"], ["Heading", ""], ["", "It is long."], ["", "only a value"], ["", "w" * 20 + " a b c d e f " + "x" * 20 + " cut in two"]]
 
 
 def test_pure_pieces():
-    assert split_callouts("Parts 3. a 4. b 9. c") == ["Parts", "3. a", "4. b 9. c"]
-    assert split_callouts("none") == ["none"] and split_callouts("") == []
-    assert pair_legend(["1", "pump", "2", "hose", "3", "ring", "end"]) == ["1 — pump", "2 — hose", "3 — ring", "end"]
-    assert pair_legend(["1", "pump", "x"]) == ["1", "pump", "x"]
-    assert key_values([["a", "1"], ["b"], ["2"], ["c"], []]) == [("a", "1"), ("b", "2"), ("c", "")]
+    assert split_callouts("3. a 4. b 9. c") == ["3. a", "4. b 9. c"]
+    assert split_callouts("Parts 3. a 4. b") == ["Parts 3. a 4. b"] and split_callouts("") == [""]
+    assert pair_legend(["A1", "pump", "B2", "hose", "C3", "ring", "end"]) == ["A1 — pump", "B2 — hose", "C3 — ring", "end"]
+    assert pair_legend(["A1", "pump", "x"]) == ["A1", "pump", "x"]
+    assert pair_legend(["A1", "p" * 81, "B2", "hose", "C3", "ring"])[1] == "p" * 81
+    assert key_values([["a", "1"], ["b"], ["2"], ["c"], [], ["A", "d", "3", "4"]]) == [("a", "1"), ("b", "2"), ("c", ""), ("d", "3 4")]
 
 
 def test_plates(spark):
-    texts = ["Type 9HPTX123 Serial: 201923-0001", "HPT machine", "Serial", "clean the filter", "x 12345678", None]
-    df = spark.createDataFrame(list(enumerate(texts)), "frame int, text string")
-    got = {r.frame: r.plate for r in read_plates(df, ["HP", "HPT"]).collect()}
-    assert (got[0].build, got[0].code, got[0].serial, got[0].built) == ("HPT", "9HPTX123", "201923-0001", "2019 · week 23")
-    assert got[1].build == "HPT" and got[1].serial is None
-    assert got[2] is not None and got[2].build is None and got[3] is got[4] is got[5] is None
-    plates = read_plates(df, ["HPT"]).filter("frame < 2").groupBy().pivot("frame", [0, 1]).agg(F.first("plate"))
-    merged = plates.select(merge_plates(F.col("1"), F.col("0")).alias("m")).first().m
-    assert (merged.build, merged.serial) == ("HPT", "201923-0001")
+    frames = [["Type: 9HPTX123", "Serial nr 20142386812001"], ["HPTX99 here", "1234567", "Model: Orvo HPT"], ["Serial nr"], ["clean the filter 1234567"], ["2021.14.0428.001"], [], ["Orvo 20.2 machine", "made in holland"]]
+    df = spark.createDataFrame(list(enumerate(frames)), "frame int, lines array<string>")
+    got = {r.frame: r.plate for r in read_plates(df, [("HPT", "orvo"), ("HP", None)], [("ORVO", "orvo")]).collect()}
+    assert (got[0].build, got[0].code, got[0].serial, got[0].machine) == ("HPT", "9HPTX123", "", "orvo")
+    assert (got[1].code, got[1].serial, got[1].model) == ("HPTX99", "1234567", "Orvo HPT")
+    assert got[2] is not None and got[2].code == "" and got[3] is None and got[5] is None
+    assert (got[4].serial, got[4].built) == ("2021.14.0428.001", "2021 · week 14")
+    assert (got[6].model, got[6].machine) == ("Orvo 20.2 machine", "orvo")
+    plates = read_plates(df, [("HPT", "orvo")]).filter("frame in (0, 4)").groupBy().pivot("frame", [0, 4]).agg(F.first("plate"))
+    merged = plates.select(merge_plates(F.col("0"), F.col("4")).alias("m")).first().m
+    assert (merged.build, merged.serial) == ("HPT", "2021.14.0428.001")
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")

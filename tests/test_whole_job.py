@@ -57,7 +57,7 @@ def test_phrases_equal_brute_force():
 def test_positions_of_all_sections(spark, tmp_path):
     rows = [("p1", "12", "05"), ("p2", "12", "5"), ("p2", "12", "5"), ("p3", "7", "5"), ("p4", "7", "005"), ("p5", None, "5"), ("p6", "7", None)]
     spark.createDataFrame(rows, "part_id string, section string, pos string").write.parquet(f"{tmp_path}/part_row.parquet")
-    got = entry.queries()["jn25_position_join_whole"](spark, str(tmp_path)).collect()
+    got = entry.queries()["jn25_position_join"](spark, str(tmp_path)).collect()
     assert sorted((r.part_id, r["first"], r.n) for r in got) == [("p1", "p1", 2), ("p2", "p1", 2), ("p3", "p3", 2), ("p4", "p3", 2), ("p5", "p5", 1)]
 
 
@@ -69,25 +69,25 @@ def by_topic(spark, tmp_path, titles, name):
 
 def test_rows_beyond_ascii_are_counted(spark, tmp_path):
     titles = ["Störung  X", "störung\u00a0x", "Zia\u00ae", "zia", "e\u0301t\u00e9", None]
-    sigs = by_topic(spark, tmp_path, titles, "agg9_fingerprint_groups_whole")
+    sigs = by_topic(spark, tmp_path, titles, "agg9_fingerprint_groups")
     assert sorted((r["first"], r.n) for r in sigs) == [("0", 2), ("2", 2), ("4", 1)]
-    keys = {r.topic_id: r.k for r in by_topic(spark, tmp_path, titles, "str34_match_key_whole")}
+    keys = {r.topic_id: r.k for r in by_topic(spark, tmp_path, titles, "str34_match_key")}
     assert keys == {str(i): re.sub(r"\W+", "", t.lower()) for i, t in enumerate(titles) if t is not None}
-    terms = {(r.ref, r.term) for r in by_topic(spark, tmp_path, ["R\u00f8r f\u00fcr", "e\u0301t\u00e9 \u0444\u0438\u043b"], "idx1_postings_whole")}
+    terms = {(r.ref, r.term) for r in by_topic(spark, tmp_path, ["R\u00f8r f\u00fcr", "e\u0301t\u00e9 \u0444\u0438\u043b"], "idx1_postings")}
     assert terms == {("0", "r\u00f8r"), ("0", "fur"), ("1", "ete"), ("1", "\u0444\u0438\u043b")}
     lines = [(i, str(i), "Bedienungsanleitung f\u00fcr Ger\u00e4te 1\nfilter pumpe") for i in range(3)]
     spark.createDataFrame(lines, "text_id long, topic_id string, text string").write.parquet(f"{tmp_path}/topic_text.parquet")
-    got = entry.queries()["agg18_running_lines_whole"](spark, str(tmp_path)).collect()
+    got = entry.queries()["agg18_running_lines"](spark, str(tmp_path)).collect()
     assert {(r.k, r.n) for r in got} == {("Bedienungsanleitung f\u00fcr Ger\u00e4te #", 3), ("filter pumpe", 3)}
-    by_topic(spark, tmp_path, ["a", "b", "c"], "agg9_fingerprint_groups_whole")
-    for name, n in (("idx3_bm25_effective_whole", 3), ("idx3_bm25_intended_whole", 0)):
+    by_topic(spark, tmp_path, ["a", "b", "c"], "agg9_fingerprint_groups")
+    for name, n in (("idx3_bm25_effective", 3), ("idx3_bm25_intended", 0)):
         assert entry.queries()[name](spark, str(tmp_path)).count() == n
 
 
 def test_titles_beyond_latin_are_folded(spark, tmp_path):
     titles = ["\uff37ater \ufb01lter\u2013x\u00b2", "wa\u0300ter \u1ea1 filter", "St\u00f8j\u200b storing \u2013", None]
     by = lambda name: {r[0]: r[1] for r in by_topic(spark, tmp_path, titles, name)}
-    assert by("str1_slug_whole") == {"0": "water-filter-x2", "1": "water-a-filter", "2": "st-j-storing"}
-    assert by("str35_search_key_whole") == {"0": "ater lter x", "1": "water a filter", "2": "st j storing"}
-    assert by("str26_ordered_rules_whole") == {"0": "other", "1": "other", "2": "fault"}
-    assert list(by("idx6_ranked_search_whole")) == ["1"]
+    assert by("str1_slug") == {"0": "water-filter-x2", "1": "water-a-filter", "2": "st-j-storing"}
+    assert by("str35_search_key") == {"0": "ater lter x", "1": "water a filter", "2": "st j storing"}
+    assert by("str26_ordered_rules") == {"0": "other", "1": "other", "2": "fault"}
+    assert list(by("idx6_ranked_search")) == ["1"]
