@@ -63,7 +63,7 @@ def test_layout(spark):
     assert [r.e for r in text.select(list_entries(F.col("t")).alias("e")).collect()] == [["a b", "c"], None]
     t = spark.createDataFrame([("WARNING: hot (see on page 4)\nopen it\nnoted well\nLET OP\ntip: dry",), (None,)], "t string")
     got = t.select(notes(F.col("t")).alias("n"), rest_of_notes(F.col("t")).alias("r")).collect()
-    assert [(x.level, x.text) for x in got[0].n] == [("warning", "hot (see on page 4)"), ("note", "dry")] and got[0].r == "open it\nnoted well\nLET OP"
+    assert [(x.level, x.text) for x in got[0].n] == [("warning", "hot"), ("note", "dry")] and got[0].r == "open it\nnoted well\nLET OP"
     assert got[1].n is None and got[1].r is None
     tiles = spark.createDataFrame([("p", 3, 0.0, 0.0, 5.0, 5.0), ("p", 1, 6.0, 0.0, 9.0, 5.0), ("p", 2, 6.0, 50.0, 9.0, 55.0), ("q", 9, 0.0, 0.0, 1.0, 1.0)], "p string, k long, x0 double, y0 double, x1 double, y1 double")
     assert {r.k: r.tile for r in merged_tiles(tiles, by=["p"], key="k", reach=1.0).collect()} == {3: 1, 1: 1, 2: 2, 9: 9}
