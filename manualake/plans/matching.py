@@ -255,9 +255,11 @@ def fzy3_scanned_phrases(t: Tables) -> DataFrame:
     return Z.best_hits(Z.scan_phrases(frames(t), phrases(t)), key="phrase", least=75)
 
 
-@query()
+@query(f"""with k as (select topic_id, {_PLAIN.format('title')} x from topic where title is not null), p as (select topic_id, x, unnest(range(0, length(x) + 1)) b from k), s as (select topic_id, substr(x, b + 1, n) y from (select *, unnest(range(0, 25)) n from p))
+    select topic_id, cast(min(levenshtein('water filter', y)) as int) distance from s group by 1""")
 def fzy3_occurrence_distance(t: Tables) -> DataFrame:
-    return t("topic").filter("title is not null").select("topic_id", Z.occurrence_distance_udf(F.lit("water filter"), F.lower("title")).alias("distance"))
+    """The least edit distance of a phrase to any stretch of a title."""
+    return t("topic").filter("title is not null").select("topic_id", Z.occurrence_distance_udf(F.lit("water filter"), X.plain_key(F.col("title"))).alias("distance"))
 
 
 _NEAR = "({0} = {1} or (abs(length({0}) - length({1})) <= 2 and levenshtein({0}, {1}) <= case when length({0}) >= 9 then 2 when length({0}) >= 6 then 1 else 0 end))"
@@ -405,7 +407,23 @@ def sighted(t: Tables) -> DataFrame:
     return t("events").select(F.col("user_id").cast("string").alias("session"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("key"), (60 + F.col("event_id") % 40).cast("int").alias("confidence"), "event_id")
 
 
-@query()
+def _sighting_sql(then: str, *, scale: int = 1, live: int = 0, tap: str = "false") -> str:
+    """The fold in SQL: a hit's count starts over where the session's frame before it lies more than eight seconds after
+    the hit's last sighting; at each frame the hits of the last eight seconds are shown, if they are repeated or sure."""
+    return f"""with e as (select cast(user_id as varchar) session, ts whn, epoch_us(ts) / {scale} t, event_type key, 60 + event_id % 40 c, event_id, {tap} tap from events),
+    g as (select *, sum(tap::int) over (partition by session order by t, tap, event_id rows unbounded preceding) seg from e), l as (select * from g where not tap),
+    f as (select *, lag(t) over (partition by session, seg order by t) pf from (select session, seg, t, min(whn) whn from l group by all)),
+    h as (select session, seg, t, key, max(c) c from l where c >= {live} group by all), p as (select h.*, f.pf, lag(h.t) over w t1, lead(h.t) over w nx from h join f using (session, seg, t) window w as (partition by session, seg, key order by h.t)),
+    i as (select *, sum((t1 is null or coalesce(pf - t1 > 8000000, false))::int) over (partition by session, seg, key order by t rows unbounded preceding) i from p),
+    s as (select *, row_number() over w times, max(c) over w best from i window w as (partition by session, seg, key, i order by t rows unbounded preceding)),
+    v as (select f.session, f.seg, f.t, f.whn, s.key, s.times, s.best from f join s on f.session = s.session and f.seg = s.seg and f.t >= s.t and (s.nx is null or f.t < s.nx) and f.t - s.t <= 8000000 where s.times >= 2 or s.best >= 92),
+    r as (select *, row_number() over (partition by session, seg, t order by best desc, key) k from v), b as (select session, seg, t, list(struct_pack(key := key, times := times, best := best) order by k) shown from r where k <= 8 group by 1, 2, 3),
+    c as (select f.*, coalesce(shown, []) shown, coalesce(lag(shown) over (partition by f.session, f.seg order by f.t), []) before from f left join b on b.session = f.session and b.seg = f.seg and b.t = f.t),
+    o as (select session, seg, t, whn, len(shown) n, unnest(shown, recursive := true) from (select * from c where shown <> before) where len(shown) > 0)
+    {then}"""
+
+
+@query(_sighting_sql("select session, whn as ts, key, cast(times as int) times, cast(best as int) confidence from o"))
 def stm2_sightings(t: Tables) -> DataFrame:
     """Hits seen twice, or surely, within eight seconds of frames of a session."""
     return fold_sightings(sighted(t).drop("event_id")).select("session", "ts", "key", "times", "confidence")
@@ -417,15 +435,15 @@ def _near_frames(t: Tables) -> DataFrame:
     return e.withColumn("ts", F.timestamp_seconds(F.col("ts").cast("double") / 2_000))
 
 
-@query()
+@query(_sighting_sql("select session, count(*) as rows, cast(max(times) as int) most from o group by 1", scale=2_000))
 def stm3_time_to_live(t: Tables) -> DataFrame:
     return fold_sightings(_near_frames(t).drop("event_id")).groupBy("session").agg(F.count("*").alias("rows"), F.max("times").alias("most"))
 
 
-@query()
+@query(_sighting_sql("select session, key, count(*) as told, cast(max(best) as int) confidence from o group by 1, 2", scale=2_000, live=75))
 def stm4_shown_when_changed(t: Tables) -> DataFrame:
     """Sure or repeated hits, best eight, told only when they change."""
-    return fold_sightings(_near_frames(t).drop("event_id"), live=75).select("session", "ts", "key", "confidence")
+    return fold_sightings(_near_frames(t).drop("event_id"), live=75).groupBy("session", "key").agg(F.count("*").alias("told"), F.max("confidence").alias("confidence"))
 
 
 @query()
@@ -435,10 +453,10 @@ def stm5_photo_hold(t: Tables) -> DataFrame:
     return fold_sightings(_near_frames(t).withColumn("kind", kind).drop("event_id"), live=75, photo=60).select("session", "ts", "key", "times", "confidence")
 
 
-@query()
+@query(_sighting_sql("select session, arg_min(key, t) key from o where n = 1 and best >= 92 group by 1", scale=2_000, live=75))
 def stm6_opened_once(t: Tables) -> DataFrame:
     """The first sure hit of a session that is shown alone."""
-    return fold_sightings(_near_frames(t).drop("event_id"), live=75).filter("opens").select("session", "ts", "key")
+    return fold_sightings(_near_frames(t).drop("event_id"), live=75).filter("opens").select("session", "key")
 
 
 @query()
@@ -449,19 +467,19 @@ def stm7_late_table(t: Tables) -> DataFrame:
     return fold_sightings(rows.drop("event_id"), live=75, photo=60).select("session", "ts", "key", "times", "confidence")
 
 
-@query()
+@query(_sighting_sql("select session, key, count(*) as told, cast(max(best) as int) confidence from o group by 1, 2", scale=2_000, live=75, tap="event_type = 'purchase'"))
 def stm11_reset(t: Tables) -> DataFrame:
     """Purchases as taps, which clear what is known."""
     kind = F.when(F.col("key") == "purchase", "tap").otherwise("live")
-    return fold_sightings(_near_frames(t).withColumn("kind", kind).drop("event_id"), live=75).select("session", "ts", "key", "times", "confidence")
+    return fold_sightings(_near_frames(t).withColumn("kind", kind).drop("event_id"), live=75).groupBy("session", "key").agg(F.count("*").alias("told"), F.max("confidence").alias("confidence"))
 
 
-@query()
+@query(_sighting_sql("select session, whn as ts, key, cast(times as int) times, cast(best as int) confidence from o"))
 def stm2_sightings_stream(t: Tables) -> DataFrame:
     """The same fold as a stream with kept state, over frames stored in files by time."""
     spark, at = t("events").sparkSession, scratch(t("events").sparkSession)
     schema = "session string, ts timestamp, key string, confidence int"
-    write_json(sighted(t).drop("event_id").repartitionByRange(4, "ts"), f"{at}/in")
+    write_json(sighted(t).drop("event_id").repartitionByRange(4, "ts").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")), f"{at}/in")
     run = stream_sightings(frame_stream(spark, f"{at}/in", schema, files=1_000)).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/cp").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{at}/out").select("session", "ts", "key", "times", "confidence")

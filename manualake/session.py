@@ -32,6 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder, whose content goes when the driver's process ends."""
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    _MADE.append(path)
     atexit.register(_remove, spark, path)
     return path
 
@@ -57,6 +58,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove the intermediate tables of all results made so far: only once none of them is needed any more."""
+    for path in list(_MADE):
+        _remove(spark, path)
+        _MADE.remove(path)
+
+
+_MADE: list[str] = []
 _SHIPPED: set[str] = set()
 
 
