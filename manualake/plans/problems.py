@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.references import find_orphans, knowledge_base_orphans, orphan_report
-from ..operators.units import infer_missing_units, read_measures, stated_measures
+from ..operators.units import held_out_accuracy, infer_missing_units, read_measures, stated_measures
 from ..session import table
 
 
@@ -46,8 +46,13 @@ def p3_missing_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infer_missing_units(table(spark, sf_dir, "specs"))
 
 
+def p3_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the classifier tells hidden units right, by route."""
+    return held_out_accuracy(table(spark, sf_dir, "specs"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_report, p2_composite, p3_found, p3_by_quantity, p3_missing_units)}
+    return {f.__name__: f for f in (p2_found, p2_report, p2_composite, p3_found, p3_by_quantity, p3_missing_units, p3_held_out)}
 
 
 _KEY = r"lower(regexp_replace({}, '^\s+|\s+$', '', 'g'))"
