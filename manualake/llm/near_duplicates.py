@@ -189,34 +189,36 @@ def near_duplicates(
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(of), pa.array(kind)], names=["key", "x", "member"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of classes that share a band key. All rows of a key are in this partition."""
-        keys, xs = [], []
+        """Pairs of classes that share a band key. The rows come sorted by key, and no more than one key's and one batch's
+        are held; a key's classes meet in slices, however many they are."""
         names = ["member", "a", "b"]
+        key = x = np.zeros(0, dtype=np.int64)
+
+        def met(key: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+            fresh = np.ones(len(key), dtype=bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (x[1:] != x[:-1])
+            key, x = key[fresh], x[fresh]
+            gap = 1
+            while gap < len(key):  # each row with the row `gap` places on, as long as any key reaches that far
+                at = np.flatnonzero(key[gap:] == key[:-gap])
+                if not len(at):
+                    break
+                for s in range(0, len(at), 100_000):
+                    some = at[s : s + 100_000]
+                    pairs = np.unique(np.stack([x[some], x[some + gap]], 1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(pairs), dtype=bool)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=names)
+                gap += 1
+
         for batch in batches:
-            key, x, member = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            keys, xs, member = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             if member.any():
                 m = np.flatnonzero(member)
-                yield pa.RecordBatch.from_arrays([pa.array(member[m]), pa.array(x[m]), pa.array(key[m])], names=names)
-            keys.append(key[~member])
-            xs.append(x[~member])
-        if not keys:
-            return
-        key, x = np.concatenate(keys), np.concatenate(xs)
-        order = np.lexsort((x, key))
-        key, x = key[order], x[order]
-        fresh = np.ones(len(key), dtype=bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (x[1:] != x[:-1])
-        key, x = key[fresh], x[fresh]
-        gap = 1
-        while gap < len(key):  # each row with the row `gap` places on, as long as any key reaches that far
-            at = np.flatnonzero(key[gap:] == key[:-gap])
-            if not len(at):
-                break
-            for s in range(0, len(at), 100_000):
-                some = at[s : s + 100_000]
-                pairs = np.unique(np.stack([x[some], x[some + gap]], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(pairs), dtype=bool)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=names)
-            gap += 1
+                yield pa.RecordBatch.from_arrays([pa.array(member[m]), pa.array(xs[m]), pa.array(keys[m])], names=names)
+            key, x = np.concatenate([key, keys[~member]]), np.concatenate([x, xs[~member]])
+            last = int(np.searchsorted(key, key[-1], "left")) if len(key) else 0
+            yield from met(key[:last], x[:last])
+            key, x = key[last:], x[last:]
+        yield from met(key, x)
 
     def feature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
@@ -241,7 +243,7 @@ def near_duplicates(
                 yield pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64()), pa.array(exact, pa.float64())], names=["class_a", "class_b", "similarity"])
 
     docs = docs.select("id", "head", "text")
-    banded = docs.mapInArrow(band, "key bigint, x bigint, member boolean").repartition("key")
+    banded = docs.mapInArrow(band, "key bigint, x bigint, member boolean").repartition("key").sortWithinPartitions("key", "x")
     met = cut(banded.mapInArrow(meet, "member boolean, a bigint, b bigint").distinct())
     members = met.filter("member").select(F.col("a").alias("id"), F.col("b").alias("class"))
     pairs = met.filter("not member").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
