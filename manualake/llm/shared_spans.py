@@ -149,9 +149,11 @@ class Cells:
         near, far = k * width, np.minimum(k * width + width, span - gram + 1) - 1
         #: What all spans of the cell have in common, and the text around all of them, where the document has it.
         self.core = self.m - near, span - far + near
-        begin, size = self.m - far, span + far - near
-        self.whole = (begin >= shelf.begin[self.of]) & (begin + size <= shelf.begin[self.of] + shelf.size[self.of])
-        self.around = np.where(self.whole, begin, 0), np.where(self.whole, size, 1)
+        begin, end = self.m - far, self.m - near + span
+        low, high = np.maximum(begin, shelf.begin[self.of]), np.minimum(end, shelf.begin[self.of] + shelf.size[self.of])
+        self.around = low, high - low
+        #: The minimiser's place in it, and how much of it the document lacks at either end: only cells that agree in these are compared.
+        self.shape = ((low - begin) << 40) + ((end - high) << 20) + k + 1
 
 
 def _lists(column: pa.Array, *fields: str) -> list[np.ndarray]:
@@ -183,8 +185,8 @@ def _hashes(codes: np.ndarray) -> tuple[Rolling, Rolling]:
     return tuple(Rolling(codes, base, salt) for base, salt in zip(_BASES, (2, 3)))
 
 
-def _int64(x: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
-    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64), mask=None if valid is None else ~valid)
+def _int64(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
 def shared_spans(docs: DataFrame, *, span: int = 400, gram: int = 128, width: int = 39) -> DataFrame:
@@ -221,7 +223,7 @@ def shared_spans(docs: DataFrame, *, span: int = 400, gram: int = 128, width: in
                     continue
                 c = Cells(shelf, of, at, span, gram, width)
                 one, two = _hashes(shelf.codes)
-                cols = [_int64(h.windows(*c.core)) for h in (one, two)] + [_int64(h.windows(*c.around), c.whole) for h in (one, two)]
+                cols = [_int64(h.windows(*c.core)) for h in (one, two)] + [_int64(mix(h.windows(*c.around) + mix(c.shape.astype(np.uint64)))) for h in (one, two)]
                 places = [_int64(x - shelf.begin[c.of]) for x in (c.m, c.first, c.last)]
                 yield pa.RecordBatch.from_arrays([*cols, part.column(0).take(pa.array(c.of)), *places], names=[x.split()[0] for x in CELLS.split(", ")])
 
@@ -280,7 +282,7 @@ def shared_spans(docs: DataFrame, *, span: int = 400, gram: int = 128, width: in
     hit = cut(long.join(hits, "doc").select("doc", "text", "hits"))
     texts = hit.select("doc", "text").dropDuplicates(["doc"])
     cells = cut(hit.mapInArrow(celled, CELLS))
-    judged = cells.join(_twice(cells.filter("s1 is not null"), ["s1", "s2"], "m"), ["s1", "s2"], "left")
+    judged = cells.join(_twice(cells, ["s1", "s2"], "m"), ["s1", "s2"], "left")
     judged = cut(judged.select("c1", "c2", "doc", "m", "first", "last", _other("m").alias("seen")))
     # Every document of a group of cells of which one is to be taken apart takes its own apart.
     apart = judged.groupBy("c1", "c2").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.bool_or(F.col("seen").isNull()).alias("some")).filter("low <> high and some")
