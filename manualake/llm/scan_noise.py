@@ -428,7 +428,10 @@ def _in_case(word: str, like: str) -> str:
 
 def repair(text: str, layout: Layout, fixes: dict[str, str]) -> str:
     """One record's text with its fixes: words to their corrections, and breaks (first part, hyphen, rest) to whole words."""
-    lines, _, _ = layout.read(table_form(text))
+    text = table_form(text)
+    if not fixes and "\n" not in text and "\r" not in text:
+        return text.strip()
+    lines, _, _ = layout.read(text)
     joined: list[str] = []
     whole = {(i, a, b): fixes.get(a + mark + b) for i, a, mark, b in layout.breaks(lines)}
     by_line = {i: (a, b, word) for (i, a, b), word in whole.items() if word}
@@ -440,7 +443,7 @@ def repair(text: str, layout: Layout, fixes: dict[str, str]) -> str:
             joined[-1] = last[: len(last) - len(a)] + _in_case(word, a if len(a) > 1 else a + b) + rest
         else:
             joined.append(line)
-    fixed = [WORD.sub(lambda m: _in_case(fixes[m[0].lower()], m[0]) if m[0].lower() in fixes else m[0], line) for line in joined]
+    fixed = [WORD.sub(lambda m: _in_case(fixes[m[0].lower()], m[0]) if m[0].lower() in fixes else m[0], line) for line in joined] if fixes else joined
     paragraphs: list[list[str]] = [[]]
     for line in fixed:
         s = line.strip()
