@@ -58,6 +58,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scanned table split by key over all cores where its files give fewer parts than there are cores; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def clear(spark: SparkSession) -> None:
     """Remove the intermediate tables of all results made so far: only once none of them is needed any more."""
     for path in list(_MADE):
