@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 from .bilingual import align_texts
 from .canonical import canonical, look_alike_pairs
 from .canonical import records as look_records
@@ -22,8 +22,16 @@ from .shared_spans import shared_share, shared_spans
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "topic_text"), "text_id")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def _scan_noise(spark: SparkSession, sf_dir: str) -> ScanNoise:
-    rows = scan_records(table(spark, sf_dir, "topic_text"), table(spark, sf_dir, "part_row"))
+    rows = scan_records(_texts(spark, sf_dir), spread(table(spark, sf_dir, "part_row"), "part_id"))
     return ScanNoise(rows, table(spark, sf_dir, "product"))
 
 
@@ -36,7 +44,7 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts, layout = laid_out(table(spark, sf_dir, "topic_text"), table(spark, sf_dir, "product"))
+    texts, layout = laid_out(_texts(spark, sf_dir), table(spark, sf_dir, "product"))
     return language_segments(texts, fit_language_model(texts, layout), layout)
 
 
@@ -64,29 +72,29 @@ def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = look_records(table(spark, sf_dir, "topic"), table(spark, sf_dir, "topic_text"))
+    rows = look_records(table(spark, sf_dir, "topic"), _texts(spark, sf_dir))
     return look_alike_pairs(rows)
 
 
 def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = look_records(table(spark, sf_dir, "topic"), table(spark, sf_dir, "topic_text"))
+    rows = look_records(table(spark, sf_dir, "topic"), _texts(spark, sf_dir))
     return canonical(rows).distinct()
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "topic_text").select("topic_id", "text_id", "lang", "text")
+    texts = _texts(spark, sf_dir).select("topic_id", "text_id", "lang", "text")
     manuals = table(spark, sf_dir, "topic").filter("doctype = 'um'").select("topic_id").distinct()
     model = fit_language_model(texts, Layout(frozenset(), frozenset()))
     return align_texts(texts, manuals, model).drop("score")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"))
+    return encode(_documents(spark, sf_dir))
 
 
 def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts that the ids decode to; an empty one for a null text."""
-    return decode(encode(table(spark, sf_dir, "documents")))
+    return decode(encode(_documents(spark, sf_dir)))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,15 +102,15 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+    return leaked_passages(_documents(spark, sf_dir), table(spark, sf_dir, "eval_item"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared_spans(table(spark, sf_dir, "documents"))
+    return shared_spans(_documents(spark, sf_dir))
 
 
 def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     return shared_share(shared_spans(docs), docs)
 
 
