@@ -305,7 +305,7 @@ def _headers(texts: DataFrame) -> Column:
     return F.col("headers") if "headers" in texts.columns else F.lit(None).cast("array<string>")
 
 
-def fit_language_model(texts: DataFrame, layout: Layout, *, sample_bound: int = 3_000) -> LanguageModel:
+def fit_language_model(texts: DataFrame, layout: Layout, *, sample_bound: int = 6_000) -> LanguageModel:
     """Fit on the sample_bound labelled texts of texts (text_id, lang, text) whose ids have the least hashes."""
     known = texts.select("text_id", normal_label(F.col("lang")).alias("lang"), "text", _headers(texts).alias("headers")).filter(F.col("lang").isin(*LANGUAGES) & (F.length("text") > 0))
     rows = smallest_hashes(known, F.struct("text_id", "text"), sample_bound).select("lang", "text", "headers").collect()
