@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +29,10 @@ def _path(t: Tables) -> tuple:
 
 @query("select table_name || '.parquet' as name from information_schema.tables where table_schema = 'main'")
 def src1_inventory(t: Tables) -> DataFrame:
-    """The data folder's own files."""
-    root = os.path.dirname(t("product").inputFiles()[0])
-    return S.inventory(t("product").sparkSession, root, "*.parquet").select("name")
+    """The data folder's own tables, each one file or a folder of part files."""
+    root = re.sub("^file:/+", "file:/", unquote(t("product").inputFiles()[0].rpartition("/product.parquet")[0]))
+    at = S.inventory(t("product").sparkSession, root, "*.parquet").select(F.posexplode(F.split("path", "/")).alias("n", "name"))
+    return at.filter(F.col("n") == root.count("/") + 1).select("name").distinct()
 
 
 @query("""with l as (select distinct text_id, text from topic_text where text is not null), b as (select text_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) n, len(string_split(text, chr(10))) last from l),

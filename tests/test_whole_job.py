@@ -91,3 +91,12 @@ def test_titles_beyond_latin_are_folded(spark, tmp_path):
     assert by("str35_search_key") == {"0": "ater lter x", "1": "water a filter", "2": "st j storing"}
     assert by("str26_ordered_rules") == {"0": "other", "1": "other", "2": "fault"}
     assert list(by("srt10_best_sixty")) == ["1"]
+
+
+def test_tables_of_many_files_are_listed_once(spark, tmp_path):
+    root = tmp_path / "a b"
+    for name in ("product", "topic"):
+        spark.range(6).repartition(3).write.parquet(f"{root}/{name}.parquet")
+    (root / "part.parquet").write_bytes(next((root / "topic.parquet").glob("part-*.parquet")).read_bytes())
+    got = entry.queries()["src1_inventory"](spark, str(root)).collect()
+    assert sorted(r.name for r in got) == ["part.parquet", "product.parquet", "topic.parquet"]
