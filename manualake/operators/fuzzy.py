@@ -103,12 +103,20 @@ class PhraseScanner:
     """Finds keys (lower-case ASCII letters, digits and blanks) in texts of the same kind, exactly or within their budget.
 
     Lossless: a key is cut into one piece more than its budget has edits, so that one piece stands in the text as it is.
-    The distance is then taken in the stretch around each such piece that the key can fill."""
+    The distance is then taken in the stretch around each such piece that the key can fill. Where exact ones alone are
+    asked for (exact), a key is one piece."""
 
     ALPHABET = " abcdefghijklmnopqrstuvwxyz0123456789"
 
-    def __init__(self, keys: list[str]):
-        self.keys = keys
+    def __init__(self, keys: list[str], *, exact: bool = False):
+        self.keys, self.exact = keys, exact
+        if exact:
+            self.pieces = ahocorasick.Automaton()
+            for i, key in enumerate(keys):
+                self.pieces.add_word(key, i)
+            if keys:
+                self.pieces.make_automaton()
+            return
         pieces: dict[str, list[tuple[int, int]]] = {}
         for i, key in enumerate(keys):
             n = budget(key) + 1 if len(key) >= 10 else 1
@@ -139,6 +147,8 @@ class PhraseScanner:
     def scan(self, texts: list[str], longest: int) -> list[tuple[int, int, int]]:
         """Triples (text, key, confidence): 98 where the text contains the key, 92 within its budget of edits (ten
         letters, texts up to longest)."""
+        if self.exact:
+            return [(f, k, 98) for f, text in enumerate(texts if self.keys else ()) for k in sorted({k for _, k in self.pieces.iter(text)})]
         of: list[int] = []
         at: list[int] = []
         piece: list[int] = []
@@ -202,13 +212,14 @@ def long_words(plain: Column, stop: Sequence[str] = ()) -> Column:
     return F.array_except(words, F.array(*[F.lit(x) for x in stop])) if stop else words
 
 
-def scan_phrases(frames: DataFrame, phrases: DataFrame, *, longest: int = 4_000, busiest: int = 400, block: int = 50_000) -> DataFrame:
+def scan_phrases(frames: DataFrame, phrases: DataFrame, *, least: int = 80, longest: int = 4_000, busiest: int = 400, block: int = 50_000) -> DataFrame:
     """Phrases (phrase) in frames (frame, text): rows (frame, phrase, confidence).
 
     98 where the frame contains the phrase (six letters), 92 where it does within an eighth of its length in edits (ten
     letters; frames up to longest), 80 where four fifths of its four or more telling words are nearly there (frames of up
     to busiest long words). No such pair is lost: the first two come from PhraseScanner, to which
-    the phrases are sent in blocks of some `block`; the last from near_words."""
+    the phrases are sent in blocks of some `block`; the last from near_words. Only rows with a confidence of `least` are
+    looked for."""
     f = frames.select("frame", plain_key(F.col("text")).alias("text")).filter("text is not null")
     p = phrases.select("phrase", plain_key(F.col("phrase")).alias("key")).distinct().filter(F.length("key") >= 6)
 
@@ -216,7 +227,7 @@ def scan_phrases(frames: DataFrame, phrases: DataFrame, *, longest: int = 4_000,
 
     def reader(keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scanner = PhraseScanner(keys)
+            scanner = PhraseScanner(keys, exact=least > 92)
             for batch in batches:
                 for at in range(0, batch.num_rows, 200):
                     part = batch.slice(at, 200)
@@ -233,6 +244,8 @@ def scan_phrases(frames: DataFrame, phrases: DataFrame, *, longest: int = 4_000,
         keys = sorted(r.key for r in known.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == n).collect())
         read = read.unionAll(f.mapInArrow(reader(keys), schema)) if keys else read
     read = read.join(p, "key").select("frame", "phrase", "confidence")
+    if least > 80:
+        return read.filter(F.col("confidence") >= least).groupBy("frame", "phrase").agg(F.max("confidence").alias("confidence"))
 
     seen = f.select("frame", long_words(F.col("text")).alias("seen")).filter(F.size("seen") <= busiest)
     fw = seen.select("frame", F.explode("seen").alias("seen"))

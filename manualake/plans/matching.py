@@ -305,7 +305,7 @@ def srt12_top_eight(t: Tables) -> DataFrame:
 def agg28_distinct_hits(t: Tables) -> DataFrame:
     """Of several deliveries of a frame each message once."""
     twice = frames(t).unionAll(frames(t))
-    return Z.best_hits(Z.scan_phrases(twice, phrases(t)), key="phrase", least=98, limit=1 << 30).select("frame", "phrase")
+    return Z.best_hits(Z.scan_phrases(twice, phrases(t), least=98), key="phrase", least=98, limit=1 << 30).select("frame", "phrase")
 
 
 @query(f"select phrase, count(*) frames from {_FRAMES} join {_MESSAGES} on contains(x, k) group by 1")

@@ -3,10 +3,12 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from manualake.functions.measures import bare_measure
+from manualake.operators import fuzzy
 from manualake.operators.fuzzy import PhraseScanner, budget, occurrence_distance, scan_phrases
 from manualake.operators.units import bare_measure_udf, infer_missing_units, unit_features
 
@@ -100,3 +102,12 @@ def test_tables_of_many_files_are_listed_once(spark, tmp_path):
     (root / "part.parquet").write_bytes(next((root / "topic.parquet").glob("part-*.parquet")).read_bytes())
     got = entry.queries()["src1_inventory"](spark, str(root)).collect()
     assert sorted(r.name for r in got) == ["part.parquet", "product.parquet", "topic.parquet"]
+
+
+@pytest.mark.parametrize("name, n", [("agg28_distinct_hits", 5)])
+def test_sure_hits_need_no_near_words(spark, tmp_path, monkeypatch, name, n):
+    monkeypatch.setattr(fuzzy, "near_words", None)
+    rows = [(1, "the Leak left side, a fan"), (2, "leek left side"), (3, None), (4, "leak left side leak left side")]
+    spark.createDataFrame(rows, "text_id long, text string").write.parquet(f"{tmp_path}/topic_text.parquet")
+    got = by_topic(spark, tmp_path, ["Leak left side", "left side", "a fan", "Leak left side", None], name)
+    assert len(got) == n
