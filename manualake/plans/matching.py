@@ -290,7 +290,7 @@ def fzy5_near_words(t: Tables) -> DataFrame:
 @query(f"""with h as (select frame, phrase, 98 c from {_FRAMES} join {_MESSAGES} on contains(x, k)), r as (select *, row_number() over (partition by frame order by c desc, phrase) rank from h) select frame, phrase, c confidence, rank from r where rank <= 8""")
 def fzy6_best_hits(t: Tables) -> DataFrame:
     """Sure hits only, best eight a frame, each message once."""
-    rows = Z.best_hits(Z.scan_phrases(frames(t), phrases(t)), key="phrase", least=98)
+    rows = Z.best_hits(Z.scan_phrases(frames(t), phrases(t), least=98), key="phrase", least=98)
     return rows.select("frame", "phrase", F.col("confidence").cast("int").alias("confidence"), F.col("rank").cast("bigint").alias("rank"))
 
 
