@@ -297,7 +297,7 @@ def fzy6_best_hits(t: Tables) -> DataFrame:
 @query(f"select frame, phrase, 100 * length(phrase) confidence from (select frame, phrase, row_number() over (partition by frame order by length(phrase) desc, phrase) k from {_FRAMES} join {_MESSAGES} on contains(x, k)) where k <= 8")
 def srt12_top_eight(t: Tables) -> DataFrame:
     """The eight best of a frame by confidence, here the length of what was read."""
-    hits = Z.scan_phrases(frames(t), phrases(t)).filter("confidence = 98").select("frame", "phrase", (100 * F.length("phrase")).alias("confidence"))
+    hits = Z.scan_phrases(frames(t), phrases(t), least=98).select("frame", "phrase", (100 * F.length("phrase")).alias("confidence"))
     return Z.best_hits(hits, key="phrase", least=0).select("frame", "phrase", "confidence")
 
 
