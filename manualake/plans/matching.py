@@ -246,7 +246,7 @@ _MESSAGES = f"(select distinct title phrase, {_PLAIN.format('title')} k from top
 @query(f"select frame, phrase, 98 confidence from {_FRAMES} join {_MESSAGES} on contains(x, k)")
 def fzy2_printed_phrases(t: Tables) -> DataFrame:
     """Titles that stand in a text as they are."""
-    return Z.scan_phrases(frames(t), phrases(t)).filter("confidence = 98").withColumn("confidence", F.col("confidence").cast("int"))
+    return Z.scan_phrases(frames(t), phrases(t), least=98).withColumn("confidence", F.col("confidence").cast("int"))
 
 
 @query()
