@@ -311,7 +311,7 @@ def agg28_distinct_hits(t: Tables) -> DataFrame:
 @query(f"select phrase, count(*) frames from {_FRAMES} join {_MESSAGES} on contains(x, k) group by 1")
 def jn27_frames_and_messages(t: Tables) -> DataFrame:
     """Frames joined with messages by what they hold, without meeting each other in pairs."""
-    return Z.scan_phrases(frames(t), phrases(t)).filter("confidence = 98").groupBy("phrase").agg(F.count("*").alias("frames"))
+    return Z.scan_phrases(frames(t), phrases(t), least=98).groupBy("phrase").agg(F.count("*").alias("frames"))
 
 
 # Plates

@@ -104,7 +104,7 @@ def test_tables_of_many_files_are_listed_once(spark, tmp_path):
     assert sorted(r.name for r in got) == ["part.parquet", "product.parquet", "topic.parquet"]
 
 
-@pytest.mark.parametrize("name, n", [("agg28_distinct_hits", 5), ("fzy6_best_hits", 5), ("srt12_top_eight", 5), ("fzy2_printed_phrases", 5)])
+@pytest.mark.parametrize("name, n", [("agg28_distinct_hits", 5), ("fzy6_best_hits", 5), ("srt12_top_eight", 5), ("fzy2_printed_phrases", 5), ("jn27_frames_and_messages", 2)])
 def test_sure_hits_need_no_near_words(spark, tmp_path, monkeypatch, name, n):
     monkeypatch.setattr(fuzzy, "near_words", None)
     rows = [(1, "the Leak left side, a fan"), (2, "leek left side"), (3, None), (4, "leak left side leak left side")]
