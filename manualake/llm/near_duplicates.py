@@ -8,16 +8,21 @@ similarity of those that it does not rule out decides.
 
 from __future__ import annotations
 
+import gc
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..session import cut
 from .canonical import hash64, table_form
+from .scan_noise import Bloom, bloom
 
 WORD = re.compile(r"[^\W_]+")
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -139,7 +144,23 @@ def _keys(registers: np.ndarray, rows: int) -> np.ndarray:
     key = np.broadcast_to(np.arange(1, m // rows + 1, dtype=np.uint64), bands.shape[:2]).copy()
     for i in range(rows):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, i])
-    return key.view(np.int64)
+    # 40 bits and the band: keys that are equal by chance bring few pairs together, and those do not pass.
+    return ((key >> np.uint64(24)) | (np.arange(m // rows, dtype=np.uint64) << np.uint64(40))).view(np.int64)
+
+
+def _marks(registers: np.ndarray, every: int) -> np.ndarray:
+    """Two 64-bit numbers of a class, four bits of each of 32 registers."""
+    some = (registers[:, ::every][:, :32] & 15).astype(np.uint64)
+    some = np.pad(some, ((0, 0), (0, 32 - some.shape[1]))).reshape(len(some), 2, 16)
+    return np.bitwise_or.reduce(some << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2).view(np.int64)
+
+
+def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many of their 32 places two rows of marks agree."""
+    d = (x ^ y).view(np.uint64)
+    d |= d >> np.uint64(2)
+    d |= d >> np.uint64(1)
+    return 32 - np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(1, dtype=np.int64)
 
 
 def near_duplicates(
@@ -150,6 +171,7 @@ def near_duplicates(
     least_words: int = 0,
     bands: int = 56,
     rows: int = 5,
+    passes: int = 7,
 ) -> tuple[DataFrame, DataFrame]:
     """Near-duplicates of docs (id bigint, head string, text string), a record being head, a blank and text in consistent form.
 
@@ -157,9 +179,13 @@ def near_duplicates(
     `shingle` words of at least threshold, class_a < class_b; members (id, class), where records of equal sets share a
     class. Only texts of at least least_words words take part, and texts of one word at least; a null head adds
     nothing, null texts and ids take no part, repeated ids of equal content count once. Candidates are not capped: a
-    pair is missed only if all bands differ, at similarity s with probability (1 - s^rows)^bands.
+    pair is missed only if all bands differ, at similarity s with probability (1 - s^rows)^bands, or if its marks of 32
+    registers agree in 4.5 standard errors less places than is expected at the threshold (at 0.6, fewer than 8 of 32).
+    Bands meet in `passes` parts one after another, so that the rows of one part at a time are on disk.
     """
     sketch = SetSketch(bands * rows)
+    same = threshold + (1 - threshold) / 16
+    agreed = int(np.ceil(32 * same - 4.5 * np.sqrt(32 * same * (1 - same))))
 
     def contents(batch: pa.RecordBatch, shingler: Shingler) -> tuple[list[int], list[np.ndarray]]:
         ids, found = [], []
@@ -173,7 +199,8 @@ def near_duplicates(
             found.append(shingler.word_hashes(table_form(head)) + words if head is not None else words)
         return ids, shingler.batch(found)
 
-    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each record's class, and once for each class of a batch its marks and the keys of its bands, five bytes each."""
         shingler = Shingler(shingle)
         for batch in batches:
             for at in range(0, batch.num_rows, 2_000):
@@ -181,23 +208,36 @@ def near_duplicates(
                 if not ids:
                     continue
                 own = set_hashes(sets)
-                cls, first = np.unique(own, return_index=True)
-                keys = _keys(sketch.registers([sets[i] for i in first]), rows)
-                key = np.concatenate([keys.ravel(), own])
-                of = np.concatenate([np.repeat(cls, bands), np.array(ids, dtype=np.int64)])
-                kind = np.concatenate([np.zeros(keys.size, dtype=bool), np.ones(len(ids), dtype=bool)])
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(of), pa.array(kind)], names=["key", "x", "member"])
+                _, first = np.unique(own, return_index=True)
+                registers = sketch.registers([sets[i] for i in first])
+                keys = _keys(registers, rows).view(np.uint8).reshape(len(first), bands, 8)[:, :, :5]
+                marks, kept = np.zeros((len(ids), 2), dtype=np.int64), [None] * len(ids)
+                marks[first] = _marks(registers, max(1, sketch.m // 32))
+                for i, k in zip(first.tolist(), keys):
+                    kept[i] = k.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(kept, pa.binary())], names=["id", "class", "m1", "m2", "keys"])
+
+    def banded(part: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                keys = np.zeros((batch.num_rows, len(part), 8), dtype=np.uint8)
+                keys[:, :, :5] = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, bands, 5)[:, part]
+                key = keys.view(np.int64)[:, :, 0] | (np.array(part, dtype=np.int64) << 40)
+                rest = [np.repeat(batch.column(k).to_numpy(), len(part)) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *map(pa.array, rest)], names=["key", "x", "m1", "m2"])
+
+        return run
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of classes that share a band key. The rows come sorted by key, and no more than one key's and one batch's
-        are held; a key's classes meet in slices, however many they are."""
-        names = ["member", "a", "b"]
-        key = x = np.zeros(0, dtype=np.int64)
+        """Pairs of classes that share a band key and whose marks agree. The rows come sorted by key, and no more than one
+        key's and one batch's are held; a key's classes meet in slices, however many they are."""
 
-        def met(key: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def met(key: np.ndarray, x: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
             fresh = np.ones(len(key), dtype=bool)
             fresh[1:] = (key[1:] != key[:-1]) | (x[1:] != x[:-1])
-            key, x = key[fresh], x[fresh]
+            key, x, marks = key[fresh], x[fresh], marks[fresh]
             gap = 1
             while gap < len(key):  # each row with the row `gap` places on, as long as any key reaches that far
                 at = np.flatnonzero(key[gap:] == key[:-gap])
@@ -205,20 +245,20 @@ def near_duplicates(
                     break
                 for s in range(0, len(at), 100_000):
                     some = at[s : s + 100_000]
-                    pairs = np.unique(np.stack([x[some], x[some + gap]], 1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(pairs), dtype=bool)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=names)
+                    some = some[_agree(marks[some], marks[some + gap]) >= agreed]
+                    pairs = np.unique(np.sort(np.stack([x[some], x[some + gap]], 1), axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
                 gap += 1
 
+        key = x = np.zeros(0, dtype=np.int64)
+        marks = np.zeros((0, 2), dtype=np.int64)
         for batch in batches:
-            keys, xs, member = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            if member.any():
-                m = np.flatnonzero(member)
-                yield pa.RecordBatch.from_arrays([pa.array(member[m]), pa.array(xs[m]), pa.array(keys[m])], names=names)
-            key, x = np.concatenate([key, keys[~member]]), np.concatenate([x, xs[~member]])
+            keys, xs, m1, m2 = (batch.column(k).to_numpy() for k in range(4))
+            key, x, marks = np.concatenate([key, keys]), np.concatenate([x, xs]), np.concatenate([marks, np.stack([m1, m2], 1)])
             last = int(np.searchsorted(key, key[-1], "left")) if len(key) else 0
-            yield from met(key[:last], x[:last])
-            key, x = key[last:], x[last:]
-        yield from met(key, x)
+            yield from met(key[:last], x[:last], marks[:last])
+            key, x, marks = key[last:], x[last:], marks[last:]
+        yield from met(key, x, marks)
 
     def feature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
@@ -243,14 +283,30 @@ def near_duplicates(
                 yield pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64()), pa.array(exact, pa.float64())], names=["class_a", "class_b", "similarity"])
 
     docs = docs.select("id", "head", "text")
-    banded = docs.mapInArrow(band, "key bigint, x bigint, member boolean").repartition("key").sortWithinPartitions("key", "x")
-    met = cut(banded.mapInArrow(meet, "member boolean, a bigint, b bigint").distinct())
-    members = met.filter("member").select(F.col("a").alias("id"), F.col("b").alias("class"))
-    pairs = met.filter("not member").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    sketches = cut(docs.mapInArrow(drawn, "id bigint, class bigint, m1 bigint, m2 bigint, keys binary"))
+    members = cut(sketches.select("id", "class").distinct())
+    drawn_once = sketches.filter("keys is not null").select("class", "m1", "m2", "keys")
+    found_in = []
+    for part in np.array_split(np.arange(bands), min(passes, bands)):
+        met = drawn_once.mapInArrow(banded(part.tolist()), "key bigint, x bigint, m1 bigint, m2 bigint").repartition("key").sortWithinPartitions("key", "x")
+        found_in.append(cut(met.mapInArrow(meet, "a bigint, b bigint")))
+        del met
+        gc.collect()  # the part's shuffle files go once nothing names them
+        docs.sparkSession.sparkContext._jvm.System.gc()
+    pairs = cut(reduce(DataFrame.unionAll, found_in).distinct())
     asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     chosen = members.groupBy("class").agg(F.min("id").alias("id")).join(asked, "class", "left_semi")
-    # One record of each class that has a candidate is read again.
-    features = docs.join(chosen.select("id"), "id", "left_semi").mapInArrow(feature, "id bigint, cls bigint, shingles binary")
+    # One record of each class that has a candidate is read again; a Bloom filter spares most others the way to the join.
+    wanted = bloom(chosen.select(F.col("id").cast("string").alias("word")))
+
+    @pandas_udf("boolean")
+    def may_be_chosen(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = Bloom(wanted)
+        for ids in batches:
+            yield pd.Series([i in known for i in ids.astype(str)], dtype=bool)
+
+    near = docs.filter("id is not null").filter(may_be_chosen("id")) if wanted is not None else docs
+    features = near.join(chosen.select("id"), "id", "left_semi").mapInArrow(feature, "id bigint, cls bigint, shingles binary")
     features = cut(features.dropDuplicates(["cls"]).select("cls", "shingles"))
     found = (
         pairs.join(features.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")

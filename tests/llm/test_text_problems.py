@@ -383,3 +383,18 @@ def test_retrieval_equals_a_dense_matrix():
         got = np.zeros(want.shape)
         got[key // len(pair.b.pair), key % len(pair.b.pair)] = share
         assert np.allclose(got, want) and (want > 0).any() and (np.diff(key) > 0).all()
+
+
+def test_candidates_whose_marks_differ_go_no_further(spark, monkeypatch):
+    from manualake.llm import near_duplicates as nd
+
+    kept, cut = [], nd.cut
+    monkeypatch.setattr(nd, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    common = " ".join(f"c{i}" for i in range(20))
+    texts = [f"{common} " + " ".join(f"w{d}x{i}" for i in range(90)) for d in range(60)]
+    texts.append(texts[0].replace("w0x50", "other"))
+    docs = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "id bigint, head string, text string")
+    pairs, members = nd.near_duplicates(docs, shingle=3, threshold=0.6, least_words=25, rows=1)
+    assert [(r.a, r.b) for r in nd.expand(pairs, members).collect()] == [(0, 60)]
+    most = max(df.filter("not member").count() if "member" in df.columns else df.count() for df in kept if {"a", "b"} <= set(df.columns))
+    assert most < 600  # of 1,830 pairs, nearly all of which share a band
