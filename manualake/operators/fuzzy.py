@@ -15,6 +15,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
 from ..functions.text import near, ocr_key, plain_key
+from ..session import cut
 
 
 def occurrence_distance(needle: str, haystack: str) -> int:
@@ -212,6 +213,71 @@ def long_words(plain: Column, stop: Sequence[str] = ()) -> Column:
     return F.array_except(words, F.array(*[F.lit(x) for x in stop])) if stop else words
 
 
+class BagScanner:
+    """Finds bags (lists of word numbers) of which four fifths are among a frame's words. A bag that is found has one of its
+    rarest words there, one more than it may miss: only the bags of such words are counted."""
+
+    def __init__(self, bags: list[list[int]], n_words: int):
+        self.n_words = n_words
+        size = np.array([len(b) for b in bags], dtype=np.int64)
+        self.need = (4 * size + 4) // 5
+        self.words = np.full((len(bags), int(size.max(initial=1))), n_words, dtype=np.int64)  # word n_words is never there
+        use = np.bincount([w for b in bags for w in b], minlength=n_words)
+        of: list[list[int]] = [[] for _ in range(n_words)]
+        for i, b in enumerate(bags):
+            self.words[i, : len(b)] = b
+            for w in sorted(b, key=lambda w: use[w])[: len(b) - int(self.need[i]) + 1]:
+                of[w].append(i)
+        self.of = {w: np.array(x) for w, x in enumerate(of) if x}
+
+    def scan(self, there: list[int]) -> np.ndarray:
+        """The bags found among the words that are there."""
+        asked = [self.of[w] for w in there if w in self.of]
+        if not asked:
+            return np.zeros(0, dtype=np.int64)
+        mask = np.zeros(self.n_words + 1, dtype=bool)
+        mask[there] = True
+        some = np.unique(np.concatenate(asked))
+        return some[mask[self.words[some]].sum(1) >= self.need[some]]
+
+
+def bag_hits(seen: DataFrame, bags: DataFrame, *, block: int = 50_000) -> DataFrame:
+    """Pairs (frame, phrase) of seen (frame, seen array) and bags (phrase, words array): four fifths of a bag of four or more
+    words are near some word seen. The bags are sent in blocks of some `block`, with the words that are near theirs."""
+    bags = bags.filter(F.size("words") >= 4).distinct()
+    each = bags.select(F.explode("words").alias("word")).distinct()
+    close = near_words(each, seen.select(F.explode("seen").alias("seen")).distinct())
+    schema = T.StructType([seen.schema["frame"], T.StructField("phrase", T.StringType())])
+
+    def reader(phrases: list[str], words: list[list[int]], near_: dict[str, list[int]], n_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scanner = BagScanner(words, n_words)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 200):
+                    part = batch.slice(at, 200)
+                    found = [scanner.scan([w for x in xs for w in near_.get(x, ())]) for xs in part.column(1).to_pylist()]
+                    ids = part.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([phrases[i] for x in found for i in x.tolist()], pa.string())], names=["frame", "phrase"])
+
+        return run
+
+    blocks = 1 + bags.count() // block
+    if blocks > 1:
+        close = cut(close)
+    out = seen.sparkSession.createDataFrame([], schema)
+    for n in range(blocks):
+        own = bags.filter(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == n)
+        rows = own.collect()
+        if not rows:
+            continue
+        number = {w: i for i, w in enumerate(sorted({w for r in rows for w in r.words}))}
+        near_: dict[str, list[int]] = {}
+        for r in (close.join(own.select(F.explode("words").alias("word")).distinct(), "word", "left_semi") if blocks > 1 else close).collect():
+            near_.setdefault(r.seen, []).append(number[r.word])
+        out = out.unionAll(seen.select("frame", "seen").mapInArrow(reader([r.phrase for r in rows], [[number[w] for w in r.words] for r in rows], near_, len(number)), schema))
+    return out
+
+
 def scan_phrases(frames: DataFrame, phrases: DataFrame, *, least: int = 80, longest: int = 4_000, busiest: int = 400, block: int = 50_000) -> DataFrame:
     """Phrases (phrase) in frames (frame, text): rows (frame, phrase, confidence).
 
@@ -248,11 +314,7 @@ def scan_phrases(frames: DataFrame, phrases: DataFrame, *, least: int = 80, long
         return read.filter(F.col("confidence") >= least).groupBy("frame", "phrase").agg(F.max("confidence").alias("confidence"))
 
     seen = f.select("frame", long_words(F.col("text")).alias("seen")).filter(F.size("seen") <= busiest)
-    fw = seen.select("frame", F.explode("seen").alias("seen"))
-    pw = p.select("phrase", long_words(F.col("key"), STOP).alias("words")).filter(F.size("words") >= 4).select("phrase", F.size("words").alias("n"), F.explode("words").alias("word"))
-    close = near_words(pw.select("word").distinct(), fw.select("seen").distinct())
-    hits = fw.join(close, "seen").join(pw, "word").groupBy("frame", "phrase", "n").agg(F.countDistinct("word").alias("hits"))
-    bags = hits.filter("hits * 100 / n >= 80").select("frame", "phrase", F.lit(80).alias("confidence"))
+    bags = bag_hits(seen, p.select("phrase", long_words(F.col("key"), STOP).alias("words")), block=block).withColumn("confidence", F.lit(80))
     return read.unionByName(bags).groupBy("frame", "phrase").agg(F.max("confidence").alias("confidence"))
 
 

@@ -271,12 +271,8 @@ _NEAR = "({0} = {1} or (abs(length({0}) - length({1})) <= 2 and levenshtein({0},
     select frame, phrase from h where hits * 100 / n >= 80""")
 def fzy4_bags_of_words(t: Tables) -> DataFrame:
     """Titles of four or more telling words of which four fifths are nearly in a text."""
-    f = frames(t).select("frame", F.explode(Z.long_words(X.plain_key(F.col("text")))).alias("seen"))
-    p = phrases(t).distinct().select("phrase", Z.long_words(X.plain_key(F.col("phrase")), Z.STOP).alias("words")).filter(F.size("words") >= 4).select("phrase", F.size("words").alias("n"), F.explode("words").alias("word"))
-    busy = f.groupBy("frame").agg(F.count("*").alias("c")).filter("c <= 400").select("frame")
-    close = Z.near_words(p.select("word").distinct(), f.select("seen").distinct())
-    hits = f.join(busy, "frame", "left_semi").join(close, "seen").join(p, "word").groupBy("frame", "phrase", "n").agg(F.countDistinct("word").alias("hits"))
-    return hits.filter("hits * 100 / n >= 80").select("frame", "phrase")
+    seen = frames(t).select("frame", Z.long_words(X.plain_key(F.col("text"))).alias("seen")).filter(F.size("seen") <= 400)
+    return Z.bag_hits(seen, phrases(t).distinct().select("phrase", Z.long_words(X.plain_key(F.col("phrase")), Z.STOP).alias("words")))
 
 
 @query(f"""with w as (select distinct unnest(string_split({_SEARCH.format('title')}, ' ')) w from topic where title is not null) select a.w a, b.w b from w a join w b on a.w < b.w and length(a.w) >= 5 and length(b.w) >= 5 and {_NEAR.format('a.w', 'b.w')}""")

@@ -111,3 +111,19 @@ def test_sure_hits_need_no_near_words(spark, tmp_path, monkeypatch, name, n):
     spark.createDataFrame(rows, "text_id long, text string").write.parquet(f"{tmp_path}/topic_text.parquet")
     got = by_topic(spark, tmp_path, ["Leak left side", "left side", "a fan", "Leak left side", None], name)
     assert len(got) == n
+
+
+def test_bags_equal_brute_force():
+    rng = random.Random(5)
+    bags = [rng.sample(range(30), rng.randint(4, 9)) for _ in range(400)]
+    scanner = fuzzy.BagScanner(bags, 30)
+    for size in (0, 3, 8, 15, 30):
+        there = rng.choices(range(30), k=size)
+        assert scanner.scan(there).tolist() == [i for i, b in enumerate(bags) if len(set(b) & set(there)) * 100 / len(b) >= 80]
+
+
+def test_bags_in_blocks(spark):
+    seen = spark.createDataFrame([(1, ["leaking", "filter", "tank", "water", "side"]), (2, ["filtre", "tank"]), (3, [])], "frame long, seen array<string>")
+    bags = spark.createDataFrame([(f"p{i}", ["leaking", "filter", "water", "tank", f"odd{i}xyz"]) for i in range(9)] + [("q", ["tank", "side", "filter", "other"])], "phrase string, words array<string>")
+    for block in (3, 50_000):
+        assert sorted(tuple(r) for r in fuzzy.bag_hits(seen, bags, block=block).collect()) == [(1, f"p{i}") for i in range(9)]
