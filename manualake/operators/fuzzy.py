@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -100,16 +101,89 @@ def budget(key: str) -> int:
     return max(2, len(key) // 8)
 
 
+def even_pieces(keys: list[str]) -> list[list[tuple[int, int]]]:
+    """Of each key of ten letters or more, one piece (begin, end) more than its budget has edits, all about as long."""
+    out: list[list[tuple[int, int]]] = []
+    for key in keys:
+        n = budget(key) + 1
+        cuts = [len(key) * x // n for x in range(n + 1)]
+        out.append(list(zip(cuts, cuts[1:])) if len(key) >= 10 else [])
+    return out
+
+
+def rare_pieces(keys: list[str], texts: list[str], *, shortest: int = 2, longest: int = 16) -> list[list[tuple[int, int]]]:
+    """Like even_pieces, but those that occur least in some texts, by a table over the key's places; what lies between two
+    is left out. The texts decide about time alone: any such pieces find every phrase."""
+    flat, given = PhraseScanner.codes("".join(keys)).astype(np.uint64), PhraseScanner.codes("\n".join(texts)).astype(np.uint64)
+    # How often each stretch of each key occurs in the texts, by its length and begin; few stretches share a hash of 22 bits.
+    odd, times = np.uint64(0x9E3779B97F4A7C15), np.zeros((longest + 1, len(flat)), dtype=np.float32)
+    own, other = np.zeros(len(flat), dtype=np.uint64), np.zeros(len(given), dtype=np.uint64)
+    for size in range(1, min(longest, len(flat)) + 1):
+        own = own[: len(flat) - size + 1] * odd + flat[size - 1 :]
+        other = other[: max(0, len(given) - size + 1)] * odd + given[size - 1 :]
+        if size >= shortest:
+            there = np.bincount(((other * odd) >> np.uint64(42)).astype(np.int64), minlength=1 << 22)
+            times[size, : len(own)] = there[((own * odd) >> np.uint64(42)).astype(np.int64)]
+    lengths = np.array([len(k) for k in keys], dtype=np.int64)
+    first = np.cumsum(lengths) - lengths
+    out: list[list[tuple[int, int]]] = [[] for _ in keys]
+    sizes = np.arange(shortest, longest + 1)
+    for m in np.unique(lengths[lengths >= 10]).tolist():
+        every = np.flatnonzero(lengths == m)
+        begin = np.arange(m + 1)[:, None] - sizes[None, :]
+        for at in range(0, len(every), 2_000):
+            ids = every[at : at + 2_000]
+            # cost[i, e, s]: what a piece of the s-th size that ends at e costs, a little for itself.
+            cost = times[sizes[None, None, :], first[ids][:, None, None] + np.maximum(begin, 0)] + np.float32(0.02)
+            cost[:, begin < 0] = np.inf
+            least, took, rows = np.zeros((len(ids), m + 1), dtype=np.float32), [], np.arange(len(ids))
+            for _ in range(budget("x" * m) + 1):
+                each = least[:, np.maximum(begin, 0)] + cost
+                size = each.argmin(2)
+                best = np.take_along_axis(each, size[:, :, None], 2)[:, :, 0]
+                least = np.minimum.accumulate(best, axis=1)
+                # The last place up to here at which a piece ends that reaches the least.
+                end = np.maximum.accumulate(np.where(best == least, np.arange(m + 1), 0), axis=1)
+                took.append((end, sizes[size]))
+            place = np.full(len(ids), m)
+            for end, size in reversed(took):
+                e = end[rows, place]
+                place = e - size[rows, e]
+                for i, b, x in zip(ids.tolist(), place.tolist(), e.tolist()):
+                    out[i].append((b, x))
+    return out
+
+
 class PhraseScanner:
     """Finds keys (lower-case ASCII letters, digits and blanks) in texts of the same kind, exactly or within their budget.
 
-    Lossless: a key is cut into one piece more than its budget has edits, so that one piece stands in the text as it is.
-    The distance is then taken in the stretch around each such piece that the key can fill. Where exact ones alone are
-    asked for (exact), a key is one piece."""
+    Lossless: of a key one piece more is looked for than its budget has edits, so that one piece stands in the text as it
+    is. The stretch around each such piece that the key can fill is asked for the key's pairs of letters, of which an edit
+    spoils two at most; the distance is taken in what is left. Where exact ones alone are asked for (exact), a key is one
+    piece. Other pieces than even ones (begin, end) may be given."""
 
     ALPHABET = " abcdefghijklmnopqrstuvwxyz0123456789"
+    CODE = np.zeros(128, dtype=np.uint8)
+    CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET)) + 1
+    #: Levels of the table of pairs: a stretch is two entries of a level, so 4 to 128 pairs; longer ones are not asked.
+    LEVELS = range(2, 7)
+    #: Letters of texts that are scanned at a time, for the table of their pairs, and stretches around pieces, for their arrays.
+    LETTERS, STRETCHES = 200_000, 250_000
+
+    @classmethod
+    def codes(cls, text: str) -> np.ndarray:
+        """The number of each letter, from 1; 0 for what is no letter."""
+        return cls.CODE[np.frombuffer(text.encode("ascii"), dtype=np.uint8)]
+
+    @staticmethod
+    def pairs(codes: np.ndarray) -> np.ndarray:
+        """Each letter and the next as one of 256 bits, in four words."""
+        h = ((codes[:-1].astype(np.uint32) * 38 + codes[1:]) * np.uint32(2654435761)) >> np.uint32(24)
+        out = np.zeros((len(h), 4), dtype=np.uint64)
+        out[np.arange(len(h)), h >> 6] = np.uint64(1) << (h & 63).astype(np.uint64)
+        return out
 
-    def __init__(self, keys: list[str], *, exact: bool = False):
+    def __init__(self, keys: list[str], *, exact: bool = False, pieces: list[list[tuple[int, int]]] | None = None):
         self.keys, self.exact = keys, exact
         if exact:
             self.pieces = ahocorasick.Automaton()
@@ -118,88 +192,167 @@ class PhraseScanner:
             if keys:
                 self.pieces.make_automaton()
             return
-        pieces: dict[str, list[tuple[int, int]]] = {}
-        for i, key in enumerate(keys):
-            n = budget(key) + 1 if len(key) >= 10 else 1
-            cuts = [len(key) * x // n for x in range(n + 1)]
-            for b, e in zip(cuts, cuts[1:]):
-                pieces.setdefault(key[b:e], []).append((i, b))
-        # One pass over a text finds all pieces in it.
-        self.pieces = ahocorasick.Automaton()
-        for n, x in enumerate(pieces):
-            self.pieces.add_word(x, (n, len(x)))
-        if pieces:
-            self.pieces.make_automaton()
-        self.count = np.array([len(x) for x in pieces.values()], dtype=np.int64)
+        owners: dict[str, list[tuple[int, int]]] = {}
+        for i, (key, own) in enumerate(zip(keys, even_pieces(keys) if pieces is None else pieces)):
+            for b, e in own:
+                owners.setdefault(key[b:e], []).append((i, b))
+        number = {key: i for i, key in enumerate(keys)}
+        words = list(owners | number)
+        # One pass over a text finds all pieces and all whole keys in it.
+        self.words = ahocorasick.Automaton()
+        for n, x in enumerate(words):
+            self.words.add_word(x, n)
+        if words:
+            self.words.make_automaton()
+        self.word_size = np.array([len(x) for x in words], dtype=np.int64)
+        self.whole = np.array([number.get(x, -1) for x in words], dtype=np.int64)
+        self.count = np.array([len(owners.get(x, ())) for x in words], dtype=np.int64)
         self.first = np.cumsum(self.count) - self.count
-        self.owner = np.array([i for x in pieces.values() for i, _ in x], dtype=np.int64)
-        self.offset = np.array([b for x in pieces.values() for _, b in x], dtype=np.int64)
+        self.owner = np.array([i for x in owners.values() for i, _ in x], dtype=np.int64)
+        self.offset = np.array([b for x in owners.values() for _, b in x], dtype=np.int64)
         self.size = np.array([len(k) for k in keys], dtype=np.int64)
         self.edits = np.array([budget(k) for k in keys], dtype=np.int64)
-        # The places of each letter in each key as bits; letter 0 is no letter.
+        # The pairs of letters of each key and of each quarter of it, and the stretch that holds them if they are intact.
+        flat, begin = self.codes("".join(keys)), np.cumsum(self.size) - self.size
+        owner = np.repeat(np.arange(len(keys)), self.size)
+        place = np.arange(len(flat)) - begin[owner]
+        inside = np.flatnonzero(place[1:] > 0)
+        pairs = self.pairs(flat)[inside]
+        quarter = place[inside] * 4 // np.maximum(self.size[owner[inside]] - 1, 1)
+        cuts = (np.arange(5)[:, None] * (self.size - 1) + 3) // 4
+        self.quarters = [self._stretch(cuts[x], cuts[x + 1], owner[inside][quarter == x], pairs[quarter == x]) for x in range(4)]
+        self.all_pairs = self._stretch(cuts[0], cuts[4], owner[inside], pairs)
+        # The places of each letter in each key, up to 64, as bits; letter 0 is no letter.
+        early = place < 64
         self.bits = np.zeros((len(keys), len(self.ALPHABET) + 1), dtype=np.uint64)
-        for i, key in enumerate(keys):
-            for at, c in enumerate(key[:64]):
-                self.bits[i, self.ALPHABET.index(c) + 1] |= np.uint64(1 << at)
-        self.code = np.zeros(128, dtype=np.uint8)
-        for n, c in enumerate(self.ALPHABET):
-            self.code[ord(c)] = n + 1
+        np.bitwise_or.at(self.bits, (owner[early], flat[early]), np.uint64(1) << place[early].astype(np.uint64))
+
+    def _stretch(self, begin: np.ndarray, end: np.ndarray, owner: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each key its pairs from begin to end, as bits, and where the table has those of a stretch in which they stand
+        whatever edits there are: its level, and the places of its two entries."""
+        bits = np.zeros((len(self.keys), 4), dtype=np.uint64)
+        np.bitwise_or.at(bits, owner, pairs)
+        fill = np.maximum(end - begin + 2 * self.edits, 1 << self.LEVELS[0])
+        level = np.minimum(np.log2(fill).astype(np.int64), self.LEVELS[-1])
+        bits[fill > 2 << self.LEVELS[-1]] = 0
+        return bits, level - self.LEVELS[0], begin, begin + np.minimum(fill, 2 << level) - (1 << level)
 
     def scan(self, texts: list[str], longest: int) -> list[tuple[int, int, int]]:
         """Triples (text, key, confidence): 98 where the text contains the key, 92 within its budget of edits (ten
         letters, texts up to longest)."""
         if self.exact:
             return [(f, k, 98) for f, text in enumerate(texts if self.keys else ()) for k in sorted({k for _, k in self.pieces.iter(text)})]
-        of: list[int] = []
-        at: list[int] = []
-        piece: list[int] = []
-        for f, text in enumerate(texts if len(self.pieces) else ()):
-            for end, (n, size) in self.pieces.iter(text):
-                of.append(f), at.append(end - size + 1), piece.append(n)
-        if not of:
-            return []
-        x = np.array(piece)
-        times = self.count[x]
-        every = np.repeat(self.first[x] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        key, text, start = self.owner[every], np.repeat(np.array(of), times), np.repeat(np.array(at), times) - self.offset[every]
-        pairs = np.unique(text * len(self.keys) + key)
-        whole = {p for p in pairs.tolist() if self.keys[p % len(self.keys)] in texts[p // len(self.keys)]}
-        lengths = np.array([len(t) for t in texts], dtype=np.int64)
-        asked = (self.size[key] >= 10) & (lengths[text] <= longest) & ~np.isin(text * len(self.keys) + key, np.fromiter(whole, np.int64, len(whole)))
-        key, text, start = key[asked], text[asked], start[asked] - self.edits[key[asked]]
-        close = self._within(key, text, start, texts, lengths)
-        near_ = np.unique(text[close] * len(self.keys) + key[close]).tolist()
-        return [(*divmod(p, len(self.keys)), c) for c, ps in ((98, whole), (92, near_)) for p in ps]
-
-    def _within(self, key: np.ndarray, text: np.ndarray, start: np.ndarray, texts: list[str], lengths: np.ndarray) -> np.ndarray:
-        """Whether key occurs within its budget in the stretch of text from start on: Myers' bit vectors, many pairs at once."""
-        flat = self.code[np.frombuffer("".join(texts).encode("ascii"), dtype=np.uint8)]
-        base = np.cumsum(lengths) - lengths
-        out, one = np.zeros(len(key), dtype=bool), np.uint64(1)
-        sizes = self.size[key]
-        for m in np.unique(sizes).tolist():
-            rows = np.flatnonzero(sizes == m)
-            edits = int(self.edits[key[rows[0]]])
-            if m > 64:
-                around = [texts[f][max(0, b) : max(0, b + m + 2 * edits)] for f, b in zip(text[rows].tolist(), start[rows].tolist())]
-                out[rows] = np.array(occurrence_distances([self.keys[k] for k in key[rows].tolist()], around)) <= edits
+        out: list[tuple[int, int, int]] = []
+        part: list[int] = []
+        letters = 0
+        for f, text in enumerate(texts if self.keys else ()):
+            if len(text) > longest:
+                out += [(f, k, 98) for k in {int(self.whole[n]) for _, n in self.words.iter(text)} if k >= 0]
                 continue
-            k, b, n, at = key[rows], start[rows], lengths[text[rows]], base[text[rows]]
-            up, down = np.full(len(rows), ~np.uint64(0)), np.zeros(len(rows), dtype=np.uint64)
-            score = np.full(len(rows), m, dtype=np.int32)
-            least, top = score.copy(), np.uint64(m - 1)
-            for j in range(m + 2 * edits):
-                q = b + j
-                c = np.where((q >= 0) & (q < n), flat[np.minimum(at + np.maximum(q, 0), len(flat) - 1)], 0)
-                eq = self.bits[k, c]
-                v = eq | down
-                h = (((eq & up) + up) ^ up) | eq
-                rise, fall = down | ~(h | up), up & h
-                score += ((rise >> top) & one).astype(np.int32) - ((fall >> top) & one).astype(np.int32)
-                np.minimum(least, score, out=least)
-                rise, fall = rise << one, fall << one
-                up, down = fall | ~(v | rise), rise & v
-            out[rows] = least <= edits
+            if part and letters + len(text) > self.LETTERS:
+                out += [(part[x], k, c) for x, k, c in self._scan([texts[x] for x in part])]
+                part, letters = [], 0
+            part.append(f)
+            letters += len(text) + 1
+        return out + [(part[x], k, c) for x, k, c in self._scan([texts[x] for x in part])] if part else out
+
+    def _scan(self, texts: list[str]) -> list[tuple[int, int, int]]:
+        n, size = len(self.keys), np.array([len(t) + 1 for t in texts], dtype=np.int64)
+        base = np.cumsum(size) - size
+        # No piece has what parts two texts: places in all of them are as in one.
+        every = "\n".join([*texts, ""])
+        found = np.fromiter(chain.from_iterable(self.words.iter(every)), np.int64)
+        word, place = found[1::2], found[::2] + 1
+        place -= self.word_size[word]
+        text = np.repeat(np.arange(len(texts)), size)[place]
+        sure = self.whole[word] >= 0
+        whole = np.unique(text[sure] * n + self.whole[word[sure]])
+        some = self.count[word] > 0
+        word, text, place = word[some], text[some], place[some]
+        close = np.zeros(0, dtype=np.int64)
+        flat = self.codes(every)
+        table, sums = self._table(flat), np.cumsum(self.count[word])
+        at = 0
+        while at < len(word):
+            end = max(at + 1, int(np.searchsorted(sums, sums[at] - self.count[word[at]] + self.STRETCHES)))
+            key, where, begin = self._asked(word[at:end], text[at:end], place[at:end], table)
+            pair = where * n + key
+            open_ = ~np.isin(pair, whole) & ~np.isin(pair, close)
+            key, where, begin = key[open_], where[open_], begin[open_]
+            hit = self._within(key, begin, base[where], (base + size - 1)[where], flat)
+            close = np.union1d(close, where[hit] * n + key[hit])
+            at = end
+        return [(*divmod(p, n), c) for c, ps in ((98, whole), (92, close)) for p in ps.tolist()]
+
+    def _table(self, flat: np.ndarray) -> np.ndarray:
+        """Of each level the 2 ** level pairs from each letter on."""
+        here = np.zeros((len(flat) + (4 << self.LEVELS[-1]), 4), dtype=np.uint64)
+        here[: len(flat) - 1] = self.pairs(flat)
+        out = np.zeros((len(self.LEVELS), *here.shape), dtype=np.uint64)
+        for level in range(1, self.LEVELS[-1] + 1):
+            here[: -(1 << level - 1)] |= here[1 << level - 1 :].copy()
+            if level in self.LEVELS:
+                out[level - self.LEVELS[0]] = here
+        return out
+
+    @staticmethod
+    def _missing(stretch: tuple[np.ndarray, ...], key: np.ndarray, place: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """How many of the pairs that a stretch of the key asks for are not where it would be, the key beginning at place."""
+        bits, level, one, other = stretch
+        size, rows = table.shape[1], table.reshape(-1, 4)
+        # A stretch that begins before all texts may be taken for more than it is, never for less.
+        at = level[key] * size
+        there = rows.take(at + np.clip(place + one[key], 0, size - 1), axis=0)
+        there |= rows.take(at + np.clip(place + other[key], 0, size - 1), axis=0)
+        return np.bitwise_count(bits.take(key, axis=0) & ~there) @ np.ones(4, dtype=np.uint8)
+
+    def _asked(self, word: np.ndarray, text: np.ndarray, place: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The stretches (key, text, begin) around pieces that hold enough of the key's pairs of letters; each once."""
+        times = self.count[word]
+        every = np.repeat(self.first[word] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        key = self.owner[every]
+        begin = np.repeat(place, times) - self.offset[every] - self.edits[key]
+        left = np.flatnonzero(self._missing(self.all_pairs, key, begin, table) <= 2 * self.edits[key])
+        key, begin, text = key[left], begin[left], np.repeat(text, times)[left]
+        missing = np.zeros(len(key), dtype=np.int64)
+        for x in self.quarters:
+            missing += self._missing(x, key, begin, table)
+        left = missing <= 2 * self.edits[key]
+        x = np.stack([key[left], text[left], begin[left]])
+        x = x[:, np.lexsort(x)]
+        x = x[:, np.append(True, (x[:, 1:] != x[:, :-1]).any(0))[: x.shape[1]]]
+        return x[0], x[1], x[2]
+
+    def _within(self, key: np.ndarray, start: np.ndarray, first: np.ndarray, last: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """Whether key occurs within its budget in the stretch from start on of a text from first to last: Myers' bit
+        vectors, all pairs at once. Of keys of more than 64 letters their first 64, then the whole of those that are left."""
+        if not len(key):
+            return np.zeros(0, dtype=bool)
+        one, size, edits = np.uint64(1), np.minimum(self.size[key], 64), self.edits[key]
+        top = (size - 1).astype(np.uint64)
+        up, down = np.full(len(key), ~np.uint64(0)), np.zeros(len(key), dtype=np.uint64)
+        score = size.copy()
+        least = score.copy()
+        # Around a key's own stretch there is no letter, which never helps.
+        end = np.minimum(last, start + size + 2 * edits)
+        for j in range(int((size + 2 * edits).max())):
+            q = start + j
+            c = np.where((q >= first) & (q < end), flat[np.clip(q, 0, len(flat) - 1)], 0)
+            eq = self.bits[key, c]
+            v = eq | down
+            h = (((eq & up) + up) ^ up) | eq
+            rise, fall = down | ~(h | up), up & h
+            score += ((rise >> top) & one).astype(np.int64) - ((fall >> top) & one).astype(np.int64)
+            np.minimum(least, score, out=least)
+            rise, fall = rise << one, fall << one
+            up, down = fall | ~(v | rise), rise & v
+        out = least <= edits
+        rows = np.flatnonzero(out & (self.size[key] > 64))
+        if len(rows):
+            letters = np.array(list("\n" + self.ALPHABET))
+            spans = zip(np.maximum(first, start)[rows].tolist(), np.minimum(last, start + self.size[key] + 2 * edits)[rows].tolist())
+            around = ["".join(letters[flat[b:e]]) for b, e in spans]
+            out[rows] = np.array(occurrence_distances([self.keys[k] for k in key[rows].tolist()], around), dtype=np.int64) <= edits[rows]
         return out
 
 
@@ -284,31 +437,35 @@ def scan_phrases(frames: DataFrame, phrases: DataFrame, *, least: int = 80, long
     98 where the frame contains the phrase (six letters), 92 where it does within an eighth of its length in edits (ten
     letters; frames up to longest), 80 where four fifths of its four or more telling words are nearly there (frames of up
     to busiest long words). No such pair is lost: the first two come from PhraseScanner, to which
-    the phrases are sent in blocks of some `block`; the last from near_words. Only rows with a confidence of `least` are
-    looked for."""
+    the phrases are sent in blocks of some `block`, cut where they are rare in a few frames; the last from near_words. Only
+    rows with a confidence of `least` are looked for."""
     f = frames.select("frame", plain_key(F.col("text")).alias("text")).filter("text is not null")
     p = phrases.select("phrase", plain_key(F.col("phrase")).alias("key")).distinct().filter(F.length("key") >= 6)
+    exact = least > 92
+    if not exact:
+        f = cut(f)
 
     schema = T.StructType([f.schema["frame"], T.StructField("key", T.StringType()), T.StructField("confidence", T.IntegerType())])
 
-    def reader(keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def reader(keys: list[str], pieces: list[list[tuple[int, int]]] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scanner = PhraseScanner(keys, exact=least > 92)
+            scanner = PhraseScanner(keys, exact=exact, pieces=pieces)
             for batch in batches:
-                for at in range(0, batch.num_rows, 200):
-                    part = batch.slice(at, 200)
+                for at in range(0, batch.num_rows, 1_000):
+                    part = batch.slice(at, 1_000)
                     found = scanner.scan(part.column(1).to_pylist(), longest)
                     ids = part.column(0).take(pa.array([x for x, _, _ in found], pa.int64()))
                     yield pa.RecordBatch.from_arrays([ids, pa.array([keys[k] for _, k, _ in found], pa.string()), pa.array([c for _, _, c in found], pa.int32())], names=["frame", "key", "confidence"])
 
         return run
 
+    some = [] if exact else [r.text for r in f.select("text").filter(F.length("text") <= longest).limit(1_000).collect()]
     known = p.select("key").distinct()
     blocks = 1 + known.count() // block
     read = f.sparkSession.createDataFrame([], schema)
     for n in range(blocks):
         keys = sorted(r.key for r in known.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == n).collect())
-        read = read.unionAll(f.mapInArrow(reader(keys), schema)) if keys else read
+        read = read.unionAll(f.mapInArrow(reader(keys, rare_pieces(keys, some) if some else None), schema)) if keys else read
     read = read.join(p, "key").select("frame", "phrase", "confidence")
     if least > 80:
         return read.filter(F.col("confidence") >= least).groupBy("frame", "phrase").agg(F.max("confidence").alias("confidence"))

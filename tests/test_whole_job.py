@@ -56,6 +56,43 @@ def test_phrases_equal_brute_force():
     assert len({c for _, _, c in want}) == 2 and sorted(PhraseScanner(keys).scan(texts, 4_000)) == sorted(want)
 
 
+def test_rare_pieces_lose_no_phrase(monkeypatch):
+    monkeypatch.setattr(PhraseScanner, "LETTERS", 2_000)
+    monkeypatch.setattr(PhraseScanner, "STRETCHES", 3_000)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcde1", k=rng.randint(1, 7)))
+    keys = sorted({k for k in (" ".join(word() for _ in range(rng.choice((2, 3, 4, 9, 18, 60)))) for _ in range(60)) if len(k) >= 6})
+    texts = []
+    for _ in range(60):
+        k = list(" ".join([*(word() for _ in range(rng.randint(0, 2))), rng.choice(keys), *(word() for _ in range(rng.randint(0, 2)))]).strip())
+        for _ in range(rng.randint(0, 4 if len(k) < 60 else 14)):
+            k[rng.randrange(len(k))] = rng.choice(["", "a", "x", "ab", " "])
+        texts.append("".join(k))
+    texts += ["", "a", " ".join(keys[:9])]
+    longest = 250
+    want = {(f, k, 98) for f, t in enumerate(texts) for k, key in enumerate(keys) if key in t}
+    want |= {(f, k, 92) for f, t in enumerate(texts) for k, key in enumerate(keys) if len(key) >= 10 and len(t) <= longest and key not in t and occurrence_distance(key, t) <= budget(key)}
+    assert any(len(keys[k]) > 64 for _, k, c in want if c == 92) and any(len(t) > longest for t in texts)
+    for given in (texts, ["", "zzz"]):
+        pieces = fuzzy.rare_pieces(keys, given)
+        for key, own in zip(keys, pieces):
+            assert len(own) == (budget(key) + 1 if len(key) >= 10 else 0) and all(0 <= b < e <= len(key) for b, e in own)
+            assert all(x[1] <= y[0] for x, y in zip(sorted(own), sorted(own)[1:]))
+        assert sorted(PhraseScanner(keys, pieces=pieces).scan(texts, longest)) == sorted(want)
+    assert PhraseScanner([]).scan(texts, longest) == [] == PhraseScanner(keys).scan([], longest)
+
+
+def test_common_words_bring_few_stretches(monkeypatch):
+    """The distance is not taken of every phrase to every text that shares a word with it."""
+    rng, asked = random.Random(9), []
+    code = lambda: "".join(rng.choices("bcdfghjk23456789", k=3))
+    keys = sorted({f"adjusting the water filter and the drive belt {code()} {code()}" for _ in range(500)})
+    texts = [f"clean the water filter and look at the drive belt {code()}" for _ in range(100)] + ["adjusting te water filter and the drive belt " + keys[0][-7:]]
+    within = PhraseScanner._within
+    monkeypatch.setattr(PhraseScanner, "_within", lambda self, key, *more: asked.append(len(key)) or within(self, key, *more))
+    assert (100, 0, 92) in PhraseScanner(keys).scan(texts, 4_000) and sum(asked) < 2_000
+
+
 def test_positions_of_all_sections(spark, tmp_path):
     rows = [("p1", "12", "05"), ("p2", "12", "5"), ("p2", "12", "5"), ("p3", "7", "5"), ("p4", "7", "005"), ("p5", None, "5"), ("p6", "7", None)]
     spark.createDataFrame(rows, "part_id string, section string, pos string").write.parquet(f"{tmp_path}/part_row.parquet")
