@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 
@@ -9,6 +10,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -165,11 +167,22 @@ class PhraseScanner:
     ALPHABET = " abcdefghijklmnopqrstuvwxyz0123456789"
     CODE = np.zeros(128, dtype=np.uint8)
     CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET)) + 1
-    #: Levels of the table of pairs: a stretch is two entries of a level, so 4 to 128 pairs; longer ones are not asked.
-    LEVELS = range(2, 7)
+    #: The last level of the table of pairs: a stretch is two entries of a level, so up to 128 pairs; longer ones are not asked.
+    LEVEL = 6
     #: Letters of texts that are scanned at a time, for the table of their pairs, and stretches around pieces, for their arrays.
     LETTERS, STRETCHES = 200_000, 250_000
 
+    #: The last scanner that a worker made, with its name.
+    KEPT: dict[str, PhraseScanner] = {}
+
+    @classmethod
+    def kept(cls, name: str, make: Callable[[], PhraseScanner]) -> PhraseScanner:
+        """The scanner of a block of phrases, made once by a worker for all its tasks in a row."""
+        if name not in cls.KEPT:
+            cls.KEPT.clear()
+            cls.KEPT[name] = make()
+        return cls.KEPT[name]
+
     @classmethod
     def codes(cls, text: str) -> np.ndarray:
         """The number of each letter, from 1; 0 for what is no letter."""
@@ -177,9 +190,9 @@ class PhraseScanner:
 
     @staticmethod
     def pairs(codes: np.ndarray) -> np.ndarray:
-        """Each letter and the next as one of 256 bits, in four words."""
-        h = ((codes[:-1].astype(np.uint32) * 38 + codes[1:]) * np.uint32(2654435761)) >> np.uint32(24)
-        out = np.zeros((len(h), 4), dtype=np.uint64)
+        """Each letter and the next as one of 128 bits, in two words."""
+        h = ((codes[:-1].astype(np.uint32) * 38 + codes[1:]) * np.uint32(2654435761)) >> np.uint32(25)
+        out = np.zeros((len(h), 2), dtype=np.uint64)
         out[np.arange(len(h)), h >> 6] = np.uint64(1) << (h & 63).astype(np.uint64)
         return out
 
@@ -230,12 +243,12 @@ class PhraseScanner:
     def _stretch(self, begin: np.ndarray, end: np.ndarray, owner: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of each key its pairs from begin to end, as bits, and where the table has those of a stretch in which they stand
         whatever edits there are: its level, and the places of its two entries."""
-        bits = np.zeros((len(self.keys), 4), dtype=np.uint64)
+        bits = np.zeros((len(self.keys), 2), dtype=np.uint64)
         np.bitwise_or.at(bits, owner, pairs)
-        fill = np.maximum(end - begin + 2 * self.edits, 1 << self.LEVELS[0])
-        level = np.minimum(np.log2(fill).astype(np.int64), self.LEVELS[-1])
-        bits[fill > 2 << self.LEVELS[-1]] = 0
-        return bits, level - self.LEVELS[0], begin, begin + np.minimum(fill, 2 << level) - (1 << level)
+        fill = end - begin + 2 * self.edits
+        level = np.minimum(np.log2(fill).astype(np.int64), self.LEVEL)
+        bits[fill > 2 << self.LEVEL] = 0
+        return bits, level, begin, begin + np.minimum(fill, 2 << level) - (1 << level)
 
     def scan(self, texts: list[str], longest: int) -> list[tuple[int, int, int]]:
         """Triples (text, key, confidence): 98 where the text contains the key, 92 within its budget of edits (ten
@@ -286,25 +299,24 @@ class PhraseScanner:
 
     def _table(self, flat: np.ndarray) -> np.ndarray:
         """Of each level the 2 ** level pairs from each letter on."""
-        here = np.zeros((len(flat) + (4 << self.LEVELS[-1]), 4), dtype=np.uint64)
-        here[: len(flat) - 1] = self.pairs(flat)
-        out = np.zeros((len(self.LEVELS), *here.shape), dtype=np.uint64)
-        for level in range(1, self.LEVELS[-1] + 1):
-            here[: -(1 << level - 1)] |= here[1 << level - 1 :].copy()
-            if level in self.LEVELS:
-                out[level - self.LEVELS[0]] = here
+        out = np.empty((self.LEVEL + 1, len(flat) + (1 << self.LEVEL), 2), dtype=np.uint64)
+        out[:, len(flat) - 1 :] = 0
+        out[0, : len(flat) - 1] = self.pairs(flat)
+        for level in range(1, self.LEVEL + 1):
+            step = 1 << level - 1
+            np.bitwise_or(out[level - 1, : len(flat)], out[level - 1, step : step + len(flat)], out=out[level, : len(flat)])
         return out
 
     @staticmethod
     def _missing(stretch: tuple[np.ndarray, ...], key: np.ndarray, place: np.ndarray, table: np.ndarray) -> np.ndarray:
         """How many of the pairs that a stretch of the key asks for are not where it would be, the key beginning at place."""
         bits, level, one, other = stretch
-        size, rows = table.shape[1], table.reshape(-1, 4)
+        size, rows = table.shape[1], table.reshape(-1, 2)
         # A stretch that begins before all texts may be taken for more than it is, never for less.
         at = level[key] * size
         there = rows.take(at + np.clip(place + one[key], 0, size - 1), axis=0)
         there |= rows.take(at + np.clip(place + other[key], 0, size - 1), axis=0)
-        return np.bitwise_count(bits.take(key, axis=0) & ~there) @ np.ones(4, dtype=np.uint8)
+        return np.bitwise_count(bits.take(key, axis=0) & ~there) @ np.ones(2, dtype=np.uint8)
 
     def _asked(self, word: np.ndarray, text: np.ndarray, place: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The stretches (key, text, begin) around pieces that hold enough of the key's pairs of letters; each once."""
@@ -381,17 +393,24 @@ class BagScanner:
             self.words[i, : len(b)] = b
             for w in sorted(b, key=lambda w: use[w])[: len(b) - int(self.need[i]) + 1]:
                 of[w].append(i)
-        self.of = {w: np.array(x) for w, x in enumerate(of) if x}
+        self.count = np.array([len(x) for x in of], dtype=np.int64)
+        self.first = np.cumsum(self.count) - self.count
+        self.of = np.array([i for x in of for i in x], dtype=np.int64)
 
     def scan(self, there: list[int]) -> np.ndarray:
         """The bags found among the words that are there."""
-        asked = [self.of[w] for w in there if w in self.of]
-        if not asked:
-            return np.zeros(0, dtype=np.int64)
-        mask = np.zeros(self.n_words + 1, dtype=bool)
-        mask[there] = True
-        some = np.unique(np.concatenate(asked))
-        return some[mask[self.words[some]].sum(1) >= self.need[some]]
+        return self.scan_frames(np.zeros(len(there), dtype=np.int64), np.array(there, dtype=np.int64), 1)[1]
+
+    def scan_frames(self, frame: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (frame, bag) of the bags found among the words of n frames."""
+        mask = np.zeros((n, self.n_words + 1), dtype=bool)
+        mask[frame, word] = True
+        frame, word = np.nonzero(mask)
+        times = self.count[word]
+        every = np.repeat(self.first[word] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        frame, bag = np.divmod(np.unique(np.repeat(frame, times) * len(self.need) + self.of[every]), max(1, len(self.need)))
+        left = mask[frame[:, None], self.words[bag]].sum(1) >= self.need[bag]
+        return frame[left], bag[left]
 
 
 def bag_hits(seen: DataFrame, bags: DataFrame, *, block: int = 50_000) -> DataFrame:
@@ -404,13 +423,20 @@ def bag_hits(seen: DataFrame, bags: DataFrame, *, block: int = 50_000) -> DataFr
 
     def reader(phrases: list[str], words: list[list[int]], near_: dict[str, list[int]], n_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scanner = BagScanner(words, n_words)
+            scanner, known, names = BagScanner(words, n_words), pa.array(list(near_), pa.string()), pa.array(phrases, pa.string())
+            times = np.array([len(x) for x in near_.values()], dtype=np.int64)
+            first, close = np.cumsum(times) - times, np.array([w for x in near_.values() for w in x], dtype=np.int64)
+            # So many frames at a time as have a table of their words of some ten million places.
+            step = max(1, min(500, 10_000_000 // (n_words + 1)))
             for batch in batches:
-                for at in range(0, batch.num_rows, 200):
-                    part = batch.slice(at, 200)
-                    found = [scanner.scan([w for x in xs for w in near_.get(x, ())]) for xs in part.column(1).to_pylist()]
-                    ids = part.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([phrases[i] for x in found for i in x.tolist()], pa.string())], names=["frame", "phrase"])
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    x = pc.index_in(part.column(1).flatten(), value_set=known)
+                    frame = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(part.column(1)), 0).to_numpy())[x.is_valid().to_numpy(zero_copy_only=False)]
+                    x = x.drop_null().to_numpy()
+                    every = np.repeat(first[x] - (np.cumsum(times[x]) - times[x]), times[x]) + np.arange(times[x].sum())
+                    frame, bag = scanner.scan_frames(np.repeat(frame, times[x]), close[every], part.num_rows)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(frame)), names.take(pa.array(bag))], names=["frame", "phrase"])
 
         return run
 
@@ -443,13 +469,16 @@ def scan_phrases(frames: DataFrame, phrases: DataFrame, *, least: int = 80, long
     p = phrases.select("phrase", plain_key(F.col("phrase")).alias("key")).distinct().filter(F.length("key") >= 6)
     exact = least > 92
     if not exact:
-        f = cut(f)
+        # The words are made once, for the near ones among them and for the bags.
+        f = cut(f if least > 80 else f.withColumn("seen", long_words(F.col("text"))))
 
     schema = T.StructType([f.schema["frame"], T.StructField("key", T.StringType()), T.StructField("confidence", T.IntegerType())])
 
     def reader(keys: list[str], pieces: list[list[tuple[int, int]]] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        name = uuid.uuid4().hex
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scanner = PhraseScanner(keys, exact=exact, pieces=pieces)
+            scanner = PhraseScanner.kept(name, lambda: PhraseScanner(keys, exact=exact, pieces=pieces))
             for batch in batches:
                 for at in range(0, batch.num_rows, 1_000):
                     part = batch.slice(at, 1_000)
@@ -465,12 +494,12 @@ def scan_phrases(frames: DataFrame, phrases: DataFrame, *, least: int = 80, long
     read = f.sparkSession.createDataFrame([], schema)
     for n in range(blocks):
         keys = sorted(r.key for r in known.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == n).collect())
-        read = read.unionAll(f.mapInArrow(reader(keys, rare_pieces(keys, some) if some else None), schema)) if keys else read
+        read = read.unionAll(f.select("frame", "text").mapInArrow(reader(keys, rare_pieces(keys, some) if some else None), schema)) if keys else read
     read = read.join(p, "key").select("frame", "phrase", "confidence")
     if least > 80:
         return read.filter(F.col("confidence") >= least).groupBy("frame", "phrase").agg(F.max("confidence").alias("confidence"))
 
-    seen = f.select("frame", long_words(F.col("text")).alias("seen")).filter(F.size("seen") <= busiest)
+    seen = f.select("frame", "seen").filter(F.size("seen") <= busiest)
     bags = bag_hits(seen, p.select("phrase", long_words(F.col("key"), STOP).alias("words")), block=block).withColumn("confidence", F.lit(80))
     return read.unionByName(bags).groupBy("frame", "phrase").agg(F.max("confidence").alias("confidence"))
 
