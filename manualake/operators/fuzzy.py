@@ -501,7 +501,8 @@ def scan_phrases(frames: DataFrame, phrases: DataFrame, *, least: int = 80, long
 
     seen = f.select("frame", "seen").filter(F.size("seen") <= busiest)
     bags = bag_hits(seen, p.select("phrase", long_words(F.col("key"), STOP).alias("words")), block=block).withColumn("confidence", F.lit(80))
-    return read.unionByName(bags).groupBy("frame", "phrase").agg(F.max("confidence").alias("confidence"))
+    # By frame alone, so that ranks within a frame need no other exchange.
+    return read.unionByName(bags).repartition("frame").groupBy("frame", "phrase").agg(F.max("confidence").alias("confidence"))
 
 
 def deletions(word: Column, most: int) -> Column:
