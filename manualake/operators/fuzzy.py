@@ -170,6 +170,7 @@ class PhraseScanner:
     #: The last level of the table of pairs: a stretch is two entries of a level, so up to 128 pairs; longer ones are not asked.
     LEVEL = 6
     #: Letters of texts that are scanned at a time, for the table of their pairs, and stretches around pieces, for their arrays.
+    #: A longer text is scanned in windows that overlap by all that a key can fill.
     LETTERS, STRETCHES = 200_000, 250_000
 
     #: The last scanner that a worker made, with its name.
@@ -225,6 +226,7 @@ class PhraseScanner:
         self.offset = np.array([b for x in owners.values() for _, b in x], dtype=np.int64)
         self.size = np.array([len(k) for k in keys], dtype=np.int64)
         self.edits = np.array([budget(k) for k in keys], dtype=np.int64)
+        self.reach = int((self.size + self.edits).max(initial=0))
         # The pairs of letters of each key and of each quarter of it, and the stretch that holds them if they are intact.
         flat, begin = self.codes("".join(keys)), np.cumsum(self.size) - self.size
         owner = np.repeat(np.arange(len(keys)), self.size)
@@ -250,24 +252,37 @@ class PhraseScanner:
         bits[fill > 2 << self.LEVEL] = 0
         return bits, level, begin, begin + np.minimum(fill, 2 << level) - (1 << level)
 
-    def scan(self, texts: list[str], longest: int) -> list[tuple[int, int, int]]:
+    def windows(self, text: str) -> list[str]:
+        """Stretches of a text, of which one holds whatever a key can be found in."""
+        width = max(self.LETTERS, 2 * self.reach)
+        return [text] if len(text) <= width else [text[at : at + width] for at in range(0, len(text) - self.reach, width - self.reach)]
+
+    def scan(self, texts: list[str], longest: int | None = None) -> list[tuple[int, int, int]]:
         """Triples (text, key, confidence): 98 where the text contains the key, 92 within its budget of edits (ten
-        letters, texts up to longest)."""
+        letters; where longest is given, texts up to that alone)."""
         if self.exact:
             return [(f, k, 98) for f, text in enumerate(texts if self.keys else ()) for k in sorted({k for _, k in self.pieces.iter(text)})]
-        out: list[tuple[int, int, int]] = []
-        part: list[int] = []
+        best: dict[tuple[int, int], int] = {}
+        part: list[tuple[int, str]] = []
         letters = 0
+
+        def read() -> None:
+            for x, k, c in self._scan([window for _, window in part]):
+                best[part[x][0], k] = max(c, best.get((part[x][0], k), 0))
+
         for f, text in enumerate(texts if self.keys else ()):
-            if len(text) > longest:
-                out += [(f, k, 98) for k in {int(self.whole[n]) for _, n in self.words.iter(text)} if k >= 0]
+            if longest is not None and len(text) > longest:
+                best.update({(f, int(self.whole[n])): 98 for _, n in self.words.iter(text) if self.whole[n] >= 0})
                 continue
-            if part and letters + len(text) > self.LETTERS:
-                out += [(part[x], k, c) for x, k, c in self._scan([texts[x] for x in part])]
-                part, letters = [], 0
-            part.append(f)
-            letters += len(text) + 1
-        return out + [(part[x], k, c) for x, k, c in self._scan([texts[x] for x in part])] if part else out
+            for window in self.windows(text):
+                if part and letters + len(window) > self.LETTERS:
+                    read()
+                    part, letters = [], 0
+                part.append((f, window))
+                letters += len(window) + 1
+        if part:
+            read()
+        return [(f, k, c) for (f, k), c in best.items()]
 
     def _scan(self, texts: list[str]) -> list[tuple[int, int, int]]:
         n, size = len(self.keys), np.array([len(t) + 1 for t in texts], dtype=np.int64)
@@ -382,6 +397,9 @@ class BagScanner:
     """Finds bags (lists of word numbers) of which four fifths are among a frame's words. A bag that is found has one of its
     rarest words there, one more than it may miss: only the bags of such words are counted."""
 
+    #: Pairs of a frame and a bag that are counted at a time, for their arrays, and words of frames that are looked up.
+    PAIRS, WORDS = 500_000, 1_000_000
+
     def __init__(self, bags: list[list[int]], n_words: int):
         self.n_words = n_words
         size = np.array([len(b) for b in bags], dtype=np.int64)
@@ -407,6 +425,18 @@ class BagScanner:
         mask[frame, word] = True
         frame, word = np.nonzero(mask)
         times = self.count[word]
+        # Where each frame's words begin, and the pairs before them.
+        begin = np.searchsorted(frame, np.arange(n + 1))
+        sums = np.append(0, np.cumsum(times))[begin]
+        out, at = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))], 0
+        while at < n:
+            end = max(at + 1, int(np.searchsorted(sums, sums[at] + self.PAIRS, side="right")) - 1)
+            own = slice(begin[at], begin[end])
+            out.append(self._count(frame[own], word[own], times[own], mask))
+            at = end
+        return np.concatenate([f for f, _ in out]), np.concatenate([b for _, b in out])
+
+    def _count(self, frame: np.ndarray, word: np.ndarray, times: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         every = np.repeat(self.first[word] - (np.cumsum(times) - times), times) + np.arange(times.sum())
         frame, bag = np.divmod(np.unique(np.repeat(frame, times) * len(self.need) + self.of[every]), max(1, len(self.need)))
         left = mask[frame[:, None], self.words[bag]].sum(1) >= self.need[bag]
@@ -429,10 +459,14 @@ def bag_hits(seen: DataFrame, bags: DataFrame, *, block: int = 50_000) -> DataFr
             # So many frames at a time as have a table of their words of some ten million places.
             step = max(1, min(500, 10_000_000 // (n_words + 1)))
             for batch in batches:
-                for at in range(0, batch.num_rows, step):
-                    part = batch.slice(at, step)
+                size = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy()
+                sums, end = np.cumsum(size), 0
+                while end < batch.num_rows:
+                    at = end
+                    end = min(at + step, max(at + 1, int(np.searchsorted(sums, sums[at] - size[at] + scanner.WORDS, side="right"))))
+                    part = batch.slice(at, end - at)
                     x = pc.index_in(part.column(1).flatten(), value_set=known)
-                    frame = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(part.column(1)), 0).to_numpy())[x.is_valid().to_numpy(zero_copy_only=False)]
+                    frame = np.repeat(np.arange(part.num_rows), size[at:end])[x.is_valid().to_numpy(zero_copy_only=False)]
                     x = x.drop_null().to_numpy()
                     every = np.repeat(first[x] - (np.cumsum(times[x]) - times[x]), times[x]) + np.arange(times[x].sum())
                     frame, bag = scanner.scan_frames(np.repeat(frame, times[x]), close[every], part.num_rows)
@@ -457,14 +491,14 @@ def bag_hits(seen: DataFrame, bags: DataFrame, *, block: int = 50_000) -> DataFr
     return out
 
 
-def scan_phrases(frames: DataFrame, phrases: DataFrame, *, least: int = 80, longest: int = 4_000, busiest: int = 400, block: int = 50_000) -> DataFrame:
+def scan_phrases(frames: DataFrame, phrases: DataFrame, *, least: int = 80, block: int = 50_000) -> DataFrame:
     """Phrases (phrase) in frames (frame, text): rows (frame, phrase, confidence).
 
     98 where the frame contains the phrase (six letters), 92 where it does within an eighth of its length in edits (ten
-    letters; frames up to longest), 80 where four fifths of its four or more telling words are nearly there (frames of up
-    to busiest long words). No such pair is lost: the first two come from PhraseScanner, to which
-    the phrases are sent in blocks of some `block`, cut where they are rare in a few frames; the last from near_words. Only
-    rows with a confidence of `least` are looked for."""
+    letters), 80 where four fifths of its four or more telling words are nearly there. Frames may have any length and any
+    number of words, and no such pair is lost: the first two come from PhraseScanner, to which the phrases are sent in
+    blocks of some `block`, cut where they are rare in a few frames; the last from near_words. Only rows with a confidence
+    of `least` are looked for."""
     f = frames.select("frame", plain_key(F.col("text")).alias("text")).filter("text is not null")
     p = phrases.select("phrase", plain_key(F.col("phrase")).alias("key")).distinct().filter(F.length("key") >= 6)
     exact = least > 92
@@ -482,13 +516,14 @@ def scan_phrases(frames: DataFrame, phrases: DataFrame, *, least: int = 80, long
             for batch in batches:
                 for at in range(0, batch.num_rows, 1_000):
                     part = batch.slice(at, 1_000)
-                    found = scanner.scan(part.column(1).to_pylist(), longest)
+                    found = scanner.scan(part.column(1).to_pylist())
                     ids = part.column(0).take(pa.array([x for x, _, _ in found], pa.int64()))
                     yield pa.RecordBatch.from_arrays([ids, pa.array([keys[k] for _, k, _ in found], pa.string()), pa.array([c for _, _, c in found], pa.int32())], names=["frame", "key", "confidence"])
 
         return run
 
-    some = [] if exact else [r.text for r in f.select("text").filter(F.length("text") <= longest).limit(1_000).collect()]
+    # What is looked at decides about time alone: beginnings of some frames do, for the driver's memory.
+    some = [] if exact else [r.text for r in f.select(F.substring("text", 1, 4_000).alias("text")).limit(1_000).collect()]
     known = p.select("key").distinct()
     blocks = 1 + known.count() // block
     read = f.sparkSession.createDataFrame([], schema)
@@ -499,8 +534,7 @@ def scan_phrases(frames: DataFrame, phrases: DataFrame, *, least: int = 80, long
     if least > 80:
         return read.filter(F.col("confidence") >= least).groupBy("frame", "phrase").agg(F.max("confidence").alias("confidence"))
 
-    seen = f.select("frame", "seen").filter(F.size("seen") <= busiest)
-    bags = bag_hits(seen, p.select("phrase", long_words(F.col("key"), STOP).alias("words")), block=block).withColumn("confidence", F.lit(80))
+    bags = bag_hits(f.select("frame", "seen"), p.select("phrase", long_words(F.col("key"), STOP).alias("words")), block=block).withColumn("confidence", F.lit(80))
     # By frame alone, so that ranks within a frame need no other exchange.
     return read.unionByName(bags).repartition("frame").groupBy("frame", "phrase").agg(F.max("confidence").alias("confidence"))
 

@@ -164,3 +164,39 @@ def test_bags_in_blocks(spark):
     bags = spark.createDataFrame([(f"p{i}", ["leaking", "filter", "water", "tank", f"odd{i}xyz"]) for i in range(9)] + [("q", ["tank", "side", "filter", "other"])], "phrase string, words array<string>")
     for block in (3, 50_000):
         assert sorted(tuple(r) for r in fuzzy.bag_hits(seen, bags, block=block).collect()) == [(1, f"p{i}") for i in range(9)]
+
+
+def test_long_and_busy_frames_lose_no_phrase(spark):
+    long = "nothing to see on this page " * 200
+    busy = " ".join(f"word{i:05d}" for i in range(500))
+    seen = [f"{long} leek left sede {long}", f"{busy} tank {long} empty {busy} water {long} pumping", f"{long} leak left side", long, busy]
+    frames = spark.createDataFrame(list(enumerate(seen)), "frame long, text string")
+    found = scan_phrases(frames, spark.createDataFrame([("Leak left side",), ("Pumping water, tank empty",)], "phrase string"))
+    assert sorted(tuple(r) for r in found.collect()) == [(0, "Leak left side", 92), (1, "Pumping water, tank empty", 80), (2, "Leak left side", 98)]
+
+
+@pytest.mark.parametrize("letters", [1, 150, 700])
+def test_phrases_of_long_texts_equal_brute_force(monkeypatch, letters):
+    monkeypatch.setattr(PhraseScanner, "LETTERS", letters)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcde1", k=rng.randint(1, 7)))
+    keys = sorted({k for k in (" ".join(word() for _ in range(rng.choice((2, 3, 5, 18)))) for _ in range(80)) if len(k) >= 6})
+    texts = []
+    for _ in range(12):
+        k = list(" ".join(rng.choice([word(), rng.choice(keys)]) for _ in range(rng.randint(30, 90))))
+        for _ in range(len(k) // 12):
+            k[rng.randrange(len(k))] = rng.choice(["", "a", "x", "ab", " "])
+        texts.append("".join(k))
+    want = {(f, k, 98) for f, t in enumerate(texts) for k, key in enumerate(keys) if key in t}
+    want |= {(f, k, 92) for f, t in enumerate(texts) for k, key in enumerate(keys) if len(key) >= 10 and key not in t and occurrence_distance(key, t) <= budget(key)}
+    assert len({c for _, _, c in want}) == 2 and sorted(PhraseScanner(keys).scan(texts)) == sorted(want)
+
+
+def test_bags_of_busy_frames_in_parts_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(fuzzy.BagScanner, "PAIRS", 300)
+    rng = random.Random(6)
+    bags = [rng.sample(range(40), rng.randint(4, 9)) for _ in range(400)]
+    seen = [rng.choices(range(40), k=size) for size in (0, 5, 30, 60, 0, 200, 3, 0)]
+    frame, bag = fuzzy.BagScanner(bags, 40).scan_frames(fuzzy.np.repeat(range(len(seen)), [len(x) for x in seen]), fuzzy.np.array(sum(seen, [])), len(seen))
+    want = [(f, i) for f, x in enumerate(seen) for i, b in enumerate(bags) if len(set(b) & set(x)) * 100 / len(b) >= 80]
+    assert len(want) > 400 and list(zip(frame.tolist(), bag.tolist())) == want
