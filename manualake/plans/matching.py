@@ -265,13 +265,13 @@ def fzy3_occurrence_distance(t: Tables) -> DataFrame:
 _NEAR = "({0} = {1} or (abs(length({0}) - length({1})) <= 2 and levenshtein({0}, {1}) <= case when length({0}) >= 9 then 2 when length({0}) >= 6 then 1 else 0 end))"
 
 
-@query(f"""with s as (select frame, list_distinct(list_filter(string_split(x, ' '), lambda w: length(w) >= 4)) seen from {_FRAMES}), f as (select frame, unnest(seen) seen from s where len(seen) <= 400),
+@query(f"""with s as (select frame, list_distinct(list_filter(string_split(x, ' '), lambda w: length(w) >= 4)) seen from {_FRAMES}), f as (select frame, unnest(seen) seen from s),
     m as (select phrase, list_distinct(list_filter(string_split(k, ' '), lambda w: length(w) >= 4 and w not in ({_STOP}))) words from {_MESSAGES}), p as (select phrase, len(words) n, unnest(words) word from m where len(words) >= 4),
     c as (select w.word, v.seen from (select distinct word from p) w join (select distinct seen from f) v on {_NEAR.format('w.word', 'v.seen')}), h as (select frame, phrase, n, count(distinct word) hits from f join c using (seen) join p using (word) group by all)
     select frame, phrase from h where hits * 100 / n >= 80""")
 def fzy4_bags_of_words(t: Tables) -> DataFrame:
-    """Titles of four or more telling words of which four fifths are nearly in a text."""
-    seen = frames(t).select("frame", Z.long_words(X.plain_key(F.col("text"))).alias("seen")).filter(F.size("seen") <= 400)
+    """Titles of four or more telling words of which four fifths are nearly in a text, however many words it has."""
+    seen = frames(t).select("frame", Z.long_words(X.plain_key(F.col("text"))).alias("seen"))
     return Z.bag_hits(seen, phrases(t).distinct().select("phrase", Z.long_words(X.plain_key(F.col("phrase")), Z.STOP).alias("words")))
 
 

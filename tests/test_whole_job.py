@@ -200,3 +200,11 @@ def test_bags_of_busy_frames_in_parts_equal_brute_force(monkeypatch):
     frame, bag = fuzzy.BagScanner(bags, 40).scan_frames(fuzzy.np.repeat(range(len(seen)), [len(x) for x in seen]), fuzzy.np.array(sum(seen, [])), len(seen))
     want = [(f, i) for f, x in enumerate(seen) for i, b in enumerate(bags) if len(set(b) & set(x)) * 100 / len(b) >= 80]
     assert len(want) > 400 and list(zip(frame.tolist(), bag.tolist())) == want
+
+
+def test_bags_are_found_in_busy_frames(spark, tmp_path):
+    busy = " ".join(f"word{i:05d}" for i in range(900))
+    rows = [("a", f"Pumpimg water, {busy} tank empty"), ("b", "tank empty water pumping"), ("c", busy), ("d", f"tank {busy} empty"), ("e", None)]
+    spark.createDataFrame(rows, "text_id string, text string").write.parquet(f"{tmp_path}/topic_text.parquet")
+    got = by_topic(spark, tmp_path, ["Pumping water, tank empty", "Pumping cold water, tank empty", None], "fzy4_bags_of_words")
+    assert sorted((r.frame, r.phrase) for r in got) == [(f, p) for f in "ab" for p in ("Pumping cold water, tank empty", "Pumping water, tank empty")]
